@@ -141,68 +141,25 @@ def dns_base_domain(qname: Column) -> Column:
 _OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _IPV4 = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
 
-# IPv4 blocks that are not globally routed, as first and last address.
+# Address blocks that are not globally routed, as text patterns.
 PRIVATE_IPV4 = (
-    ("0.0.0.0", "0.255.255.255"),
-    ("10.0.0.0", "10.255.255.255"),
-    ("127.0.0.0", "127.255.255.255"),
-    ("169.254.0.0", "169.254.255.255"),
-    ("172.16.0.0", "172.31.255.255"),
-    ("192.0.0.0", "192.0.0.255"),
-    ("192.0.2.0", "192.0.2.255"),
-    ("192.168.0.0", "192.168.255.255"),
-    ("198.18.0.0", "198.19.255.255"),
-    ("198.51.100.0", "198.51.100.255"),
-    ("203.0.113.0", "203.0.113.255"),
-    ("240.0.0.0", "255.255.255.255"),
+    r"^(?:0|10|127|24[0-9]|25[0-5])\.|^169\.254\.|^172\.(?:1[6-9]|2[0-9]|3[01])\.|^192\.168\."
+    r"|^192\.0\.0\.(?!(?:9|10)$)|^192\.0\.2\.|^198\.1[89]\.|^198\.51\.100\.|^203\.0\.113\."
 )
-# Exceptions inside 192.0.0.0/24.
-PUBLIC_IPV4 = ("192.0.0.9", "192.0.0.10")
-
-
-def _ipv4_value(text: str) -> int:
-    a, b, c, d = (int(x) for x in text.split("."))
-    return ((a * 256 + b) * 256 + c) * 256 + d
-
-
-def ipv4_number(ip: Column) -> Column:
-    parts = F.split(ip, r"\.")
-    value = F.lit(0).cast("bigint")
-    for i in range(4):
-        value = value * 256 + F.try_element_at(parts, F.lit(i + 1)).try_cast("bigint")
-    return F.when(ip.rlike(_IPV4), value)
+PRIVATE_IPV6 = (
+    r"^::1?$|^::ffff:|^f[cd][0-9a-f]{2}:|^fe[89ab][0-9a-f]:|^2001:0?db8:|^2002:|^3fff:(?:0?[0-9a-f]{0,3}):"
+    r"|^0?100::|^0?064:ff9b:0{0,3}1:|^64:ff9b:0{0,3}1:"
+    r"|^2001:(?!0*3:|0*[23][0-9a-f]:|0*4:0*112:|0*1::0*[12]$)0{0,2}(?:[01]?[0-9a-f]{1,2})?:"
+)
+_IPV6_TEXT = r"^[0-9a-f:]*:[0-9a-f:.]*$"
 
 
 def is_private_ip(ip: Column) -> Column:
     """Address outside the globally routed space; text that is no address gives false."""
-    n = ipv4_number(ip)
-    v4 = reduce(
-        lambda a, b: a | b, [n.between(_ipv4_value(lo), _ipv4_value(hi)) for lo, hi in PRIVATE_IPV4]
-    ) & ~n.isin(*[_ipv4_value(x) for x in PUBLIC_IPV4])
     low = F.lower(ip)
-    groups = F.split(low, ":")
-
-    def hextet(i: int) -> Column:
-        part = F.try_element_at(groups, F.lit(i))
-        return F.coalesce(F.when(part.rlike("^[0-9a-f]{1,4}$"), F.conv(part, 16, 10).cast("int")), F.lit(0))
-
-    h1, h2 = hextet(1), hextet(2)
-    v6_text = low.rlike(r"^[0-9a-f:.]*:[0-9a-f:.]*$")
-    teredo_block = (h1 == 0x2001) & (h2 < 0x200) & ~(
-        (h2 == 3) | h2.between(0x20, 0x3F) | low.rlike("^2001:0?0?0?4:0?112:|^2001:0?0?0?1::[12]$")
-    )
-    v6 = v6_text & (
-        low.isin("::", "::1")
-        | low.startswith("::ffff:")
-        | h1.between(0xFC00, 0xFDFF)
-        | h1.between(0xFE80, 0xFEBF)
-        | ((h1 == 0x2001) & (h2 == 0xDB8))
-        | teredo_block
-        | (h1 == 0x2002)
-        | ((h1 == 0x3FFF) & (h2 < 0x1000))
-        | low.rlike("^0?100::|^0?064:ff9b:0?0?0?1:|^64:ff9b:0?0?0?1:")
-    )
-    return F.coalesce(F.when(ip.contains(":"), v6).otherwise(v4), F.lit(False))
+    v4 = ip.rlike(_IPV4) & ip.rlike(PRIVATE_IPV4)
+    v6 = low.rlike(_IPV6_TEXT) & low.rlike(PRIVATE_IPV6)
+    return F.coalesce(v4 | v6, F.lit(False))
 
 
 def tcp_segment_length(payload_len: Column, flags: Column) -> Column:

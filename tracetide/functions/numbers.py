@@ -35,9 +35,18 @@ def fixed_text(x: Column, digits: int) -> Column:
     """Decimal text of a double with exact binary ties going to even.
 
     The built-in formatter rounds the shortest decimal form half up, so 1.125
-    would print as 1.13. Here the binary fraction is taken as a 70-bit integer and
-    rounded with integer arithmetic (up to 4 digits).
+    would print as 1.13. It is only wrong where that form ends in a tie, so those
+    few values take the exact way.
     """
+    grown = x * F.lit(float(10 ** (digits + 1)))
+    near = F.rint(grown)
+    tie = (F.abs(grown - near) < 1e-3) & (F.abs(near) % 10 == 5)
+    plain = F.format_string(f"%.{digits}f", x)
+    return F.when(x.isNotNull(), F.when(tie | (F.abs(grown) > 1e14), _exact_text(x, digits)).otherwise(plain))
+
+
+def _exact_text(x: Column, digits: int) -> Column:
+    """The binary fraction as a 70-bit integer, rounded with integer arithmetic (up to 4 digits)."""
     mag = F.abs(x)
     whole = F.floor(mag)
     top = (mag - whole) * F.lit(float(1 << _HIGH))
@@ -58,7 +67,7 @@ def fixed_text(x: Column, digits: int) -> Column:
     head = whole + (part == 10**digits).cast("bigint")
     tail = F.lpad((part % 10**digits).cast("string"), digits, "0")
     sign = F.when((x < 0), F.lit("-")).otherwise(F.lit(""))
-    return F.when(x.isNotNull(), F.concat(sign, head.cast("bigint").cast("string"), F.lit("."), tail))
+    return F.concat(sign, head.cast("string"), F.lit("."), tail)
 
 
 def round_even(x: Column) -> Column:

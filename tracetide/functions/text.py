@@ -13,15 +13,14 @@ RATE_UNITS = ("bps", "Kbps", "Mbps", "Gbps", "Tbps")
 
 
 def _ladder(value: Column, step: float, units: tuple[str, ...]) -> Column:
-    value = value.cast("double")
-    out = None
-    scaled = value
-    for unit in units[:-1]:
-        text = F.concat(fixed_text(scaled, 2), F.lit(f" {unit}"))
-        out = F.when(scaled < step, text) if out is None else out.when(scaled < step, text)
-        scaled = scaled / F.lit(step)
-    last = F.concat(fixed_text(scaled, 2), F.lit(f" {units[-1]}"))
-    return F.coalesce(F.when(value.isNotNull(), out.otherwise(last)), F.lit("n/a"))
+    scaled = [value.cast("double")]
+    for _ in units[1:]:
+        scaled.append(scaled[-1] / F.lit(step))
+    shown, unit = scaled[-1], F.lit(units[-1])
+    for s, u in reversed(list(zip(scaled[:-1], units[:-1]))):
+        shown, unit = F.when(s < step, s).otherwise(shown), F.when(s < step, u).otherwise(unit)
+    text = F.concat(fixed_text(shown, 2), F.lit(" "), unit)
+    return F.coalesce(F.when(value.isNotNull(), text), F.lit("n/a"))
 
 
 def human_bytes(n: Column) -> Column:
@@ -67,3 +66,10 @@ STDOUT_FIELD_LIMIT = 10_000
 
 def stdout_field(text: Column) -> Column:
     return F.substring(text, 1, STDOUT_FIELD_LIMIT)
+
+
+def output_text(text: Column, limit: int = OUTPUT_LIMIT) -> Column:
+    """Command output up to the limit, with a marker when something was left out."""
+    size = F.char_length(text)
+    marker = F.concat(F.lit("\n...TRUNCATED("), size.cast("string"), F.lit(" bytes)..."))
+    return F.when(size > limit, F.concat(F.substring(text, 1, limit), marker)).otherwise(text)

@@ -135,10 +135,10 @@ def top_ports_both_sides(packets: DataFrame, n: int = 10) -> DataFrame:
 
 def packet_size_stats(packets: DataFrame, length: str = "frame_len") -> DataFrame:
     pct = exact_percentiles(packets, [CAP], length, {"median_bytes": 0.5, "p95_bytes": 0.95})
-    basic = packets.groupBy(CAP).agg(
-        F.round(F.avg(length), 6).alias("mean_bytes"), F.max(length).alias("max_bytes")
+    return pct.select(
+        CAP, F.round(F.col("sum") / F.col("n"), 6).alias("mean_bytes"), "median_bytes", "p95_bytes",
+        F.col("max").alias("max_bytes"),
     )
-    return basic.join(pct.drop("n"), CAP).select(CAP, "mean_bytes", "median_bytes", "p95_bytes", "max_bytes")
 
 
 def capture_span(packets: DataFrame) -> DataFrame:

@@ -38,7 +38,9 @@ def value_chunk(v: Column) -> Column:
     octave = F.floor(F.log2(x))
     step = F.floor(x / F.pow(F.lit(2.0), octave) * (1 << _OCTAVE_BITS))
     place = octave * (1 << (_OCTAVE_BITS + 1)) + step + _OFFSET
-    return F.when(v > 0, place).when(v < 0, -place).otherwise(F.lit(0)).cast("bigint")
+    signed = F.when(v > 0, place).when(v < 0, -place).otherwise(F.lit(0)).cast("bigint")
+    # never null, so that no null filter makes two copies of a shuffle differ
+    return F.coalesce(signed, F.lit(0).cast("bigint"))
 
 
 def value_counts(df: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
@@ -47,15 +49,20 @@ def value_counts(df: DataFrame, keys: list[str], value: str, weight: str | None
     return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(n.alias("n"))
 
 
-def _chunk_totals(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows before each chunk and rows in the whole group, one row per chunk."""
-    ahead = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    return (
-        counts.groupBy(*keys, "_chunk")
-        .agg(F.sum("n").alias("_in_chunk"))
-        .withColumn("_before", F.coalesce(F.sum("_in_chunk").over(ahead), F.lit(0)))
-        .withColumn("_total", F.sum("_in_chunk").over(W.partitionBy(*keys)))
-    )
+def _chunk_totals(counts: DataFrame, keys: list[str], value: str | None = None) -> DataFrame:
+    """Rows before each chunk and rows in the whole group, one row per chunk.
+
+    With ``value`` also the sum and the largest value of the group.
+    """
+    group = W.partitionBy(*keys)
+    ahead = group.orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    aggs, whole = [F.sum("n").alias("_in_chunk")], {"_total": F.sum("_in_chunk").over(group)}
+    if value is not None:
+        aggs += [F.sum(F.col(value) * F.col("n")).alias("_part"), F.max(value).alias("_top")]
+        whole |= {"_sum": F.sum("_part").over(group), "_max": F.max("_top").over(group)}
+    out = counts.groupBy(*keys, "_chunk").agg(*aggs)
+    out = out.withColumns({"_before": F.coalesce(F.sum("_in_chunk").over(ahead), F.lit(0)), **whole})
+    return out.drop("_part", "_top")
 
 
 def running_counts(df: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
@@ -75,10 +82,11 @@ def exact_percentiles(
     """Exact linear-interpolation percentiles per group.
 
     Values are counted first (combined before the shuffle). Chunk totals tell in
-    which chunk each wanted rank lies, and only those chunks are ranked.
+    which chunk each wanted rank lies, and only those chunks are ranked. The row
+    count ``n``, the ``sum`` and the ``max`` of the group come along.
     """
     counts = value_counts(df, keys, value, weight).withColumn("_chunk", value_chunk(F.col(value)))
-    totals = _chunk_totals(counts, keys)
+    totals = _chunk_totals(counts, keys, value)
     ranks = []
     for p in probs.values():
         at = (F.col("_total") - 1) * F.lit(float(p))
@@ -93,7 +101,7 @@ def exact_percentiles(
         .withColumn("_end", F.col("_before") + F.sum("n").over(inside))
         .withColumn("_start", F.col("_end") - F.col("n"))
     )
-    aggs = [F.max("_total").alias("n")]
+    aggs = [F.max("_total").alias("n"), F.max("_sum").alias("sum"), F.max("_max").alias("max")]
     for name, p in probs.items():
         at = (F.col("_total") - 1) * F.lit(float(p))
         for tag, r in (("lo", F.floor(at)), ("hi", F.ceil(at))):
@@ -104,6 +112,8 @@ def exact_percentiles(
     return out.select(
         *keys,
         "n",
+        "sum",
+        "max",
         *[
             (F.col(f"_lo_{k}") + (F.col(f"_hi_{k}") - F.col(f"_lo_{k}")) * F.col(f"_w_{k}"))
             .cast("double")

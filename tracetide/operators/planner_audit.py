@@ -43,7 +43,7 @@ def parsed_text(cleaned: Column) -> Column:
 
 
 def _pick(values: tuple, seed: Column) -> Column:
-    place = F.pmod(F.xxhash64(seed), F.lit(len(values))).cast("int")
+    place = F.char_length(seed) % len(values)
     return F.element_at(F.array(*map(F.lit, values)), place + 1)
 
 
@@ -59,7 +59,7 @@ def _json_text(doc: Column, field: str) -> Column:
 def repaired(parsed: DataFrame, doc_text: str = "parsed", seed: str = "raw") -> DataFrame:
     """Apply the runtime rule; ``action_type`` is null for a rejected output.
 
-    Where the rule draws a random default, a hash of the raw text picks it.
+    Where the rule draws a random default, the length of the raw text picks it.
     """
     doc = F.try_parse_json(F.col(doc_text))
     base = parsed.withColumn("_doc", doc)

@@ -56,10 +56,9 @@ def bucket_summary(series: DataFrame, bucket_s: int = 1) -> DataFrame:
     """Peak, p95 and p99 of the bucket rates in Mbps."""
     rate = 8 / (bucket_s * 1e6)
     pct = exact_percentiles(series, [CAP], "bytes", {"p95": 0.95, "p99": 0.99})
-    top = series.groupBy(CAP).agg(F.max("bytes").alias("peak"))
-    return top.join(pct, CAP).select(
+    return pct.select(
         CAP, F.col("n").alias("buckets"),
-        F.round(F.col("peak") * rate, 6).alias("peak_mbps"),
+        F.round(F.col("max") * rate, 6).alias("peak_mbps"),
         F.round(F.col("p95") * rate, 6).alias("p95_mbps"),
         F.round(F.col("p99") * rate, 6).alias("p99_mbps"),
     )
@@ -79,8 +78,7 @@ def window_throughput_summary(windows: DataFrame) -> DataFrame:
     keys = [CAP, "window_s"]
     rate = F.lit(8.0) / F.col("window_s") / 1e6
     pct = exact_percentiles(windows, keys, "bytes", {"p95": 0.95, "p99": 0.99})
-    base = windows.groupBy(*keys).agg(F.avg("bytes").alias("mean"), F.max("bytes").alias("max"))
-    return base.join(pct, keys).select(
+    return pct.withColumn("mean", F.col("sum") / F.col("n")).select(
         *keys, F.col("n").alias("windows"),
         *[F.round(F.col(c) * rate, 6).alias(f"{c}_mbps") for c in ("mean", "p95", "p99", "max")],
     )
@@ -93,7 +91,7 @@ def window_new_flows(packets: DataFrame, windows=WINDOWS) -> DataFrame:
     ).where(F.col("t0") > 0)
     born = unidir_flows(packets).where(F.col("seen_us") > 0).select(CAP, "seen_us")
     placed = attach_small(born, start, [CAP]).withColumn("window_s", F.explode(F.array(*map(F.lit, windows))))
-    k = F.floor((F.col("seen_us") - F.col("t0")) / (F.col("window_s") * 1_000_000))
+    k = F.floor((F.col("seen_us") - F.col("t0")) / (F.col("window_s") * F.lit(1e6)))
     used = placed.groupBy(CAP, "window_s", k.alias("k")).agg(F.count(F.lit(1)).alias("new_flows")).where(F.col("k") >= 0)
     last = used.groupBy(CAP, "window_s").agg(F.max("k").alias("hi")).withColumn("lo", F.lit(0).cast("bigint"))
     zeros = _dense_range(last, "lo", "hi", "k").select(CAP, "window_s", "k", F.lit(0).cast("bigint").alias("new_flows"))

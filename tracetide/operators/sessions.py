@@ -66,7 +66,7 @@ def conn_summary(conns: DataFrame) -> DataFrame:
     totals = rows.agg(
         F.count(F.lit(1)).alias("total_connections"),
         F.round(F.coalesce(F.sum("bytes"), F.lit(0.0)), 6).alias("total_conn_bytes"),
-        F.round(F.avg("dur"), 6).alias("avg_conn_duration_s"),
+        F.round(F.avg("dur"), 9).alias("avg_conn_duration_s"),
     )
     med = exact_percentiles(rows, [], "dur", {"median_conn_duration_s": 0.5}).select("median_conn_duration_s")
     # four one-row tables side by side

@@ -19,15 +19,12 @@ def capture_order_gaps(packets: DataFrame) -> DataFrame:
 
 def gap_summary(gaps: DataFrame, weight: str | None = None) -> DataFrame:
     """Count, mean, median, p95 and largest gap per capture, in seconds."""
-    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    total = F.sum("gap_us") if weight is None else F.sum(F.col("gap_us") * F.col(weight))
-    basic = gaps.groupBy(CAP).agg(
-        n.alias("gaps"), F.round(total / n / 1e6, 6).alias("mean_s"), (F.max("gap_us") / 1e6).alias("max_s")
-    )
     pct = exact_percentiles(gaps, [CAP], "gap_us", {"median": 0.5, "p95": 0.95}, weight)
-    return basic.join(pct, CAP).select(
-        CAP, "gaps", "mean_s",
-        (F.col("median") / 1e6).alias("median_s"), F.round(F.col("p95") / 1e6, 6).alias("p95_s"), "max_s",
+    return pct.select(
+        CAP, F.col("n").alias("gaps"),
+        F.round(F.col("sum") / F.col("n") / 1e6, 9).alias("mean_s"),
+        (F.col("median") / 1e6).alias("median_s"), F.round(F.col("p95") / 1e6, 9).alias("p95_s"),
+        (F.col("max") / 1e6).alias("max_s"),
     )
 
 

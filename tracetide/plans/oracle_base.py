@@ -44,6 +44,8 @@ ev AS (
   FROM cells
 ), packets_z AS (
   SELECT * REPLACE (CASE WHEN k % 13 = 0 THEN 0 ELSE ts_us END AS ts_us) FROM packets
+), packets_j AS (
+  SELECT * REPLACE (ts_us + (k % 5) * 1500000 AS ts_us) FROM packets
 )"""
 
 

@@ -109,3 +109,8 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packets_with_lost_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same packets where some timestamps could not be read and are zero."""
     return packets(spark, sf_dir).withColumn("ts_us", F.when(F.col("k") % 13 == 0, 0).otherwise(F.col("ts_us")))
+
+
+def packets_with_jitter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same packets with clocks that step back now and then."""
+    return packets(spark, sf_dir).withColumn("ts_us", F.col("ts_us") + (F.col("k") % 5) * 1_500_000)

@@ -80,15 +80,19 @@ def scan_packets(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def scan_captures(spark: SparkSession, folder: str, pattern: str = "capturaAgente*.pcapng", recursive: bool = False) -> DataFrame:
-    """Capture files below a folder, sorted by name; no file is an error. Contents are not read."""
+    """Captures below a folder, sorted by name; no file is an error. Contents are not read.
+
+    As in ``scan_packets`` the capture is the ``filename=`` folder when there is one.
+    """
+    parts = F.split("path", "/")
+    folder_name = F.try_element_at(F.filter(parts, lambda p: p.startswith("filename=")), F.lit(1))
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", str(recursive).lower())
         .load(folder)
-        .select(F.element_at(F.split("path", "/"), -1).alias("filename"), "path")
-        .distinct()
+        .select(F.coalesce(F.substring(folder_name, 10, 1 << 30), F.element_at(parts, -1)).alias("filename"), "path")
     )
     if files.isEmpty():
         raise FileNotFoundError(f"no files matched {pattern} in {folder}")
-    return files.orderBy("filename", "path")
+    return files.groupBy("filename").agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("files")).orderBy("filename")
