@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_HIGH, _LOW = 30, 40
-_BITS = _HIGH + _LOW
-
 
 def lenient_float(text: Column, default: float | None = None) -> Column:
     """Float of a text, or the default. Java suffixes such as ``1d`` are no numbers."""
@@ -35,39 +32,31 @@ def fixed_text(x: Column, digits: int) -> Column:
     """Decimal text of a double with exact binary ties going to even.
 
     The built-in formatter rounds the shortest decimal form half up, so 1.125
-    would print as 1.13. It is only wrong where that form ends in a tie, so those
-    few values take the exact way.
+    would print as 1.13. It is wrong only where that form ends in a tie or is cut
+    short by a large whole part, and those values are rounded here. The lambda
+    binds the value once, however large its expression is.
     """
-    grown = x * F.lit(float(10 ** (digits + 1)))
-    near = F.rint(grown)
-    tie = (F.abs(grown - near) < 1e-3) & (F.abs(near) % 10 == 5)
-    plain = F.format_string(f"%.{digits}f", x)
-    return F.when(x.isNotNull(), F.when(tie | (F.abs(grown) > 1e14), _exact_text(x, digits)).otherwise(plain))
-
-
-def _exact_text(x: Column, digits: int) -> Column:
-    """The binary fraction as a 70-bit integer, rounded with integer arithmetic (up to 4 digits)."""
-    mag = F.abs(x)
-    whole = F.floor(mag)
-    top = (mag - whole) * F.lit(float(1 << _HIGH))
-    low = (top - F.floor(top)) * F.lit(float(1 << _LOW))
-    sticky = low != F.floor(low)
-    wide = "decimal(27,0)"
-    unit = F.lit(str(1 << _BITS)).cast(wide)
-    frac = F.floor(top).cast("decimal(10,0)") * F.lit(1 << _LOW).cast("decimal(13,0)") + F.floor(low).cast("decimal(13,0)")
-    grown = (frac * F.lit(10**digits).cast("decimal(5,0)")).cast(wide)
-    q = F.floor(grown.cast("decimal(38,6)") / unit).cast("bigint")
-    # the quotient may be off by the decimal scale; the remainder settles it
-    rest = grown - (q.cast("decimal(5,0)") * unit).cast(wide)
-    q = F.when(rest < 0, q - 1).otherwise(q)
-    rest = F.when(rest < 0, rest + unit).otherwise(rest)
-    half = F.lit(str(1 << (_BITS - 1))).cast(wide)
-    up = (rest > half) | ((rest == half) & (sticky | (q % 2 == 1)))
-    part = q + up.cast("bigint")
-    head = whole + (part == 10**digits).cast("bigint")
-    tail = F.lpad((part % 10**digits).cast("string"), digits, "0")
-    sign = F.when((x < 0), F.lit("-")).otherwise(F.lit(""))
-    return F.concat(sign, head.cast("string"), F.lit("."), tail)
+    return F.transform(F.array(x.cast("double")), lambda v: _fixed(v, digits))[0]
+
+
+def _fixed(v: Column, digits: int) -> Column:
+    mag = F.abs(v)
+    part = mag - F.floor(mag)
+    scale = float(10 ** (digits + 1))
+    near = F.rint(part * scale)
+    tie = (F.abs(part * scale - near) < 1e-3) & (near % 10 == 5)
+    # exact sign of part * scale - near, by splitting the fraction in two halves
+    c = part * F.lit(134217729.0)
+    high = c - (c - part)
+    off = (high * scale - near) + (part - high) * scale
+    low_unit = (near - 5) / 10
+    up = (off > 0) | ((off == 0) & (low_unit % 2 == 1))
+    large = mag >= float(1 << 40)  # few fraction bits are left, so the product is exact
+    units = F.when(large, F.rint(part * float(10**digits))).otherwise(low_unit + up.cast("double")).cast("bigint")
+    whole = (F.floor(mag) + F.floor(units / 10**digits)).cast("bigint").cast("string")
+    sign = F.when(v < 0, "-").otherwise("")
+    text = F.concat(sign, whole, F.lit("."), F.lpad((units % 10**digits).cast("string"), digits, "0"))
+    return F.when(v.isNotNull(), F.when(large | tie, text).otherwise(F.format_string(f"%.{digits}f", v)))
 
 
 def round_even(x: Column) -> Column:
