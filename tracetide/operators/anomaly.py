@@ -7,15 +7,22 @@ table. Neither the rows nor the model pass through the driver.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.naming import PROFILES, duration_group
+from ..session import pin
 from .conditions import valid_runs
 
+# executors need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # The features of a run, in order.
 FEATURES = (
     "log_bytes", "log_pkts", "log_mean_bps", "log_peak_mbps",
@@ -25,6 +32,8 @@ FEATURES = (
 TREES = 500
 SAMPLE = 256
 EPSILON = 1e-12
+TREE_BLOCK = 25  # trees built by one call
+SLICE_ROWS = 20_000  # rows scored by one call
 
 NODE_SCHEMA = (
     "model string, seed int, tree int, node int, feature int, cut double, lo int, hi int, path double"
@@ -151,47 +160,50 @@ def iforest_fit(
         F.explode(F.array(*[F.lit(int(s)) for s in seeds])).alias("seed"),
     ).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     order = F.xxhash64("_key", "tree", "seed")
-    groups = ["model", "seed", "tree"]
-    picked = spread.withColumn("_rn", F.row_number().over(W.partitionBy(*groups).orderBy(order, "_key"))).where(
-        F.col("_rn") <= sample
+    one_tree = W.partitionBy("model", "seed", "tree").orderBy(order, "_key")
+    picked = (
+        spread.withColumn("_rn", F.row_number().over(one_tree))
+        .where(F.col("_rn") <= sample)
+        .withColumn("_block", F.floor(F.col("tree") / TREE_BLOCK))
     )
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_rn")
-        model, seed, tree = pdf["model"].iloc[0], int(pdf["seed"].iloc[0]), int(pdf["tree"].iloc[0])
-        rng = np.random.default_rng([seed, tree])
-        out = pd.DataFrame(
-            _grow(pdf[feats].to_numpy(float), rng), columns=["node", "feature", "cut", "lo", "hi", "path"]
-        )
-        out.insert(0, "tree", tree)
-        out.insert(0, "seed", seed)
-        out.insert(0, "model", model)
-        # every node carries the tree's sample size through its root path unit
-        out["path"] = out["path"] / max(average_path(len(pdf)), 1e-300) if len(pdf) > 1 else 0.0
-        return out
-
-    return picked.groupBy(*groups).applyInPandas(build, NODE_SCHEMA)
-
-
-def _walk(x: np.ndarray, nodes: pd.DataFrame) -> np.ndarray:
+        pdf = pdf.sort_values(["tree", "_rn"])
+        model, seed = pdf["model"].iloc[0], int(pdf["seed"].iloc[0])
+        x, tree = pdf[feats].to_numpy(float), pdf["tree"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, tree[1:] != tree[:-1]])
+        out = []
+        for lo, hi in zip(starts, np.r_[starts[1:], len(tree)]):
+            rng = np.random.default_rng([seed, int(tree[lo])])
+            unit = average_path(hi - lo) or 1.0
+            out += [(model, seed, int(tree[lo]), *node[:-1], node[-1] / unit) for node in _grow(x[lo:hi], rng)]
+        return pd.DataFrame(out, columns=["model", "seed", "tree", "node", "feature", "cut", "lo", "hi", "path"])
+
+    return picked.groupBy("model", "seed", "_block").applyInPandas(build, NODE_SCHEMA)
+
+
+def _walk(x: np.ndarray, nodes: pd.DataFrame, batch: int = 2000) -> np.ndarray:
     """Mean normalised path of every row over the trees of one forest."""
-    total = np.zeros(len(x))
-    count = 0
-    for _, t in nodes.groupby("tree", sort=True):
-        t = t.sort_values("node")
-        feature, cut = t["feature"].to_numpy(), t["cut"].to_numpy()
-        lo, hi, path = t["lo"].to_numpy(), t["hi"].to_numpy(), t["path"].to_numpy()
-        at = np.zeros(len(x), dtype=int)
-        active = feature[at] >= 0
-        while active.any():
-            rows = np.flatnonzero(active)
-            f = feature[at[rows]]
-            go_low = x[rows, f] <= cut[at[rows]]
-            at[rows] = np.where(go_low, lo[at[rows]], hi[at[rows]])
-            active[rows] = feature[at[rows]] >= 0
-        total += path[at]
-        count += 1
-    return total / max(count, 1)
+    nodes = nodes.sort_values(["tree", "node"])
+    tree = nodes["tree"].to_numpy()
+    starts = np.flatnonzero(np.r_[True, tree[1:] != tree[:-1]])
+    offset = np.repeat(starts, np.diff(np.r_[starts, len(tree)]))
+    feature, cut, path = (nodes[c].to_numpy() for c in ("feature", "cut", "path"))
+    lo, hi = nodes["lo"].to_numpy() + offset, nodes["hi"].to_numpy() + offset
+    means = []
+    for first in range(0, len(x), batch):
+        part = x[first : first + batch]
+        at = np.tile(starts, (len(part), 1))
+        rows, trees = np.nonzero(feature[at] >= 0)
+        while len(rows):
+            here = at[rows, trees]
+            below = part[rows, feature[here]] <= cut[here]
+            here = np.where(below, lo[here], hi[here])
+            at[rows, trees] = here
+            more = feature[here] >= 0
+            rows, trees = rows[more], trees[more]
+        means.append(path[at].mean(axis=1))
+    return np.concatenate(means)
 
 
 def iforest_score(rows: DataFrame, nodes: DataFrame, features=FEATURES, key: str = "filename", slices: int | None = None) -> DataFrame:
@@ -207,20 +219,19 @@ def iforest_score(rows: DataFrame, nodes: DataFrame, features=FEATURES, key: str
         "_slice", F.pmod(F.xxhash64(key), F.lit(slices)).cast("int")
     )
     copies = nodes.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    names = ["model", "seed", key, "profile", "score"]
     schema = f"model string, seed int, {key} string, profile string, score double"
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=names)
         parts = []
-        if left.empty:
-            return pd.DataFrame(columns=["model", "seed", key, "profile", "score"])
         x = left[feats].to_numpy(float)
         for seed, forest in right.groupby("seed", sort=True):
             part = left[["model", key, "profile"]].copy()
             part.insert(1, "seed", int(seed))
             part["score"] = -np.power(2.0, -_walk(x, forest))
             parts.append(part)
-        if not parts:
-            return pd.DataFrame(columns=["model", "seed", key, "profile", "score"])
         return pd.concat(parts)
 
     return keyed.groupBy("model", "_slice").cogroup(copies.groupBy("model", "_slice")).applyInPandas(score, schema)
@@ -250,13 +261,15 @@ def score_baselines(
     features: DataFrame, seeds=(0,), trees: int = TREES, mode: str = "min_train", q: float = 0.05
 ) -> DataFrame:
     """Every run under both baselines: score, threshold and flag, for each seed."""
-    known = features.where(F.col("profile").isin(*PROFILES))
+    # features, scales, nodes and scores are small and read by several branches
+    known = pin(features.where(F.col("profile").isin(*PROFILES)))
     train = training_sets(known)
-    scales = scale_table(train)
-    nodes = iforest_fit(robust_scale(train, scales), seeds=seeds, trees=trees)
+    scales = pin(scale_table(train))
+    nodes = pin(iforest_fit(robust_scale(train, scales), seeds=seeds, trees=trees))
     # two fixed models: every run is scored under both
     both = known.withColumn("model", F.explode(F.array(F.lit("regular_only"), F.lit("mixed"))))
-    scored = iforest_score(robust_scale(both, scales), nodes)
+    slices = 1 + known.count() // SLICE_ROWS
+    scored = pin(iforest_score(robust_scale(both, scales), nodes, slices=slices))
     trained = scored.where((F.col("model") == "mixed") | (F.col("profile") == "regular"))
     thr = score_threshold(trained, ["model", "seed"], mode=mode, q=q)
     return scored.join(thr, ["model", "seed"]).withColumn("flagged", F.col("score") < F.col("threshold"))

@@ -90,20 +90,17 @@ def matrix_coverage(captures: DataFrame, runs: int = 5) -> DataFrame:
         "profile", "duration", F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run_idx"), F.lit(1).alias("want")
     )
     named = with_capture_name(captures).withColumn("duration", duration_group(F.col("duration_label")))
-    key = F.col("profile").isNotNull() & F.col("duration").isNotNull() & F.col("run_idx").isNotNull()
-    have = named.where(key).groupBy("profile", "duration", "run_idx").agg(
+    # names that do not parse have null keys: they match no cell and stay apart
+    odd = F.when(F.col("profile").isNull() | F.col("run_idx").isNull(), F.col("filename"))
+    have = named.groupBy("profile", "duration", "run_idx", odd.alias("_odd")).agg(
         F.count(F.lit(1)).alias("have"), F.min("filename").alias("filename")
     )
-    unparsed = named.where(~key).select(
-        "profile", "duration", "run_idx", F.lit(1).cast("bigint").alias("have"), "filename", F.lit("extra").alias("status")
-    )
     status = (
         F.when(F.col("have").isNull(), "missing").when(F.col("want").isNull(), "extra").when(F.col("have") > 1, "duplicated")
     )
     both = want.join(have, ["profile", "duration", "run_idx"], "full_outer").withColumn("status", status)
-    return (
-        both.where(F.col("status").isNotNull()).drop("want").unionByName(unparsed)
-        .select("profile", "duration", "run_idx", F.coalesce("have", F.lit(0)).alias("have"), "filename", "status")
+    return both.where(F.col("status").isNotNull()).select(
+        "profile", "duration", "run_idx", F.coalesce("have", F.lit(0)).alias("have"), "filename", "status"
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import pin
 from .flows import unidir_flows
 from .ordered import attach_small, neighbours, numbered, packet_chunk, running_counts, second_chunk
 from .timing import newflow_gaps, packet_gaps
@@ -48,8 +49,8 @@ def histogram(values: DataFrame, bins: dict[str, int] = BINS) -> DataFrame:
     """
     counts = values.groupBy(*KEYS, "value").agg(F.sum("n").alias("n"))
     many = F.create_map(*[x for k, b in bins.items() for x in (F.lit(k), F.lit(b))])[F.col("metric")]
-    ends = counts.groupBy(*KEYS).agg(F.min("value").alias("lo"), F.max("value").alias("hi")).withColumn("bins", many)
-    placed = attach_small(counts, ends, KEYS)
+    ends = pin(counts.groupBy(*KEYS).agg(F.min("value").alias("lo"), F.max("value").alias("hi")).withColumn("bins", many))
+    placed = attach_small(counts, ends, KEYS, pinned=True)
     spread = F.col("hi") > F.col("lo")
     step = F.expr("(value - lo) * bins div (CASE WHEN hi > lo THEN hi - lo ELSE 1 END)")
     place = F.when(spread, F.least(step, F.col("bins") - 1)).otherwise(F.floor(F.col("bins") / 2))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..session import ensure_checkpoint_dir
+from ..session import pin
 
 PACKET_CHUNK_BITS = 18  # at most 262,144 packets of a capture per chunk
 _OCTAVE_BITS = 14
@@ -170,15 +170,17 @@ def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFr
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)
 
 
-def attach_small(big: DataFrame, small: DataFrame, on: list[str], max_rows: int = 500_000, salts: int = 32) -> DataFrame:
+def attach_small(
+    big: DataFrame, small: DataFrame, on: list[str], max_rows: int = 500_000, salts: int = 32, pinned: bool = False
+) -> DataFrame:
     """Inner join with a table that is expected to be small, say one row per capture.
 
     The small side is written once and counted. Up to ``max_rows`` it is
     broadcast; beyond that both sides are spread over ``salts`` so that a hot key
     does not end in one task.
     """
-    ensure_checkpoint_dir(big.sparkSession)
-    small = small.checkpoint()
+    if not pinned:
+        small = pin(small)
     if small.count() <= max_rows:
         return big.join(F.broadcast(small), on)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

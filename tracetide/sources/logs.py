@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.naming import duration_group
 from ..functions.numbers import lenient_int
@@ -43,7 +42,7 @@ CONN_FIELDS = {
     "orig_h": "id.orig_h", "resp_h": "id.resp_h", "service": "service",
     "orig_bytes": "orig_bytes", "resp_bytes": "resp_bytes", "duration": "duration",
 }
-SESSION_EVENT = T.StructType.fromDDL(
+SESSION_EVENT = (
     "ts double, host string, session_id string, commands array<string>, stdout_snippet string, sftp string, "
     "syslog_sent string, icmp boolean, dns boolean, http boolean, ip string, ns string, qname string, url string, "
     "ok boolean, code int, err string, err2 string"
