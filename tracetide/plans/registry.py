@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("capture_plans", "flow_plans", "series_plans", "expression_plans", "quality_plans")
+MODULES = (
+    "capture_plans", "flow_plans", "series_plans", "expression_plans", "quality_plans", "planner_plans",
+    "session_plans",
+)
 
 
 def registry() -> dict:
