@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import distributions, diversity, locality, series, timing
+from ..operators import distributions, diversity, locality, series, tcp, timing
 from ..sources.adapter import packets, packets_with_jitter, packets_with_lost_times
 from .flow_plans import UNI, UNI_Z
 from .oracle_base import with_packets
@@ -103,7 +103,20 @@ def outbound_ports(spark, sf):
     return locality.outbound_ports(p, locality.local_ip(p))
 
 
+TCP = """
+segs AS (SELECT filename, src, dst, sport, dport, tcp_seq AS s, CASE WHEN payload_len = 0 AND tcp_flags > 0 THEN 1 ELSE payload_len END AS l,
+  row_number() OVER (PARTITION BY filename, src, dst, sport, dport ORDER BY packet_no) AS pos FROM packets WHERE is_tcp),
+walk AS (SELECT filename, src, dst, sport, dport, pos, (s + l) % 4294967296 AS nxt, 0 AS re, 0 AS oo FROM segs WHERE pos = 1
+  UNION ALL SELECT g.filename, g.src, g.dst, g.sport, g.dport, g.pos, CASE WHEN l > 0 AND s = nxt THEN (s + l) % 4294967296 ELSE nxt END,
+    re + (l > 0 AND s < nxt)::INT, oo + (l > 0 AND s > nxt)::INT
+  FROM walk w JOIN segs g ON g.filename = w.filename AND g.src = w.src AND g.dst = w.dst AND g.sport = w.sport AND g.dport = w.dport AND g.pos = w.pos + 1),
+ends AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY filename, src, dst, sport, dport ORDER BY pos DESC) = 1)
+SELECT filename, coalesce(sum(re), 0)::BIGINT AS retransmissions, coalesce(sum(oo), 0)::BIGINT AS out_of_order
+FROM (SELECT DISTINCT filename FROM packets) LEFT JOIN ends USING (filename) GROUP BY 1"""
+
+
 QUERIES = {
+    "tcp_seq_quality": (lambda s, d: tcp.tcp_seq_quality(packets(s, d)), with_packets("," + TCP).replace("WITH", "WITH RECURSIVE", 1)),
     "iat_capture_order": (lambda s, d: timing.iat_capture_order(packets_with_jitter(s, d)),
                           with_packets("," + CAPTURE_GAPS.replace("{src}", "packets_j") + GAP_STATS)),
     "gap_count": (lambda s, d: timing.gap_count(packets(s, d)), with_packets(

@@ -104,11 +104,11 @@ def sink_report_json(spark, sf):
 
 def stream_window_throughput(spark, sf):
     out = live.drain(live.window_throughput(live.event_stream(spark, sf)), label="windows")
-    return out.drop("batch").withColumn("mean_bps", F.round("mean_bps", 6))
+    return out.withColumn("mean_bps", F.round("mean_bps", 6))
 
 
 def stream_flow_activity(spark, sf):
-    return live.drain(live.flow_activity(live.event_stream(spark, sf)), label="activity").drop("batch")
+    return live.drain(live.flow_activity(live.event_stream(spark, sf)), label="activity")
 
 
 QUERIES = {

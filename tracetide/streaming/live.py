@@ -65,4 +65,4 @@ def drain(stream: DataFrame, mode: str = "complete", label: str = "stream") -> D
         .option("checkpointLocation", state).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(out).drop("batch")
