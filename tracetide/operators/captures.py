@@ -82,10 +82,12 @@ def per_second_peaks(packets: DataFrame) -> DataFrame:
     secs = packets.groupBy(CAP, F.floor(F.col("ts_us") / 1_000_000).alias("sec")).agg(
         F.sum("frame_len").alias("bytes"),
         F.count(F.lit(1)).alias("pkts"),
-        F.min(F.struct("packet_no", "ts_us")).alias("head"),
-        F.max(F.struct("packet_no", "ts_us")).alias("tail"),
+        F.min("packet_no").alias("first_no"),
+        F.max("packet_no").alias("last_no"),
+        F.min_by("ts_us", "packet_no").alias("head_us"),
+        F.max_by("ts_us", "packet_no").alias("tail_us"),
     )
-    span = (F.max("tail")["ts_us"] - F.min("head")["ts_us"]) / 1e6
+    span = (F.max_by("tail_us", "last_no") - F.min_by("head_us", "first_no")) / 1e6
     return secs.groupBy(CAP).agg(
         (F.max("bytes") * 8).alias("peak_bps"),
         F.max("pkts").alias("peak_pps"),
@@ -102,10 +104,9 @@ def dst_port_counts(packets: DataFrame) -> DataFrame:
     )
 
 
-def top_dst_port(packets: DataFrame) -> DataFrame:
-    """Most frequent destination port per capture, TCP and UDP apart; ties go to the first seen."""
+def _best_ports(packets: DataFrame) -> DataFrame:
     best = F.struct("n", -F.col("first_no"))
-    top = dst_port_counts(packets).groupBy(CAP).agg(
+    return dst_port_counts(packets).groupBy(CAP).agg(
         *[
             agg
             for l4 in ("udp", "tcp")
@@ -115,8 +116,12 @@ def top_dst_port(packets: DataFrame) -> DataFrame:
             )
         ]
     )
+
+
+def top_dst_port(packets: DataFrame) -> DataFrame:
+    """Most frequent destination port per capture, TCP and UDP apart; ties go to the first seen."""
     captures = packets.select(CAP).distinct()
-    return captures.join(top, CAP, "left").fillna(0, ["top_udp_dport_pkts", "top_tcp_dport_pkts"])
+    return captures.join(_best_ports(packets), CAP, "left").fillna(0, ["top_udp_dport_pkts", "top_tcp_dport_pkts"])
 
 
 def top_ports_both_sides(packets: DataFrame, n: int = 10) -> DataFrame:
@@ -128,16 +133,16 @@ def top_ports_both_sides(packets: DataFrame, n: int = 10) -> DataFrame:
         "packet_no",
     )
     counts = ports.groupBy(CAP, "l4", "port").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("packet_no", "side")).alias("first")
+        F.count(F.lit(1)).alias("n"), F.min("packet_no").alias("first_no"), F.min_by("side", "packet_no").alias("side")
     )
-    return top_n(counts, [CAP, "l4"], [F.desc("n"), F.asc("first")], n).select(CAP, "l4", "rank", "port", "n")
+    return top_n(counts, [CAP, "l4"], [F.desc("n"), F.asc("first_no"), F.asc("side")], n).select(CAP, "l4", "rank", "port", "n")
 
 
 def packet_size_stats(packets: DataFrame, length: str = "frame_len") -> DataFrame:
     pct = exact_percentiles(packets, [CAP], length, {"median_bytes": 0.5, "p95_bytes": 0.95})
     return pct.select(
-        CAP, F.round(F.col("sum") / F.col("n"), 6).alias("mean_bytes"), "median_bytes", "p95_bytes",
-        F.col("max").alias("max_bytes"),
+        CAP, F.round(F.col("sum") / F.col("n"), 6).alias("mean_bytes"), "median_bytes",
+        F.round("p95_bytes", 6).alias("p95_bytes"), F.col("max").alias("max_bytes"),
     )
 
 
@@ -203,7 +208,7 @@ def capture_summary(packets: DataFrame, tool_log: DataFrame | None = None, folde
         base = base.join(tools, CAP)
     else:
         base = base.join(tool_log, CAP, "full_outer")
-    full = base.join(peak_mbps_1s(packets), CAP, "left").join(top_dst_port(packets), CAP, "left")
+    full = base.join(peak_mbps_1s(packets), CAP, "left").join(_best_ports(packets), CAP, "left")
     total = F.coalesce("packets_total", F.lit(0))
     counts = ["tcp_pkts", "udp_pkts", "icmp_pkts", "other_pkts", "udp443_pkts", "tcp443_pkts"]
     full = full.fillna(0, ["packets_total", "bytes_total", *counts, "top_udp_dport_pkts", "top_tcp_dport_pkts"])

@@ -82,7 +82,7 @@ def top_values(packets: DataFrame, n: int = 15) -> DataFrame:
 
 def duplicates(rows: DataFrame, keys: list[str], content: Column) -> DataFrame:
     """Rows whose content was seen before, by content hash. No cap on the hashes held."""
-    hashed = rows.select(*keys, F.sha2(content, 256).alias("_hash")).where(F.col("_hash").isNotNull())
+    hashed = rows.select(*keys, F.unhex(F.sha2(content, 256)).alias("_hash")).where(F.col("_hash").isNotNull())
     return hashed.groupBy(*keys, "_hash").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(
         F.sum("n").alias("total"), F.sum(F.col("n") - 1).alias("duplicates")
     )

@@ -126,13 +126,17 @@ def exact_percentiles(
 def neighbours(df: DataFrame, keys: list[str], order: str, value: str, chunk: Column) -> DataFrame:
     """Each value with its predecessor in the group: columns ``cur`` and ``prev``.
 
-    One shuffle on (group, chunk); pairs that straddle a chunk border come from
-    the first and last value of the chunks.
+    One shuffle on (group, chunk).
+    """
+    cut = df.select(*keys, F.col(order).alias("_order"), F.col(value).alias("cur"), chunk.alias("_chunk"))
+    return stitched(cut.repartition(*keys, "_chunk"), keys)
+
+
+def stitched(cut: DataFrame, keys: list[str]) -> DataFrame:
+    """Neighbour pairs of rows already placed by (group, chunk): columns _order, cur, _chunk.
+
+    Pairs that straddle a chunk border come from the first and last value of the chunks.
     """
-    cut = (
-        df.select(*keys, F.col(order).alias("_order"), F.col(value).alias("cur"), chunk.alias("_chunk"))
-        .repartition(*keys, "_chunk")
-    )
     inside = (
         cut.withColumn("prev", F.lag("cur").over(W.partitionBy(*keys, "_chunk").orderBy("_order")))
         .where(F.col("prev").isNotNull())
@@ -153,12 +157,14 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], chunk: Column, up
     """Add the 1-based position ``pos`` in the group; chunks beyond ``up_to`` are not sorted."""
     cut = df.withColumn("_chunk", chunk)
     totals = _chunk_totals(cut.withColumn("n", F.lit(1)), keys).drop("_in_chunk", "_total")
-    if up_to is not None:
-        totals = totals.where(F.col("_before") < up_to)
     w = W.partitionBy(*keys, "_chunk").orderBy(*order)
-    out = cut.join(totals, [*keys, "_chunk"]).withColumn("pos", F.col("_before") + F.row_number().over(w))
-    if up_to is not None:
-        out = out.where(F.col("pos") <= up_to)
+    pos = F.col("_before") + F.row_number().over(w)
+    if up_to is None:
+        out = cut.join(totals, [*keys, "_chunk"]).withColumn("pos", pos)
+    else:
+        # few chunks are left per group, so the rows are filtered before any shuffle
+        head = attach_small(cut, totals.where(F.col("_before") < up_to), [*keys, "_chunk"])
+        out = head.withColumn("pos", pos).where(F.col("pos") <= up_to)
     return out.drop("_chunk", "_before")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flows import unidir_flows
-from .ordered import exact_percentiles, neighbours, packet_chunk, second_chunk, value_counts
+from .ordered import exact_percentiles, neighbours, packet_chunk, second_chunk, stitched
 
 CAP = "filename"
 
@@ -44,10 +44,12 @@ def sorted_gaps(rows: DataFrame, time: str) -> DataFrame:
     """Gaps between time-sorted rows as (capture, gap_us, n).
 
     Equal times are counted first: they give gaps of zero, and only the distinct
-    times need an order.
+    times need an order. Rows are placed once by capture and second; counting and
+    ordering both work inside that placement.
     """
-    times = value_counts(rows, [CAP], time)
-    pairs = neighbours(times, [CAP], time, time, second_chunk(F.col(time)))
+    placed = rows.select(CAP, F.col(time).alias("cur"), second_chunk(F.col(time)).alias("_chunk")).repartition(CAP, "_chunk")
+    times = placed.groupBy(CAP, "_chunk", "cur").agg(F.count(F.lit(1)).alias("n"))
+    pairs = stitched(times.withColumn("_order", F.col("cur")), [CAP])
     steps = pairs.select(CAP, (F.col("cur") - F.col("prev")).alias("gap_us"), F.lit(1).cast("bigint").alias("n"))
     ties = times.where(F.col("n") > 1).select(CAP, F.lit(0).cast("bigint").alias("gap_us"), (F.col("n") - 1).alias("n"))
     return steps.unionByName(ties)

@@ -179,7 +179,7 @@ QUERIES = {
         "SELECT * FROM z WHERE rank <= 10")),
     "packet_size_stats": (lambda s, d: cap.packet_size_stats(packets(s, d)), with_packets(
         "SELECT filename, round(avg(frame_len), 6) AS mean_bytes, quantile_cont(frame_len, 0.5) AS median_bytes, "
-        "quantile_cont(frame_len, 0.95) AS p95_bytes, max(frame_len) AS max_bytes FROM packets GROUP BY 1")),
+        "round(quantile_cont(frame_len, 0.95), 6) AS p95_bytes, max(frame_len) AS max_bytes FROM packets GROUP BY 1")),
     "capture_span": (lambda s, d: cap.capture_span(packets_with_lost_times(s, d)), with_packets(
         "SELECT filename, arg_min(ts_us, packet_no) AS start_us, arg_max(ts_us, packet_no) AS end_us, "
         "(arg_max(ts_us, packet_no) - arg_min(ts_us, packet_no)) / 1e6 AS duration_s, min(ts_us) FILTER (WHERE ts_us > 0) AS min_nonzero_us, "
