@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from ..functions.naming import PROFILES, duration_group
 from ..session import pin
 from .conditions import valid_runs
+from .ordered import exact_percentiles
 
 # executors need not have this package installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -240,15 +241,12 @@ def iforest_score(rows: DataFrame, nodes: DataFrame, features=FEATURES, key: str
 def score_threshold(scores: DataFrame, keys: list[str], score: str = "score", mode: str = "min_train", q: float = 0.05) -> DataFrame:
     """Threshold per group from the training scores: just below the smallest, or a quantile.
 
-    Input: one row per training run and model.
     """
     if mode == "min_train":
-        thr = F.min(score) - F.lit(EPSILON)
-    elif mode == "quantile":
-        thr = F.percentile(score, q)
-    else:
-        raise ValueError(f"unknown threshold mode: {mode}")
-    return scores.groupBy(*keys).agg(thr.alias("threshold"))
+        return scores.groupBy(*keys).agg((F.min(score) - F.lit(EPSILON)).alias("threshold"))
+    if mode == "quantile":
+        return exact_percentiles(scores, keys, score, {"threshold": q}).select(*keys, "threshold")
+    raise ValueError(f"unknown threshold mode: {mode}")
 
 
 def flagged_rate(scores: DataFrame, thresholds: DataFrame, on: list[str], by: list[str], score: str = "score") -> DataFrame:

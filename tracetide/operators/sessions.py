@@ -14,7 +14,7 @@ def status(ok: Column, errors: Column) -> Column:
     return F.when(ok & (errors == 0), "OK").when(ok, "WARN").otherwise("FAIL")
 
 
-def session_status(results: DataFrame) -> DataFrame:
+def session_status(results: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One report row per session result (nested ``errors`` and ``precheck``)."""
     n = F.greatest(F.size(F.coalesce("errors", F.array())), F.lit(0))
     banner = F.coalesce("precheck.banner", F.lit(""))
@@ -25,6 +25,7 @@ def session_status(results: DataFrame) -> DataFrame:
         n.alias("errs"),
         F.col("precheck.state").alias("precheck_state"),
         snippet(banner, 60).alias("banner"),
+        *keep,
     )
 
 
@@ -69,12 +70,11 @@ def conn_summary(conns: DataFrame) -> DataFrame:
         F.round(F.avg("dur"), 9).alias("avg_conn_duration_s"),
     )
     med = exact_percentiles(rows, [], "dur", {"median_conn_duration_s": 0.5}).select("median_conn_duration_s")
-    # four one-row tables side by side
-    one = F.lit(1).alias("_one")
-    out = totals.select("*", one)
+    # four one-row tables with different columns become one row
+    stacked = totals
     for part in (distinct("server"), distinct("client"), med):
-        out = out.join(part.select("*", one), "_one", "left")
-    return out.drop("_one")
+        stacked = stacked.unionByName(part, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
 
 
 def conn_top(conns: DataFrame, n: int = 10) -> DataFrame:

@@ -45,11 +45,7 @@ def session_status(spark, sf):
 
 
 def host_rollup(spark, sf):
-    return sessions.host_rollup(_with_ts(results(spark, sf)))
-
-
-def _with_ts(res: DataFrame) -> DataFrame:
-    return sessions.session_status(res).join(res.select("session_id", "ts"), "session_id")
+    return sessions.host_rollup(sessions.session_status(results(spark, sf), keep=("ts",)))
 
 
 def log_events(spark, sf) -> DataFrame:

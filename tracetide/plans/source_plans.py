@@ -77,7 +77,6 @@ def scan_captures(spark, sf):
 
 
 def _summary(spark, sf):
-    """The summary without its always empty texts, which a text table reads back as null."""
     return capture_summary(packets(spark, sf))
 
 
