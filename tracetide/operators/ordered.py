@@ -177,9 +177,10 @@ def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFr
 
 
 def attach_small(
-    big: DataFrame, small: DataFrame, on: list[str], max_rows: int = 500_000, salts: int = 32, pinned: bool = False
+    big: DataFrame, small: DataFrame, on: list[str], max_rows: int = 500_000, salts: int = 32, pinned: bool = False,
+    how: str = "inner",
 ) -> DataFrame:
-    """Inner join with a table that is expected to be small, say one row per capture.
+    """Inner or left join with a table that is expected to be small, say one row per capture.
 
     The small side is written once and counted. Up to ``max_rows`` it is
     broadcast; beyond that both sides are spread over ``salts`` so that a hot key
@@ -188,7 +189,7 @@ def attach_small(
     if not pinned:
         small = pin(small)
     if small.count() <= max_rows:
-        return big.join(F.broadcast(small), on)
+        return big.join(F.broadcast(small), on, how)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     spread = F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")
-    return big.withColumn("_salt", spread).join(salted, [*on, "_salt"]).drop("_salt")
+    return big.withColumn("_salt", spread).join(salted, [*on, "_salt"], how).drop("_salt")

@@ -1,14 +1,14 @@
 """TCP sequence quality of directional flows.
 
 The expected next sequence number of a flow moves only when a segment matches it
-exactly, so the packets of a flow depend on each other in order. A flow may be
-larger than a task, and it is cut into chunks of packet numbers:
-
-* inside a chunk the rule is a fold over at most ``2**bits`` packets;
-* for flows of several chunks each chunk is first turned into a table "expected
-  number on entry -> expected number on exit". Chunks that do not hold the number
-  leave it alone, so the chunks a flow really passes through form a linked chain,
-  which is followed by pointer doubling (a logarithmic number of joins);
+exactly, so the packets of a flow depend on each other in order. A flow of at most
+``2**bits`` packets is one fold. A longer one is cut into chunks of ``2**bits``
+packet numbers:
+
+* each chunk is first turned into a table "expected number on entry -> expected
+  number on exit". Chunks that do not hold the number leave it alone, so the
+  chunks a flow really passes through form a linked chain, which is followed by
+  pointer doubling (a logarithmic number of joins);
 * with the number on entry known, every chunk folds on its own.
 """
 
@@ -32,6 +32,7 @@ CAP = "filename"
 FLOW = [CAP, "src", "dst", "sport", "dport"]
 WRAP = 1 << 32
 _START = -1  # entry value of a flow's first chunk
+_WHOLE = -1  # chunk of a flow that is not cut
 
 
 def segments(packets: DataFrame, bits: int = PACKET_CHUNK_BITS) -> DataFrame:
@@ -63,7 +64,7 @@ def _fold(rows: Column, entry: Column) -> Column:
 
 
 def _chunk_counts(seg: DataFrame, entry: str | None) -> DataFrame:
-    """Fold every (flow, chunk): one shuffle, at most ``2**bits`` packets per group."""
+    """Fold every (flow, chunk): at most ``2**bits`` packets per group."""
     first = F.lit(None).cast("bigint") if entry is None else F.max(entry)
     grouped = seg.groupBy(*FLOW, "chunk").agg(
         F.array_sort(F.collect_list(F.struct("packet_no", "seq", "len"))).alias("rows"), first.alias("entry")
@@ -126,12 +127,15 @@ def _visited(steps: DataFrame) -> DataFrame:
 def flow_quality(packets: DataFrame, bits: int = PACKET_CHUNK_BITS) -> DataFrame:
     """Packets, retransmissions and out-of-order segments of each directional flow."""
     seg = segments(packets, bits)
-    spans = seg.groupBy(*FLOW).agg(F.min("chunk").alias("first_chunk"), F.max("chunk").alias("last_chunk"))
-    long_flows = pin(spans.where(F.col("last_chunk") > F.col("first_chunk")))
+    sizes = seg.groupBy(*FLOW).agg(F.min("chunk").alias("first_chunk"), F.count(F.lit(1)).alias("size"))
+    long_flows = pin(sizes.where(F.col("size") > (1 << bits)).drop("size"))
     if long_flows.isEmpty():
-        counts = _chunk_counts(seg, None)
+        counts = _chunk_counts(seg.withColumn("chunk", F.lit(_WHOLE).cast("bigint")), None)
     else:
-        long = attach_small(seg, long_flows, FLOW, pinned=True)
+        seg = attach_small(seg, long_flows, FLOW, pinned=True, how="left").withColumn(
+            "chunk", F.when(F.col("first_chunk").isNotNull(), F.col("chunk")).otherwise(_WHOLE)
+        )
+        long = seg.where(F.col("first_chunk").isNotNull())
         steps = pin(_transitions(long))
         chunks = long.select(*FLOW, "chunk").distinct()
         known = _visited(steps).groupBy(*FLOW, "chunk").agg(F.max("exit").alias("exit"))
@@ -139,7 +143,7 @@ def flow_quality(packets: DataFrame, bits: int = PACKET_CHUNK_BITS) -> DataFrame
         entries = chunks.join(known, [*FLOW, "chunk"], "left").select(
             *FLOW, "chunk", F.last("exit", ignorenulls=True).over(before).alias("entry")
         )
-        # chunks without an entry number, flows of one chunk among them, start fresh
+        # first chunks and short flows have no entry number and start fresh
         later = pin(entries.where(F.col("entry").isNotNull()))
         counts = _chunk_counts(seg.join(later, [*FLOW, "chunk"], "left"), "entry")
     return counts.groupBy(*FLOW).agg(
