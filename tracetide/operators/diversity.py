@@ -40,21 +40,51 @@ def domain_diversity(packets: DataFrame) -> DataFrame:
     )
 
 
-def counter_rows(packets: DataFrame) -> DataFrame:
-    """Long form of all counted dimensions: capture, dim, value, packet_no."""
+# columns whose combinations are counted before the dimensions are taken apart
+_RAW = ["eth_type", "ip_version", "proto_num", "is_tcp", "is_udp", "src", "dst", "sport", "dport", "tcp_flags", "icmp_type", "dns_qname"]
+
+
+def packet_kinds(packets: DataFrame) -> DataFrame:
+    """Distinct packet descriptions of a capture with their count and first packet number.
+
+    Payloads are read here and dropped: what follows works on descriptions, far
+    fewer than packets.
+    """
+    app = net.app_protocol(F.col("is_udp"), F.col("sport"), F.col("dport"), F.col("payload"))
+    known = packets.select(
+        CAP, "packet_no", *_RAW, "payload",
+        F.when(F.col("src").isNotNull() & F.col("dst").isNotNull(), app).alias("app"),
+    )
+    read = known.withColumn(
+        "text", F.when(F.col("app").startswith("HTTP") & F.col("payload").isNotNull(), net.payload_text(F.col("payload")))
+    )
+    derived = read.select(
+        CAP, "packet_no", *_RAW, "app",
+        net.http_method(F.col("text")).alias("http_method"), net.http_host(F.col("text")).alias("http_host"),
+        F.when(F.col("app").startswith("QUIC"), net.quic_form(F.col("payload"))).alias("quic_form"),
+    )
+    return derived.groupBy(CAP, *_RAW, "app", "http_method", "http_host", "quic_form").agg(
+        F.count(F.lit(1)).alias("n"), F.min("packet_no").alias("first_no")
+    )
+
+
+def counter_rows(kinds: DataFrame) -> DataFrame:
+    """Long form of all counted dimensions: capture, dim, value, n, first_no."""
     ip = F.col("src").isNotNull() & F.col("dst").isNotNull()
     tcp = ip & F.col("is_tcp") & F.col("sport").isNotNull()
     udp = ip & ~F.col("is_tcp") & F.col("is_udp") & F.col("sport").isNotNull()
-    app = F.when(ip, net.app_protocol(F.col("is_udp"), F.col("sport"), F.col("dport"), F.col("payload")))
-    text = F.when(app.startswith("HTTP") & F.col("payload").isNotNull(), net.payload_text(F.col("payload")))
+
+    def some(text: Column) -> Column:
+        return F.nullif(text, F.lit(""))
+
     dims = {
         "eth_type": F.col("eth_type"),
         "ip_version": F.col("ip_version"),
         "ip_protocol": net.proto_name(F.col("ip_version"), F.col("proto_num")),
-        "app_protocol": app,
-        "http_method": net.http_method(text),
-        "http_host": net.http_host(text),
-        "quic_form": F.when(app.startswith("QUIC"), net.quic_form(F.col("payload"))),
+        "app_protocol": F.col("app"),
+        "http_method": some(F.col("http_method")),
+        "http_host": some(F.col("http_host")),
+        "quic_form": F.col("quic_form"),
         "src_ip": F.when(ip, F.col("src")),
         "dst_ip": F.when(ip, F.col("dst")),
         "ip_pair": F.when(ip, F.concat("src", F.lit("->"), "dst")),
@@ -63,19 +93,18 @@ def counter_rows(packets: DataFrame) -> DataFrame:
         "udp_src_port": F.when(udp, F.col("sport")),
         "udp_dst_port": F.when(udp, F.col("dport")),
         "tcp_flags": F.when(tcp, net.tcp_flag_label(F.col("tcp_flags"))),
-        "dns_query": net.dns_name(F.col("dns_qname")),
-        "icmp_type": F.col("icmp_type"),
+        "dns_query": F.when(ip, some(net.dns_name(F.col("dns_qname")))),
+        "icmp_type": F.when(ip, F.col("icmp_type")),
     }
     pairs = F.array(*[F.struct(F.lit(d).alias("dim"), c.cast("string").alias("value")) for d, c in dims.items()])
-    return packets.select(CAP, "packet_no", F.explode(pairs).alias("_p")).select(
-        CAP, "packet_no", "_p.dim", "_p.value"
-    ).where(F.col("value").isNotNull() & ~(F.col("dim").isin("http_method", "http_host", "dns_query") & (F.col("value") == "")))
+    long = kinds.select(CAP, "n", "first_no", F.explode(pairs).alias("_p"))
+    return long.select(CAP, "_p.dim", "_p.value", "n", "first_no").where(F.col("value").isNotNull())
 
 
 def top_values(packets: DataFrame, n: int = 15) -> DataFrame:
     """Most frequent values of every dimension; ties go to the value seen first."""
-    counts = counter_rows(packets).groupBy(CAP, "dim", "value").agg(
-        F.count(F.lit(1)).alias("n"), F.min("packet_no").alias("first_no")
+    counts = counter_rows(packet_kinds(packets)).groupBy(CAP, "dim", "value").agg(
+        F.sum("n").alias("n"), F.min("first_no").alias("first_no")
     )
     return top_n(counts, [CAP, "dim"], [F.desc("n"), F.asc("first_no")], n).select(CAP, "dim", "rank", "value", "n")
 
