@@ -49,19 +49,21 @@ def test_manifest(spark):
     assert got == {"a": ("", True, True), "b": ("snapshot_id", False, False)}
 
 
-def clean(text):
-    import re
-
-    text = re.sub(r"^```(?:json)?\s*|\s*```$", "", text.strip(), flags=re.IGNORECASE)
-    if "{" in text and "}" in text:
-        text = text[text.find("{"): text.rfind("}") + 1]
-    return re.sub(r",\s*([}\]])", r"\1", text).strip()
-
-
 def test_cleaning(spark):
-    raws = ['```JSON\n{"a": 1,}\n```', 'x {"a": [1, 2, ], } y', "} {", "none", "", "  {", "{{}}", '{"ñ": "…"} é', "``` {} ```"]
-    got = [r[0] for r in spark.createDataFrame([(r,) for r in raws], "raw string").select(pa.clean_output(F.col("raw"))).collect()]
-    assert got == [clean(r) for r in raws]
+    cases = {
+        '```JSON\n{"a": 1,}\n```': '{"a": 1}',
+        'x {"a": [1, 2, ], } y': '{"a": [1, 2]}',
+        "} {": "",  # the last closing brace stands before the first opening one
+        "none": "none",
+        "": "",
+        "  {": "{",
+        "{{}}": "{{}}",
+        '{"ñ": "…"} é': '{"ñ": "…"}',
+        "``` {} ```": "{}",
+    }
+    df = spark.createDataFrame([(r,) for r in cases], "raw string")
+    got = {r[0]: r[1] for r in df.select("raw", pa.clean_output(F.col("raw"))).collect()}
+    assert got == cases
 
 
 def test_repair(spark):

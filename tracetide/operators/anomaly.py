@@ -210,12 +210,12 @@ def _walk(x: np.ndarray, nodes: pd.DataFrame, batch: int = 2000) -> np.ndarray:
 def iforest_score(rows: DataFrame, nodes: DataFrame, features=FEATURES, key: str = "filename", slices: int | None = None) -> DataFrame:
     """Score -2^(-mean path) of each row under each model and seed; higher is more normal.
 
-    Rows are cut into slices by hash and each slice meets its own copy of the node
-    table, which has at most trees * (2 * sample - 1) rows per model and seed.
+    Rows are cut into slices of about ``SLICE_ROWS`` by hash, counted first unless
+    ``slices`` is given. Each slice meets its own copy of the node table, which has at most trees * (2 * sample - 1) rows per model and seed.
     """
     feats = list(features)
     if slices is None:
-        slices = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        slices = 1 + rows.count() // SLICE_ROWS
     keyed = rows.select("model", F.col(key).cast("string").alias(key), "profile", *feats).withColumn(
         "_slice", F.pmod(F.xxhash64(key), F.lit(slices)).cast("int")
     )
@@ -266,8 +266,7 @@ def score_baselines(
     nodes = pin(iforest_fit(robust_scale(train, scales), seeds=seeds, trees=trees))
     # two fixed models: every run is scored under both
     both = known.withColumn("model", F.explode(F.array(F.lit("regular_only"), F.lit("mixed"))))
-    slices = 1 + known.count() // SLICE_ROWS
-    scored = pin(iforest_score(robust_scale(both, scales), nodes, slices=slices))
+    scored = pin(iforest_score(robust_scale(both, scales), nodes, slices=1 + known.count() // SLICE_ROWS))
     trained = scored.where((F.col("model") == "mixed") | (F.col("profile") == "regular"))
     thr = score_threshold(trained, ["model", "seed"], mode=mode, q=q)
     return scored.join(thr, ["model", "seed"]).withColumn("flagged", F.col("score") < F.col("threshold"))
