@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +60,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text_at: int, limit: int = 1 << 20
     A single longer text makes a slice of its own. Empty batches vanish.
     """
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(text_at)).fill_null(0).to_pylist()
+        sizes = pc.binary_length(batch.column(text_at)).fill_null(0).to_pylist()
         begin = total = 0
         for row, size in enumerate(sizes):
             if total and total + size > limit:

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracetide.llm import quality
+from tracetide.llm import decontaminate, line_dedup, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
+    "op2_decontamination": (decontaminate.op2_decontamination, decontaminate.SQL),
     "op6_quality_rules": (quality.op6_quality_rules, quality.SQL),
+    "op7_line_dedup": (line_dedup.op7_line_dedup, line_dedup.SQL),
 }

@@ -131,14 +131,14 @@ def _cut(sketch: Column, fence: Fence, reach: int) -> list[Column]:
 def thresholds(parts: DataFrame, reach: int = REACH, min_docs: int = MIN_DOCS) -> DataFrame:
     """Cutoffs of each language and source from the table of sketches; small groups use merged sketches."""
     merged = [F.sum("__n").alias("__n"), *(F.kll_merge_agg_bigint(f"__{f.name}").alias(f"__{f.name}") for f in FENCES)]
+    parts = staged(parts, "quality-sketches")
     by_lang = parts.groupBy("__lang").agg(*merged)
-    total = parts.agg(*merged)  # one row
+    total = parts.agg(*merged).first()  # one row of bounded size
     wide = parts.alias("s").join(by_lang.alias("l"), F.col("s.__lang").eqNullSafe(F.col("l.__lang")))
-    wide = wide.join(F.broadcast(total.withColumn("__one", F.lit(True))).alias("t"), F.col("t.__one"))
     pick = [
         F.when(F.col("s.__n") >= min_docs, F.col(f"s.__{f.name}"))
         .when(F.col("l.__n") >= min_docs, F.col(f"l.__{f.name}"))
-        .otherwise(F.col(f"t.__{f.name}"))
+        .otherwise(F.lit(total[f"__{f.name}"]))
         .alias(f"__{f.name}")
         for f in FENCES
     ]
