@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracetide.llm import decontaminate, line_dedup, quality
+from tracetide.llm import decontaminate, language, line_dedup, ngram_join, packing, quality, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
+    "op1_ngram_jaccard_join": (ngram_join.op1_ngram_jaccard_join, None),
     "op2_decontamination": (decontaminate.op2_decontamination, decontaminate.SQL),
+    "op3_language_id": (language.op3_language_id, None),
+    "op4_token_files": (token_files.op4_token_files, None),
     "op6_quality_rules": (quality.op6_quality_rules, quality.SQL),
     "op7_line_dedup": (line_dedup.op7_line_dedup, line_dedup.SQL),
+    "op9_toxicity": (toxicity.op9_toxicity, None),
+    "op10_packing": (packing.op10_packing, None),
 }
