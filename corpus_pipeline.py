@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracetide.llm import quality
+from tracetide.llm import decontaminate, line_dedup, ngram_join, packing, quality
+from tracetide.llm.common import staged
 
 #: (name, function): each takes (spark, docs, sf_dir) and returns the next stage's documents; the last packs them.
 STAGES = [
     ("quality_rules", quality.stage),
+    ("line_dedup", line_dedup.stage),
+    ("ngram_jaccard_join", ngram_join.stage),
+    ("decontamination", decontaminate.stage),
+    ("packing", packing.stage),
 ]
 
 #: Token packing has no SQL form; tests/llm compares every stage with a brute-force version.
@@ -16,8 +21,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
+    """All stages over the documents table, each written to the shared folder and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), "pipeline")
+    return STAGES[-1][1](spark, docs, sf_dir)

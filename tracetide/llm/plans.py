@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracetide.llm import decontaminate, language, line_dedup, ngram_join, packing, quality, token_files, toxicity
+from tracetide.llm import (
+    decontaminate,
+    html_extract,
+    language,
+    licenses,
+    line_dedup,
+    ngram_join,
+    packing,
+    quality,
+    token_files,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,8 +26,10 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op2_decontamination": (decontaminate.op2_decontamination, decontaminate.SQL),
     "op3_language_id": (language.op3_language_id, None),
     "op4_token_files": (token_files.op4_token_files, None),
+    "op5_html_extraction": (html_extract.op5_html_extraction, None),
     "op6_quality_rules": (quality.op6_quality_rules, quality.SQL),
     "op7_line_dedup": (line_dedup.op7_line_dedup, line_dedup.SQL),
+    "op8_license_scan": (licenses.op8_license_scan, licenses.SQL),
     "op9_toxicity": (toxicity.op9_toxicity, None),
     "op10_packing": (packing.op10_packing, None),
 }
