@@ -1,5 +1,6 @@
 """Row-level functions on edge values."""
 
+import ipaddress
 import random
 
 import pytest
@@ -48,6 +49,24 @@ def test_capture_names(spark, name, want):
     assert (r["profile"], r["duration_label"], r["duration_requested_min"], r["run_idx"]) == want
 
 
+def test_private_ipv6_addresses(spark):
+    ips = [
+        "::ffff:8.8.8.8", "::ffff:10.0.0.1", "::ffff:192.0.0.9", "0:0:0:0:0:0:0:1", "::", "fe80:1:2", "fe80:::::", "fe80::1%eth0", "2001:1::1", "2001:1::3",
+        "2001:20::5", "2001:4:112::1", "2001:db8::1", "2606:4700::1111", "fd00::1", "febf::1", "fec0::1", "64:ff9b:1::1", "64:ff9b::1", "100::1", "100:0:0:1::1",
+        "3fff:fff::1", "3fff:1000::1", "2002::1", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "1:2:3:4:5:6:7:8:9", "::1.2.3", "::g", "12345::", "1::2::3", ":1:2:3:4:5:6:7:8",
+        "::ffff:0a00:0001", "2001:0:1::", "2001:1ff:ffff::1", "2001:200::1",
+    ]
+
+    def told(ip):
+        try:
+            return ipaddress.ip_address(ip).is_private
+        except ValueError:
+            return False
+
+    got = one(spark, "x string", [(i,) for i in ips], net.is_private_ip(F.col("x")))
+    assert dict(zip(ips, got, strict=True)) == {i: told(i) for i in ips}
+
+
 def test_private_addresses(spark):
     import ipaddress
 

@@ -99,6 +99,9 @@ def test_repair(spark):
         ('{"type":"search_google","delay":5,"term":"' + "x" * 121 + '"}', "bad_term"),
         ("[]", "not_an_object"),
         ("nope", "not_json"),
+        ('{"type":"use_twitter","delay":5} x', "not_json"),
+        ('{"type":"use_twitter","delay":5},{"type":"use_twitter","delay":5}', "not_json"),
+        ('{"type":"use_twitter","delay":5}],[1', "not_json"),
         ('{"delay":5}', "missing_type"),
     ],
 )
@@ -107,6 +110,20 @@ def test_strict_schema(spark, raw, reason):
     assert (r["valid"], r["reason"]) == (reason is None, reason)
 
 
+def test_repair_of_far_numbers_nulls_and_second_values(spark):
+    raws = [
+        '{"tipo":"usar_twitter","delay":99999999999999999999999}', '{"tipo":"usar_twitter","delay":-99999999999999999999999}',
+        '{"tipo":"buscar_google","termino":null,"delay":9}', '{"tipo":"usar_twitter","delay":9} y luego {"tipo":"abrir_url","delay":10}',
+        '{"tipo":"usar_twitter","delay":9.0}',
+    ]
+    df = spark.createDataFrame(list(enumerate(raws)), "i int, raw string").withColumn("parsed", F.col("raw"))
+    got = {r["i"]: r for r in pa.repaired(df).collect()}
+    assert [got[i]["delay"] for i in (0, 1)] == [25, 8]
+    assert got[2]["term"] is None and not got[2]["was_repaired"]
+    assert got[3]["action_type"] is None and got[4]["delay"] in pa.DELAY_DEFAULTS
+    assert spark.createDataFrame([(raws[3],)], "x string").select(pa.parsed_text(F.col("x"))).first()[0] is None
+
+
 def test_outcomes(spark):
     rows = [("p", 1, None, False), ("p", 2, "abrir_url", True), ("q", 1, None, False), ("q", 2, None, False), ("q", 3, "abrir_url", False), ("r", 1, "usar_twitter", False)]
     df = spark.createDataFrame(rows, "prompt string, attempt long, action_type string, was_repaired boolean")

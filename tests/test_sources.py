@@ -43,6 +43,31 @@ def test_export_rows(spark, tmp_path):
     assert (counts["tcp_pkts"], counts["udp_pkts"], counts["icmp_pkts"], counts["other_pkts"]) == (4, 2, 1, 1)
 
 
+@pytest.mark.parametrize("split", [128 << 20, 256])
+def test_packets_of_a_capture_in_several_files(spark, tmp_path, split):
+    """Numbers follow files, splits and lines without gaps."""
+    folder = tmp_path / "filename=capturaAgenteWeb5m1.pcapng"
+    folder.mkdir()
+    for part in range(3):
+        lines = [quoted(str(100 + 10 * part + i), "10.0.0.1", "10.0.0.2", "", "", "1", "2", "", "", "6", "", "60") for i in range(10)]
+        (folder / f"part-{part}.csv").write_text("\n".join(lines) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        rows = scan_packets(spark, str(tmp_path)).orderBy("packet_no").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [r["packet_no"] for r in rows] == list(range(30))
+    assert [r["ts_us"] for r in rows] == [(100 + i) * 1_000_000 for i in range(30)]
+
+
+def test_conn_logs_with_other_column_orders(spark, tmp_path):
+    (tmp_path / "a.log").write_text("#fields\tid.orig_h\tid.resp_h\tservice\tduration\nc\ts\tdns\t0.5\n")
+    (tmp_path / "b.log").write_text("#fields\tservice\tid.resp_h\tid.orig_h\n-\ts\tc\nhttp\ts\n")
+    rows = sorted(((r["orig_h"], r["resp_h"], r["service"], r["duration"]) for r in logs.scan_conn_log(spark, str(tmp_path)).collect()), key=repr)
+    assert rows == [("", "s", "http", None), ("c", "s", "dns", "0.5"), ("c", "s", None, None)]
+
+
 def test_captures_are_listed_without_reading(spark, tmp_path):
     for d in ("a", "b"):
         (tmp_path / d).mkdir()
@@ -70,12 +95,12 @@ def test_conn_log(spark, tmp_path, head):
     (tmp_path / "conn.log").write_text(head + "1\tc\ts\tdns\t0.5\t10\t20\n\n2\tc\ts\t-\t-\t-\t7\n3\td\ts\thttp\n#close\n")
     rows = logs.scan_conn_log(spark, str(tmp_path)).orderBy("conn_no").collect()
     assert [(r["orig_h"], r["service"], r["duration"], r["resp_bytes"]) for r in rows] == [
-        ("c", "dns", "0.5", "20"), ("c", "-", "-", "7"), ("d", "http", None, None),
+        ("c", "dns", "0.5", "20"), ("c", None, None, "7"), ("d", "http", "", ""),
     ]
     from tracetide.operators.sessions import conn_summary, conn_top
 
     s = conn_summary(logs.scan_conn_log(spark, str(tmp_path))).first()
-    assert (s["total_connections"], s["unique_servers"], s["unique_clients"], s["total_conn_bytes"], s["median_conn_duration_s"]) == (3, 1, 2, 37.0, 0.0)
+    assert (s["total_connections"], s["unique_servers"], s["unique_clients"], s["total_conn_bytes"], s["median_conn_duration_s"]) == (3, 1, 2, 37.0, 0.25)
     top = [(r["dim"], r["value"], r["n"]) for r in conn_top(logs.scan_conn_log(spark, str(tmp_path))).where("rank = 1").orderBy("dim").collect()]
     assert top == [("client", "c", 2), ("server", "s", 3), ("service", "dns", 1)]
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -146,20 +147,88 @@ PRIVATE_IPV4 = (
     r"^(?:0|10|127|24[0-9]|25[0-5])\.|^169\.254\.|^172\.(?:1[6-9]|2[0-9]|3[01])\.|^192\.168\."
     r"|^192\.0\.0\.(?!(?:9|10)$)|^192\.0\.2\.|^198\.1[89]\.|^198\.51\.100\.|^203\.0\.113\."
 )
+# The same for 128-bit addresses, as (first address, prefix length) of the blocks and of the routed parts in them.
 PRIVATE_IPV6 = (
-    r"^::1?$|^::ffff:|^f[cd][0-9a-f]{2}:|^fe[89ab][0-9a-f]:|^2001:0?db8:|^2002:|^3fff:(?:0?[0-9a-f]{0,3}):"
-    r"|^0?100::|^0?064:ff9b:0{0,3}1:|^64:ff9b:0{0,3}1:"
-    r"|^2001:(?!0*3:|0*[23][0-9a-f]:|0*4:0*112:|0*1::0*[12]$)0{0,2}(?:[01]?[0-9a-f]{1,2})?:"
+    ("00000000000000000000000000000001", 128), ("00000000000000000000000000000000", 128), ("0064ff9b000100000000000000000000", 48),
+    ("01000000000000000000000000000000", 64), ("20010000000000000000000000000000", 23), ("20010db8000000000000000000000000", 32),
+    ("20020000000000000000000000000000", 16), ("fc000000000000000000000000000000", 7),
+    ("fe800000000000000000000000000000", 10),
 )
-_IPV6_TEXT = r"^[0-9a-f:]*:[0-9a-f:.]*$"
+ROUTED_IPV6 = (
+    ("20010001000000000000000000000001", 128), ("20010001000000000000000000000002", 128), ("20010003000000000000000000000000", 32),
+    ("20010004011200000000000000000000", 48), ("20010020000000000000000000000000", 28), ("20010030000000000000000000000000", 28),
+)
+_MAPPED = "0" * 20 + "ffff"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def expanded_ipv6(ip: Column) -> Column:
+    """A 128-bit address as 32 hexadecimal digits; null for text that is none."""
+    none = F.array().cast("array<string>")
+
+    def undotted(low: Column) -> Column:
+        """A dotted end as the two groups it stands for."""
+        dotted = F.regexp_extract(low, r":([0-9.]+)$", 1)
+        tail = let(
+            F.transform(F.split(dotted, r"\."), lambda o: F.lpad(F.hex(o.try_cast("bigint")), 2, "0")),
+            lambda o: F.lower(F.concat(F.get(o, 0), F.get(o, 1), F.lit(":"), F.get(o, 2), F.get(o, 3))),
+        )
+        return F.when(~dotted.contains("."), low).when(dotted.rlike(_IPV4), F.concat(F.regexp_replace(low, r"[0-9.]+$", ""), tail))
+
+    def groups(half: Column) -> Column:
+        return F.when(half == "", none).otherwise(F.split(half, ":", -1))
+
+    def joined(halves: Column, left: Column, right: Column) -> Column:
+        told = F.size(left) + F.size(right)
+        gap = F.array_repeat(F.lit("0"), F.greatest(8 - told, F.lit(0)))
+        fits = ((F.size(halves) == 1) & (told == 8)) | ((F.size(halves) == 2) & (told <= 7))
+        return F.when(fits, F.concat(left, F.when(F.size(halves) == 2, gap).otherwise(none), right))
+
+    low = F.regexp_replace(F.lower(ip), "%[^%]+$", "")
+    whole = let(
+        F.split(let(low, undotted), "::", -1),
+        lambda halves: let(
+            groups(F.get(halves, 0)),
+            lambda left: let(groups(F.coalesce(F.get(halves, 1), F.lit(""))), lambda right: joined(halves, left, right)),
+        ),
+    )
+    return let(
+        whole,
+        lambda w: F.when(
+            F.forall(w, lambda g: g.rlike("^[0-9a-f]{1,4}$")), F.array_join(F.transform(w, lambda g: F.lpad(g, 4, "0")), "")
+        ),
+    )
+
+
+def _in_block(digits: Column, first: str, bits: int) -> Column:
+    """Whether 32 digits lie in a block: its whole digits are equal, and the next one is in range."""
+    whole, rest = divmod(bits, 4)
+    found = digits.startswith(first[:whole])
+    if rest:
+        low = int(first[whole], 16)
+        allowed = [f"{x:x}" for x in range(low, low + (1 << (4 - rest)))]
+        found = found & F.substring(digits, whole + 1, 1).isin(*allowed)
+    return found
 
 
 def is_private_ip(ip: Column) -> Column:
-    """Address outside the globally routed space; text that is no address gives false."""
-    low = F.lower(ip)
+    """Address outside the globally routed space; text that is no address gives false.
+
+    An IPv4 address written as a 128-bit one is judged as what it is.
+    """
     v4 = ip.rlike(_IPV4) & ip.rlike(PRIVATE_IPV4)
-    v6 = low.rlike(_IPV6_TEXT) & low.rlike(PRIVATE_IPV6)
-    return F.coalesce(v4 | v6, F.lit(False))
+
+    def judge(digits: Column) -> Column:
+        octets = [F.conv(F.substring(digits, k, 2), 16, 10) for k in (25, 27, 29, 31)]
+        private, routed = (reduce(lambda a, b: a | b, (_in_block(digits, *x) for x in blocks)) for blocks in (PRIVATE_IPV6, ROUTED_IPV6))
+        return F.when(digits.startswith(_MAPPED), F.concat_ws(".", *octets).rlike(PRIVATE_IPV4)).otherwise(private & ~routed)
+
+    v6 = F.when(ip.contains(":"), let(expanded_ipv6(ip), judge))
+    return F.coalesce(v4, F.lit(False)) | F.coalesce(v6, F.lit(False))
 
 
 def tcp_segment_length(payload_len: Column, flags: Column) -> Column:

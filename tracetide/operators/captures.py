@@ -39,9 +39,8 @@ def capture_totals(packets: DataFrame, supplied: DataFrame | None = None) -> Dat
     counted = packets.groupBy(CAP).agg(
         F.count("frame_len").alias("_frames"), F.sum("frame_len").alias("_bytes")
     )
-    if supplied is None:
-        supplied = counted.select(CAP, F.col("_frames").alias("frames"), F.col("_bytes").alias("bytes"))
-    both = supplied.join(counted, CAP, "full_outer")
+    none = {c: F.lit(None).cast("bigint") for c in ("frames", "bytes")}
+    both = counted.withColumns(none) if supplied is None else supplied.join(counted, CAP, "full_outer")
     told = F.col("frames").isNotNull() & F.col("bytes").isNotNull()
     seen = F.col("_frames") > 0
     return both.select(

@@ -59,8 +59,8 @@ def histogram(values: DataFrame, bins: dict[str, int] = BINS) -> DataFrame:
     return hit.unionByName(empty).groupBy(*KEYS, "bin").agg(F.sum("n").alias("n"))
 
 
-def raw_samples(packets: DataFrame, limit: int = 50_000) -> DataFrame:
-    """First ``limit`` entries of each raw list of the report, as rows with their position.
+def raw_samples(packets: DataFrame, limit: int | None = None) -> DataFrame:
+    """The raw lists of the report as rows with their position; with ``limit`` only the first entries of each.
 
     Flow lists are in first-seen order, gap lists in time order.
     """
@@ -72,7 +72,7 @@ def raw_samples(packets: DataFrame, limit: int = 50_000) -> DataFrame:
 
     def by_time(rows: DataFrame, name: str, order: str, time: str) -> DataFrame:
         # the first gap needs a second row, so one row more is kept
-        head = numbered(rows.select(CAP, order, time), [CAP], [time, order], second_chunk(F.col(time)), limit + 1)
+        head = numbered(rows.select(CAP, order, time), [CAP], [time, order], second_chunk(F.col(time)), None if limit is None else limit + 1)
         gaps = neighbours(head.withColumn("_pair", F.struct("pos", time)), [CAP], "pos", "_pair", packet_chunk(F.col("pos")))
         return gaps.select(
             CAP, F.lit(name).alias("metric"),

@@ -94,7 +94,7 @@ def counter_rows(kinds: DataFrame) -> DataFrame:
         "udp_dst_port": F.when(udp, F.col("dport")),
         "tcp_flags": F.when(tcp, net.tcp_flag_label(F.col("tcp_flags"))),
         "dns_query": F.when(ip, some(net.dns_name(F.col("dns_qname")))),
-        "icmp_type": F.when(ip, F.col("icmp_type")),
+        "icmp_type": F.when(ip & F.col("icmp_type").isNotNull(), F.when(F.col("ip_version") == "IPv6", "ICMPv6").otherwise(F.col("icmp_type").cast("string"))),
     }
     pairs = F.array(*[F.struct(F.lit(d).alias("dim"), c.cast("string").alias("value")) for d, c in dims.items()])
     long = kinds.select(CAP, "n", "first_no", F.explode(pairs).alias("_p"))

@@ -36,10 +36,22 @@ def clean_output(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(cut, r",\s*([}\]])", "$1"), r"^\s+|\s+$", "")
 
 
+def one_value(text: Column) -> Column:
+    """The JSON value that the text is as a whole, else null.
+
+    The parser stops behind the first value. Inside brackets and as a member the text
+    must be followed by the closing sign, so anything behind the value shows.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    member = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    single = F.try_variant_get(listed, "$[1]", "variant").isNull() & F.try_variant_get(listed, "$[0]", "variant").isNotNull()
+    return F.when(single & member.isNotNull(), F.try_parse_json(text))
+
+
 def parsed_text(cleaned: Column) -> Column:
     """The text when it is JSON, else with single quotes turned double, else null."""
     swapped = F.replace(cleaned, F.lit("'"), F.lit('"'))
-    return F.when(F.try_parse_json(cleaned).isNotNull(), cleaned).when(F.try_parse_json(swapped).isNotNull(), swapped)
+    return F.when(one_value(cleaned).isNotNull(), cleaned).when(one_value(swapped).isNotNull(), swapped)
 
 
 def _pick(values: tuple, seed: Column) -> Column:
@@ -61,7 +73,7 @@ def repaired(parsed: DataFrame, doc_text: str = "parsed", seed: str = "raw") ->
 
     Where the rule draws a random default, the length of the raw text picks it.
     """
-    doc = F.try_parse_json(F.col(doc_text))
+    doc = one_value(F.col(doc_text))
     base = parsed.withColumn("_doc", doc)
     d = F.col("_doc")
     is_object = F.schema_of_variant(d).startswith("OBJECT")
@@ -70,14 +82,22 @@ def repaired(parsed: DataFrame, doc_text: str = "parsed", seed: str = "raw") ->
         is_object & (_json_kind(d, "tipo") == "STRING") & first_word.isin(*RUNTIME_TYPES), first_word
     )
     # booleans are whole numbers to the rule
-    given = F.when(_json_kind(d, "delay") == "BIGINT", F.try_variant_get(d, "$.delay", "bigint")).when(
-        _json_kind(d, "delay") == "BOOLEAN", F.try_variant_get(d, "$.delay", "boolean").cast("bigint")
+    delay_kind = _json_kind(d, "delay")
+    # whole numbers beyond 64 bits come as decimals
+    far = F.try_variant_get(d, "$.delay", "double")
+    beyond = delay_kind.rlike(r"^DECIMAL\(\d+,0\)$") & (F.abs(far) >= float(1 << 63))
+    given = (
+        F.when(delay_kind == "BIGINT", F.try_variant_get(d, "$.delay", "bigint"))
+        .when(delay_kind == "BOOLEAN", F.try_variant_get(d, "$.delay", "boolean").cast("bigint"))
+        .when(beyond, F.when(far > 0, F.lit((1 << 63) - 1)).otherwise(F.lit(-(1 << 63))))
     )
     s = F.col(seed)
     delay = F.greatest(F.lit(DELAY_RANGE[0]), F.least(F.lit(DELAY_RANGE[1]), F.coalesce(given, _pick(DELAY_DEFAULTS, s))))
 
     def strip(field: str) -> Column:
-        return F.regexp_replace(F.coalesce(_json_text(d, field), F.lit("")), r"^\s+|\s+$", "")
+        # a null term counts as the text None, so it is not empty
+        told = F.when(_json_kind(d, field) == "VOID", "None").otherwise(_json_text(d, field))
+        return F.regexp_replace(F.coalesce(told, F.lit("")), r"^\s+|\s+$", "")
 
     t = F.col("action_type")
     out = base.withColumn("action_type", kind).withColumn("delay_given", given)
@@ -99,7 +119,7 @@ def repaired(parsed: DataFrame, doc_text: str = "parsed", seed: str = "raw") ->
 def strict_checks(outputs: DataFrame, text: str = "raw") -> DataFrame:
     """Validate against the published schema: flag ``valid`` and the first ``reason``."""
     d = F.col("_doc")
-    base = outputs.withColumn("_doc", F.try_parse_json(F.col(text)))
+    base = outputs.withColumn("_doc", one_value(F.col(text)))
     is_object = F.coalesce(F.schema_of_variant(d).startswith("OBJECT"), F.lit(False))
     keys = F.when(is_object, F.json_object_keys(F.col(text)))
     kind = {f: _json_kind(d, f) for f in SCHEMA_FIELDS}

@@ -120,15 +120,28 @@ def autocorr_lag1(series: DataFrame) -> DataFrame:
         F.max("own").alias("own"),
     )
     sums = met.groupBy(CAP).agg(
-        F.sum("own").cast("double").alias("n"),
-        F.sum("cur").cast("double").alias("s"),
-        F.sum((F.col("cur") * F.col("cur")).cast(wide)).cast("double").alias("q"),
-        F.sum((F.col("cur") * F.col("prev")).cast(wide)).cast("double").alias("p"),
-        F.max(F.when(F.col("i") == 0, F.col("cur"))).cast("double").alias("first"),
-        F.max(F.struct("i", "prev"))["prev"].cast("double").alias("last"),
+        F.sum("own").cast(wide).alias("n"),
+        F.sum("cur").cast(wide).alias("s"),
+        F.sum((F.col("cur") * F.col("cur")).cast(wide)).cast(wide).alias("q"),
+        F.sum((F.col("cur") * F.col("prev")).cast(wide)).cast(wide).alias("p"),
+        F.max(F.when(F.col("i") == 0, F.col("cur"))).cast(wide).alias("first"),
+        F.max(F.struct("i", "prev"))["prev"].cast(wide).alias("last"),
     )
-    mean = F.col("s") / F.col("n")
-    num = F.col("p") - mean * (2 * F.col("s") - F.col("first") - F.col("last")) + (F.col("n") - 1) * mean * mean
-    den = F.col("q") - F.col("s") * mean
-    usable = (F.col("n") >= 3) & (den > 0)
+    # numerator and denominator times n * n: all differences are taken between whole numbers;
+    # beyond 38 digits the products are doubles
+    n, s, q, p = (F.col(c) for c in ("n", "s", "q", "p"))
+    ends = F.col("first") + F.col("last")
+    real = {c: F.col(c).cast("double") for c in ("n", "s", "q", "p", "first", "last")}
+    mul, less = F.try_multiply, F.try_subtract
+    square = mul(s, s)
+    exact_num = less(mul(n, less(mul(n, p), square)), mul(s, less(s, mul(n, ends))))
+    exact_den = mul(n, less(mul(n, q), square))
+    rough_den = real["n"] * (real["n"] * real["q"] - real["s"] * real["s"])
+    rough_num = real["n"] * (real["n"] * real["p"] - real["s"] * real["s"]) - real["s"] * (
+        real["s"] - real["n"] * (real["first"] + real["last"])
+    )
+    both = exact_num.isNotNull() & exact_den.isNotNull()
+    num = F.when(both, exact_num.cast("double")).otherwise(rough_num)
+    den = F.when(both, exact_den.cast("double")).otherwise(rough_den)
+    usable = (n >= 3) & (den > 0)
     return sums.select(CAP, F.when(usable, F.round(num / den, 6)).otherwise(0.0).alias("autocorr_lag1"))

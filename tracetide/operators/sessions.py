@@ -47,7 +47,7 @@ def session_event_union(events: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def _unset(text: Column) -> Column:
-    """Connection-log number: null or ``-`` counts as 0; other text must be a number."""
+    """Connection-log number: unset (null or ``-``) counts as 0; other text, also the empty text of a padded row, must be a number."""
     return F.when(text.isNull() | (text == "-"), 0.0).otherwise(lenient_float(text))
 
 

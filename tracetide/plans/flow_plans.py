@@ -36,7 +36,7 @@ _M = ("flows", "flows_per_min", "median_bytes_per_flow", "median_dur_s", "median
 CONDITIONS = METRICS + """,
 cond AS (SELECT profile, CASE duration_label WHEN '1h' THEN '60m' ELSE duration_label END AS duration, count(*) AS runs, """ + ", ".join(
     f"round(quantile_cont({m}::DOUBLE, 0.5), 6) AS {m}_med, round(quantile_cont({m}::DOUBLE, 0.75) - quantile_cont({m}::DOUBLE, 0.25), 6) AS {m}_iqr" for m in _M
-) + """ FROM metrics WHERE NOT (profile = 'gamer' AND duration_label = '5m') GROUP BY 1, 2),
+) + """ FROM metrics GROUP BY 1, 2),
 grid AS (SELECT * FROM (VALUES ('regular'), ('gamer'), ('admin')) a(profile), (VALUES ('5m'), ('15m'), ('60m')) b(duration))"""
 
 UNIDIR = """
@@ -52,20 +52,20 @@ UNI_Z = UNIDIR.replace("{src}", "packets_z")
 
 
 def condition_table(spark, sf):
-    """Nine conditions; one of them is emptied to show the placeholder row."""
-    m = flows.flow_metrics(packets(spark, sf)).where(~((F.col("profile") == "gamer") & (F.col("duration_label") == "5m")))
+    """The nine conditions over all captures."""
+    m = flows.flow_metrics(packets(spark, sf))
     t = conditions.condition_table(m)
     return t.select(*[F.round(c, 6).alias(c) if c.endswith(("_med", "_iqr")) else F.col(c) for c in t.columns])
 
 
 def condition_grid(spark, sf):
-    names = packets(spark, sf).where(~F.col("filename").contains("Gamer5m")).select("filename").distinct()
+    names = packets(spark, sf).select("filename").distinct()
     return conditions.condition_coverage(names)
 
 
 def condition_cells_text(spark, sf):
-    """Report cells of the integer metrics and their placeholder."""
-    m = flows.flow_metrics(packets(spark, sf)).where(~((F.col("profile") == "gamer") & (F.col("duration_label") == "5m")))
+    """Report cells of the integer metrics."""
+    m = flows.flow_metrics(packets(spark, sf))
     return conditions.condition_text(conditions.condition_table(m)).select("profile", "duration", "flows", "median_bytes_per_flow", "median_pkts_per_flow")
 
 
@@ -102,7 +102,7 @@ QUERIES = {
         "," + CONDITIONS + " SELECT profile, duration, coalesce(runs, 0) AS runs, " + ", ".join(f"{m}_med, {m}_iqr" for m in _M)
         + " FROM grid LEFT JOIN cond USING (profile, duration)")),
     "condition_grid": (condition_grid, with_packets(
-        ", names AS (SELECT DISTINCT filename FROM packets WHERE filename NOT LIKE '%Gamer5m%')," + NAMED + ", h AS (SELECT profile, "
+        ", names AS (SELECT DISTINCT filename FROM packets)," + NAMED + ", h AS (SELECT profile, "
         "CASE duration_label WHEN '1h' THEN '60m' ELSE duration_label END AS duration, count(*) AS captures FROM parsed GROUP BY 1, 2) "
         "SELECT profile, duration, coalesce(captures, 0) AS captures FROM (VALUES ('regular'), ('gamer'), ('admin')) a(profile) "
         "CROSS JOIN (VALUES ('5m'), ('15m'), ('60m')) b(duration) LEFT JOIN h USING (profile, duration)")),

@@ -35,6 +35,7 @@ def raw_outputs(spark, sf) -> DataFrame:
         .when(r == 4, F.concat(F.lit('{"tipo": "  '), F.upper(kind), F.lit(' ahora"}')))
         .when(r == 5, F.concat(F.lit('{"type": "open_url", "delay": '), delay, F.lit(', "url": "https://b.test"}')))
         .when(r == 6, F.concat(F.lit('{"tipo": "'), kind, F.lit('", "delay": "12"')))
+        .when((r == 7) & (F.col("conv_id") % 2 == 0), F.concat(body, F.lit("} y luego {"), body.substr(2, 1 << 20), F.lit("}")))
         .when(r == 7, "} {")
         .otherwise(F.col("text"))
     )
@@ -49,7 +50,7 @@ b AS (SELECT *, '{"tipo": "' || kind || '", "termino": "' || word || '", "url":
    || '", "busqueda": "' || word || '", "delay": ' || d AS body FROM t),
 raws AS (SELECT conv_id, turn, CASE r WHEN 0 THEN body || '}' WHEN 1 THEN '```json' || chr(10) || body || '}' || chr(10) || '```' WHEN 2 THEN 'Claro: ' || body || ',' || chr(10) || '}. Listo'
    WHEN 3 THEN replace(body || '}', '"', '''') WHEN 4 THEN '{"tipo": "  ' || upper(kind) || ' ahora"}' WHEN 5 THEN '{"type": "open_url", "delay": ' || d || ', "url": "https://b.test"}'
-   WHEN 6 THEN '{"tipo": "' || kind || '", "delay": "12"' WHEN 7 THEN '} {' ELSE text END AS raw FROM b),
+   WHEN 6 THEN '{"tipo": "' || kind || '", "delay": "12"' WHEN 7 THEN CASE WHEN conv_id % 2 = 0 THEN body || '} y luego {' || substring(body, 2) || '}' ELSE '} {' END ELSE text END AS raw FROM b),
 bare AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(raw, '^\s+|\s+$', '', 'g'), '(?i)^```(?:json)?\s*', ''), '\s*```$', '') AS x FROM raws),
 cut AS (SELECT *, CASE WHEN strpos(x, '{') > 0 AND strpos(x, '}') > 0 THEN
    CASE WHEN length(x) - strpos(reverse(x), '}') + 1 >= strpos(x, '{') THEN substring(x, strpos(x, '{'), length(x) - strpos(reverse(x), '}') + 2 - strpos(x, '{')) ELSE '' END ELSE x END AS y FROM bare),
@@ -76,7 +77,7 @@ repaired AS (SELECT conv_id, turn, action_type, CASE WHEN action_type IS NOT NUL
    CASE WHEN se THEN """ + _list(pa.DEFAULT_SEARCHES) + r"""[length(raw) % 3 + 1] WHEN action_type IS NOT NULL THEN json_extract_string(parsed, '$.busqueda') END AS search,
    action_type IS NOT NULL AND (given IS NULL OR given NOT BETWEEN 8 AND 25 OR te OR ub OR se OR w <> tipo) AS was_repaired FROM fill)"""
 OUTCOMES = REPAIRED + """,
-a AS (SELECT conv_id AS prompt, turn + 1 AS attempt, action_type, was_repaired FROM repaired WHERE turn < 2),
+a AS (SELECT {'c': conv_id, 'p': turn // 2} AS prompt, turn % 2 + 1 AS attempt, action_type, was_repaired FROM repaired),
 f AS (SELECT prompt, min(attempt) FILTER (WHERE action_type IS NOT NULL) AS good, count(*) AS tries, arg_min(action_type, attempt) FILTER (WHERE action_type IS NOT NULL) AS action_type,
    arg_min(was_repaired, attempt) FILTER (WHERE action_type IS NOT NULL) AS rep FROM a GROUP BY 1),
 o AS (SELECT coalesce(good, tries) AS attempts, CASE WHEN good IS NULL THEN 'fallback' WHEN rep THEN 'repaired' ELSE 'valid' END AS outcome, action_type FROM f)
@@ -101,8 +102,10 @@ def _repaired(spark, sf):
 
 
 def planner_outcomes(spark, sf):
+    """Every two turns in a row of a conversation are the tries of one prompt."""
+    prompt = F.struct("conv_id", F.floor(F.col("turn") / 2).alias("part"))
     tries = _repaired(spark, sf).select(
-        F.col("conv_id").alias("prompt"), (F.col("turn") + 1).alias("attempt"), "action_type", "was_repaired"
+        prompt.alias("prompt"), (F.col("turn") % 2 + 1).alias("attempt"), "action_type", "was_repaired"
     )
     return pa.outcome_counts(pa.outcomes(tries, 2))
 
@@ -124,6 +127,7 @@ def strict_outputs(spark, sf) -> DataFrame:
         .when(r == 7, F.concat(head, delay, F.lit(', "url": "https://c.test"}')))
         .when(r == 8, F.concat(head, delay, F.lit(', "search": "'), _quote(F.col("text")), F.lit('"}')))
         .when(r == 9, "[1, 2]")
+        .when(r == 10, F.concat(head, delay, F.lit(', "term": "x"} and more')))
         .otherwise(F.concat(head, delay, F.lit(', "term": "latest news"}')))
     )
     return table(spark, sf, "conversations").select("conv_id", "turn", raw.alias("raw"))
@@ -138,7 +142,7 @@ WITH t AS (SELECT conv_id, turn, length(text) % 12 AS r, (length(text) % 30) AS
   length(regexp_replace(text, '[^\p{L}\p{N} ]', '', 'g')) AS n FROM conversations),
 u AS (SELECT *, CASE WHEN k = 'hack_wifi' THEN 'type_not_allowed' WHEN r <> 4 AND d > 25 THEN 'delay_out_of_range' END AS c FROM t)
 SELECT conv_id, turn, reason IS NULL AS valid, reason FROM (SELECT conv_id, turn, CASE
-  WHEN r = 6 THEN 'not_json' WHEN r = 9 THEN 'not_an_object' WHEN r = 5 THEN 'additional_field' WHEN r = 0 THEN 'missing_delay'
+  WHEN r IN (6, 10) THEN 'not_json' WHEN r = 9 THEN 'not_an_object' WHEN r = 5 THEN 'additional_field' WHEN r = 0 THEN 'missing_delay'
   WHEN c = 'type_not_allowed' THEN c WHEN r = 4 THEN 'delay_not_integer' WHEN c IS NOT NULL THEN c
   WHEN r = 1 THEN 'bad_term' WHEN r = 3 THEN 'bad_url' WHEN r = 8 AND n NOT BETWEEN 1 AND 120 THEN 'bad_search'
   WHEN k = 'search_google' AND r IN (3, 7, 8) THEN 'missing_term' WHEN k = 'search_google' AND r = 2 THEN 'forbidden_url'

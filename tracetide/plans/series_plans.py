@@ -167,7 +167,7 @@ QUERIES = {
         "g AS (SELECT filename, ts_us - lag(ts_us) OVER w AS v, row_number() OVER w - 1 AS pos FROM packets_z WHERE ts_us > 0 WINDOW w AS (PARTITION BY filename ORDER BY ts_us, packet_no)), "
         "h AS (SELECT filename, seen_us - lag(seen_us) OVER w AS v, row_number() OVER w - 1 AS pos FROM unidir WINDOW w AS (PARTITION BY filename ORDER BY seen_us, first_no)), "
         "u AS (SELECT filename, 'bytes' AS metric, bytes AS value, pos FROM r UNION ALL SELECT filename, 'dur_us', dur_us, pos FROM r UNION ALL SELECT filename, 'packets', packets, pos FROM r "
-        "UNION ALL SELECT filename, 'pkt_gap_us', v, pos FROM g WHERE pos > 0 UNION ALL SELECT filename, 'newflow_gap_us', v, pos FROM h WHERE pos > 0) SELECT * FROM u WHERE pos <= 50000")),
+        "UNION ALL SELECT filename, 'pkt_gap_us', v, pos FROM g WHERE pos > 0 UNION ALL SELECT filename, 'newflow_gap_us', v, pos FROM h WHERE pos > 0) SELECT * FROM u")),
     "local_ip": (lambda s, d: locality.local_ip(packets(s, d)), with_packets("," + LOCAL + " SELECT * FROM local")),
     "outbound_ports": (outbound_ports, with_packets(
         "," + LOCAL + ", o AS (SELECT p.filename, p.is_tcp, p.dport FROM packets p JOIN best b ON p.filename = b.filename AND p.src = b.local_ip AND p.packet_no >= b.known_from_no "

@@ -19,7 +19,7 @@ from .oracle_base import with_packets
 def results(spark, sf) -> DataFrame:
     """Conversation turns as nested session results."""
     n = F.char_length("text")
-    error = F.create_map(F.lit("exec"), F.substring("text", 1, 40))
+    error = F.create_map(F.lit("exec"), F.col("text"))
     return table(spark, sf, "conversations").select(
         F.concat(F.lit("host"), (F.col("conv_id") % 20).cast("string")).alias("host"),
         F.concat(F.lit("10.1.0."), (F.col("conv_id") % 20).cast("string")).alias("ip"),
@@ -62,7 +62,7 @@ def log_events(spark, sf) -> DataFrame:
         F.concat(F.lit("host"), (F.col("conv_id") % 20).cast("string")).alias("host"),
         F.concat_ws("-", F.lit("s"), F.col("conv_id"), F.col("turn")).alias("session_id"),
         only(0, F.array(F.lit("uptime"), F.col("role"))).alias("commands"),
-        only(0, F.substring("text", 1, 10000)).alias("stdout_snippet"),
+        only(0, F.col("text")).alias("stdout_snippet"),
         only(1, F.lit("pulled:/var/log/a->b")).alias("sftp"),
         only(2, F.lit("to:10.0.0.1")).alias("syslog_sent"),
         only(3, yes).alias("icmp"), only(4, yes).alias("dns"), only(5, yes).alias("http"),
@@ -117,20 +117,25 @@ def conn_top(spark, sf):
 
 
 def scan_conn_log(spark, sf):
-    """Write the connections as a tab-separated log with its header lines, read it and count."""
+    """Write the connections as three tab-separated logs, one with its columns in another order, read them and count."""
     path = work_path(spark, "conn-log")
-    c = connections(spark, sf)
+    c = connections(spark, sf).withColumn("log", F.pmod(F.xxhash64("conn_key"), F.lit(3)))
     fields = ("id.orig_h", "id.resp_h", "service", "orig_bytes", "resp_bytes", "duration")
-    head = spark.range(1).select(
-        F.explode(F.array(F.lit("#separator \\x09"), F.lit("#path\tconn"), F.lit("\t".join(("#fields", *fields))))).alias("value")
-    )
+    turned = ("id.resp_h", "id.orig_h", *fields[2:])
+
+    def note(names):
+        return F.array(F.lit("#separator \\x09"), F.lit("#path\tconn"), F.lit("\t".join(("#fields", *names))))
+
+    head = spark.range(3).select(F.col("id").alias("log"), F.posexplode(F.when(F.col("id") == 1, note(turned)).otherwise(note(fields))).alias("line", "value"))
     # a row without its last field is short and must be padded
-    full = F.concat_ws("\t", "orig_h", "resp_h", "service", "orig_bytes", "resp_bytes", "duration")
-    short = F.concat_ws("\t", "orig_h", "resp_h", "service", "orig_bytes", "resp_bytes")
-    head.unionByName(c.select(F.when(F.col("duration") == "-", short).otherwise(full).alias("value"))).write.text(path)
+    first, second = (F.when(F.col("log") == 1, F.col(b)).otherwise(F.col(a)) for a, b in (("orig_h", "resp_h"), ("resp_h", "orig_h")))
+    short = F.concat_ws("\t", first, second, "service", "orig_bytes", "resp_bytes")
+    text = F.when(F.col("duration") == "-", short).otherwise(F.concat_ws("\t", short, "duration"))
+    lines = head.unionByName(c.select("log", F.lit(9).alias("line"), text.alias("value")))
+    lines.repartition("log").sortWithinPartitions("log", "line").drop("line").write.partitionBy("log").text(path)
     rows = read_conn_log(spark, path)
     return rows.groupBy("orig_h", "resp_h", "service").agg(
-        F.count(F.lit(1)).alias("conns"), F.count("duration").alias("with_duration"),
+        F.count(F.lit(1)).alias("conns"), F.count_if(F.col("duration") != "").alias("with_duration"),
         F.sum(F.col("orig_bytes").try_cast("bigint")).alias("orig_bytes"),
     )
 

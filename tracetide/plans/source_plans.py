@@ -46,30 +46,34 @@ def export_lines(spark, sf) -> DataFrame:
     ]
     quoted = F.transform(F.array(*fields), lambda f: F.concat(F.lit('"'), f, F.lit('"')))
     kept = F.when(k % 17 == 0, F.slice(quoted, 1, 7)).otherwise(quoted)
-    return packets(spark, sf).select("filename", F.array_join(kept, ",").alias("value"))
+    return packets(spark, sf).select("filename", F.array_join(kept, ",").alias("value"), "packet_no")
 
 
 def _export(spark, sf) -> str:
     path = work_path(spark, "export")
-    export_lines(spark, sf).write.partitionBy("filename").text(path)
+    # captures in three part files each, in the order of their packets
+    lines = export_lines(spark, sf).repartitionByRange(3, "packet_no").sortWithinPartitions("filename", "packet_no")
+    lines.drop("packet_no").write.partitionBy("filename").text(path)
     return path
 
 
 def scan_packets(spark, sf):
     rows = reader.scan_packets(spark, _export(spark, sf))
-    return rows.drop("packet_no").groupBy(
+    return rows.groupBy(
         "filename", "proto_num", "ip_version", "is_tcp", "is_udp", "is_icmp", "src", "dst", "sport", "dport"
-    ).agg(F.count(F.lit(1)).alias("packets"), F.sum("frame_len").alias("bytes"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
+    ).agg(F.count(F.lit(1)).alias("packets"), F.sum("frame_len").alias("bytes"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"),
+          F.sum("packet_no").alias("places"), F.min_by("ts_us", "packet_no").alias("early_us"))
 
 
 EXPORTED = r"""
-x AS (SELECT *, k % 29 = 0 AND k % 23 <> 0 AS v6, k % 29 <> 0 AND k % 23 <> 0 AS v4 FROM packets WHERE k % 17 <> 0 AND k % 19 <> 0),
-y AS (SELECT filename, ts_us, frame_len, CASE WHEN v4 AND NOT (is_icmp AND is_udp) OR v6 THEN proto_num END::INT AS proto_num, CASE WHEN v4 THEN 'IPv4' WHEN v6 THEN 'IPv6' END AS ip_version,
+x AS (SELECT *, k % 29 = 0 AND k % 23 <> 0 AS v6, k % 29 <> 0 AND k % 23 <> 0 AS v4 FROM
+  (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY packet_no) - 1 AS place FROM packets) WHERE k % 17 <> 0 AND k % 19 <> 0),
+y AS (SELECT filename, ts_us, frame_len, place, CASE WHEN v4 AND NOT (is_icmp AND is_udp) OR v6 THEN proto_num END::INT AS proto_num, CASE WHEN v4 THEN 'IPv4' WHEN v6 THEN 'IPv6' END AS ip_version,
   (proto_num = 6 AND (v4 OR v6 OR k % 31 <> 0)) AS is_tcp, (proto_num = 17 OR (v4 AND is_icmp AND is_udp)) AS is_udp, ((v4 OR v6) AND proto_num = 1) AS is_icmp,
   CASE WHEN v4 THEN src WHEN v6 THEN 'fe80::' || replace(src, '.', ':') END AS src, CASE WHEN v4 THEN dst WHEN v6 THEN 'fe80::' || replace(dst, '.', ':') END AS dst,
   CASE WHEN proto_num <> 6 OR k % 31 <> 0 THEN sport END::INT AS sport, CASE WHEN proto_num <> 6 OR k % 31 <> 0 THEN dport END::INT AS dport FROM x)
-SELECT filename, proto_num, ip_version, is_tcp, is_udp, is_icmp, src, dst, sport, dport, count(*) AS packets, sum(frame_len)::BIGINT AS bytes, min(ts_us) AS first_us, max(ts_us) AS last_us
-FROM y GROUP BY ALL"""
+SELECT filename, proto_num, ip_version, is_tcp, is_udp, is_icmp, src, dst, sport, dport, count(*) AS packets, sum(frame_len)::BIGINT AS bytes, min(ts_us) AS first_us, max(ts_us) AS last_us,
+  sum(place)::BIGINT AS places, arg_min(ts_us, place) AS early_us FROM y GROUP BY ALL"""
 
 
 def scan_captures(spark, sf):

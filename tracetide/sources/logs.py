@@ -96,27 +96,33 @@ def scan_summaries(spark: SparkSession, path: str | list[str], kind: str = "capt
 def scan_conn_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Tab-separated connection log.
 
-    Columns are named by the ``#fields`` line (not by the first data line, which
-    would lose a row); without one the first line is the header. Short rows are
-    padded with nulls.
+    The columns of each file are named by its ``#fields`` line (not by its first data
+    line, which would lose a row); a file without one has its first line as header.
+    Unset cells (``-``) are null, cells that a short row lacks are empty text.
     """
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("conn_no"))
-    named = lines.where(F.col("value").startswith("#fields")).select("value").first()
-    data = lines.where(~F.col("value").startswith("#") & (F.col("value") != ""))
-    if named is not None:
-        header = named["value"].split("\t")[1:]
-    else:
-        first = data.orderBy("conn_no").first()
-        if first is None:
-            raise ValueError(f"empty connection log: {path}")
-        header = first["value"].split("\t")
-        data = data.where(F.col("value") != first["value"])
+    lines = spark.read.text(path).select(
+        "value", F.monotonically_increasing_id().alias("conn_no"), F.col("_metadata.file_path").alias("_file")
+    ).where(F.col("value") != "")
+    is_header, is_note = F.col("value").startswith("#fields"), F.col("value").startswith("#")
+    heads = lines.groupBy("_file").agg(
+        F.min_by("value", F.when(is_header, F.col("conn_no"))).alias("_named"),
+        F.min_by("value", F.when(~is_note, F.col("conn_no"))).alias("_first"),
+    )
+    # one short row for each file
+    heads = heads.select(
+        "_file",
+        F.coalesce(F.slice(F.split("_named", "\t"), 2, 1 << 20), F.split("_first", "\t")).alias("_header"),
+        F.when(F.col("_named").isNull(), F.col("_first")).alias("_skip"),
+    )
+    if heads.isEmpty():
+        raise ValueError(f"empty connection log: {path}")
+    data = lines.where(~is_note).join(F.broadcast(heads), "_file").where(~F.col("value").eqNullSafe(F.col("_skip")))
     cells = F.split("value", "\t", -1)
 
     def field(name: str) -> Column:
-        if name not in header:
-            return F.lit(None).cast("string")
-        return F.try_element_at(cells, F.lit(header.index(name) + 1))
+        place = F.array_position("_header", name).cast("int")
+        cell = F.coalesce(F.get(cells, place - 1), F.lit(""))
+        return F.when(place > 0, F.nullif(cell, F.lit("-")))
 
     return data.select("conn_no", *[field(src).alias(dst) for dst, src in CONN_FIELDS.items()])
 

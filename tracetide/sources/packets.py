@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from ..functions.numbers import lenient_float, strict_int
@@ -14,7 +15,6 @@ EXPORT_FIELDS = (
     "udp_srcport", "udp_dstport", "ip_proto", "ipv6_nxt", "frame_len",
 )
 EXPORT_SCHEMA = T.StructType([T.StructField(f, T.StringType()) for f in EXPORT_FIELDS])
-_ROW_BITS = 33
 
 
 def _filled(name: str) -> Column:
@@ -66,17 +66,35 @@ def scan_packets(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Read quoted, headerless exports.
 
     The capture is the ``filename=`` folder of a partitioned layout, else the file
-    name without its export suffix. ``packet_no`` follows the order of lines in a
-    file: the split's offset first, then the row inside the split.
+    name without its export suffix.
     """
     raw = spark.read.schema(EXPORT_SCHEMA).option("quote", '"').option("mode", "PERMISSIVE").csv(paths)
+    return decode_export(numbered_lines(raw))
+
+
+def numbered_lines(raw: DataFrame) -> DataFrame:
+    """Rows of export files with ``filename`` and ``packet_no``.
+
+    A capture in several files is read in the order of their paths, a file in the
+    order of its splits, a split line by line; ``packet_no`` counts from 0 without
+    gaps. The lines of each split are counted first, in a table of one row a split.
+    """
     name = F.regexp_replace(F.col("_metadata.file_name"), r"\.(csv|txt|tsv)(\.(gz|bz2|zst))?$", "")
-    row = F.monotonically_increasing_id().bitwiseAND((1 << _ROW_BITS) - 1)
-    block = F.shiftright(F.col("_metadata.file_block_start"), 20)
-    numbered = raw.withColumn("packet_no", F.shiftleft(block, _ROW_BITS) + row)
     if "filename" not in raw.columns:
-        numbered = numbered.withColumn("filename", name)
-    return decode_export(numbered)
+        raw = raw.withColumn("filename", name)
+    placed = raw.withColumns(
+        {
+            "_path": F.col("_metadata.file_path"),
+            "_block": F.col("_metadata.file_block_start"),
+            "_row": F.monotonically_increasing_id(),
+        }
+    )
+    splits = placed.groupBy("filename", "_path", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    ahead = W.partitionBy("filename").orderBy("_path", "_block").rowsBetween(W.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")
+    numbers = F.col("_before") + F.col("_row") - F.col("_first")
+    joined = placed.join(F.broadcast(splits), ["filename", "_path", "_block"])
+    return joined.withColumn("packet_no", numbers).drop("_path", "_block", "_row", "_first", "_before")
 
 
 def scan_captures(spark: SparkSession, folder: str, pattern: str = "capturaAgente*.pcapng", recursive: bool = False) -> DataFrame:
