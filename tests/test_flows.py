@@ -113,3 +113,34 @@ def test_coverage_reports_every_deviation(spark):
         ("duplicated", "regular", 1), ("extra", "gamer", 6), ("missing", "regular", 2),
     ]
     assert sorted(r["filename"] for r in got if not r["profile"]) == ["notes.txt", "other.txt"]
+
+
+def test_a_capture_without_data_keeps_its_row(spark):
+    """One packet without addresses and time beside a capture with data."""
+    from tracetide.operators import diversity
+
+    odd = ("d", 1, 0, 60, None, None, False, False, False, None, None, None, None)
+    df = spark.createDataFrame([pkt(1, 1_000_000, 10, 6, "a", "b", 1, 2), pkt(2, 5_000_000, 10, 6, "b", "a", 2, 1), odd], SCHEMA)
+    rows = series.bucket_series(df)
+    got = {
+        "dst": diversity.dst_diversity(df), "capture": timing.iat_capture_order(df), "sorted": timing.iat_sorted(df), "new": timing.newflow_iat(df),
+        "flows": flows.unidir_summary(df), "auto": series.autocorr_lag1(rows, df), "buckets": series.bucket_summary(rows, packets=df),
+    }
+    got = {k: {r["filename"]: tuple(r)[1:] for r in v.collect()} for k, v in got.items()}
+    assert all(set(v) == {"c", "d"} for v in got.values())
+    empty = {k: v["d"] for k, v in got.items()}
+    assert empty["dst"] == (0, 0.0) and empty["auto"] == (0.0,) and empty["buckets"] == (0, None, None, None)
+    assert empty["capture"] == empty["sorted"] == empty["new"] == (0, None, None, None, None)
+    assert empty["flows"] == (0, 0, 0, 0.0, 0.0, 0.0, 0.0)
+
+
+def test_autocorrelation_of_a_nearly_constant_series(spark):
+    """Differences of large sums are exact."""
+    big = 1_000_000_000_000
+    values = [big + (i % 2) for i in range(1000)]
+    rows = [("c", i, v) for i, v in enumerate(values)]
+    got = series.autocorr_lag1(spark.createDataFrame(rows, "filename string, idx long, bytes long")).first()["autocorr_lag1"]
+    low = [v - big for v in values]
+    mean = sum(low) / len(low)
+    want = sum((a - mean) * (b - mean) for a, b in zip(low, low[1:], strict=False)) / sum((a - mean) ** 2 for a in low)
+    assert got == round(want, 6)

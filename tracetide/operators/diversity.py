@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import net
-from .ordered import top_n
+from .ordered import every_capture, top_n
 
 CAP = "filename"
 
@@ -28,8 +28,10 @@ def value_diversity(rows: DataFrame, keys: list[str], value: Column, prefix: str
 
 
 def dst_diversity(packets: DataFrame) -> DataFrame:
+    """Destinations of every capture; one without addresses has 0 and 0."""
     both = packets.where(F.col("src").isNotNull() & F.col("dst").isNotNull())
-    return value_diversity(both, [CAP], F.col("dst"), "dst_ips")
+    found = value_diversity(both, [CAP], F.col("dst"), "dst_ips")
+    return every_capture(packets, found, ["unique_dst_ips", "entropy_dst_ips"])
 
 
 def domain_diversity(packets: DataFrame) -> DataFrame:

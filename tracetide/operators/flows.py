@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.naming import with_capture_name
 from ..functions.net import TCP, UDP, bidir_key
-from .ordered import exact_percentiles, top_n
+from .ordered import every_capture, exact_percentiles, top_n
 
 CAP = "filename"
 BIDIR = [CAP, "proto", "ip1", "port1", "ip2", "port2"]
@@ -105,13 +105,13 @@ def unidir_flows(packets: DataFrame) -> DataFrame:
 
 
 def unidir_summary(packets: DataFrame) -> DataFrame:
-    """Totals, rate and medians of the one-way flows of each capture."""
+    """Totals, rate and medians of the one-way flows of every capture; all are 0 where there is none."""
     span = packets.where(F.col("ts_us") > 0).groupBy(CAP).agg(
         ((F.max("ts_us") - F.min("ts_us")) / 6e7).alias("_minutes")
     )
     flows = unidir_flows(packets)
     total = flows.groupBy(CAP).agg(F.sum("bytes").alias("bytes_total"), F.sum("packets").alias("packets_total"))
-    return (
+    found = (
         flow_medians(flows).join(total, CAP).join(span, CAP, "left")
         .select(
             CAP, "flows", "bytes_total", "packets_total",
@@ -119,6 +119,7 @@ def unidir_summary(packets: DataFrame) -> DataFrame:
             "median_bytes_per_flow", "median_dur_s", "median_pkts_per_flow",
         )
     )
+    return every_capture(packets, found, found.columns[1:])
 
 
 def top_flows(packets: DataFrame, n: int = 15) -> DataFrame:

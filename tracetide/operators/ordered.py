@@ -176,6 +176,11 @@ def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFr
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)
 
 
+def every_capture(packets: DataFrame, found: DataFrame, zeros: list[str], cap: str = "filename") -> DataFrame:
+    """``found`` with a row for each capture of ``packets``: 0 in the columns ``zeros``, null in others, where it has none."""
+    return packets.select(cap).distinct().join(found, cap, "left").fillna(0, zeros).select(*found.columns)
+
+
 def attach_small(
     big: DataFrame, small: DataFrame, on: list[str], max_rows: int = 500_000, salts: int = 32, pinned: bool = False,
     how: str = "inner",

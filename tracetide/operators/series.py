@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .captures import ts_trust
 from .flows import unidir_flows
-from .ordered import attach_small, exact_percentiles
+from .ordered import attach_small, every_capture, exact_percentiles
 
 CAP = "filename"
 WINDOWS = (300, 900, 3600)  # fixed values: 5, 15 and 60 minutes in seconds
@@ -52,16 +52,20 @@ def bucket_series(packets: DataFrame, bucket_s: int = 1) -> DataFrame:
     )
 
 
-def bucket_summary(series: DataFrame, bucket_s: int = 1) -> DataFrame:
-    """Peak, p95 and p99 of the bucket rates in Mbps."""
+def bucket_summary(series: DataFrame, bucket_s: int = 1, packets: DataFrame | None = None) -> DataFrame:
+    """Peak, p95 and p99 of the bucket rates in Mbps.
+
+    With ``packets`` every capture has a row; without usable times it has 0 buckets and nulls.
+    """
     rate = 8 / (bucket_s * 1e6)
     pct = exact_percentiles(series, [CAP], "bytes", {"p95": 0.95, "p99": 0.99})
-    return pct.select(
+    found = pct.select(
         CAP, F.col("n").alias("buckets"),
         F.round(F.col("max") * rate, 6).alias("peak_mbps"),
         F.round(F.col("p95") * rate, 6).alias("p95_mbps"),
         F.round(F.col("p99") * rate, 6).alias("p99_mbps"),
     )
+    return found if packets is None else every_capture(packets, found, ["buckets"])
 
 
 def window_throughput(series: DataFrame, bucket_s: int = 1, windows=WINDOWS) -> DataFrame:
@@ -100,9 +104,11 @@ def window_new_flows(packets: DataFrame, windows=WINDOWS) -> DataFrame:
     )
 
 
-def autocorr_lag1(series: DataFrame) -> DataFrame:
+def autocorr_lag1(series: DataFrame, packets: DataFrame | None = None) -> DataFrame:
     """Lag-1 autocorrelation of the bucket bytes; 0 below three buckets or without variance.
 
+    With ``packets`` every capture has a row.
+
     Each bucket is sent to its own index and to the next one, so the product of
     neighbours needs a grouping and no sorted window. The sums are exact decimals.
     """
@@ -144,4 +150,5 @@ def autocorr_lag1(series: DataFrame) -> DataFrame:
     num = F.when(both, exact_num.cast("double")).otherwise(rough_num)
     den = F.when(both, exact_den.cast("double")).otherwise(rough_den)
     usable = (n >= 3) & (den > 0)
-    return sums.select(CAP, F.when(usable, F.round(num / den, 6)).otherwise(0.0).alias("autocorr_lag1"))
+    found = sums.select(CAP, F.when(usable, F.round(num / den, 6)).otherwise(0.0).alias("autocorr_lag1"))
+    return found if packets is None else every_capture(packets, found, ["autocorr_lag1"])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flows import unidir_flows
-from .ordered import exact_percentiles, neighbours, packet_chunk, second_chunk, stitched
+from .ordered import every_capture, exact_percentiles, neighbours, packet_chunk, second_chunk, stitched
 
 CAP = "filename"
 
@@ -29,7 +29,8 @@ def gap_summary(gaps: DataFrame, weight: str | None = None) -> DataFrame:
 
 
 def iat_capture_order(packets: DataFrame) -> DataFrame:
-    return gap_summary(capture_order_gaps(packets))
+    """Gap statistics of every capture; one without gaps has 0 of them and nulls."""
+    return every_capture(packets, gap_summary(capture_order_gaps(packets)), ["gaps"])
 
 
 def gap_count(packets: DataFrame, threshold_ms: float = 100.0) -> DataFrame:
@@ -44,11 +45,11 @@ def sorted_gaps(rows: DataFrame, time: str) -> DataFrame:
     """Gaps between time-sorted rows as (capture, gap_us, n).
 
     Equal times are counted first: they give gaps of zero, and only the distinct
-    times need an order. Rows are placed once by capture and second; counting and
-    ordering both work inside that placement.
+    times need an order. Counts are formed before the shuffle, so a second that holds a
+    whole capture moves at most one row for each task and microsecond.
     """
-    placed = rows.select(CAP, F.col(time).alias("cur"), second_chunk(F.col(time)).alias("_chunk")).repartition(CAP, "_chunk")
-    times = placed.groupBy(CAP, "_chunk", "cur").agg(F.count(F.lit(1)).alias("n"))
+    placed = rows.select(CAP, F.col(time).alias("cur"), second_chunk(F.col(time)).alias("_chunk"))
+    times = placed.groupBy(CAP, "_chunk", "cur").agg(F.count(F.lit(1)).alias("n")).repartition(CAP, "_chunk")
     pairs = stitched(times.withColumn("_order", F.col("cur")), [CAP])
     steps = pairs.select(CAP, (F.col("cur") - F.col("prev")).alias("gap_us"), F.lit(1).cast("bigint").alias("n"))
     ties = times.where(F.col("n") > 1).select(CAP, F.lit(0).cast("bigint").alias("gap_us"), (F.col("n") - 1).alias("n"))
@@ -64,11 +65,11 @@ def newflow_gaps(packets: DataFrame) -> DataFrame:
 
 
 def iat_sorted(packets: DataFrame) -> DataFrame:
-    return gap_summary(packet_gaps(packets), "n")
+    return every_capture(packets, gap_summary(packet_gaps(packets), "n"), ["gaps"])
 
 
 def newflow_iat(packets: DataFrame) -> DataFrame:
-    return gap_summary(newflow_gaps(packets), "n")
+    return every_capture(packets, gap_summary(newflow_gaps(packets), "n"), ["gaps"])
 
 
 def burstiness(gaps: DataFrame, captures: DataFrame, name: str) -> DataFrame:

@@ -131,7 +131,7 @@ QUERIES = {
         "SELECT filename, coalesce(x, 0.0) AS burstiness_pkt_iat, coalesce(y, 0.0) AS burstiness_newflow_iat FROM c LEFT JOIN a USING (filename) LEFT JOIN b USING (filename)")),
     "bucket_series": (bucket_series, with_packets(
         "," + SERIES10 + " SELECT filename, idx, idx * 10 AS t_s, bytes, round(bytes * 8 / 1e7, 6) AS mbps, round(bytes * 8.0::DOUBLE / 10, 6) AS bps FROM series")),
-    "bucket_summary": (lambda s, d: series.bucket_summary(_series(s, d)), with_packets(
+    "bucket_summary": (lambda s, d: series.bucket_summary(_series(s, d), packets=packets_with_lost_times(s, d)), with_packets(
         "," + SERIES1 + " SELECT filename, count(*) AS buckets, round(max(bytes) * 8 / 1e6, 6) AS peak_mbps, round(quantile_cont(bytes, 0.95) * (8 / 1e6), 6) AS p95_mbps, "
         "round(quantile_cont(bytes, 0.99) * (8 / 1e6), 6) AS p99_mbps FROM series GROUP BY 1")),
     "window_throughput": (window_throughput, with_packets(
@@ -144,7 +144,7 @@ QUERIES = {
     "window_new_flows": (lambda s, d: series.window_new_flows(packets_with_lost_times(s, d)), with_packets(
         "," + UNI_Z + "," + NEWFLOWS + " SELECT filename, window_s, k, coalesce(n, 0) AS new_flows, round(coalesce(n, 0) / (window_s / 60.0::DOUBLE), 6) AS flows_per_min "
         "FROM alln LEFT JOIN hit USING (filename, window_s, k)")),
-    "autocorr_lag1": (lambda s, d: series.autocorr_lag1(_series(s, d)), with_packets("," + SERIES1 + "," + AUTO)),
+    "autocorr_lag1": (lambda s, d: series.autocorr_lag1(_series(s, d), packets_with_lost_times(s, d)), with_packets("," + SERIES1 + "," + AUTO)),
     "top_values": (lambda s, d: diversity.top_values(packets(s, d)), with_packets("," + COUNTER)),
     "dst_diversity": (lambda s, d: diversity.dst_diversity(packets(s, d)), with_packets(
         ", c AS (SELECT filename, dst, count(*) AS n, sum(count(*)) OVER (PARTITION BY filename)::DOUBLE AS tot FROM packets GROUP BY 1, 2) "
