@@ -19,11 +19,11 @@ def blob(spark, n=300):
 def test_forest_ranks_the_outlier_lowest_on_any_partitioning(spark):
     rows = blob(spark)
     results = []
-    for parts, slices in ((1, 1), (7, 5)):
+    for parts, slices in ((1, 1), (7, 5), (3, None)):
         nodes = anomaly.iforest_fit(rows.repartition(parts), FEATS, trees=40, sample=64)
         scored = anomaly.iforest_score(rows.repartition(parts), nodes, FEATS, slices=slices)
         results.append(sorted((round(r["score"], 12), r["filename"]) for r in scored.collect()))
-    assert results[0] == results[1]
+    assert results[0] == results[1] == results[2]
     assert results[0][0][1] == "far" and all(-1 <= s < 0 for s, _ in results[0])
 
 
@@ -33,6 +33,22 @@ def test_trees_are_bounded_by_the_sample(spark):
     assert len(sizes) == 30 and max(r["n"] for r in sizes) <= 2 * 16 - 1
 
 
+def test_a_large_pool_gives_each_row_to_one_tree(spark):
+    """40 rows, 5 trees of 4: a pool of 20 rows."""
+    rows = blob(spark, 39)
+    nodes = anomaly.iforest_fit(rows, FEATS, trees=5, sample=4)
+    assert {r["tree"] for r in nodes.collect()} == set(range(5))
+    leaves = nodes.where("feature < 0").groupBy("tree").agg(F.count("*").alias("n")).collect()
+    assert all(2 <= r["n"] <= 4 for r in leaves)
+
+
+def test_baselines_need_regular_runs(spark):
+    row = {f: 1.0 for f in anomaly.FEATURES}
+    few = spark.createDataFrame([{"filename": "a", "profile": "gamer", **row}])
+    with pytest.raises(ValueError, match="not enough"):
+        anomaly.score_baselines(few)
+
+
 def test_scaling_keeps_a_feature_without_spread(spark):
     df = spark.createDataFrame([("m", 1.0, 5.0), ("m", 3.0, 5.0), ("m", 5.0, 5.0)], "model string, a double, b double")
     out = anomaly.robust_scale(df.unionByName(spark.createDataFrame([("m", 3.0, 7.0)], df.schema)), anomaly.scale_table(df, FEATS), FEATS)

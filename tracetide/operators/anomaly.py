@@ -1,13 +1,14 @@
 """Run features and a distributed isolation forest over them.
 
 The forest is a table of nodes: trees are built in parallel, each from at most
-``sample`` rows, and rows are scored in parallel slices, each against the node
-table. Neither the rows nor the model pass through the driver.
+``sample`` rows, and rows are scored in place against a copy of the node table,
+whose size is bounded and checked. Rows never pass through the driver.
 """
 
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,7 @@ SAMPLE = 256
 EPSILON = 1e-12
 TREE_BLOCK = 25  # trees built by one call
 SLICE_ROWS = 20_000  # rows scored by one call
+MAX_NODES = 2_000_000  # nodes on every executor, about 100 MB
 
 NODE_SCHEMA = (
     "model string, seed int, tree int, node int, feature int, cut double, lo int, hi int, path double"
@@ -151,20 +153,31 @@ def iforest_fit(
 ) -> DataFrame:
     """Node table of one forest per model and seed.
 
-    The rows of a tree are those with the smallest hash of (row, tree, seed): each
-    partition keeps at most ``sample`` rows per tree before the shuffle, so a tree
-    never sees more than that, whatever the number of rows.
+    Rows are put in the order of a hash of (row, seed), and the first ``trees * sample``
+    of them make a pool; each partition keeps no more before the shuffle. Tree t takes
+    ``sample`` rows of the pool from place ``t * sample`` on, starting over at its end,
+    so a row meets few trees and a tree never sees more than ``sample`` rows.
     """
     feats = list(features)
-    spread = train.select(
+    keyed = train.select(
         "model", F.col(key).cast("string").alias("_key"), *feats,
         F.explode(F.array(*[F.lit(int(s)) for s in seeds])).alias("seed"),
-    ).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    order = F.xxhash64("_key", "tree", "seed")
-    one_tree = W.partitionBy("model", "seed", "tree").orderBy(order, "_key")
+    )
+    pool = W.partitionBy("model", "seed")
+    placed = (
+        keyed.withColumn("_place", F.row_number().over(pool.orderBy(F.xxhash64("_key", "seed"), "_key")) - 1)
+        .where(F.col("_place") < trees * sample)
+        .withColumn("_n", F.count(F.lit(1)).over(pool))
+    )
+    # a large pool gives every row to one tree
+    takes = F.filter(
+        F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.col("_place") - t * sample, F.col("_n")) < sample
+    )
+    one = F.array(F.floor(F.col("_place") / sample).cast("int"))
     picked = (
-        spread.withColumn("_rn", F.row_number().over(one_tree))
-        .where(F.col("_rn") <= sample)
+        placed.withColumn("tree", F.explode(F.when(F.col("_n") == trees * sample, one).otherwise(takes)))
+        .withColumn("_rn", F.col("_place"))
+        .drop("_place", "_n")
         .withColumn("_block", F.floor(F.col("tree") / TREE_BLOCK))
     )
 
@@ -207,14 +220,38 @@ def _walk(x: np.ndarray, nodes: pd.DataFrame, batch: int = 2000) -> np.ndarray:
     return np.concatenate(means)
 
 
+def _score_in_place(rows: DataFrame, nodes: DataFrame, feats: list[str], key: str) -> DataFrame:
+    """Scores by a copy of the node table on every executor."""
+    table = nodes.orderBy("model", "seed", "tree", "node").toPandas()
+    forests = {m: [(int(s), f) for s, f in g.groupby("seed", sort=True)] for m, g in table.groupby("model")}
+    shared = rows.sparkSession.sparkContext.broadcast(forests)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for model, part in batch.groupby("model"):
+                x = part[feats].to_numpy(float)
+                for seed, forest in shared.value.get(model, []):
+                    out = part[["model", key, "profile"]].copy()
+                    out.insert(1, "seed", seed)
+                    out["score"] = -np.power(2.0, -_walk(x, forest))
+                    yield out
+
+    keyed = rows.select("model", F.col(key).cast("string").alias(key), "profile", *feats)
+    return keyed.mapInPandas(score, f"model string, seed int, {key} string, profile string, score double")
+
+
 def iforest_score(rows: DataFrame, nodes: DataFrame, features=FEATURES, key: str = "filename", slices: int | None = None) -> DataFrame:
     """Score -2^(-mean path) of each row under each model and seed; higher is more normal.
 
-    Rows are cut into slices of about ``SLICE_ROWS`` by hash, counted first unless
-    ``slices`` is given. Each slice meets its own copy of the node table, which has at most trees * (2 * sample - 1) rows per model and seed.
+    The node table has at most trees * (2 * sample - 1) rows per model and seed. It is
+    counted, and up to ``MAX_NODES`` rows it goes to all executors and no row is moved.
+    A larger table meets the rows in slices of about ``SLICE_ROWS`` by hash, as it does
+    when ``slices`` is given.
     """
     feats = list(features)
     if slices is None:
+        if nodes.count() <= MAX_NODES:
+            return _score_in_place(rows, nodes, feats, key)
         slices = 1 + rows.count() // SLICE_ROWS
     keyed = rows.select("model", F.col(key).cast("string").alias(key), "profile", *feats).withColumn(
         "_slice", F.pmod(F.xxhash64(key), F.lit(slices)).cast("int")
@@ -261,12 +298,13 @@ def score_baselines(
     """Every run under both baselines: score, threshold and flag, for each seed."""
     # features, scales, nodes and scores are small and read by several branches
     known = pin(features.where(F.col("profile").isin(*PROFILES)))
+    check_training_rows(known)
     train = training_sets(known)
     scales = pin(scale_table(train))
     nodes = pin(iforest_fit(robust_scale(train, scales), seeds=seeds, trees=trees))
     # two fixed models: every run is scored under both
     both = known.withColumn("model", F.explode(F.array(F.lit("regular_only"), F.lit("mixed"))))
-    scored = pin(iforest_score(robust_scale(both, scales), nodes, slices=1 + known.count() // SLICE_ROWS))
+    scored = pin(iforest_score(robust_scale(both, scales), nodes))
     trained = scored.where((F.col("model") == "mixed") | (F.col("profile") == "regular"))
     thr = score_threshold(trained, ["model", "seed"], mode=mode, q=q)
     return scored.join(thr, ["model", "seed"]).withColumn("flagged", F.col("score") < F.col("threshold"))

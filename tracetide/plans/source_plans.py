@@ -106,14 +106,18 @@ def sink_report_json(spark, sf):
 
 
 def stream_window_throughput(spark, sf):
-    out = live.drain(live.window_throughput(live.event_stream(spark, sf)), label="windows")
+    """Windows that the watermark has closed; open ones stay in the state."""
+    out = live.drain(live.window_throughput(live.event_stream(spark, sf)), mode="append", label="windows")
     return out.withColumn("mean_bps", F.round("mean_bps", 6))
 
 
 def stream_flow_activity(spark, sf):
-    return live.drain(live.flow_activity(live.event_stream(spark, sf)), label="activity")
+    """Phases that the watermark has closed."""
+    return live.drain(live.flow_activity(live.event_stream(spark, sf)), mode="append", label="activity")
 
 
+#: The watermark after the last row: its time in milliseconds less ten minutes.
+CLOSED = "((SELECT max(ts_us) FROM packets) // 1000 - 600000) * 1000"
 QUERIES = {
     "scan_packets": (scan_packets, with_packets("," + EXPORTED)),
     "scan_captures": (scan_captures, with_packets("SELECT DISTINCT filename FROM packets")),
@@ -125,7 +129,7 @@ QUERIES = {
         "," + SUMMARY + " SELECT filename, profile, packets_total, bytes_total, mean_bps, peak_mbps_1s, top_udp_dport, totals_consistent FROM summary")),
     "stream_window_throughput": (stream_window_throughput, with_packets(
         "SELECT filename, (ts_us // 300000000) * 300000000 AS start_us, sum(frame_len)::BIGINT AS bytes, count(*) AS packets, "
-        "round(sum(frame_len)::BIGINT * 8.0::DOUBLE / 300, 6) AS mean_bps FROM packets GROUP BY 1, 2")),
+        f"round(sum(frame_len)::BIGINT * 8.0::DOUBLE / 300, 6) AS mean_bps FROM packets GROUP BY 1, 2 HAVING start_us + 300000000 <= {CLOSED}")),
     "stream_flow_activity": (stream_flow_activity, with_packets("""
         , f AS (SELECT filename, CASE proto_num WHEN 6 THEN 'tcp' ELSE 'udp' END AS proto, src < dst OR (src = dst AND sport <= dport) AS o, src, dst, sport, dport, ts_us, frame_len
           FROM packets WHERE proto_num IN (6, 17) AND sport IS NOT NULL),
@@ -133,5 +137,5 @@ QUERIES = {
           (CASE WHEN o THEN dport ELSE sport END)::INT AS port2, ts_us, frame_len FROM f),
         h AS (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER w > 30000000 THEN 1 ELSE 0 END AS n FROM g WINDOW w AS (PARTITION BY filename, proto, ip1, port1, ip2, port2 ORDER BY ts_us)),
         i AS (SELECT *, sum(n) OVER (PARTITION BY filename, proto, ip1, port1, ip2, port2 ORDER BY ts_us) AS s FROM h)
-        SELECT filename, proto, ip1, port1, ip2, port2, sum(frame_len)::BIGINT AS bytes, count(*) AS packets, min(ts_us) AS first_us, max(ts_us) AS last_us FROM i GROUP BY filename, proto, ip1, port1, ip2, port2, s""")),
+        SELECT filename, proto, ip1, port1, ip2, port2, sum(frame_len)::BIGINT AS bytes, count(*) AS packets, min(ts_us) AS first_us, max(ts_us) AS last_us FROM i GROUP BY filename, proto, ip1, port1, ip2, port2, s HAVING max(ts_us) + 30000000 <= """ + CLOSED)),
 }
