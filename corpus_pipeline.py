@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tracetide.llm import decontaminate, line_dedup, ngram_join, packing, quality
-from tracetide.llm.common import staged
+from tracetide.llm.common import ship, staged
 
 #: (name, function): each takes (spark, docs, sf_dir) and returns the next stage's documents; the last packs them.
 STAGES = [
@@ -22,6 +22,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table, each written to the shared folder and read again by the next."""
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), "pipeline")

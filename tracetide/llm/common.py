@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,6 +20,18 @@ BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[ \t\n\x0B\f\r]+"
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers find this package where it was not installed or sent along.
+
+    That works where they see the driver's folders, as in a local session; a cluster gets the package with --py-files.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
+    if root not in known.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, [known])])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

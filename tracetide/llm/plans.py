@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,10 +19,23 @@ from tracetide.llm import (
     token_files,
     toxicity,
 )
+from tracetide.llm.common import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, tuple[Query, str | None]] = {
+
+def _shipped(query: Query) -> Query:
+    """The query, with this package in reach of the workers."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+_ALL: dict[str, tuple[Query, str | None]] = {
     "op1_ngram_jaccard_join": (ngram_join.op1_ngram_jaccard_join, None),
     "op2_decontamination": (decontaminate.op2_decontamination, decontaminate.SQL),
     "op3_language_id": (language.op3_language_id, None),
@@ -33,3 +47,4 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op9_toxicity": (toxicity.op9_toxicity, None),
     "op10_packing": (packing.op10_packing, None),
 }
+QUERIES = {name: (_shipped(query), sql) for name, (query, sql) in _ALL.items()}
