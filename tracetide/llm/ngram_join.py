@@ -229,11 +229,12 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")
     )
     classes = staged(classes, "classes")
+    # the sides of the two joins below grow with the corpus, so they are merged at every size and never broadcast
     # one class for each representative: rows that share an id with different texts could make more
     single = classes.groupBy("rep").agg(F.min("key").alias("key"))
     met = classes.join(single, ["rep", "key"], "left_semi").select("rep", F.explode("bands").alias("band"))
     crowded = met.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    edges = met.join(crowded.drop("n"), "band").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+    edges = met.join(crowded.drop("n").hint("merge"), "band").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     groups = components(edges)
     # blocks
     chosen = groups.join(classes.join(single, ["rep", "key"], "left_semi"), groups.node == classes.rep)
@@ -245,7 +246,8 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
     )
     chosen = staged(chosen, "candidates")
     texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    sets = shingle_sets(texts.join(chosen.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), n)
+    wanted = chosen.select(F.col("rep").alias("doc_id")).hint("merge")
+    sets = shingle_sets(texts.join(wanted, "doc_id", "left_semi"), n)
     sets = sets.groupBy(F.col("doc_id").alias("rep"), "key").agg(F.first("shingles").alias("shingles"))
     full = chosen.join(sets, ["rep", "key"])
     pairs = full.select(
