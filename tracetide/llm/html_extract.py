@@ -51,7 +51,7 @@ _PAGE = {"html", "body", "article", "main"}
 
 @dataclass(frozen=True)
 class Event:
-    """A tag (words = 0) or a run of words; `zone` is content, outer, plain, link or side."""
+    """A tag (words = 0) or a run of words; `zone` is content, outer, plain, link or side, for a tag side or empty."""
 
     name: str
     words: int
@@ -105,7 +105,7 @@ def events(page: str, marked: bool = True) -> list[Event]:
         if tag is None or not match["end"]:  # comment, declaration, or a tag that the page breaks off in
             continue
         tag = tag.lower()
-        found.append(Event(tag, 0, "", " " if tag in ("br", "wbr") else "", tag not in _INLINE))
+        begun = side
         if match["close"]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
@@ -124,6 +124,8 @@ def events(page: str, marked: bool = True) -> list[Event]:
             side += is_side
             inner += has_article and tag in ("article", "main")
             link += tag == "a"
+        zone = "side" if begun or side or tag in _RAW else ""
+        found.append(Event(tag, 0, zone, " " if tag in ("br", "wbr") else "", tag not in _INLINE))
     return found
 
 
@@ -143,7 +145,8 @@ class Weights:
 
 #: Counts that stand in for pages not seen: zone or tag -> (inside, outside).
 _PRIOR = {"content": (50, 1), "outer": (1, 50), "plain": (50, 10), "link": (5, 10), "side": (1, 10)}
-#: Words stay above zero in text and just below it in side matter, which is left out anyway and must not part a text.
+#: Words stay above zero in text and just below it in side matter, which is left out anyway and must not part a text;
+#: tags of side matter count as nothing.
 _RANGE = {"content": (0.5, 3.0), "outer": (-3.0, -1.0), "plain": (0.5, 3.0), "link": (-1.0, 0.3), "side": (-0.05, -0.01)}
 _TAG_RANGE = (-1.0, -0.05)
 
@@ -175,7 +178,7 @@ def label_counts(page: str) -> Counter[tuple[str, str, bool]]:
         for e, within in zip(shown, inside, strict=True):
             if e.words:
                 out["word", e.zone, within] += e.words
-            elif e.name and shown is hidden and e.name != "article":
+            elif e.name and not e.zone and shown is hidden and e.name != "article":
                 out["tag", e.name, within] += 1
     return out
 
@@ -205,7 +208,7 @@ def extract(page: str | None, weights: Weights) -> str:
         if e.breaks:
             blocks.append("".join(block))
             block = []
-        elif e.zone != "side" and e.zone != "outer":
+        elif e.zone not in ("side", "outer"):
             block.append(e.text)
     blocks.append("".join(block))
     clean = (" ".join(b.split()) for b in blocks)

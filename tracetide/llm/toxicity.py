@@ -22,7 +22,7 @@ from tracetide.llm.words import Words, find_words
 SAMPLE_DOCS = 8000
 SAMPLE_CHARS = 50_000
 #: A word of the model occurs in so many toxic documents of the sample, and so many standard deviations above chance.
-MIN_DOCS = 5
+MIN_DOCS = 8
 MIN_DEVIATIONS = 6.0
 ROUNDS = 400
 RATE = 0.1
@@ -44,11 +44,15 @@ def sentences(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """Sorted word hashes, their weights, and the weight that every sentence starts from."""
+    """Sorted word hashes, their weights, the weight a sentence starts from, and the chance of a text without any sign.
+
+    Only sentences with a word of the model take part, so a long text is not toxic for its length.
+    """
 
     words: np.ndarray
     weights: np.ndarray
     bias: float
+    leak: float
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Places of the hashes among the words of the model; -1 for others."""
@@ -64,8 +68,8 @@ class Model:
         at = self.numbers(words.hash)
         hit = at >= 0
         z = self.bias + np.bincount(sentence[hit], self.weights[at[hit]], minlength=len(owner))
-        p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-        clear = np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(texts))
+        p = _logistic(z) * (np.bincount(sentence[hit], minlength=len(owner)) > 0)
+        clear = np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(texts)) + np.log1p(-self.leak)
         starts = np.searchsorted(sentence, np.arange(len(owner) + 1))
         bad: list[list[tuple[int, int, float]]] = [[] for _ in texts]
         for s in np.flatnonzero(p >= OFFENDING).tolist():
@@ -76,15 +80,20 @@ class Model:
             yield float(-np.expm1(clear[t])), bad[t]
 
 
+def _logistic(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 def fit(texts: list[str | None], labels: list[int]) -> Model:
-    """Weights that make the noisy-or of sentence scores likely for the labels (gradient steps on all rows at once)."""
+    """Weights that make the noisy-or of sentence scores likely for the labels (gradient steps on all rows at once).
+
+    Without rows nothing is toxic; where all labels are equal no word tells, and every text scores alike.
+    """
     y = np.array(labels, dtype=np.float64)
     words = find_words(texts)
     sentence, owner = sentences(words)
-    own = words.text_of()
-    pair_word, pair_text = words.hash, own
-    order = np.lexsort((pair_text, pair_word))
-    w, t = pair_word[order], pair_text[order]
+    order = np.lexsort((words.text_of(), words.hash))
+    w, t = words.hash[order], words.text_of()[order]
     fresh = np.ones(len(w), dtype=bool)
     fresh[1:] = (w[1:] != w[:-1]) | (t[1:] != t[:-1])
     known, docs = np.unique(w[fresh], return_counts=True)
@@ -93,31 +102,29 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
     chance = y.sum() * share
     above = (toxic - chance) / np.sqrt(np.maximum(chance * (1 - share), 1e-9))
     known = known[(toxic >= MIN_DOCS) & (above >= MIN_DEVIATIONS)]
-    model = Model(known, np.zeros(len(known)), 0.0)
-    if len(texts) == 0 or len(owner) == 0 or y.min() == y.max():
-        rate = np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3)
-        model.bias = float(np.log(rate / (1 - rate)))
+    mean = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 0.0
+    model = Model(known, np.zeros(len(known)), -4.0, mean)
+    if len(known) == 0:
         return model
     at = model.numbers(words.hash)
     hit = at >= 0
-    feature, place = at[hit], sentence[hit]
-    # from a start where a document of mean length has the mean label
-    mean = np.clip(y.mean(), 1e-3, 0.5) / max(1.0, len(owner) / len(texts))
-    theta = np.concatenate([np.zeros(len(known)), [np.log(mean / (1 - mean))]])
+    # sentences with a word of the model, numbered anew
+    signs, place = np.unique(sentence[hit], return_inverse=True)
+    feature, owner = at[hit], owner[signs]
+    theta = np.concatenate([np.zeros(len(known)), [-4.0, np.log(mean / (1 - mean))]])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, ROUNDS + 1):
-        z = theta[-1] + np.bincount(place, theta[feature], minlength=len(owner))
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        clear = np.exp(np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(texts)))
-        pull = np.where(y > 0, -clear / np.maximum(1 - clear, 1e-9), 1.0)
-        dz = p * pull[owner] / len(texts)
-        grad = np.concatenate([np.bincount(feature, dz[place], minlength=len(known)), [dz.sum()]])
-        grad[:-1] += DECAY * theta[:-1]
+        p = _logistic(theta[-2] + np.bincount(place, theta[feature], minlength=len(owner)))
+        leak = float(_logistic(theta[-1]))
+        clear = (1 - leak) * np.exp(np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(texts)))
+        pull = np.where(y > 0, -clear / np.maximum(1 - clear, 1e-9), 1.0) / len(texts)
+        dz = p * pull[owner]
+        grad = np.concatenate([np.bincount(feature, dz[place], minlength=len(known)), [dz.sum(), leak * pull.sum()]])
+        grad[:-2] += DECAY * theta[:-2]
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad * grad
         theta -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-    model.weights, model.bias = theta[:-1], float(theta[-1])
-    return model
+    return Model(known, theta[:-2], float(theta[-2]), float(_logistic(theta[-1])))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
@@ -133,21 +140,21 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = sorted({r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)})
         model = fit([r[1] for r in found], [r[2] for r in found])
-        columns = [pa.array([model.words.tobytes()]), pa.array([model.weights.tobytes()]), pa.array([model.bias])]
-        yield pa.RecordBatch.from_arrays(columns, names=["words", "weights", "bias"])
+        columns = [pa.array([model.words.tobytes()]), pa.array([model.weights.tobytes()]), pa.array([model.bias]), pa.array([model.leak])]
+        yield pa.RecordBatch.from_arrays(columns, names=["words", "weights", "bias", "leak"])
 
-    row = rows.repartition(1).mapInArrow(learn, "words binary, weights binary, bias double").first()
+    row = rows.repartition(1).mapInArrow(learn, "words binary, weights binary, bias double, leak double").first()
     if row is None:
         return fit([], [])
-    return Model(np.frombuffer(row["words"], np.uint64), np.frombuffer(row["weights"], np.float64), row["bias"])
+    return Model(np.frombuffer(row["words"], np.uint64), np.frombuffer(row["weights"], np.float64), row["bias"], row["leak"])
 
 
 def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns `keep` of `docs` with score, predicted (score >= 0.7) and offending: (first word, last word, score).
 
-    A text without words, null or empty, has no sentence and scores 0.
+    A text without words, null or empty, has no sentence and scores the leak.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.words, model.weights, model.bias))
+    shared = docs.sparkSession.sparkContext.broadcast((model.words, model.weights, model.bias, model.leak))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
