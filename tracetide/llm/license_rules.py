@@ -85,7 +85,7 @@ _FORMS = (
     ("name", 1, 0.6, r"{name}"),
 )
 #: Where none of these occurs, no rule can match.
-GATES = ("licen", "spdx", "cc by", "cc-by", "cc0", "creative", "public domain", "terms as perl", ".org/", ".net/", ".com/", ".co/", ".eu/", ".info/", "rail", "wtfpl")
+GATES = ("licen", "spdx", "cc by", "cc-by", "cc0", "creative", "public domain", "terms as perl", ".org/", ".net/", ".com/", ".co/", ".eu/", ".info/", "rail", "wtfpl", "no attribution")
 
 
 @dataclass(frozen=True)
