@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracetide.operators import captures, flows
 from tracetide.sources import logs, sinks
-from tracetide.sources.packets import scan_captures, scan_packets
+from tracetide.sources.packets import scan_captures, scan_packet_fields, scan_packets
 
 
 def quoted(*fields):
@@ -61,6 +61,22 @@ def test_packets_of_a_capture_in_several_files(spark, tmp_path, split):
     assert [r["ts_us"] for r in rows] == [(100 + i) * 1_000_000 for i in range(30)]
 
 
+def test_exports_with_named_fields(spark, tmp_path):
+    """Fields in another order; absent ones are null."""
+    (tmp_path / "capturaAgenteWeb5m1.pcapng.csv").write_text(
+        '"ip.proto","frame.len","frame.time_epoch","ip.src","ip.dst","tcp.srcport","tcp.dstport","udp.srcport","udp.dstport","tcp.flags","frame.cap_len","tcp.payload"\n'
+        '"6,17","90","1.5","10.0.0.1","10.0.0.2","1","2","3","4","0x0012","64","47:45:54:20"\n'
+        '"17","50","2.5","10.0.0.1","10.0.0.2","","","3","4","","","zz"\n'
+    )
+    a, b = scan_packet_fields(spark, str(tmp_path)).orderBy("packet_no").collect()
+    assert (a["tcp_sport"], a["tcp_dport"], a["udp_sport"], a["udp_dport"], a["tcp_flags"], a["cap_len"]) == (1, 2, 3, 4, 18, 64)
+    assert a["is_tcp"] and a["is_udp"] and bytes(a["payload"]) == b"GET " and a["proto_num"] is None
+    assert (b["cap_len"], b["payload"], b["eth_type"], b["tcp_seq"], b["dns_qname"], b["udp_sport"], b["dport"]) == (50, None, None, None, None, 3, 4)
+    from tracetide.operators import diversity
+
+    assert diversity.domain_diversity(scan_packet_fields(spark, str(tmp_path))).first()["unique_dns_domains"] == 0
+
+
 def test_conn_logs_with_other_column_orders(spark, tmp_path):
     (tmp_path / "a.log").write_text("#fields\tid.orig_h\tid.resp_h\tservice\tduration\nc\ts\tdns\t0.5\n")
     (tmp_path / "b.log").write_text("#fields\tservice\tid.resp_h\tid.orig_h\n-\ts\tc\nhttp\ts\n")

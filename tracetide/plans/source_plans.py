@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.captures import capture_summary
+from ..operators.diversity import top_values
 from ..operators.flows import flow_metrics
 from ..session import work_path
 from ..sources import logs, sinks
@@ -19,6 +20,7 @@ from ..streaming import live
 from .capture_plans import SUMMARY
 from .flow_plans import METRICS
 from .oracle_base import with_packets
+from .series_plans import COUNTER
 
 
 def export_lines(spark, sf) -> DataFrame:
@@ -65,6 +67,23 @@ def scan_packets(spark, sf):
           F.sum("packet_no").alias("places"), F.min_by("ts_us", "packet_no").alias("early_us"))
 
 
+def scan_packet_fields(spark, sf):
+    """Write packets with a header, read them back, and count the values of every dimension."""
+    path = work_path(spark, "field-export")
+    p = packets(spark, sf)
+    when = F.concat(F.floor(F.col("ts_us") / 1_000_000).cast("string"), F.lit("."), F.lpad((F.col("ts_us") % 1_000_000).cast("string"), 6, "0"))
+    fields = {
+        "eth.type": F.concat(F.lit("0x"), F.lpad(F.hex("eth_type"), 4, "0")), "frame.time_epoch": when, "frame.len": F.col("frame_len"),
+        "ip.src": F.col("src"), "ip.dst": F.col("dst"), "ip.proto": F.col("proto_num"),
+        **{f"{n}.{s}port": F.when(F.col("proto_num") == k, F.col(c)) for n, k in (("tcp", 6), ("udp", 17)) for s, c in (("src", "sport"), ("dst", "dport"))},
+        "tcp.seq": F.col("tcp_seq"), "tcp.len": F.col("payload_len"), "tcp.flags": F.concat(F.lit("0x"), F.lower(F.hex("tcp_flags"))),
+        "icmp.type": F.col("icmp_type"), "dns.qry.name": F.col("dns_qname"), "tcp.payload": F.lower(F.hex("payload")),
+    }
+    lines = p.repartitionByRange(3, "packet_no").sortWithinPartitions("filename", "packet_no")
+    lines.select("filename", *(c.cast("string").alias(n) for n, c in fields.items())).write.partitionBy("filename").option("header", True).option("quoteAll", True).csv(path)
+    return top_values(reader.scan_packet_fields(spark, path))
+
+
 EXPORTED = r"""
 x AS (SELECT *, k % 29 = 0 AND k % 23 <> 0 AS v6, k % 29 <> 0 AND k % 23 <> 0 AS v4 FROM
   (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY packet_no) - 1 AS place FROM packets) WHERE k % 17 <> 0 AND k % 19 <> 0),
@@ -120,6 +139,7 @@ def stream_flow_activity(spark, sf):
 CLOSED = "((SELECT max(ts_us) FROM packets) // 1000 - 600000) * 1000"
 QUERIES = {
     "scan_packets": (scan_packets, with_packets("," + EXPORTED)),
+    "scan_packet_fields": (scan_packet_fields, with_packets("," + COUNTER)),
     "scan_captures": (scan_captures, with_packets("SELECT DISTINCT filename FROM packets")),
     "sink_metrics": (sink_metrics, with_packets("," + SUMMARY + " SELECT * FROM summary")),
     "scan_summaries": (scan_summaries, with_packets(

@@ -14,6 +14,15 @@ EXPORT_FIELDS = (
     "ts_epoch", "ip_src", "ip_dst", "ipv6_src", "ipv6_dst", "tcp_srcport", "tcp_dstport",
     "udp_srcport", "udp_dstport", "ip_proto", "ipv6_nxt", "frame_len",
 )
+# The names of these fields in a header, and further fields.
+HEADER_FIELDS = (
+    "frame.time_epoch", "ip.src", "ip.dst", "ipv6.src", "ipv6.dst", "tcp.srcport", "tcp.dstport",
+    "udp.srcport", "udp.dstport", "ip.proto", "ipv6.nxt", "frame.len",
+)
+MORE_FIELDS = {
+    "frame.cap_len": "cap_len_text", "eth.type": "eth_type_text", "tcp.seq": "tcp_seq_text", "tcp.len": "tcp_len_text",
+    "tcp.flags": "tcp_flags_text", "icmp.type": "icmp_type_text", "dns.qry.name": "dns_name_text", "tcp.payload": "payload_hex",
+}
 EXPORT_SCHEMA = T.StructType([T.StructField(f, T.StringType()) for f in EXPORT_FIELDS])
 
 
@@ -30,8 +39,8 @@ def endpoints() -> dict[str, Column]:
     }
 
 
-def decode_export(raw: DataFrame) -> DataFrame:
-    """Packets from text fields.
+def decode_export(raw: DataFrame, *more: Column) -> DataFrame:
+    """Packets from text fields; ``more`` are further columns to keep.
 
     Rows without a numeric time or an integer length are skipped, which also covers
     rows with too few fields. A packet may be in several protocol classes: an ICMP
@@ -58,6 +67,7 @@ def decode_export(raw: DataFrame) -> DataFrame:
         tcp.alias("is_tcp"), udp.alias("is_udp"), F.array_contains(layers, "1").alias("is_icmp"),
         ends["src"].alias("src"), ends["dst"].alias("dst"),
         port("src").alias("sport"), port("dst").alias("dport"),
+        *more,
     )
     return decoded.where(F.col("ts_us").isNotNull() & F.col("frame_len").isNotNull())
 
@@ -72,6 +82,39 @@ def scan_packets(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return decode_export(numbered_lines(raw))
 
 
+def _code(name: str) -> Column:
+    """A number written in decimal or, behind 0x, in hexadecimal digits."""
+    text = F.lower(_filled(name))
+    return F.when(text.rlike("^0x[0-9a-f]{1,15}$"), F.conv(F.substring(text, 3, 15), 16, 10).cast("bigint")).otherwise(strict_int(text))
+
+
+def scan_packet_fields(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Read exports whose header names their fields, in any order and number.
+
+    Beside the columns of ``scan_packets`` there are both port pairs, the captured
+    length, and the decoded fields that counters, TCP quality and DNS diversity need.
+    A field that the export lacks is null; the captured length is then the wire length.
+    """
+    raw = spark.read.option("header", True).option("quote", '"').option("mode", "PERMISSIVE").csv(paths)
+    known = {**dict(zip(HEADER_FIELDS, EXPORT_FIELDS, strict=True)), **MORE_FIELDS}
+    lines = numbered_lines(raw)
+    told = {new: F.col(f"`{old}`") if old in raw.columns else F.lit(None).cast("string") for old, new in known.items()}
+    lines = lines.select("filename", "packet_no", *(c.alias(n) for n, c in told.items()))
+    digits = F.replace(_filled("payload_hex"), F.lit(":"), F.lit(""))
+    return decode_export(
+        lines,
+        F.coalesce(strict_int(F.col("cap_len_text")), strict_int(F.col("frame_len"))).alias("cap_len"),
+        *(strict_int(F.col(f"{p}_{s}port")).cast("int").alias(f"{p}_{a}port") for p in ("tcp", "udp") for s, a in (("src", "s"), ("dst", "d"))),
+        _code("eth_type_text").cast("int").alias("eth_type"),
+        strict_int(F.col("tcp_seq_text")).alias("tcp_seq"),
+        strict_int(F.col("tcp_len_text")).alias("payload_len"),
+        _code("tcp_flags_text").cast("int").alias("tcp_flags"),
+        strict_int(F.col("icmp_type_text")).cast("int").alias("icmp_type"),
+        _filled("dns_name_text").alias("dns_qname"),
+        F.when(digits.rlike("^([0-9a-fA-F]{2})+$"), F.unhex(digits)).alias("payload"),
+    )
+
+
 def numbered_lines(raw: DataFrame) -> DataFrame:
     """Rows of export files with ``filename`` and ``packet_no``.
 
