@@ -16,7 +16,7 @@ def rows(names, values):
 
 def twin(sql, sf_dir):
     with duckdb.connect() as con:
-        for name in ("documents", "benchmark"):
+        for name in ("documents", "benchmark", "labels"):
             con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet{'/*.parquet' if 'odd' in sf_dir else ''}'")
         found = con.execute(sql)
         return rows([c[0] for c in found.description], found.fetchall())
@@ -29,6 +29,8 @@ def odd_dir(tmp_path_factory, odd, spark):
     odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{path}/documents.parquet")
     items = [(1, "w11x5 w11x6 w11x7 w11x8 w11x9 w11x10 w11x11 w11x12 w11x13 w11x14 w11x15"), (2, None), (3, ""), (4, "one TWO"), (None, "x x x"), (4, "w8")]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    labels = [(5, 1, 0), (5, 0, 1), (7, 1, None), (8, None, 1), (None, 1, 1), (99, 1, 1), (12, 0, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     return path
 
 

@@ -8,7 +8,9 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from tracetide.llm import (
+    chat,
     decontaminate,
+    filter_audit,
     html_extract,
     language,
     licenses,
@@ -18,6 +20,7 @@ from tracetide.llm import (
     quality,
     token_files,
     toxicity,
+    whitening,
 )
 from tracetide.llm.common import ship
 
@@ -46,5 +49,8 @@ _ALL: dict[str, tuple[Query, str | None]] = {
     "op8_license_scan": (licenses.op8_license_scan, licenses.SQL),
     "op9_toxicity": (toxicity.op9_toxicity, None),
     "op10_packing": (packing.op10_packing, None),
+    "op11_chat_formatting": (chat.op11_chat_formatting, None),
+    "op12_filter_audit": (filter_audit.op12_filter_audit, filter_audit.SQL),
+    "op13_embedding_whitening": (whitening.op13_embedding_whitening, None),
 }
 QUERIES = {name: (_shipped(query), sql) for name, (query, sql) in _ALL.items()}
