@@ -351,3 +351,74 @@ def test_pipeline_stages(spark, sf_dir):
     assert {r.doc_id for r in clean.collect()} == set(texts) - bad
     out = corpus_pipeline.run(spark, sf_dir)
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == set(texts) - bad
+
+
+def test_join_of_rows_that_share_an_id(spark):
+    """Classes are texts: a repeated id stands for each of its texts."""
+    a, b = passage(1, 60), passage(2, 60)
+    df = spark.createDataFrame([(1, a), (1, b), (2, b + " more"), (3, a), (3, a + " more")], "doc_id long, text string")
+    found = sorted(tuple(r) for r in ngram_join.similar(df).select("doc_id", "class_id", "n_links").collect())
+    assert found == [(1, 1, 1), (1, 1, 2), (2, 1, 1), (3, 1, 2), (3, 1, 2)]
+
+
+CLASHES = ["__id", "__th", "__words", "__lang", "__lang_cut", "__spans", "__gone", "__split", "__n_lines", "__copies", "kept__id", "key", "root", "band", "th", "mask", "h1"]
+
+
+def test_columns_named_like_helpers(spark, odd, none):
+    """They pass through every stage with their values."""
+    bench = spark.createDataFrame([(1, passage(11, 60)), (2, "one two")], "item_id long, text string")
+    for table in (odd, none):
+        docs = table.select("*", *(odd.doc_id.alias(c) if table is odd else table.doc_id.alias(c) for c in CLASHES))
+        results = [
+            quality.judged(docs), line_dedup.deduplicated(docs), ngram_join.stage(None, docs, ""),
+            decontaminate.without_documents(docs, bench), decontaminate.without_spans(docs, bench), quality.stage(None, docs, ""), line_dedup.stage(None, docs, ""),
+        ]
+        for found in results:
+            assert set(docs.columns) - set(quality.RESULTS) - {"n_lines"} <= set(found.columns)
+            for r in found.collect():
+                assert all(r[c] == r["doc_id"] for c in CLASHES)
+
+
+def test_decontamination_moves_no_rows(spark, odd):
+    bench = spark.createDataFrame([(1, passage(11, 60))], "item_id long, text string")
+    plan = decontaminate.without_documents(odd, bench)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hash" not in plan and "Join" not in plan
+
+
+def test_packing_of_many_tiny_pieces(spark):
+    """Memory follows the pieces, not pieces times windows."""
+    import tracemalloc
+
+    tracemalloc.start()
+    groups = packing.windows(np.ones(60_000, dtype=np.int64), 2048)
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+    assert sorted(i for g in groups for i in g) == list(range(60_000)) and max(map(len, groups)) <= 2048
+    pieces = spark.range(30_000).selectExpr("CAST(NULL AS LONG) AS doc_id", "0L AS start", "1L AS length", "id AS ids_crc32", "1L AS doc_tokens")
+    found = packing.packed(pieces, batch_windows=8).collect()
+    assert len(found) == 30_000 and len({(r.sequence_id, r.offset) for r in found}) == 30_000
+
+
+def test_differencing_equals_a_dense_one():
+    """Against partitions with all their k sums."""
+
+    def dense(lengths, k):
+        parts = [([(int(x), [i])] + [(0, [])] * (k - 1)) for i, x in enumerate(lengths)]
+        parts = [parts[i] for i in np.argsort(-lengths, kind="stable")]
+        order = list(range(len(parts)))
+        tie = len(parts)
+        while len(parts) > 1:
+            first = min(range(len(parts)), key=lambda p: (-parts[p][0][0], order[p]))
+            a, _ = parts.pop(first), order.pop(first)
+            second = min(range(len(parts)), key=lambda p: (-parts[p][0][0], order[p]))
+            b, _ = parts.pop(second), order.pop(second)
+            merged = sorted(((x + y, g + h) for (x, g), (y, h) in zip(a, reversed(b), strict=True)), key=lambda s: -s[0])
+            parts.append([(s - merged[-1][0], g) for s, g in merged])
+            order.append(tie)
+            tie += 1
+        return sorted(sorted(g) for _, g in parts[0])
+
+    rng = np.random.default_rng(9)
+    for _ in range(150):
+        lengths, k = rng.integers(1, 30, rng.integers(1, 40)), int(rng.integers(1, 14))
+        assert sorted(sorted(g) for g in packing.differencing(lengths, k)) == dense(lengths, k)

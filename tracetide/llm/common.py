@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -57,6 +57,25 @@ def settled(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(made)))
 
 
+def shielded(df: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """`df` without columns named like helpers (two leading underscores), and a function that gives them their names back.
+
+    Operators name their helper columns that way; columns of the input pass through them under other names.
+    """
+    taken = {c.lower() for c in df.columns}
+    safe: dict[str, str] = {}
+    for name in df.columns:
+        if name.startswith("__"):
+            other = f"kept{name}"
+            while other.lower() in taken:
+                other = f"kept_{other}"
+            taken.add(other.lower())
+            safe[name] = other
+    if not safe:
+        return df, lambda found: found
+    return df.withColumnsRenamed(safe), lambda found: found.withColumnsRenamed({v: k for k, v in safe.items()})
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case; every other character as it is."""
     return F.translate(text, UPPER, LOWER)

@@ -8,13 +8,15 @@ left out. Documents are read once for each slice and never shuffled for it; hits
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tracetide.llm.common import chunks, settled, staged, table
+from tracetide.llm.common import chunks, settled, shielded, staged, table
 from tracetide.llm.words import find_words, window_hashes
 
 WINDOW = 10
@@ -115,6 +117,16 @@ def _scanned(docs: DataFrame, rows: list[tuple[str, bytes, int, int]]) -> DataFr
     return docs.mapInArrow(scan, f"{fields}, {_HIT_SCHEMA}")
 
 
+def _slices(benchmark: DataFrame, size: int, max_set_bytes: int) -> Iterator[list[tuple[str, bytes, int, int]]]:
+    """The distinct windows of the benchmark, in sets of about the bound; the windows of an item stay together."""
+    windows = staged(benchmark_windows(benchmark, size), "benchmark-windows")
+    total = windows.agg(F.coalesce(F.sum(F.length("phrase") + F.length("item_id")), F.lit(0))).first()[0]
+    n = -(-total // max_set_bytes) or 1
+    for k in range(n):
+        rows = windows if n == 1 else windows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
+        yield [tuple(r) for r in rows.collect()]
+
+
 def window_hits(
     docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_set_bytes: int = MAX_SET_BYTES
 ) -> DataFrame:
@@ -122,19 +134,14 @@ def window_hits(
 
     Null text has no words. th stands for the text. Items without id or words find nothing. Equal rows give equal rows.
     """
-    windows = staged(benchmark_windows(benchmark, size), "benchmark-windows")
-    total = windows.agg(F.coalesce(F.sum(F.length("phrase") + F.length("item_id")), F.lit(0))).first()[0]
     text = F.col("text").cast("string")
     slim = docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text"))
-    n = -(-total // max_set_bytes) or 1
+    scans = [_scanned(slim, rows) for rows in _slices(benchmark, size, max_set_bytes)]
+    n = len(scans)
     if n == 1:
-        return _scanned(slim, [tuple(r) for r in windows.collect()])
-    # an item's windows stay together; a slice is about the bound, and never more than the bound and one item
-    out = None
-    for k in range(n):
-        rows = windows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()
-        part = _scanned(slim, [tuple(r) for r in rows])
-        out = part if out is None else out.unionByName(part)
+        return scans[0]
+    # a slice is about the bound, and never more than the bound and one item
+    out = reduce(DataFrame.unionByName, scans)
     merged = (
         out.groupBy("doc_id", "th")
         .agg(
@@ -192,16 +199,33 @@ def contamination(hits: DataFrame) -> DataFrame:
     )
 
 
-def without_documents(docs: DataFrame, benchmark: DataFrame, **options: int) -> DataFrame:
-    """`docs` without those that hold a benchmark window."""
-    bad = contamination(window_hits(docs, benchmark, **options)).where("contaminated")
-    bad = bad.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__th"))
-    return docs.join(bad, same, "left_anti")
+def without_documents(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_set_bytes: int = MAX_SET_BYTES) -> DataFrame:
+    """`docs` (with a string column text) without the rows that hold a benchmark window.
+
+    Rows are dropped where they are scanned, and none is moved. Null and empty texts stay, as do all rows if the benchmark
+    is empty; equal rows go or stay together. Columns may have any names.
+    """
+    at, shape = docs.columns.index("text"), docs.schema
+    for rows in _slices(benchmark, size, max_set_bytes):
+        if rows:
+            docs = _left(docs, at, shape, rows)
+    return docs
+
+
+def _left(docs: DataFrame, at: int, shape: StructType, rows: list[tuple[str, bytes, int, int]]) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(rows)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tests = TestSet(shared.value)
+        for batch in chunks(batches, at):
+            yield batch.filter(pa.array([not items for _, _, _, items in tests.scan(batch.column(at).to_pylist())]))
+
+    return docs.mapInArrow(clean, shape)
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, **options: int) -> DataFrame:
     """`docs` with the hit words cut out of their texts, up to the next word; all other characters stay."""
+    docs, named = shielded(docs)
     hits = contamination(window_hits(docs, benchmark, **options)).where("contaminated")
     hits = hits.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "spans").dropDuplicates(["__id", "__th"])
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__th"))
@@ -224,7 +248,7 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, **options: int) -> Data
             )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != "__spans")
-    return df.mapInArrow(cut, fields).select(*docs.columns)
+    return named(df.mapInArrow(cut, fields).select(*docs.columns))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracetide.llm.common import BLANKS, settled, table
+from tracetide.llm.common import BLANKS, settled, shielded, table
 
 WINDOW = 3
 
@@ -71,9 +71,9 @@ def deduplicated(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     Order is that of doc_id; rows with equal id and text count as one document, and so do windows of rows that share an
     id with other text (the smallest position is first). A row without id, text or three lines passes unchanged; null
     text has zero lines. A text that loses all its lines becomes empty, or the blank lines it had. Columns of `docs` that
-    are named n_lines or n_removed give way. An empty table gives an empty result.
+    are named n_lines or n_removed give way; other names may be anything. An empty table gives an empty result.
     """
-    docs = docs.drop("n_lines", "n_removed")
+    docs, named = shielded(docs.drop("n_lines", "n_removed"))
     own = docs.columns
     spans = removed_spans(docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")), size)
     spans = spans.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("spans").alias("__spans"))
@@ -92,7 +92,7 @@ def deduplicated(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     stay = F.array_except(F.sequence(F.lit(0), F.size("__split") - 1), F.col("__drop"))
     df = settled(df, __stay=F.when(F.col("__spans").isNotNull(), stay))
     kept = F.transform("__stay", lambda i: F.get("__split", i))
-    return df.select(
+    found = df.select(
         *(
             F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text")
             if c == "text"
@@ -102,6 +102,7 @@ def deduplicated(docs: DataFrame, size: int = WINDOW) -> DataFrame:
         "n_lines",
         F.coalesce(F.when(F.col("__spans").isNotNull(), F.size("__gone")), F.lit(0)).cast("long").alias("n_removed"),
     )
+    return named(found)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracetide.llm.common import chunks, staged, table
+from tracetide.llm.common import chunks, shielded, staged, table
 from tracetide.llm.words import find_words, mix, window_hashes
 
 SHINGLE = 5
@@ -144,11 +144,11 @@ def _verified(
 
     A row (a, a, links) adds to the links of class a; a row (a, b, null) joins two classes.
     """
-    names = ["root", "i", "j", "rep", "block", "copies", "bands", "shingles"]
+    names = ["root", "i", "j", "key", "block", "copies", "bands", "shingles"]
     held: list[pa.RecordBatch] = []
 
     def solve(group: pa.Table) -> pa.RecordBatch:
-        rep = group.column("rep").to_numpy()
+        keys = group.column("key").to_pylist()
         block = group.column("block").to_numpy()
         copies = group.column("copies").to_numpy()
         bands = np.array(group.column("bands").to_pylist(), dtype=np.int64)
@@ -156,8 +156,8 @@ def _verified(
         sizes = np.array([len(s) for s in sets])
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        links = np.zeros(len(rep), dtype=np.int64)
-        parent = list(range(len(rep)))
+        links = np.zeros(len(keys), dtype=np.int64)
+        parent = list(range(len(keys)))
 
         def find(x: int) -> int:
             while parent[x] != x:
@@ -193,10 +193,10 @@ def _verified(
                     parent[p] = q
                     edges.append((x, y))
         hit = np.flatnonzero(links)
-        a = np.concatenate([rep[hit], rep[[e[0] for e in edges]] if edges else rep[:0]])
-        b = np.concatenate([rep[hit], rep[[e[1] for e in edges]] if edges else rep[:0]])
+        a = [keys[x] for x in [*hit.tolist(), *(e[0] for e in edges)]]
+        b = [keys[y] for y in [*hit.tolist(), *(e[1] for e in edges)]]
         n = [*links[hit].tolist(), *([None] * len(edges))]
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["a", "b", "links"])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(n, pa.int64())], names=["a", "b", "links"])
 
     last = None
     for batch in batches:
@@ -219,8 +219,7 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
     copy_id is the smallest doc_id with the same shingle set, class_id the smallest of the documents that links of at
     least `similarity` connect. n_links counts the other rows to which a row itself is that similar, copies included.
     Null and empty texts, and rows without an id, are alone with no links (class_id is their doc_id). Rows that repeat an
-    id count as rows of their own; if their texts differ, the one with the smallest key stands for the id in pairs.
-    An empty table gives an empty result.
+    id count as rows of their own, also in the links of others; texts are classes, not ids. An empty table gives an empty result.
     """
     bands = bands_for(recall, similarity, rows)
     signed = staged(signatures(docs, bands, rows, n), "signatures")
@@ -230,19 +229,17 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
     )
     classes = staged(classes, "classes")
     # the sides of the two joins below grow with the corpus, so they are merged at every size and never broadcast
-    # one class for each representative: rows that share an id with different texts could make more
-    single = classes.groupBy("rep").agg(F.min("key").alias("key"))
-    met = classes.join(single, ["rep", "key"], "left_semi").select("rep", F.explode("bands").alias("band"))
-    crowded = met.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    edges = met.join(crowded.drop("n").hint("merge"), "band").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
-    groups = components(edges)
+    met = classes.select("key", F.explode("bands").alias("band"))
+    crowded = met.groupBy("band").agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    edges = met.join(crowded.drop("n").hint("merge"), "band").where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b"))
+    groups = components(edges).select(F.col("node").alias("key"), "root")
     # blocks
-    chosen = groups.join(classes.join(single, ["rep", "key"], "left_semi"), groups.node == classes.rep)
+    chosen = groups.join(classes, "key")
     shape = chosen.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("total"))
     parts = F.greatest(F.ceil(F.col("m") / BLOCK_CLASSES), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
     shape = shape.select("root", parts.alias("parts"))
     chosen = chosen.join(shape, "root").select(
-        "root", "parts", "rep", "key", "copies", "bands", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("block")
+        "root", "parts", "rep", "key", "copies", "bands", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("block")
     )
     chosen = staged(chosen, "candidates")
     texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
@@ -251,22 +248,18 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
     sets = sets.groupBy(F.col("doc_id").alias("rep"), "key").agg(F.first("shingles").alias("shingles"))
     full = chosen.join(sets, ["rep", "key"])
     pairs = full.select(
-        "root", "rep", "block", "copies", "bands", "shingles",
+        "root", "key", "block", "copies", "bands", "shingles",
         F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"),
     ).select(
-        "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "block", "copies", "bands", "shingles"
+        "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "block", "copies", "bands", "shingles"
     )
-    pairs = pairs.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "rep")
-    found = staged(pairs.mapInArrow(lambda b: _verified(b, similarity), "a long, b long, links long"), "links")
-    links = found.where("links IS NOT NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("more"))
-    linked = components(found.where("links IS NULL"))
-    info = (
-        classes.join(single, ["rep", "key"], "left_semi").select("key", "rep")
-        .join(links, "rep", "left")
-        .join(linked.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("key", F.coalesce("root", "rep").alias("class_id"), F.coalesce("more", F.lit(0)).alias("more"))
-    )
-    copies = classes.select("key", F.col("rep").alias("copy_id"), "copies").join(info, "key", "left")
+    pairs = pairs.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "key")
+    found = staged(pairs.mapInArrow(lambda b: _verified(b, similarity), "a binary, b binary, links long"), "links")
+    links = found.where("links IS NOT NULL").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("more"))
+    linked = staged(components(found.where("links IS NULL")).select(F.col("node").alias("key"), "root").join(classes.select("key", "rep"), "key"), "linked")
+    named = linked.groupBy("root").agg(F.min("rep").alias("class_id"))
+    named = linked.join(named, "root").select("key", "class_id")
+    copies = classes.select("key", F.col("rep").alias("copy_id"), "copies").join(links, "key", "left").join(named, "key", "left")
     out = signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(copies, "key", "left")
     return out.select(
         "doc_id",
@@ -284,4 +277,5 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each class the document with the smallest id stays; rows without an id stay."""
     lost = similar(docs).where("class_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(lost, F.col("doc_id") == F.col("__id"), "left_anti").select(*docs.columns)
+    docs, named = shielded(docs)
+    return named(docs.join(lost, F.col("doc_id") == F.col("__id"), "left_anti").select(*docs.columns))

@@ -28,6 +28,8 @@ PIECE = 512
 TAIL = 16
 #: Windows of a batch, and tokens of a task. Spare tokens of a window let differencing end without a further window.
 BATCH_WINDOWS = 512
+#: Most pieces of a batch for each of its windows; batches of very short documents have fewer windows.
+BATCH_PIECES = 256
 TASK_TOKENS = 8_000_000
 SPARE = 2
 
@@ -35,7 +37,10 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 
 def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, piece: int = PIECE) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens): the pieces of every document; null text is empty."""
+    """(doc_id, start, length, ids_crc32, doc_tokens): the pieces of every document.
+
+    Null text is empty and has its end id as only token. Rows that repeat an id, or have none, are documents of their own.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(tokenizer or tokenizer_path(), END_ID)
@@ -60,33 +65,37 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
 def differencing(lengths: np.ndarray, k: int) -> list[list[int]]:
     """k groups of item numbers with near-equal sums, by Karmarkar-Karp differencing.
 
-    A partial partition is k sums in falling order, less the smallest of them, and the node of a tree for each sum.
-    The two partitions with the largest spread are merged, the largest sums of one with the smallest of the other.
+    A partial partition is its sums in falling order, less the smallest of all k, and the node of a tree for each sum. Only
+    groups that hold something are kept; the others have a sum of zero and stand last. The two partitions with the
+    largest spread are merged, the largest sums of one with the smallest of the other. All partitions together keep no
+    more sums than there are items.
     """
     n = len(lengths)
     if n == 0 or k == 0:
         return [[] for _ in range(k)]
     children: list[tuple[int, int]] = []
+    sizes = lengths.astype(np.int64)
+    items = np.arange(n, dtype=np.int64)
     heap: list[tuple[int, int, np.ndarray, np.ndarray]] = []
-    for i in np.argsort(-lengths, kind="stable").tolist():
-        sums = np.zeros(k, dtype=np.int64)
-        sums[0] = lengths[i]
-        nodes = np.full(k, -1, dtype=np.int64)
-        nodes[0] = i
-        heap.append((-int(lengths[i]), len(heap), sums, nodes))
+    for i in np.argsort(-sizes, kind="stable").tolist():
+        heap.append((-int(sizes[i]), len(heap), sizes[i : i + 1], items[i : i + 1]))
     heapq.heapify(heap)
     tie = n
     while len(heap) > 1:
         _, _, a, a_nodes = heapq.heappop(heap)
         _, _, b, b_nodes = heapq.heappop(heap)
-        sums, other = a + b[::-1], b_nodes[::-1]
-        nodes = np.where(a_nodes >= 0, a_nodes, other)
-        both = np.flatnonzero((a_nodes >= 0) & (other >= 0))
-        nodes[both] = n + len(children) + np.arange(len(both))
-        children += zip(a_nodes[both].tolist(), other[both].tolist(), strict=True)
+        # the groups of b stand at the end of the k places, in reverse; where they reach those of a, two become one
+        met = max(0, len(a) + len(b) - k)
+        apart, own = len(a) - met, len(b) - met
+        b, b_nodes = b[::-1], b_nodes[::-1]
+        sums = np.concatenate([a[:apart], a[apart:] + b[:met], b[met:]])
+        joined = n + len(children) + np.arange(met)
+        nodes = np.concatenate([a_nodes[:apart], joined, b_nodes[met:]])
+        children += zip(a_nodes[apart:].tolist(), b_nodes[:met].tolist(), strict=True)
         order = np.argsort(-sums, kind="stable")
         sums = sums[order]
-        sums -= sums[-1]
+        if apart + met + own == k:
+            sums -= sums[-1]
         heapq.heappush(heap, (-int(sums[0]), tie, sums, nodes[order]))
         tie += 1
     groups = []
@@ -99,7 +108,7 @@ def differencing(lengths: np.ndarray, k: int) -> list[list[int]]:
             else:
                 todo += children[x - n]
         groups.append(group)
-    return groups
+    return groups + [[] for _ in range(k - len(groups))]
 
 
 def windows(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
@@ -115,8 +124,9 @@ def windows(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
 def packed(pieces: DataFrame, capacity: int = CAPACITY, batch_windows: int = BATCH_WINDOWS) -> DataFrame:
     """`pieces` with sequence_id and offset.
 
-    Every piece is in one sequence; offsets have no gaps. Pieces are dealt by a hash of document and place and sorted in
-    their task, so a lost task repeats its result. Equal rows are pieces of their own.
+    Every piece is in one sequence; offsets have no gaps. Pieces are dealt evenly, whatever their ids, and sorted in their
+    task. Spark sorts rows before it deals them out, so a lost task repeats its result. Equal rows and rows without an id
+    are pieces of their own; an empty table gives no rows. Columns of other names are not carried.
     """
     pieces = staged(pieces, "pieces")
     total = pieces.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
@@ -142,24 +152,25 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, batch_windows: int = BAT
             return pa.RecordBatch.from_arrays([a.chunk(0) if isinstance(a, pa.ChunkedArray) else a for a in arrays], names=names)
 
         held: list[pa.RecordBatch] = []
-        tokens = 0
+        tokens = count = 0
         for batch in batches:
             lengths = batch.column(2).to_numpy()
             weight = np.where(lengths < capacity, lengths, 0)
             begin = 0
             for i, w in enumerate(weight.tolist()):
                 tokens += w
-                if tokens >= room or i - begin >= 64 * batch_windows:
+                count += 1
+                if tokens >= room or count >= BATCH_PIECES * batch_windows:
                     held.append(batch.slice(begin, i + 1 - begin))
                     yield placed(held)
-                    held, tokens, begin = [], 0, i + 1
+                    held, tokens, count, begin = [], 0, 0, i + 1
             if begin < batch.num_rows:
                 held.append(batch.slice(begin))
         if held:
             yield placed(held)
 
     n = max(1, -(-int(total) // TASK_TOKENS))
-    dealt = pieces.repartition(n, "doc_id", "start").sortWithinPartitions(
+    dealt = pieces.repartition(n).sortWithinPartitions(
         F.xxhash64("doc_id", "start"), "doc_id", "start", "length", "ids_crc32"
     )
     return dealt.mapInArrow(pack, f"{_PIECES}, sequence_id long, offset long")

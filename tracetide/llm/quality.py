@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracetide.llm.common import BLANK_RUN, BLANKS, settled, staged, table
+from tracetide.llm.common import BLANK_RUN, BLANKS, settled, shielded, staged, table
 
 SYMBOLS = "#*$%&|<>"
 
@@ -154,11 +154,12 @@ def judged(docs: DataFrame, keep: tuple[str, ...] | None = None, reach: int = RE
 
     kept is false if base_failed, or if a measure lies beyond a fence of the document's language and source. Null
     languages and sources are groups of their own; equal rows get equal verdicts. A column of `docs` that is named like
-    a result gives way to it. An empty table gives an empty result. The measures are written once to the shared folder;
+    a result gives way to it; other names may be anything. An empty table gives an empty result. The measures are written once to the shared folder;
     the cutoffs are taken from those files and joined to them.
     """
-    docs = docs.drop(*RESULTS)
-    keep = [c for c in docs.columns if keep is None or c in keep]
+    docs = docs.drop(*RESULTS) if keep is None else docs.select(*dict.fromkeys((*keep, "text", "lang", "source")))
+    docs, named = shielded(docs)
+    keep = docs.columns if keep is None else docs.columns[: len(keep)]
     groups = {f"__{c}": F.col(c).cast("string") for c in ("lang", "source")}
     df = _rates(measures(docs.withColumns(groups)))
     df = staged(df.drop("__n_lines", *(c for c in docs.columns if c not in keep)), "quality-measures")
@@ -171,7 +172,7 @@ def judged(docs: DataFrame, keep: tuple[str, ...] | None = None, reach: int = RE
         value = F.col(f"__{f.name}")
         inside = inside & F.coalesce(value >= F.col(f"__{f.name}_low"), F.lit(True))
         inside = inside & F.coalesce(value <= F.col(f"__{f.name}_high"), F.lit(True))
-    return df.select(*keep, *RESULTS[:-1], (~F.col("base_failed") & inside).alias("kept"))
+    return named(df.select(*keep, *RESULTS[:-1], (~F.col("base_failed") & inside).alias("kept")))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
