@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Temporary folders of local sessions by application; the setting itself cannot be changed in a running session.
+_LOCAL_ROOTS: dict[str, str] = {}
 
 
 def build_session(name: str = "tracetide", cores: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -37,9 +39,10 @@ def shared_root(spark: SparkSession) -> str:
         return root
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="tracetide-")
-    spark.conf.set(CHECKPOINT_KEY, root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="tracetide-")
+    return _LOCAL_ROOTS[app]
 
 
 def work_path(spark: SparkSession, label: str) -> str:
