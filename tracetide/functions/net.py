@@ -57,10 +57,6 @@ def ip_protocol_name(number: Column) -> Column:
     return _named(number, IP_PROTOCOLS, number.cast("string"))
 
 
-def l4_name(is_tcp: Column, is_udp: Column) -> Column:
-    return F.when(is_tcp, "TCP").when(is_udp, "UDP")
-
-
 def endpoint(ip: str, port: str) -> Column:
     return F.struct(F.col(ip).alias("ip"), F.col(port).cast("int").alias("port"))
 

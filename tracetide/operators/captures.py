@@ -11,44 +11,85 @@ from .ordered import attach_small, exact_percentiles, top_n
 CAP = "filename"
 
 
-def proto_count_columns() -> list[Column]:
-    """Independent class counts: a packet may belong to several classes."""
+def layer_port(columns: list[str], layer: str, side: str) -> Column:
+    """The port of one layer (``tcp``, ``udp``) and side (``s``, ``d``).
+
+    Where the export has both port pairs, each layer has its own; a packet with a TCP
+    and a UDP layer counts for both. Else the one pair belongs to TCP before UDP.
+    """
+    if f"{layer}_{side}port" in columns:
+        return F.col(f"{layer}_{side}port")
+    mine = F.col("is_tcp") if layer == "tcp" else F.col("is_udp") & ~F.col("is_tcp")
+    return F.when(mine, F.col(f"{side}port"))
+
+
+def dst443_flags(columns: list[str]) -> dict[str, Column]:
+    """Packets to port 443; the destination side only: one direction of the encrypted traffic."""
+    return {
+        f"{layer}_dst443": F.col(f"is_{layer}") & F.coalesce(layer_port(columns, layer, "d") == 443, F.lit(False))
+        for layer in ("udp", "tcp")
+    }
+
+
+def proto_count_columns(columns: list[str] = ()) -> list[Column]:
+    """Independent class counts: a packet may belong to several classes. ``columns`` are those of the packets."""
     tcp, udp, icmp = F.col("is_tcp"), F.col("is_udp"), F.col("is_icmp")
-    to_443 = F.coalesce(F.col("dport") == 443, F.lit(False))
+    to_443 = dst443_flags(columns)
     return [
         F.count_if(tcp).alias("tcp_pkts"),
         F.count_if(udp).alias("udp_pkts"),
         F.count_if(icmp).alias("icmp_pkts"),
         F.count_if(~(tcp | udp | icmp)).alias("other_pkts"),
-        # destination side only: one direction of the encrypted traffic
-        F.count_if(udp & to_443).alias("udp443_pkts"),
-        F.count_if(tcp & to_443).alias("tcp443_pkts"),
+        F.count_if(to_443["udp_dst443"]).alias("udp443_pkts"),
+        F.count_if(to_443["tcp_dst443"]).alias("tcp443_pkts"),
     ]
 
 
 def proto_counts(packets: DataFrame) -> DataFrame:
-    return packets.groupBy(CAP).agg(*proto_count_columns())
+    """Packets of each class per capture, and those to port 443. No packets, no row."""
+    return packets.groupBy(CAP).agg(*proto_count_columns(packets.columns))
+
+
+# Error text of a capture whose lengths cannot be summed.
+NO_FRAMES = "tshark_frame_len_parse_failed"
+
+
+def _joined_errors(*parts: Column) -> Column:
+    return F.array_join(F.array_compact(F.array(*(F.nullif(p, F.lit("")) for p in parts))), " | ")
+
+
+def _totals_chain(told: DataFrame) -> dict[str, Column]:
+    """Totals by source from supplied (frames, bytes, _told_error) and counted (_frames, _bytes) values."""
+    known = F.col("frames").isNotNull() & F.col("bytes").isNotNull()
+    seen = F.coalesce(F.col("_frames") > 0, F.lit(False))
+    return {
+        "packets_total": F.when(known, F.col("frames")).when(seen, F.col("_frames")).otherwise(0),
+        "bytes_total": F.when(known, F.col("bytes")).when(seen, F.col("_bytes")).otherwise(0),
+        "totals_source": F.when(known, "tshark_io_stat").when(seen, "tshark_frame_len").otherwise("error"),
+        "_totals_error": _joined_errors(
+            F.coalesce("_told_error", F.lit("")) if "_told_error" in told.columns else F.lit(""),
+            F.when(~known & ~seen, NO_FRAMES).otherwise(""),
+        ),
+    }
 
 
 def capture_totals(packets: DataFrame, supplied: DataFrame | None = None) -> DataFrame:
     """Frames and bytes of each capture with the source they come from.
 
-    ``supplied`` (filename, frames, bytes) are totals of an outside tool. They win;
-    counted packets are the second choice, and 0 with source ``error`` the last.
+    ``supplied`` (filename, frames, bytes and perhaps error) are totals of an outside
+    tool. They win; counted packets are the second choice, and 0 with source ``error``
+    the last. With an error column the result has one, too.
     """
-    counted = packets.groupBy(CAP).agg(
-        F.count("frame_len").alias("_frames"), F.sum("frame_len").alias("_bytes")
-    )
+    counted = packets.groupBy(CAP).agg(F.count("frame_len").alias("_frames"), F.sum("frame_len").alias("_bytes"))
     none = {c: F.lit(None).cast("bigint") for c in ("frames", "bytes")}
-    both = counted.withColumns(none) if supplied is None else supplied.join(counted, CAP, "full_outer")
-    told = F.col("frames").isNotNull() & F.col("bytes").isNotNull()
-    seen = F.col("_frames") > 0
-    return both.select(
-        CAP,
-        F.when(told, F.col("frames")).when(seen, F.col("_frames")).otherwise(0).alias("packets_total"),
-        F.when(told, F.col("bytes")).when(seen, F.col("_bytes")).otherwise(0).alias("bytes_total"),
-        F.when(told, "tshark_io_stat").when(seen, "tshark_frame_len").otherwise("error").alias("totals_source"),
-    )
+    with_error = supplied is not None and "error" in supplied.columns
+    if supplied is None:
+        both = counted.withColumns(none)
+    else:
+        both = supplied.withColumnRenamed("error", "_told_error").join(counted, CAP, "full_outer")
+    chain = _totals_chain(both)
+    errors = [chain["_totals_error"].alias("error")] if with_error else []
+    return both.select(CAP, *(chain[c].alias(c) for c in ("packets_total", "bytes_total", "totals_source")), *errors)
 
 
 def totals_consistent(total: Column, *parts: Column) -> Column:
@@ -96,11 +137,14 @@ def per_second_peaks(packets: DataFrame) -> DataFrame:
 
 
 def dst_port_counts(packets: DataFrame) -> DataFrame:
-    return (
-        packets.where(F.col("dport").isNotNull() & (F.col("is_tcp") | F.col("is_udp")))
-        .groupBy(CAP, F.when(F.col("is_tcp"), "tcp").otherwise("udp").alias("l4"), "dport")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("packet_no").alias("first_no"))
+    """Destination ports by layer with their count and first packet."""
+    named = {f"_{layer}": layer_port(packets.columns, layer, "d") for layer in ("tcp", "udp")}
+    pairs = packets.select(CAP, "packet_no", *(c.alias(n) for n, c in named.items())).groupBy(CAP, *named).agg(
+        F.count(F.lit(1)).alias("n"), F.min("packet_no").alias("first_no")
     )
+    ports = F.array(*(F.struct(F.lit(n[1:]).alias("l4"), F.col(n).alias("dport")) for n in named))
+    long = pairs.select(CAP, "n", "first_no", F.inline(ports)).where(F.col("dport").isNotNull())
+    return long.groupBy(CAP, "l4", "dport").agg(F.sum("n").alias("n"), F.min("first_no").alias("first_no"))
 
 
 def _best_ports(packets: DataFrame) -> DataFrame:
@@ -124,20 +168,20 @@ def top_dst_port(packets: DataFrame) -> DataFrame:
 
 
 def top_ports_both_sides(packets: DataFrame, n: int = 10) -> DataFrame:
-    """Most used ports counting source and destination."""
-    ports = packets.where(F.col("sport").isNotNull()).select(
-        CAP,
-        F.when(F.col("is_tcp"), "tcp").otherwise("udp").alias("l4"),
-        F.posexplode(F.array("sport", "dport")).alias("side", "port"),
-        "packet_no",
-    )
+    """Most used ports counting source and destination; ties go to the first seen, the source side before the other."""
+    names = [(layer, side) for layer in ("tcp", "udp") for side in ("s", "d")]
+    known = packets.select(CAP, "packet_no", *(layer_port(packets.columns, layer, side).alias(f"_{layer}{side}") for layer, side in names))
+    sides = [F.struct(F.lit(layer).alias("l4"), F.lit("sd".index(side)).alias("side"), F.col(f"_{layer}{side}").alias("port")) for layer, side in names]
+    ports = known.select(CAP, "packet_no", F.inline(F.array(*sides))).where(F.col("port").isNotNull())
     counts = ports.groupBy(CAP, "l4", "port").agg(
-        F.count(F.lit(1)).alias("n"), F.min("packet_no").alias("first_no"), F.min_by("side", "packet_no").alias("side")
+        F.count(F.lit(1)).alias("n"), F.min("packet_no").alias("first_no"), F.min_by("side", F.struct("packet_no", "side")).alias("side")
     )
     return top_n(counts, [CAP, "l4"], [F.desc("n"), F.asc("first_no"), F.asc("side")], n).select(CAP, "l4", "rank", "port", "n")
 
 
-def packet_size_stats(packets: DataFrame, length: str = "frame_len") -> DataFrame:
+def packet_size_stats(packets: DataFrame, length: str | None = None) -> DataFrame:
+    """Mean, median, p95 and largest packet per capture: captured lengths where the export has them, else wire lengths."""
+    length = length or ("cap_len" if "cap_len" in packets.columns else "frame_len")
     pct = exact_percentiles(packets, [CAP], length, {"median_bytes": 0.5, "p95_bytes": 0.95})
     return pct.select(
         CAP, F.round(F.col("sum") / F.col("n"), 6).alias("mean_bytes"), "median_bytes",
@@ -183,18 +227,23 @@ def ts_trust(packets: DataFrame) -> DataFrame:
     )
 
 
-def capture_summary(packets: DataFrame, tool_log: DataFrame | None = None, folder: str = "") -> DataFrame:
+def capture_summary(
+    packets: DataFrame, tool_log: DataFrame | None = None, folder: str = "", totals: DataFrame | None = None, peaks: DataFrame | None = None
+) -> DataFrame:
     """The whole summary row of each capture.
 
     ``tool_log`` (filename, capture_duration_s, capinfos_truncated, capinfos_stderr,
     error) comes from the capture tool; without it the duration is the span of the
-    timestamps and nothing is truncated.
+    timestamps and nothing is truncated. ``totals`` (filename, frames, bytes, error) and
+    ``peaks`` (filename, peak_mbps_1s, error) are read from the tool's statistics
+    tables; totals that it could not give are counted, and errors of all tools are
+    joined. A capture that only a tool knows keeps its row.
     """
     base = packets.groupBy(CAP).agg(
-        F.count("frame_len").alias("packets_total"),
-        F.coalesce(F.sum("frame_len"), F.lit(0)).alias("bytes_total"),
+        F.count("frame_len").alias("_frames"),
+        F.sum("frame_len").alias("_bytes"),
         ((F.max("ts_us") - F.min("ts_us")) / 1e6).alias("_span_s"),
-        *proto_count_columns(),
+        *proto_count_columns(packets.columns),
     )
     if tool_log is None:
         tools = base.select(
@@ -207,19 +256,28 @@ def capture_summary(packets: DataFrame, tool_log: DataFrame | None = None, folde
         base = base.join(tools, CAP)
     else:
         base = base.join(tool_log, CAP, "full_outer")
-    full = base.join(peak_mbps_1s(packets), CAP, "left").join(_best_ports(packets), CAP, "left")
-    total = F.coalesce("packets_total", F.lit(0))
+    if totals is None:
+        base = base.withColumns({c: F.lit(None).cast("bigint") for c in ("frames", "bytes")})
+    else:
+        base = base.join(totals.withColumnRenamed("error", "_told_error"), CAP, "full_outer")
+    base = base.withColumns(_totals_chain(base))
+    if peaks is None:
+        peaks = peak_mbps_1s(packets).withColumn("_peak_error", F.lit(""))
+    else:
+        peaks = peaks.withColumnRenamed("error", "_peak_error")
+    full = base.join(peaks, CAP, "left").join(_best_ports(packets), CAP, "left")
     counts = ["tcp_pkts", "udp_pkts", "icmp_pkts", "other_pkts", "udp443_pkts", "tcp443_pkts"]
-    full = full.fillna(0, ["packets_total", "bytes_total", *counts, "top_udp_dport_pkts", "top_tcp_dport_pkts"])
+    full = full.fillna(0, [*counts, "top_udp_dport_pkts", "top_tcp_dport_pkts", "capinfos_truncated"]).fillna("", ["capinfos_stderr"])
+    # without a statistics table nothing failed that could be told
+    failed = F.col("_totals_error") if totals is not None else F.lit("")
     return with_capture_name(full).select(
         CAP, "profile", "duration_label", "duration_requested_min", "run_idx", "capture_duration_s",
         "packets_total", "bytes_total",
         F.round(mean_bps(F.col("bytes_total"), F.col("capture_duration_s")), 6).alias("mean_bps"),
         "peak_mbps_1s", *counts,
         "top_udp_dport", "top_udp_dport_pkts", "top_tcp_dport", "top_tcp_dport_pkts",
-        "capinfos_truncated", "capinfos_stderr",
-        F.when(total > 0, "tshark_io_stat").otherwise("error").alias("totals_source"),
-        totals_consistent(total, *[F.col(c) for c in counts[:4]]).alias("totals_consistent"),
-        F.coalesce("error", F.lit("")).alias("error"),
+        "capinfos_truncated", "capinfos_stderr", "totals_source",
+        totals_consistent(F.col("packets_total"), *[F.col(c) for c in counts[:4]]).alias("totals_consistent"),
+        _joined_errors(F.coalesce("error", F.lit("")), failed, F.coalesce("_peak_error", F.lit(""))).alias("error"),
         F.concat(F.lit(folder), F.col(CAP)).alias("path"),
     )

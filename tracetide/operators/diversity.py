@@ -117,3 +117,30 @@ def duplicates(rows: DataFrame, keys: list[str], content: Column) -> DataFrame:
     return hashed.groupBy(*keys, "_hash").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(
         F.sum("n").alias("total"), F.sum(F.col("n") - 1).alias("duplicates")
     )
+
+
+# what tells packets apart when the export has no hash of their bytes
+_CONTENT = (
+    "cap_len", "frame_len", "eth_type", "src", "dst", "proto_num", "sport", "dport", "udp_sport", "udp_dport",
+    "tcp_seq", "tcp_flags", "payload_len", "icmp_type", "dns_qname", "payload",
+)
+
+
+def content_fingerprint(packets: DataFrame) -> Column:
+    """128 bits that stand for a packet's bytes: the export's hash, else a hash of all decoded fields that there are."""
+    if "content_hash" in packets.columns:
+        return F.unhex(F.md5(F.col("content_hash").cast("binary")))
+    told = [F.coalesce(F.hex(c) if c == "payload" else F.col(c).cast("string"), F.lit("-")) for c in _CONTENT if c in packets.columns]
+    return F.unhex(F.md5(F.concat_ws("|", *told).cast("binary")))
+
+
+def duplicate_packets(packets: DataFrame) -> DataFrame:
+    """Packets of a capture whose content was seen before, over all its files.
+
+    Counts are formed before the shuffle, so a packet that repeats all the time moves once
+    for each task. Packets without a hash are not duplicates; every capture has a row.
+    """
+    counts = packets.select(CAP, content_fingerprint(packets).alias("_hash")).groupBy(CAP, "_hash").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy(CAP).agg(
+        F.sum("n").alias("total"), F.coalesce(F.sum(F.when(F.col("_hash").isNotNull(), F.col("n") - 1)), F.lit(0)).alias("duplicates")
+    )

@@ -57,7 +57,7 @@ summary AS (
          round(CASE WHEN capture_duration_s > 0 AND bytes_total > 0 THEN bytes_total * 8.0::DOUBLE / capture_duration_s END, 6) AS mean_bps,
          peak_mbps_1s, tcp_pkts, udp_pkts, icmp_pkts, other_pkts, udp443_pkts, tcp443_pkts,
          top_udp_dport, top_udp_dport_pkts, top_tcp_dport, top_tcp_dport_pkts, 0 AS capinfos_truncated, '' AS capinfos_stderr,
-         'tshark_io_stat' AS totals_source,
+         'tshark_frame_len' AS totals_source,
          (packets_total = tcp_pkts + udp_pkts + icmp_pkts + other_pkts)::INT AS totals_consistent, '' AS error, p.filename AS path
   FROM parsed p JOIN base USING (filename) JOIN peak USING (filename) JOIN top USING (filename))"""
 
@@ -124,10 +124,7 @@ def mean_throughput(spark, sf):
 
 def dst443_flags(spark, sf):
     p = packets(spark, sf)
-    to = F.coalesce(F.col("dport") == 443, F.lit(False))
-    return p.groupBy((F.col("is_udp") & to).alias("udp_dst443"), (F.col("is_tcp") & to).alias("tcp_dst443")).agg(
-        F.count(F.lit(1)).alias("pkts"), F.sum("frame_len").alias("bytes")
-    )
+    return p.groupBy(*(c.alias(n) for n, c in cap.dst443_flags(p.columns).items())).agg(F.count(F.lit(1)).alias("pkts"), F.sum("frame_len").alias("bytes"))
 
 
 def matrix_coverage(spark, sf):

@@ -6,7 +6,7 @@ from importlib import import_module
 
 MODULES = (
     "capture_plans", "flow_plans", "series_plans", "expression_plans", "quality_plans", "planner_plans",
-    "session_plans", "source_plans",
+    "session_plans", "source_plans", "report_plans",
 )
 
 

@@ -116,7 +116,7 @@ def scan_summaries(spark, sf):
     return out.drop("capinfos_stderr", "path")
 
 
-def sink_report_json(spark, sf):
+def sink_summary_json(spark, sf):
     path = work_path(spark, "report")
     metrics = _summary(spark, sf)
     sinks.sink_report_json(metrics, path)
@@ -145,7 +145,7 @@ QUERIES = {
     "scan_summaries": (scan_summaries, with_packets(
         "," + METRICS + " SELECT filename, profile, CASE duration_label WHEN '1h' THEN '60m' ELSE duration_label END AS duration_label, duration_requested_min, run_idx, capture_duration_s, "
         "capinfos_truncated, flows, flows_per_min, median_bytes_per_flow, median_dur_s, median_pkts_per_flow, error FROM metrics")),
-    "sink_report_json": (sink_report_json, with_packets(
+    "sink_summary_json": (sink_summary_json, with_packets(
         "," + SUMMARY + " SELECT filename, profile, packets_total, bytes_total, mean_bps, peak_mbps_1s, top_udp_dport, totals_consistent FROM summary")),
     "stream_window_throughput": (stream_window_throughput, with_packets(
         "SELECT filename, (ts_us // 300000000) * 300000000 AS start_us, sum(frame_len)::BIGINT AS bytes, count(*) AS packets, "

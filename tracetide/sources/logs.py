@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.naming import duration_group
 from ..functions.numbers import lenient_int
+from ..operators.ordered import attach_small
 
 # Texts of the capture tool.
 DURATION_LINE = r"Capture duration:\s+([0-9.]+)"
@@ -14,6 +15,7 @@ CUT_SHORT = (
     "appears to have been cut short in the middle of a packet",
     "will continue anyway",
 )
+CUT_SHORT_SHORT = "cut short in the middle of a packet"
 # Columns of the two summary tables.
 CAPTURE_COLUMNS = (
     "filename string, profile string, duration_label string, duration_requested_min string, run_idx string, "
@@ -49,12 +51,17 @@ SESSION_EVENT = (
 )
 
 
+def _stripped(text: str) -> Column:
+    """The text without white space, line ends included, at both ends; null is empty."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+
+
 def decode_tool_log(rows: DataFrame) -> DataFrame:
     """Duration, truncation and error text from (filename, exit_code, stdout, stderr).
 
     A failed tool is an error only when the capture is not simply cut short.
     """
-    err = F.trim(F.coalesce("stderr", F.lit("")))
+    err = _stripped("stderr")
     cut = err.contains(CUT_SHORT[0]) & err.contains(CUT_SHORT[1])
     found = F.regexp_extract(F.coalesce("stdout", F.lit("")), DURATION_LINE, 1)
     code = F.col("exit_code")
@@ -69,6 +76,51 @@ def decode_tool_log(rows: DataFrame) -> DataFrame:
     )
 
 
+def _table_cells(stdout: Column, least: int) -> Column:
+    """Numbers in the rows of the tool's ruled tables: for each line between bars with at least ``least`` cells, all cells by their digits (0 without)."""
+    lines = F.transform(F.split(F.coalesce(stdout, F.lit("")), r"\r?\n"), lambda x: F.trim(x, F.lit(" \t\r")))
+    rows = F.transform(F.filter(lines, lambda x: x.startswith("|")), lambda x: F.split(F.trim(x, F.lit("|")), r"\|"))
+    digits = lambda c: F.coalesce(F.regexp_replace(c, r"[^0-9]", "").try_cast("bigint"), F.lit(0))
+    return F.transform(F.filter(rows, lambda r: F.size(r) >= least), lambda r: F.transform(r, digits))
+
+
+def _tool_error(mode: str, failed: str) -> Column:
+    """Error text of a statistics run that did not end well, else empty."""
+    code, err = F.col("exit_code"), _stripped("stderr")
+    told = F.when(err.contains(CUT_SHORT_SHORT), f"tshark_truncated({mode})").otherwise(
+        F.concat(F.lit(f"tshark_{failed}_failed(exit="), code.cast("string"), F.lit("): "), err)
+    )
+    return F.when(code != 0, told).otherwise("")
+
+
+def decode_io_totals(rows: DataFrame) -> DataFrame:
+    """Frames and bytes of a capture from (filename, exit_code, stdout, stderr) of the ``io,stat,0`` run.
+
+    The totals stand in the last two numbers of a row of the ruled table; of several rows the
+    one with most frames counts, the first of equals. A run that failed or gave no
+    such row has nulls and an error.
+    """
+    numbers = F.transform(_table_cells(F.col("stdout"), 1), lambda r: F.filter(r, lambda v: v > 0))
+    pairs = F.transform(F.filter(numbers, lambda r: F.size(r) >= 2), lambda r: F.struct(F.element_at(r, -2).alias("frames"), F.element_at(r, -1).alias("bytes")))
+    none = F.lit(None).cast("struct<frames: bigint, bytes: bigint>")
+    best = F.aggregate(pairs, none, lambda a, x: F.when(a.isNull() | (x["frames"] > a["frames"]), x).otherwise(a))
+    known = rows.select("filename", "exit_code", "stderr", F.when(F.col("exit_code") == 0, best).alias("_best"))
+    error = _tool_error("io,stat,0", "io_stat_0")
+    return known.select(
+        "filename", F.col("_best.frames").alias("frames"), F.col("_best.bytes").alias("bytes"),
+        F.when(error != "", error).when(F.col("_best").isNull(), "tshark_io_stat_0_parse_failed").otherwise("").alias("error"),
+    )
+
+
+def decode_io_peaks(rows: DataFrame) -> DataFrame:
+    """Largest one-second rate of a capture from the ``io,stat,1`` run: the last cell of rows with at least three."""
+    last = F.transform(_table_cells(F.col("stdout"), 3), lambda r: F.element_at(r, -1))
+    peak = F.when(F.col("exit_code") == 0, F.array_max(last))
+    return rows.select(
+        "filename", F.when(peak > 0, peak * 8.0 / 1e6).alias("peak_mbps_1s"), _tool_error("io,stat,1", "io_stat_1").alias("error")
+    )
+
+
 def normalise_summaries(rows: DataFrame, group_hours: bool = True) -> DataFrame:
     """Typed summary rows: empty error text, truncation 0, one label for an hour."""
     out = {}
@@ -108,7 +160,6 @@ def scan_conn_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.min_by("value", F.when(is_header, F.col("conn_no"))).alias("_named"),
         F.min_by("value", F.when(~is_note, F.col("conn_no"))).alias("_first"),
     )
-    # one short row for each file
     heads = heads.select(
         "_file",
         F.coalesce(F.slice(F.split("_named", "\t"), 2, 1 << 20), F.split("_first", "\t")).alias("_header"),
@@ -116,7 +167,8 @@ def scan_conn_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
     if heads.isEmpty():
         raise ValueError(f"empty connection log: {path}")
-    data = lines.where(~is_note).join(F.broadcast(heads), "_file").where(~F.col("value").eqNullSafe(F.col("_skip")))
+    # one short row for each file: counted before it is sent around
+    data = attach_small(lines.where(~is_note), heads, ["_file"]).where(~F.col("value").eqNullSafe(F.col("_skip")))
     cells = F.split("value", "\t", -1)
 
     def field(name: str) -> Column:

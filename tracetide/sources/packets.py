@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from ..functions.numbers import lenient_float, strict_int
+from ..operators.ordered import attach_small
 
 # Fields of an export row, in order.
 EXPORT_FIELDS = (
@@ -22,6 +23,7 @@ HEADER_FIELDS = (
 MORE_FIELDS = {
     "frame.cap_len": "cap_len_text", "eth.type": "eth_type_text", "tcp.seq": "tcp_seq_text", "tcp.len": "tcp_len_text",
     "tcp.flags": "tcp_flags_text", "icmp.type": "icmp_type_text", "dns.qry.name": "dns_name_text", "tcp.payload": "payload_hex",
+    "frame.md5_hash": "content_hash_text",
 }
 EXPORT_SCHEMA = T.StructType([T.StructField(f, T.StringType()) for f in EXPORT_FIELDS])
 
@@ -45,7 +47,8 @@ def decode_export(raw: DataFrame, *more: Column) -> DataFrame:
     Rows without a numeric time or an integer length are skipped, which also covers
     rows with too few fields. A packet may be in several protocol classes: an ICMP
     error that quotes a UDP header has ``1,17`` as protocol and no protocol number,
-    so it is counted but belongs to no flow.
+    so it is counted but belongs to no flow. Both port pairs are kept; ``sport`` and
+    ``dport`` are those of TCP where there is a TCP layer.
     """
     ends = endpoints()
     layers = F.split(F.coalesce(_filled("ip_proto"), _filled("ipv6_nxt"), F.lit("")), r"\s*,\s*")
@@ -67,6 +70,7 @@ def decode_export(raw: DataFrame, *more: Column) -> DataFrame:
         tcp.alias("is_tcp"), udp.alias("is_udp"), F.array_contains(layers, "1").alias("is_icmp"),
         ends["src"].alias("src"), ends["dst"].alias("dst"),
         port("src").alias("sport"), port("dst").alias("dport"),
+        *(strict_int(F.col(f"{p}_{s}port")).cast("int").alias(f"{p}_{s[0]}port") for p in ("tcp", "udp") for s in ("src", "dst")),
         *more,
     )
     return decoded.where(F.col("ts_us").isNotNull() & F.col("frame_len").isNotNull())
@@ -91,8 +95,8 @@ def _code(name: str) -> Column:
 def scan_packet_fields(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Read exports whose header names their fields, in any order and number.
 
-    Beside the columns of ``scan_packets`` there are both port pairs, the captured
-    length, and the decoded fields that counters, TCP quality and DNS diversity need.
+    Beside the columns of ``scan_packets`` there are the captured length, a hash of the
+    content, and the decoded fields that counters, TCP quality and DNS diversity need.
     A field that the export lacks is null; the captured length is then the wire length.
     """
     raw = spark.read.option("header", True).option("quote", '"').option("mode", "PERMISSIVE").csv(paths)
@@ -104,7 +108,6 @@ def scan_packet_fields(spark: SparkSession, paths: str | list[str]) -> DataFrame
     return decode_export(
         lines,
         F.coalesce(strict_int(F.col("cap_len_text")), strict_int(F.col("frame_len"))).alias("cap_len"),
-        *(strict_int(F.col(f"{p}_{s}port")).cast("int").alias(f"{p}_{a}port") for p in ("tcp", "udp") for s, a in (("src", "s"), ("dst", "d"))),
         _code("eth_type_text").cast("int").alias("eth_type"),
         strict_int(F.col("tcp_seq_text")).alias("tcp_seq"),
         strict_int(F.col("tcp_len_text")).alias("payload_len"),
@@ -112,6 +115,7 @@ def scan_packet_fields(spark: SparkSession, paths: str | list[str]) -> DataFrame
         strict_int(F.col("icmp_type_text")).cast("int").alias("icmp_type"),
         _filled("dns_name_text").alias("dns_qname"),
         F.when(digits.rlike("^([0-9a-fA-F]{2})+$"), F.unhex(digits)).alias("payload"),
+        F.lower(_filled("content_hash_text")).alias("content_hash"),
     )
 
 
@@ -136,7 +140,8 @@ def numbered_lines(raw: DataFrame) -> DataFrame:
     ahead = W.partitionBy("filename").orderBy("_path", "_block").rowsBetween(W.unboundedPreceding, -1)
     splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")
     numbers = F.col("_before") + F.col("_row") - F.col("_first")
-    joined = placed.join(F.broadcast(splits), ["filename", "_path", "_block"])
+    # a row for each split of a file: counted before it is sent around
+    joined = attach_small(placed, splits, ["filename", "_path", "_block"])
     return joined.withColumn("packet_no", numbers).drop("_path", "_block", "_row", "_first", "_before")
 
 

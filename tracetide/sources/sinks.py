@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PARTITION = ("profile", "duration_label")
@@ -24,3 +24,13 @@ def report_documents(metrics: DataFrame) -> DataFrame:
 
 def sink_report_json(metrics: DataFrame, path: str) -> None:
     report_documents(metrics).select("document").write.mode("overwrite").text(path)
+
+
+def write_documents(documents: DataFrame, path: str) -> None:
+    """One line for each capture, its document, in a folder for each capture name."""
+    documents.select("filename", "document").write.mode("overwrite").partitionBy("filename").text(path)
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(filename, document) of written documents."""
+    return spark.read.schema("value string, filename string").text(path).select("filename", F.col("value").alias("document"))
