@@ -11,8 +11,8 @@ holds a third of all rows is written by many tasks.
 
 from __future__ import annotations
 
+import base64
 import hashlib
-import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,7 +28,7 @@ from tracetide.llm.common import chunks, table
 from tracetide.llm.tokens import tokenizer_path
 from tracetide.session import work_path
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER = "byte_bpe_50k.tiktoken"
 #: A piece ends with the turn that brings it to this many ids.
 PIECE_IDS = 16_384
 #: Roles with markers of their own: begin and end. Any other role is written out between `[ROLE]` and `[/ROLE]`.
@@ -57,21 +57,23 @@ def unescaped(text: str) -> str:
 
 
 class Codec:
-    """Segments to ids and back; the ids from `base` on are the control strings in their order."""
+    """Segments to ids and back, by a file of byte-pair ranks; the ids beyond them are the control strings in their order."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import public_tokenizers
+        import tiktoken
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.base = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.pairs = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.base = max(ranks.values()) + 1
         self.marker = {c: self.base + k for k, c in enumerate(CONTROLS)}
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [self.pairs.encode_ordinary(t) for t in texts]
 
     def decode(self, ids: np.ndarray) -> str:
-        return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False) if len(ids) else ""
+        return self.pairs.decode_bytes(ids.tolist()).decode() if len(ids) else ""
 
     def turn(self, role: str, role_ids: list[int], text_ids: list[int]) -> list[int]:
         """A turn's ids: markers around the encoded segments."""
@@ -134,7 +136,6 @@ _codecs: dict[str, Codec] = {}
 
 def codec(path: str) -> Codec:
     """One codec for each Python worker, kept between tasks."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     if path not in _codecs:
         _codecs[path] = Codec(path)
     return _codecs[path]
