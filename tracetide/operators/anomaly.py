@@ -7,6 +7,7 @@ whose size is bounded and checked. Rows never pass through the driver.
 
 from __future__ import annotations
 
+import hashlib
 import sys
 from collections.abc import Iterator
 
@@ -43,19 +44,22 @@ NODE_SCHEMA = (
 )
 
 
-def join_capture_flows(captures: DataFrame, flows: DataFrame, duration: str = "15m") -> DataFrame:
-    """Valid summaries of one duration with the flow metrics of the same capture."""
-    label = "60m" if duration == "1h" else duration
-
-    def ok(df: DataFrame) -> DataFrame:
-        return valid_runs(df).where(duration_group(F.col("duration_label")) == label)
+def join_capture_flows(captures: DataFrame, flows: DataFrame, duration: str | None = "15m") -> DataFrame:
+    """Valid summaries of one duration, or of all of them, with the flow metrics of the same capture.
 
+    With ``duration`` None the result has a column ``duration``, in which an hour is 60m.
+    """
+    group = duration_group(F.col("duration_label"))
     metrics = ["flows", "flows_per_min", "median_bytes_per_flow", "median_dur_s", "median_pkts_per_flow"]
-    return ok(captures).join(ok(flows).select("filename", *metrics), "filename")
+    ok_flows = valid_runs(flows).select("filename", *metrics)
+    if duration is None:
+        return valid_runs(captures).withColumn("duration", group).join(ok_flows, "filename")
+    label = "60m" if duration == "1h" else duration
+    return valid_runs(captures).where(group == label).join(ok_flows, "filename")
 
 
 def run_features(joined: DataFrame, digits: int | None = None) -> DataFrame:
-    """The 12 features; runs with a missing one are dropped."""
+    """The 12 features, and the duration where the rows have one; runs with a missing feature are dropped."""
     n = {c: F.col(c).cast("double") for c in ("tcp_pkts", "udp_pkts", "udp443_pkts", "icmp_pkts", "other_pkts")}
     udp_rest = F.when(n["udp_pkts"].isNotNull() & n["udp443_pkts"].isNotNull(), F.greatest(n["udp_pkts"] - n["udp443_pkts"], F.lit(0.0)))
     total = n["tcp_pkts"] + udp_rest + n["udp443_pkts"] + n["icmp_pkts"] + n["other_pkts"]
@@ -76,14 +80,22 @@ def run_features(joined: DataFrame, digits: int | None = None) -> DataFrame:
     }
     if digits is not None:
         cols = {k: F.round(v, digits) for k, v in cols.items()}
-    return joined.select("filename", "profile", *[cols[f].alias(f) for f in FEATURES]).dropna(subset=list(FEATURES))
+    known = [c for c in ("duration",) if c in joined.columns]
+    return joined.select("filename", "profile", *known, *[cols[f].alias(f) for f in FEATURES]).dropna(subset=list(FEATURES))
+
+
+BASELINES = ("regular_only", "mixed")
+
+
+def model_name(columns: list[str], baseline: str) -> Column:
+    """Name of a model: its baseline, behind the duration where runs of several durations are told apart."""
+    return F.concat("duration", F.lit(f"/{baseline}")) if "duration" in columns else F.lit(baseline)
 
 
 def training_sets(features: DataFrame) -> DataFrame:
-    """Rows with the baselines they train: regular runs train two models, others one."""
-    models = F.when(F.col("profile") == "regular", F.array(F.lit("regular_only"), F.lit("mixed"))).otherwise(
-        F.array(F.lit("mixed"))
-    )
+    """Rows with the baselines they train: regular runs train two models, others one; each duration has its own."""
+    regular, mixed = (model_name(features.columns, b) for b in BASELINES)
+    models = F.when(F.col("profile") == "regular", F.array(regular, mixed)).otherwise(F.array(mixed))
     return features.withColumn("model", F.explode(models))
 
 
@@ -125,25 +137,38 @@ def average_path(n: float) -> float:
     return 2.0 * (np.log(n - 1.0) + np.euler_gamma) - 2.0 * (n - 1.0) / n
 
 
-def _grow(x: np.ndarray, rng: np.random.Generator) -> list[tuple]:
-    """Nodes of one isolation tree over the rows of ``x`` (at most ``SAMPLE``)."""
+def _draw(seed: int, tree: int, code: int) -> tuple[int, float]:
+    """Two numbers for a node, from a hash of its place: one to pick a feature, one in [0, 1) for the cut."""
+    digits = hashlib.md5(f"{seed}:{tree}:{code}".encode(), usedforsecurity=False).hexdigest()
+    return int(digits[:8], 16), int(digits[8:16], 16) / 2.0**32
+
+
+def _grow(x: np.ndarray, seed: int, tree: int) -> list[tuple]:
+    """Nodes of one isolation tree over the rows of ``x`` (at most ``SAMPLE``).
+
+    A node's code is 1 for the root, and 2c and 2c + 1 below c. The feature is drawn from
+    those with two values or more, the cut between the smallest and the largest.
+    """
     limit = int(np.ceil(np.log2(max(len(x), 2))))
     nodes: list[tuple] = []
-    todo = [(0, np.arange(len(x)), 0)]
+    todo = [(0, 1, np.arange(len(x)), 0)]
     free = 1
     while todo:
-        node, rows, depth = todo.pop()
+        node, code, rows, depth = todo.pop()
         part = x[rows]
-        low, high = (part.min(axis=0), part.max(axis=0)) if len(rows) else (None, None)
-        open_features = np.flatnonzero(high > low) if len(rows) > 1 else np.empty(0, dtype=int)
+        low, high = part.min(axis=0), part.max(axis=0)
+        open_features = np.flatnonzero(high > low)
         if depth >= limit or len(open_features) == 0:
             nodes.append((node, -1, 0.0, -1, -1, depth + average_path(len(rows))))
             continue
-        f = int(rng.choice(open_features))
-        cut = float(rng.uniform(low[f], high[f]))
+        pick, share = _draw(seed, tree, code)
+        f = int(open_features[pick % len(open_features)])
+        cut = float(low[f] + share * (high[f] - low[f]))
+        if cut >= high[f]:  # rounded up: both sides must hold a row
+            cut = float(low[f])
         left = part[:, f] <= cut
         nodes.append((node, f, cut, free, free + 1, 0.0))
-        todo += [(free, rows[left], depth + 1), (free + 1, rows[~left], depth + 1)]
+        todo += [(free, 2 * code, rows[left], depth + 1), (free + 1, 2 * code + 1, rows[~left], depth + 1)]
         free += 2
     return nodes
 
@@ -153,7 +178,7 @@ def iforest_fit(
 ) -> DataFrame:
     """Node table of one forest per model and seed.
 
-    Rows are put in the order of a hash of (row, seed), and the first ``trees * sample``
+    Rows are put in the order of a hash of row and seed, and the first ``trees * sample``
     of them make a pool; each partition keeps no more before the shuffle. Tree t takes
     ``sample`` rows of the pool from place ``t * sample`` on, starting over at its end,
     so a row meets few trees and a tree never sees more than ``sample`` rows.
@@ -165,7 +190,7 @@ def iforest_fit(
     )
     pool = W.partitionBy("model", "seed")
     placed = (
-        keyed.withColumn("_place", F.row_number().over(pool.orderBy(F.xxhash64("_key", "seed"), "_key")) - 1)
+        keyed.withColumn("_place", F.row_number().over(pool.orderBy(F.md5(F.concat_ws(":", "_key", "seed").cast("binary")), "_key")) - 1)
         .where(F.col("_place") < trees * sample)
         .withColumn("_n", F.count(F.lit(1)).over(pool))
     )
@@ -188,9 +213,8 @@ def iforest_fit(
         starts = np.flatnonzero(np.r_[True, tree[1:] != tree[:-1]])
         out = []
         for lo, hi in zip(starts, np.r_[starts[1:], len(tree)]):
-            rng = np.random.default_rng([seed, int(tree[lo])])
             unit = average_path(hi - lo) or 1.0
-            out += [(model, seed, int(tree[lo]), *node[:-1], node[-1] / unit) for node in _grow(x[lo:hi], rng)]
+            out += [(model, seed, int(tree[lo]), *node[:-1], node[-1] / unit) for node in _grow(x[lo:hi], seed, int(tree[lo]))]
         return pd.DataFrame(out, columns=["model", "seed", "tree", "node", "feature", "cut", "lo", "hi", "path"])
 
     return picked.groupBy("model", "seed", "_block").applyInPandas(build, NODE_SCHEMA)
@@ -295,7 +319,10 @@ def flagged_rate(scores: DataFrame, thresholds: DataFrame, on: list[str], by: li
 def score_baselines(
     features: DataFrame, seeds=(0,), trees: int = TREES, mode: str = "min_train", q: float = 0.05
 ) -> DataFrame:
-    """Every run under both baselines: score, threshold and flag, for each seed."""
+    """Every run under both baselines: score, threshold and flag, for each seed.
+
+    Where the features have a duration, runs train and are scored within their own.
+    """
     # features, scales, nodes and scores are small and read by several branches
     known = pin(features.where(F.col("profile").isin(*PROFILES)))
     check_training_rows(known)
@@ -303,19 +330,19 @@ def score_baselines(
     scales = pin(scale_table(train))
     nodes = pin(iforest_fit(robust_scale(train, scales), seeds=seeds, trees=trees))
     # two fixed models: every run is scored under both
-    both = known.withColumn("model", F.explode(F.array(F.lit("regular_only"), F.lit("mixed"))))
+    both = known.withColumn("model", F.explode(F.array(*(model_name(known.columns, b) for b in BASELINES))))
     scored = pin(iforest_score(robust_scale(both, scales), nodes))
-    trained = scored.where((F.col("model") == "mixed") | (F.col("profile") == "regular"))
+    trained = scored.where(F.col("model").endswith("mixed") | (F.col("profile") == "regular"))
     thr = score_threshold(trained, ["model", "seed"], mode=mode, q=q)
     return scored.join(thr, ["model", "seed"]).withColumn("flagged", F.col("score") < F.col("threshold"))
 
 
 def check_training_rows(features: DataFrame) -> None:
-    """Fail early when there is nothing to train on."""
-    row = features.agg(
-        F.count_if(F.col("profile").isin(*PROFILES)).alias("runs"),
-        F.count_if(F.col("profile") == "regular").alias("regular"),
-    ).first()
+    """Fail early when there is nothing to train on, for any duration that has runs."""
+    known = features.where(F.col("profile").isin(*PROFILES))
+    groups = ["duration"] if "duration" in features.columns else []
+    counts = known.groupBy(*groups).agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("profile") == "regular").alias("regular"))
+    row = counts.agg(F.coalesce(F.sum("runs"), F.lit(0)).alias("runs"), F.min("regular").alias("regular")).first()
     if row["runs"] == 0:
         raise ValueError("no valid rows after filtering")
     if row["regular"] < 2:

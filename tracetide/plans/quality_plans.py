@@ -73,9 +73,10 @@ def manifest_check(spark, sf):
 _GROUP_LIST = "[" + ", ".join(f"CASE WHEN (k + {i}) % 9 = 0 THEN '{g}' END" for i, g in enumerate(quality_rules.MANIFEST_GROUPS)) + "]"
 
 
-def joined_runs(spark, sf, duration="15m"):
+def joined_runs(spark, sf):
+    """All captures, each with its duration."""
     p = packets(spark, sf)
-    return anomaly.join_capture_flows(capture_summary(p), flow_metrics(p), duration)
+    return anomaly.join_capture_flows(capture_summary(p), flow_metrics(p), None)
 
 
 def run_features(spark, sf):
@@ -83,18 +84,22 @@ def run_features(spark, sf):
 
 
 def join_capture_flows(spark, sf):
+    """Valid captures of all durations, and those of an hour once more by themselves."""
     tools = decode_tool_log(tool_rows(spark, sf))
     p = packets(spark, sf)
-    j = anomaly.join_capture_flows(capture_summary(p, tools), flow_metrics(p), "1h")
-    return j.select("filename", "profile", "packets_total", "bytes_total", "flows", "median_bytes_per_flow", "median_pkts_per_flow")
+    captures, metrics = pin(capture_summary(p, tools)), pin(flow_metrics(p))
+    every = anomaly.join_capture_flows(captures, metrics, None)
+    hour = anomaly.join_capture_flows(captures, metrics, "1h").withColumn("duration", F.lit("1h only"))
+    names = ["filename", "profile", "duration", "packets_total", "bytes_total", "flows", "median_bytes_per_flow", "median_pkts_per_flow"]
+    return every.select(*names).unionByName(hour.select(*names))
 
 
 _LOGS = {"log_bytes": "bytes_total", "log_pkts": "packets_total", "log_mean_bps": "mean_bps", "log_peak_mbps": "peak_mbps_1s"}
 _LOGS2 = {"log_flows_per_min": "flows_per_min", "log_med_bytes_flow": "median_bytes_per_flow", "log_med_dur": "median_dur_s", "log_med_pkts_flow": "median_pkts_per_flow"}
 FEATURES = SUMMARY + "," + METRICS.replace("names AS (SELECT DISTINCT filename FROM packets), " + NAMED + ",", "") + """,
 j AS (SELECT s.*, flows, flows_per_min, median_bytes_per_flow, median_dur_s, median_pkts_per_flow, (tcp_pkts + greatest(udp_pkts - udp443_pkts, 0) + udp443_pkts + icmp_pkts + other_pkts)::DOUBLE AS tot
-   FROM summary s JOIN metrics m ON s.filename = m.filename WHERE s.duration_label = '15m'),
-feats AS (SELECT filename, profile, """ + ", ".join(f"round(ln(1.0::DOUBLE + {c}), 6) AS {k}" for k, c in _LOGS.items()) + """,
+   FROM summary s JOIN metrics m ON s.filename = m.filename),
+feats AS (SELECT filename, profile, CASE duration_label WHEN '1h' THEN '60m' ELSE duration_label END AS duration, """ + ", ".join(f"round(ln(1.0::DOUBLE + {c}), 6) AS {k}" for k, c in _LOGS.items()) + """,
    round(tcp_pkts / tot, 6) AS tcp_pct, round(greatest(udp_pkts - udp443_pkts, 0) / tot, 6) AS udp_pct, round(udp443_pkts / tot, 6) AS udp443_pct, round(icmp_pkts / tot, 6) AS icmp_pct, """ + ", ".join(
     f"round(ln(1.0::DOUBLE + {c}), 6) AS {k}" for k, c in _LOGS2.items()) + " FROM j)"
 
@@ -105,18 +110,67 @@ def robust_scale(spark, sf):
     return out.select("model", "filename", *anomaly.FEATURES)
 
 
-SCALED = FEATURES + """,
-tr AS (SELECT 'mixed' AS model, * FROM feats UNION ALL SELECT 'regular_only', * FROM feats WHERE profile = 'regular'),
+TRAINED = FEATURES + """,
+tr AS (SELECT duration || '/mixed' AS model, * FROM feats UNION ALL SELECT duration || '/regular_only', * FROM feats WHERE profile = 'regular'),
 sc AS (SELECT model, """ + ", ".join(
-    f"quantile_cont({f}, 0.5) AS {f}_m, quantile_cont({f}, 0.75) - quantile_cont({f}, 0.25) AS {f}_q" for f in anomaly.FEATURES) + """ FROM tr GROUP BY 1)
-SELECT model, filename, """ + ", ".join(f"round(({f} - {f}_m) / CASE WHEN {f}_q = 0 THEN 1.0 ELSE {f}_q END, 4) AS {f}" for f in anomaly.FEATURES) + " FROM tr JOIN sc USING (model)"
+    f"quantile_cont({f}, 0.5) AS {f}_m, quantile_cont({f}, 0.75) - quantile_cont({f}, 0.25) AS {f}_q" for f in anomaly.FEATURES) + """ FROM tr GROUP BY 1)"""
+_SCALED = {f: f"({f} - {f}_m) / CASE WHEN {f}_q = 0 THEN 1.0 ELSE {f}_q END" for f in anomaly.FEATURES}
+SCALED = TRAINED + " SELECT model, filename, " + ", ".join(f"round({c}, 4) AS {f}" for f, c in _SCALED.items()) + " FROM tr JOIN sc USING (model)"
+
+
+def forest_sql(features, trees: int, sample: int = anomaly.SAMPLE) -> str:
+    """CTEs of a forest over ``fit`` (model, seed, key, features) and of the scores of ``rows`` (model, seed, key, profile, features).
+
+    ``grown`` has a row for each training row and node it passes, ``nodes`` one for each node, ``scores`` one for each scored row.
+    """
+    names = ", ".join(f"f{i}" for i in range(len(features)))
+    own = ", ".join(f"{f} AS f{i}" for i, f in enumerate(features))
+    listed = "[" + names + "]"
+    wide = ", ".join(f"max(f{i}) OVER n AS h{i}, min(f{i}) OVER n AS l{i}" for i in range(len(features)))
+    opened = "list_filter([" + ", ".join(f"CASE WHEN h{i} > l{i} THEN {i + 1} END" for i in range(len(features))) + "], lambda x: x IS NOT NULL)"
+    lows, highs = ("[" + ", ".join(f"{c}{i}" for i in range(len(features))) + "]" for c in "lh")
+    path = "CASE WHEN {n} <= 1 THEN 0.0::DOUBLE WHEN {n} = 2 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * (ln({n} - 1.0::DOUBLE) + 0.5772156649015329::DOUBLE) - 2.0::DOUBLE * ({n} - 1.0::DOUBLE) / {n} END"
+    digits = "('0x' || substr(md5(seed || ':' || tree || ':' || code), {at}, 8))::BIGINT"
+    # a node's feature and cut, seen from each of its rows
+    seen = f"""SELECT *, CASE WHEN leaf THEN NULL ELSE opened[({digits.format(at=1)}) % len(opened) + 1] END AS f, {digits.format(at=9)} / 4294967296.0::DOUBLE AS share
+      FROM (SELECT *, depth >= lim OR len(opened) = 0 AS leaf FROM (SELECT *, {opened} AS opened, {lows} AS lows, {highs} AS highs
+        FROM (SELECT *, count(*) OVER n AS size, {wide} FROM {{src}} WINDOW n AS (PARTITION BY model, seed, tree, code))))"""
+    cut = "CASE WHEN lows[f] + share * (highs[f] - lows[f]) >= highs[f] THEN lows[f] ELSE lows[f] + share * (highs[f] - lows[f]) END"
+    return f"""
+placed AS (SELECT *, count(*) OVER (PARTITION BY model, seed) AS pool FROM (
+  SELECT model, seed, key, {own}, row_number() OVER (PARTITION BY model, seed ORDER BY md5(key || ':' || seed), key) - 1 AS place FROM fit) WHERE place < {trees * sample}),
+dealt AS (SELECT model, seed, t AS tree, key, {names} FROM placed, (SELECT unnest(range(0, {trees})) AS t)
+  WHERE CASE WHEN pool = {trees * sample} THEN place // {sample} = t ELSE ((place - t * {sample}) % pool + pool) % pool < {sample} END),
+sized AS (SELECT *, count(*) OVER (PARTITION BY model, seed, tree) AS total FROM dealt),
+grown AS (SELECT model, seed, tree, key, total, {names}, 1::BIGINT AS code, 0 AS depth, ceil(log2(greatest(total, 2)))::INT AS lim FROM sized
+  UNION ALL SELECT model, seed, tree, key, total, {names}, 2 * code + ({listed}[f] > {cut})::INT, depth + 1, lim FROM ({seen.format(src="grown")}) WHERE NOT leaf),
+nodes AS (SELECT DISTINCT model, seed, tree, code, f, CASE WHEN f IS NOT NULL THEN {cut} END AS cut, CASE WHEN f IS NULL THEN (depth + {path.format(n="size")}) / greatest({path.format(n="total")}, 1e-300) END AS path, total
+  FROM ({seen.format(src="grown")})),
+shaped AS (SELECT * REPLACE (CASE WHEN total <= 1 AND f IS NULL THEN 0.0 ELSE path END AS path) FROM nodes),
+falling AS (SELECT r.model, r.seed, r.key, r.profile, {", ".join(f"r.{f} AS f{i}" for i, f in enumerate(features))}, n.tree, n.code, n.f, n.cut, n.path FROM rows r JOIN shaped n ON r.model = n.model AND r.seed = n.seed AND n.code = 1
+  UNION ALL SELECT w.model, w.seed, w.key, w.profile, {", ".join(f"w.f{i}" for i in range(len(features)))}, n.tree, n.code, n.f, n.cut, n.path
+  FROM falling w JOIN shaped n ON w.model = n.model AND w.seed = n.seed AND w.tree = n.tree AND n.code = 2 * w.code + ([{", ".join(f"w.f{i}" for i in range(len(features)))}][w.f] > w.cut)::INT WHERE w.f IS NOT NULL),
+scores AS (SELECT model, seed, key, profile, -pow(2.0::DOUBLE, -avg(path)) AS score FROM falling WHERE f IS NULL GROUP BY 1, 2, 3, 4)"""
+
+
+def baselines_sql(seeds, threshold: str) -> str:
+    """CTEs of runs scored under both baselines of their duration, with thresholds and flags: ``flagged``."""
+    fit = ", ".join(f"{c} AS {f}" for f, c in _SCALED.items())
+    both = "(SELECT *, unnest([duration || '/regular_only', duration || '/mixed']) AS model FROM feats)"
+    return TRAINED + f""",
+fit AS (SELECT model, s AS seed, filename AS key, {fit} FROM tr JOIN sc USING (model), (SELECT unnest({list(seeds)})::INT AS s)),
+rows AS (SELECT model, s AS seed, filename AS key, profile, {fit} FROM {both} JOIN sc USING (model), (SELECT unnest({list(seeds)})::INT AS s)),""" + forest_sql(anomaly.FEATURES, anomaly.TREES) + f""",
+thr AS (SELECT model, seed, {threshold} AS threshold FROM scores WHERE model LIKE '%/mixed' OR profile = 'regular' GROUP BY 1, 2),
+flagged AS (SELECT model, seed, key AS filename, profile, score, threshold, score < threshold AS flagged FROM scores JOIN thr USING (model, seed))"""
 
 
 def iforest_fit(spark, sf):
     train = anomaly.training_sets(pin(run_features(spark, sf)))
     nodes = anomaly.iforest_fit(anomaly.robust_scale(train, anomaly.scale_table(train)))
-    return nodes.groupBy("model", "seed").agg(
-        F.countDistinct("tree").alias("trees"), F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("feature") < 0).alias("leaves")
+    inner = F.col("feature") >= 0
+    return nodes.groupBy("model", "seed", "tree").agg(
+        F.count(F.lit(1)).alias("nodes"), F.count_if(~inner).alias("leaves"), F.sum(F.when(inner, F.col("feature")).otherwise(0)).alias("features"),
+        F.round(F.sum("cut"), 4).alias("cuts"), F.round(F.sum("path"), 6).alias("paths"),
     )
 
 
@@ -152,20 +206,24 @@ def flagged_rate(spark, sf):
 
 
 def score_baselines(spark, sf):
-    out = anomaly.score_baselines(anomaly.run_features(joined_runs(spark, sf)))
+    out = anomaly.score_baselines(run_features(spark, sf))
     return out.select("model", "seed", "filename", "profile", F.round("score", 6).alias("score"), F.round("threshold", 6).alias("threshold"), "flagged")
 
 
 def baseline_compare(spark, sf):
-    return anomaly.baseline_compare(anomaly.score_baselines(anomaly.run_features(joined_runs(spark, sf))))
+    out = anomaly.baseline_compare(anomaly.score_baselines(run_features(spark, sf)))
+    return out.withColumns({c: F.round(c, 6) for c in ("gamer_flagged_pct", "admin_flagged_pct")})
 
 
 def seed_sweep(spark, sf):
-    feats = anomaly.run_features(joined_runs(spark, sf))
-    out = anomaly.baseline_rates(anomaly.score_baselines(feats, seeds=(0, 1, 2), mode="quantile"))
+    out = anomaly.baseline_rates(anomaly.score_baselines(run_features(spark, sf), seeds=(0, 1, 2), mode="quantile"))
     return out.withColumn("flagged_rate", F.round("flagged_rate", 6))
 
 
+def recursive(body: str) -> str:
+    return with_packets(body).replace("WITH", "WITH RECURSIVE", 1)
+
+
 QUERIES = {
     "scan_tool_log": (lambda s, d: decode_tool_log(tool_rows(s, d)), with_packets("," + TOOLS + " SELECT * EXCLUDE (c) FROM tool")),
     "qc_duration": (lambda s, d: quality_rules.qc_duration(summary_with_tools(s, d)), with_packets("," + FLAGS + " SELECT filename, duration_reason FROM flags WHERE duration_reason IS NOT NULL")),
@@ -181,17 +239,26 @@ QUERIES = {
         "SELECT run_id, len(l)::INT AS missing_groups, array_to_string(l, ',') AS missing, k % 4 > 0 AS has_checksums, len(l) = 0 AND k % 4 > 0 AS complete FROM m"),
     "join_capture_flows": (join_capture_flows, with_packets(
         "," + TOOLS + "," + METRICS + ", s AS (SELECT filename, count(*) AS packets_total, sum(frame_len)::BIGINT AS bytes_total FROM packets GROUP BY 1) "
-        "SELECT s.filename, profile, packets_total, bytes_total, flows, median_bytes_per_flow, median_pkts_per_flow FROM s JOIN metrics m USING (filename) JOIN tool t USING (filename) "
-        "WHERE duration_label = '1h' AND t.capinfos_truncated = 0 AND t.error = ''")),
+        ", a AS (SELECT s.filename, profile, CASE duration_label WHEN '1h' THEN '60m' ELSE duration_label END AS duration, packets_total, bytes_total, flows, median_bytes_per_flow, median_pkts_per_flow "
+        "FROM s JOIN metrics m USING (filename) JOIN tool t USING (filename) WHERE t.capinfos_truncated = 0 AND t.error = '') "
+        "SELECT * FROM a UNION ALL SELECT * REPLACE ('1h only' AS duration) FROM a WHERE duration = '60m'")),
     "run_features": (run_features, with_packets("," + FEATURES + " SELECT * FROM feats")),
     "robust_scale": (robust_scale, with_packets("," + SCALED)),
-    "iforest_fit": (iforest_fit, None),
-    "iforest_score": (iforest_score, None),
+    "iforest_fit": (iforest_fit, recursive(
+        "," + baselines_sql([0], "min(score)") + " SELECT model, seed, tree::INT AS tree, count(*) AS nodes, count(*) FILTER (WHERE f IS NULL) AS leaves, sum(coalesce(f - 1, 0))::BIGINT AS features, "
+        "round(sum(coalesce(cut, 0)), 4) AS cuts, round(sum(coalesce(path, 0)), 6) AS paths FROM shaped GROUP BY 1, 2, 3")),
+    "iforest_score": (iforest_score, "WITH RECURSIVE rows AS (SELECT 'all' AS model, 0 AS seed, vec_id::VARCHAR AS key, label::VARCHAR AS profile, " + ", ".join(
+        f"(((0.0::DOUBLE + embedding[{i * 4 + 1}]) + embedding[{i * 4 + 2}]) + embedding[{i * 4 + 3}]) + embedding[{i * 4 + 4}] AS d{i}" for i in range(16))
+        + " FROM embeddings), fit AS (SELECT * FROM rows)," + forest_sql([f"d{i}" for i in range(16)], 100) + " SELECT model, seed, key AS vec_id, profile, round(score, 6) AS score FROM scores"),
     "score_threshold": (score_threshold, "SELECT o_orderpriority AS model, 'min_train' AS mode, round(min(o_totalprice) - 1e-12, 6) AS threshold FROM orders GROUP BY 1 "
         "UNION ALL SELECT o_orderpriority, 'quantile', round(quantile_cont(o_totalprice, 0.05), 6) FROM orders GROUP BY 1"),
     "flagged_rate": (flagged_rate, "WITH t AS (SELECT o_orderpriority AS model, quantile_cont(o_totalprice, 0.05) AS thr FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) "
         "SELECT model, o_orderstatus AS profile, round(avg((o_totalprice < thr)::INT), 6) AS flagged_rate FROM orders JOIN t ON model = o_orderpriority GROUP BY 1, 2"),
-    "score_baselines": (score_baselines, None),
-    "baseline_compare": (baseline_compare, None),
-    "seed_sweep": (seed_sweep, None),
+    "score_baselines": (score_baselines, recursive(
+        "," + baselines_sql([0], "min(score) - 1e-12") + " SELECT model, seed, filename, profile, round(score, 6) AS score, round(threshold, 6) AS threshold, flagged FROM flagged")),
+    "baseline_compare": (baseline_compare, recursive(
+        "," + baselines_sql([0], "min(score) - 1e-12") + " SELECT model, seed, round(avg(flagged::INT * 100.0) FILTER (WHERE profile = 'gamer'), 6) AS gamer_flagged_pct, "
+        "round(avg(flagged::INT * 100.0) FILTER (WHERE profile = 'admin'), 6) AS admin_flagged_pct FROM flagged GROUP BY 1, 2")),
+    "seed_sweep": (seed_sweep, recursive(
+        "," + baselines_sql([0, 1, 2], "quantile_cont(score, 0.05)") + " SELECT model, seed, profile, count(*) AS runs, round(avg(flagged::INT), 6) AS flagged_rate FROM flagged GROUP BY 1, 2, 3")),
 }
