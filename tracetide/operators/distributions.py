@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import pin
 from .flows import unidir_flows
-from .ordered import attach_small, neighbours, numbered, packet_chunk, running_counts, second_chunk
+from .ordered import attach_small, neighbours, numbered, numbered_in_time, packet_chunk, running_counts
 from .timing import newflow_gaps, packet_gaps
 
 CAP = "filename"
@@ -59,10 +59,11 @@ def histogram(values: DataFrame, bins: dict[str, int] = BINS) -> DataFrame:
     return hit.unionByName(empty).groupBy(*KEYS, "bin").agg(F.sum("n").alias("n"))
 
 
-def raw_samples(packets: DataFrame, limit: int | None = None) -> DataFrame:
+def raw_samples(packets: DataFrame, limit: int | None = None, most: int = 1 << 20) -> DataFrame:
     """The raw lists of the report as rows with their position; with ``limit`` only the first entries of each.
 
-    Flow lists are in first-seen order, gap lists in time order.
+    Flow lists are in first-seen order, gap lists in time order. A second with more than
+    ``most`` rows is cut into smaller pieces.
     """
     flows = unidir_flows(packets)
     pairs = F.create_map(*[x for m in ("bytes", "dur_us", "packets") for x in (F.lit(m), F.col(m))])
@@ -72,7 +73,7 @@ def raw_samples(packets: DataFrame, limit: int | None = None) -> DataFrame:
 
     def by_time(rows: DataFrame, name: str, order: str, time: str) -> DataFrame:
         # the first gap needs a second row, so one row more is kept
-        head = numbered(rows.select(CAP, order, time), [CAP], [time, order], second_chunk(F.col(time)), None if limit is None else limit + 1)
+        head = numbered_in_time(rows.select(CAP, order, time), [CAP], time, order, None if limit is None else limit + 1, most)
         gaps = neighbours(head.withColumn("_pair", F.struct("pos", time)), [CAP], "pos", "_pair", packet_chunk(F.col("pos")))
         return gaps.select(
             CAP, F.lit(name).alias("metric"),

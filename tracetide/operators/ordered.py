@@ -54,6 +54,8 @@ def _chunk_totals(counts: DataFrame, keys: list[str], value: str | None = None)
 
     With ``value`` also the sum and the largest value of the group.
     """
+    if not keys:
+        return _whole_totals(counts, value)
     group = W.partitionBy(*keys)
     ahead = group.orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     aggs, whole = [F.sum("n").alias("_in_chunk")], {"_total": F.sum("_in_chunk").over(group)}
@@ -65,6 +67,30 @@ def _chunk_totals(counts: DataFrame, keys: list[str], value: str | None = None)
     return out.drop("_part", "_top")
 
 
+def _whole_totals(counts: DataFrame, value: str | None) -> DataFrame:
+    """The same for a table without groups: octaves first, then the chunks inside each octave.
+
+    There are some thousand octaves at most, whatever the number of rows. Their sums make one
+    array; chunks are only ordered within their octave.
+    """
+    worth = F.col(value) if value is not None else F.lit(0)
+    per = counts.groupBy("_chunk").agg(F.sum("n").alias("_in_chunk"), F.sum(worth * F.col("n")).alias("_part"), F.max(worth).alias("_top"))
+    per = per.withColumn("_octave", F.shiftright("_chunk", _OCTAVE_BITS + 1))
+    octaves = per.groupBy("_octave").agg(F.sum("_in_chunk").alias("c"), F.sum("_part").alias("s"), F.max("_top").alias("t"))
+    listed = octaves.agg(
+        F.array_sort(F.collect_list(F.struct(F.col("_octave").alias("o"), "c"))).alias("l"),
+        F.sum("c").alias("_total"), F.sum("s").alias("_sum"), F.max("t").alias("_max"),
+    )
+    zero = F.lit(0).cast("bigint")
+    sums = F.transform("l", lambda x, i: F.struct(
+        x["o"].alias("_octave"), F.aggregate(F.slice("l", F.lit(1), i), zero, lambda a, y: a + y["c"]).alias("_octave_before")))
+    whole = ["_total", *(["_sum", "_max"] if value is not None else [])]
+    placed = listed.select(F.inline(sums), *whole)
+    ahead = W.partitionBy("_octave").orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    inside = per.withColumn("_inner", F.coalesce(F.sum("_in_chunk").over(ahead), zero))
+    return inside.join(placed, "_octave").select("_chunk", "_in_chunk", (F.col("_octave_before") + F.col("_inner")).alias("_before"), *whole)
+
+
 def running_counts(df: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
     """Distinct values with ``n``, the cumulated count ``cum_n`` and the group's ``total_n``."""
     counts = value_counts(df, keys, value, weight).withColumn("_chunk", value_chunk(F.col(value)))
@@ -168,6 +194,36 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], chunk: Column, up
     return out.drop("_chunk", "_before")
 
 
+def numbered_in_time(
+    df: DataFrame, keys: list[str], time: str, order: str, up_to: int | None = None, most: int = 1 << 20, bits: int = PACKET_CHUNK_BITS
+) -> DataFrame:
+    """Add the 1-based position ``pos`` in the order of (time, order), both whole numbers.
+
+    Rows are cut by seconds. A second with more than ``most`` rows is cut again, by time and by
+    ranges of ``order``: it is then ordered by the counts of these cells, and no more than
+    ``2**bits`` rows of it meet. With ``up_to`` only the first positions are kept.
+    """
+    cut = df.withColumn("_chunk", second_chunk(F.col(time)))
+    per = cut.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    per = per.withColumn("_before", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
+    if up_to is not None:
+        per = per.where(F.col("_before") < up_to)
+    per = per.withColumn("_hot", F.col("_n") > most).drop("_n")
+    seen = attach_small(cut, per, [*keys, "_chunk"])
+    hot = lambda c: F.when(F.col("_hot"), c).otherwise(F.lit(0).cast("bigint"))
+    seen = seen.withColumns({"_at": hot(F.col(time)), "_range": hot(packet_chunk(F.col(order), bits))})
+    cell = [*keys, "_chunk", "_at", "_range"]
+    cells = seen.where(F.col("_hot")).groupBy(*cell).agg(F.count(F.lit(1)).alias("_m"))
+    inner = W.partitionBy(*keys, "_chunk").orderBy("_at", "_range").rowsBetween(W.unboundedPreceding, -1)
+    cells = cells.withColumn("_inner", F.coalesce(F.sum("_m").over(inner), F.lit(0))).drop("_m")
+    place = F.col("_before") + F.coalesce("_inner", F.lit(0)) + F.row_number().over(W.partitionBy(*cell).orderBy(time, order))
+    out = seen.join(cells, cell, "left").withColumn("pos", place)
+    if up_to is not None:
+        out = out.where(F.col("pos") <= up_to)
+    return out.drop("_chunk", "_before", "_hot", "_at", "_range", "_inner")
+
+
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """The first ``n`` rows of each group with their ``rank``.
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import sys
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -72,22 +73,51 @@ def _chunk_counts(seg: DataFrame, entry: str | None) -> DataFrame:
     return grouped.select(*FLOW, _fold(F.col("rows"), F.col("entry")).alias("f"), F.size("rows").alias("packets"))
 
 
+def _passages(seq: np.ndarray, size: np.ndarray, first: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers a chunk can be entered with, and the expected number on exit for each.
+
+    Every packet passes the walk on to the next one that holds the number it asks for. These
+    steps are composed with themselves until none leads further, in a logarithmic number of rounds. The first chunk
+    of a flow is entered in one way, and its first packet counts whatever it holds.
+    """
+    after = (seq + size) % WRAP
+    place = np.flatnonzero(size > 0)
+    if first:
+        place = place[place > 0]
+    m = len(seq) + 1
+    # the first later packet with a given number: packets sorted by number and place
+    keys = np.sort(seq[place] * m + place)
+
+    def holder(number: np.ndarray, behind: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(keys, number * m + behind + 1)
+        found = keys[np.minimum(at, len(keys) - 1)] if len(keys) else np.zeros_like(number)
+        return np.where((at < len(keys)) & (found // m == number), found % m, -1)
+
+    step = np.arange(len(seq))
+    if len(place):
+        to = holder(after[place], place)
+        step[place] = np.where(to >= 0, to, place)
+    while True:
+        further = step[step]
+        if (further == step).all():
+            break
+        step = further
+    if first:
+        to = holder(after[:1], np.zeros(1, dtype=np.int64))
+        last = after[step[to]] if to[0] >= 0 else after[:1]
+        return np.array([_START], dtype=np.int64), last
+    entry, at = np.unique(keys // m, return_index=True)
+    return entry, after[step[keys[at] % m]]
+
+
 def _transitions(seg: DataFrame) -> DataFrame:
     """(flow, chunk, entry, exit) for every number a chunk can be entered with."""
 
     def table(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("packet_no")
-        seq, size = pdf["seq"].tolist(), pdf["len"].tolist()
         first = pdf["chunk"].iloc[0] == pdf["first_chunk"].iloc[0]
-        exits: dict[int, int] = {}
-        for i in range(len(seq) - 1, 0 if first else -1, -1):
-            if size[i] > 0:
-                after = (seq[i] + size[i]) % WRAP
-                exits[seq[i]] = exits.get(after, after)
-        if first:
-            after = (seq[0] + size[0]) % WRAP
-            exits = {_START: exits.get(after, after)}
-        out = pd.DataFrame({"entry": list(exits.keys()), "exit": list(exits.values())}, dtype="int64")
+        entry, out = _passages(pdf["seq"].to_numpy(), pdf["len"].to_numpy(), first)
+        out = pd.DataFrame({"entry": entry, "exit": out}, dtype="int64")
         for c in [*FLOW, "chunk"]:
             out[c] = pdf[c].iloc[0]
         return out
@@ -124,11 +154,14 @@ def _visited(steps: DataFrame) -> DataFrame:
         jump = pin(jump.join(second, [*FLOW, "chunk2", "exit2"]).select(*FLOW, "chunk", "exit", F.col("c3").alias("chunk2"), F.col("e3").alias("exit2")))
 
 
-def flow_quality(packets: DataFrame, bits: int = PACKET_CHUNK_BITS) -> DataFrame:
-    """Packets, retransmissions and out-of-order segments of each directional flow."""
+def flow_quality(packets: DataFrame, bits: int = PACKET_CHUNK_BITS, long_from: int | None = None) -> DataFrame:
+    """Packets, retransmissions and out-of-order segments of each directional flow.
+
+    Flows of more than ``long_from`` packets (``2**bits`` without it) are cut.
+    """
     seg = segments(packets, bits)
     sizes = seg.groupBy(*FLOW).agg(F.min("chunk").alias("first_chunk"), F.count(F.lit(1)).alias("size"))
-    long_flows = pin(sizes.where(F.col("size") > (1 << bits)).drop("size"))
+    long_flows = pin(sizes.where(F.col("size") > (1 << bits if long_from is None else long_from)).drop("size"))
     if long_flows.isEmpty():
         counts = _chunk_counts(seg.withColumn("chunk", F.lit(_WHOLE).cast("bigint")), None)
     else:
@@ -151,9 +184,9 @@ def flow_quality(packets: DataFrame, bits: int = PACKET_CHUNK_BITS) -> DataFrame
     )
 
 
-def tcp_seq_quality(packets: DataFrame, bits: int = PACKET_CHUNK_BITS) -> DataFrame:
+def tcp_seq_quality(packets: DataFrame, bits: int = PACKET_CHUNK_BITS, long_from: int | None = None) -> DataFrame:
     """Retransmitted and out-of-order segments per capture, 0 without TCP."""
-    per = flow_quality(packets, bits).groupBy(CAP).agg(
+    per = flow_quality(packets, bits, long_from).groupBy(CAP).agg(
         F.sum("retransmissions").alias("retransmissions"), F.sum("out_of_order").alias("out_of_order")
     )
     return packets.select(CAP).distinct().join(per, CAP, "left").fillna(0)

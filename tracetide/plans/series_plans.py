@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import distributions, diversity, locality, series, tcp, timing
-from ..sources.adapter import packets, packets_with_jitter, packets_with_lost_times
+from ..operators import distributions, diversity, locality, series, sketches, tcp, timing
+from ..session import work_path
+from ..sources.adapter import packets, packets_with_jitter, packets_with_lost_times, table
 from .flow_plans import UNI, UNI_Z
 from .oracle_base import with_packets
 
@@ -98,6 +99,62 @@ def window_throughput(spark, sf):
     return series.window_throughput(_series(spark, sf)).withColumn("mean_bps", F.round("mean_bps", 6))
 
 
+def _stored(spark, sketches, label):
+    """Sketches written to the shared folder and read again, as a later day would find them."""
+    path = work_path(spark, label)
+    sketches.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+PROBS = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p95": 0.95, "p99": 0.99}
+
+
+def percentiles_sketch(spark, sf):
+    """Percentiles from stored sketches of each month, and whether each is within the stated error of its exact rank."""
+    rows = table(spark, sf, "lineitem").select("l_returnflag", F.trunc("l_shipdate", "month").alias("month"), "l_extendedprice")
+    parts = _stored(spark, sketches.quantile_sketches(rows, ["l_returnflag", "month"], "l_extendedprice"), "quantile-sketches")
+    found = sketches.approximate_percentiles(sketches.merged_quantiles(parts, ["l_returnflag"]), ["l_returnflag"], PROBS)
+    value = F.col("l_extendedprice")
+    below = [F.count_if(value < F.col(p)).alias(f"{p}_lt") for p in PROBS] + [F.count_if(value <= F.col(p)).alias(f"{p}_le") for p in PROBS]
+    ranks = rows.join(found, "l_returnflag").groupBy("l_returnflag", "n").agg(*below)
+    slack = 2 * sketches.quantile_error()
+    near = [
+        ((F.col(f"{p}_lt") / F.col("n") <= q + slack) & (F.col(f"{p}_le") / F.col("n") >= q - slack)).alias(f"{p}_near") for p, q in PROBS.items()
+    ]
+    return ranks.select("l_returnflag", "n", *near)
+
+
+def percentiles_capture_sketch(spark, sf):
+    """Packet lengths of each capture from stored sketches of each minute; a sketch of so few values is exact."""
+    p = packets(spark, sf).withColumn("minute", F.floor(F.col("ts_us") / 60_000_000))
+    parts = _stored(spark, sketches.quantile_sketches(p, ["filename", "minute"], "frame_len"), "length-sketches")
+    found = sketches.approximate_percentiles(sketches.merged_quantiles(parts, ["filename"]), ["filename"], {"p50": 0.5, "p95": 0.95})
+    ranked = p.join(found, "filename").groupBy("filename", "n").agg(*(
+        F.count_if(F.col("frame_len") < F.col(c)).alias(f"{c}_lt") for c in ("p50", "p95")), *(F.count_if(F.col("frame_len") <= F.col(c)).alias(f"{c}_le") for c in ("p50", "p95")))
+    slack = 2 * sketches.quantile_error()
+    return ranked.select("filename", "n", *(((F.col(f"{c}_lt") / F.col("n") <= q + slack) & (F.col(f"{c}_le") / F.col("n") >= q - slack)).alias(f"{c}_near") for c, q in (("p50", 0.5), ("p95", 0.95))))
+
+
+def dst_diversity_sketch(spark, sf):
+    """Exact destinations of each capture, and whether the merged sketches of its minutes come near."""
+    p = packets(spark, sf).withColumn("minute", F.floor(F.col("ts_us") / 60_000_000))
+    parts = _stored(spark, sketches.distinct_sketches(p.where(F.col("src").isNotNull() & F.col("dst").isNotNull()), ["filename", "minute"], "dst"), "distinct-sketches")
+    found = sketches.approximate_distinct(sketches.merged_distinct(parts, ["filename"]), ["filename"])
+    exact = diversity.dst_diversity(p).select("filename", "unique_dst_ips")
+    off = F.abs(F.coalesce("approx_distinct", F.lit(0)) - F.col("unique_dst_ips"))
+    return exact.join(found, "filename", "left").select("filename", "unique_dst_ips", (off <= 4 * sketches.distinct_error() * F.col("unique_dst_ips")).alias("near"))
+
+
+def distinct_parts_sketch(spark, sf):
+    """The same over many values: parts of each ship mode, by merged sketches of each month."""
+    rows = table(spark, sf, "lineitem").select("l_returnflag", F.trunc("l_shipdate", "month").alias("month"), "l_orderkey")
+    parts = _stored(spark, sketches.distinct_sketches(rows, ["l_returnflag", "month"], "l_orderkey"), "distinct-sketches")
+    found = sketches.approximate_distinct(sketches.merged_distinct(parts, ["l_returnflag"]), ["l_returnflag"])
+    exact = rows.groupBy("l_returnflag", "l_orderkey").agg(F.lit(1).alias("one")).groupBy("l_returnflag").agg(F.count("one").alias("orders"))
+    off = F.abs(F.col("approx_distinct") - F.col("orders"))
+    return exact.join(found, "l_returnflag").select("l_returnflag", "orders", (off <= 4 * sketches.distinct_error() * F.col("orders")).alias("near"))
+
+
 def outbound_ports(spark, sf):
     p = packets(spark, sf)
     return locality.outbound_ports(p, locality.local_ip(p))
@@ -115,8 +172,28 @@ SELECT filename, coalesce(sum(re), 0)::BIGINT AS retransmissions, coalesce(sum(o
 FROM (SELECT DISTINCT filename FROM packets) LEFT JOIN ends USING (filename) GROUP BY 1"""
 
 
+RAW = (
+    ", r AS (SELECT filename, bytes, dur_us, packets, row_number() OVER (PARTITION BY filename ORDER BY first_no) AS pos FROM unidir), "
+        "g AS (SELECT filename, ts_us - lag(ts_us) OVER w AS v, row_number() OVER w - 1 AS pos FROM packets_z WHERE ts_us > 0 WINDOW w AS (PARTITION BY filename ORDER BY ts_us, packet_no)), "
+        "h AS (SELECT filename, seen_us - lag(seen_us) OVER w AS v, row_number() OVER w - 1 AS pos FROM unidir WINDOW w AS (PARTITION BY filename ORDER BY seen_us, first_no)), "
+        "u AS (SELECT filename, 'bytes' AS metric, bytes AS value, pos FROM r UNION ALL SELECT filename, 'dur_us', dur_us, pos FROM r UNION ALL SELECT filename, 'packets', packets, pos FROM r "
+        "UNION ALL SELECT filename, 'pkt_gap_us', v, pos FROM g WHERE pos > 0 UNION ALL SELECT filename, 'newflow_gap_us', v, pos FROM h WHERE pos > 0) SELECT * FROM u"
+)
+
+
+def packets_in_few_moments(spark, sf):
+    """Packets whose clock ticks once a minute: many share a time."""
+    p = packets(spark, sf)
+    return p.withColumn("ts_us", F.floor(F.col("ts_us") / 60_000_000) * 60_000_000 + F.col("k") % 2)
+
+
 QUERIES = {
     "tcp_seq_quality": (lambda s, d: tcp.tcp_seq_quality(packets(s, d)), with_packets("," + TCP).replace("WITH", "WITH RECURSIVE", 1)),
+    "tcp_seq_quality_chunked": (lambda s, d: tcp.tcp_seq_quality(packets(s, d), bits=7, long_from=1), with_packets("," + TCP).replace("WITH", "WITH RECURSIVE", 1)),
+    "percentiles_sketch": (percentiles_sketch, "SELECT l_returnflag, count(*) AS n, " + ", ".join(f"true AS {p}_near" for p in PROBS) + " FROM lineitem GROUP BY 1"),
+    "percentiles_capture_sketch": (percentiles_capture_sketch, with_packets("SELECT filename, count(*) AS n, true AS p50_near, true AS p95_near FROM packets GROUP BY 1")),
+    "dst_diversity_sketch": (dst_diversity_sketch, with_packets("SELECT filename, count(DISTINCT dst) AS unique_dst_ips, true AS near FROM packets GROUP BY 1")),
+    "distinct_sketch": (distinct_parts_sketch, "SELECT l_returnflag, count(DISTINCT l_orderkey) AS orders, true AS near FROM lineitem GROUP BY 1"),
     "iat_capture_order": (lambda s, d: timing.iat_capture_order(packets_with_jitter(s, d)),
                           with_packets("," + CAPTURE_GAPS.replace("{src}", "packets_j") + GAP_STATS)),
     "gap_count": (lambda s, d: timing.gap_count(packets(s, d)), with_packets(
@@ -162,12 +239,9 @@ QUERIES = {
         "THEN 60 ELSE 80 END AS bins FROM vals GROUP BY 1, 2), b AS (SELECT filename, metric, CASE WHEN hi > lo THEN least(((value - lo) * bins) // (hi - lo), bins - 1) "
         "ELSE bins // 2 END AS bin, count(*) AS n FROM vals JOIN e USING (filename, metric) GROUP BY 1, 2, 3), a AS (SELECT filename, metric, unnest(range(0, bins)) AS bin FROM e) "
         "SELECT filename, metric, bin, coalesce(n, 0) AS n FROM a LEFT JOIN b USING (filename, metric, bin)")),
-    "raw_samples": (lambda s, d: distributions.raw_samples(packets_with_lost_times(s, d)), with_packets(
-        "," + UNI_Z + ", r AS (SELECT filename, bytes, dur_us, packets, row_number() OVER (PARTITION BY filename ORDER BY first_no) AS pos FROM unidir), "
-        "g AS (SELECT filename, ts_us - lag(ts_us) OVER w AS v, row_number() OVER w - 1 AS pos FROM packets_z WHERE ts_us > 0 WINDOW w AS (PARTITION BY filename ORDER BY ts_us, packet_no)), "
-        "h AS (SELECT filename, seen_us - lag(seen_us) OVER w AS v, row_number() OVER w - 1 AS pos FROM unidir WINDOW w AS (PARTITION BY filename ORDER BY seen_us, first_no)), "
-        "u AS (SELECT filename, 'bytes' AS metric, bytes AS value, pos FROM r UNION ALL SELECT filename, 'dur_us', dur_us, pos FROM r UNION ALL SELECT filename, 'packets', packets, pos FROM r "
-        "UNION ALL SELECT filename, 'pkt_gap_us', v, pos FROM g WHERE pos > 0 UNION ALL SELECT filename, 'newflow_gap_us', v, pos FROM h WHERE pos > 0) SELECT * FROM u")),
+    "raw_samples": (lambda s, d: distributions.raw_samples(packets_with_lost_times(s, d)), with_packets("," + UNI_Z + RAW)),
+    "raw_samples_hot": (lambda s, d: distributions.raw_samples(packets_in_few_moments(s, d), most=8), with_packets(
+        ", packets_m AS (SELECT * REPLACE (ts_us // 60000000 * 60000000 + k % 2 AS ts_us) FROM packets)," + UNI.replace("FROM packets ", "FROM packets_m ") + RAW.replace("packets_z", "packets_m"))),
     "local_ip": (lambda s, d: locality.local_ip(packets(s, d)), with_packets("," + LOCAL + " SELECT * FROM local")),
     "outbound_ports": (outbound_ports, with_packets(
         "," + LOCAL + ", o AS (SELECT p.filename, p.is_tcp, p.dport FROM packets p JOIN best b ON p.filename = b.filename AND p.src = b.local_ip AND p.packet_no >= b.known_from_no "

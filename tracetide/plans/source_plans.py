@@ -135,8 +135,34 @@ def stream_flow_activity(spark, sf):
     return live.drain(live.flow_activity(live.event_stream(spark, sf)), mode="append", label="activity")
 
 
+def stream_flow_activity_steps(spark, sf):
+    """The same where packets come in four parts, in order of time, and the stream starts again for each of them."""
+    p = packets(spark, sf)
+    inbox, folder = work_path(spark, "packet-parts"), work_path(spark, "activity-steps")
+    # seconds since the first packet of all at which a part ends
+    ends = [120, 600, 1800, None]
+    start = 1_704_067_200
+    begin, out = 0, None
+    for end in ends:
+        seconds = F.col("ts_us") / 1_000_000 - start
+        part = p.where((seconds >= begin) & (F.lit(True) if end is None else seconds < end))
+        part.write.mode("append").parquet(inbox)
+        stream = live.with_event_time(spark.readStream.schema(p.schema).parquet(inbox))
+        out = live.drain(live.flow_activity(stream), mode="append", folder=folder)
+        begin = end
+    return out
+
+
 #: The watermark after the last row: its time in milliseconds less ten minutes.
 CLOSED = "((SELECT max(ts_us) FROM packets) // 1000 - 600000) * 1000"
+ACTIVITY = with_packets("""
+        , f AS (SELECT filename, CASE proto_num WHEN 6 THEN 'tcp' ELSE 'udp' END AS proto, src < dst OR (src = dst AND sport <= dport) AS o, src, dst, sport, dport, ts_us, frame_len
+          FROM packets WHERE proto_num IN (6, 17) AND sport IS NOT NULL),
+        g AS (SELECT filename, proto, CASE WHEN o THEN src ELSE dst END AS ip1, (CASE WHEN o THEN sport ELSE dport END)::INT AS port1, CASE WHEN o THEN dst ELSE src END AS ip2,
+          (CASE WHEN o THEN dport ELSE sport END)::INT AS port2, ts_us, frame_len FROM f),
+        h AS (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER w > 30000000 THEN 1 ELSE 0 END AS n FROM g WINDOW w AS (PARTITION BY filename, proto, ip1, port1, ip2, port2 ORDER BY ts_us)),
+        i AS (SELECT *, sum(n) OVER (PARTITION BY filename, proto, ip1, port1, ip2, port2 ORDER BY ts_us) AS s FROM h)
+        SELECT filename, proto, ip1, port1, ip2, port2, sum(frame_len)::BIGINT AS bytes, count(*) AS packets, min(ts_us) AS first_us, max(ts_us) AS last_us FROM i GROUP BY filename, proto, ip1, port1, ip2, port2, s HAVING max(ts_us) + 30000000 <= """ + CLOSED)
 QUERIES = {
     "scan_packets": (scan_packets, with_packets("," + EXPORTED)),
     "scan_packet_fields": (scan_packet_fields, with_packets("," + COUNTER)),
@@ -150,12 +176,6 @@ QUERIES = {
     "stream_window_throughput": (stream_window_throughput, with_packets(
         "SELECT filename, (ts_us // 300000000) * 300000000 AS start_us, sum(frame_len)::BIGINT AS bytes, count(*) AS packets, "
         f"round(sum(frame_len)::BIGINT * 8.0::DOUBLE / 300, 6) AS mean_bps FROM packets GROUP BY 1, 2 HAVING start_us + 300000000 <= {CLOSED}")),
-    "stream_flow_activity": (stream_flow_activity, with_packets("""
-        , f AS (SELECT filename, CASE proto_num WHEN 6 THEN 'tcp' ELSE 'udp' END AS proto, src < dst OR (src = dst AND sport <= dport) AS o, src, dst, sport, dport, ts_us, frame_len
-          FROM packets WHERE proto_num IN (6, 17) AND sport IS NOT NULL),
-        g AS (SELECT filename, proto, CASE WHEN o THEN src ELSE dst END AS ip1, (CASE WHEN o THEN sport ELSE dport END)::INT AS port1, CASE WHEN o THEN dst ELSE src END AS ip2,
-          (CASE WHEN o THEN dport ELSE sport END)::INT AS port2, ts_us, frame_len FROM f),
-        h AS (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER w > 30000000 THEN 1 ELSE 0 END AS n FROM g WINDOW w AS (PARTITION BY filename, proto, ip1, port1, ip2, port2 ORDER BY ts_us)),
-        i AS (SELECT *, sum(n) OVER (PARTITION BY filename, proto, ip1, port1, ip2, port2 ORDER BY ts_us) AS s FROM h)
-        SELECT filename, proto, ip1, port1, ip2, port2, sum(frame_len)::BIGINT AS bytes, count(*) AS packets, min(ts_us) AS first_us, max(ts_us) AS last_us FROM i GROUP BY filename, proto, ip1, port1, ip2, port2, s HAVING max(ts_us) + 30000000 <= """ + CLOSED)),
+    "stream_flow_activity": (stream_flow_activity, ACTIVITY),
+    "stream_flow_activity_steps": (stream_flow_activity_steps, ACTIVITY),
 }

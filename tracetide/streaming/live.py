@@ -46,23 +46,42 @@ def flow_activity(packets: DataFrame, gap_s: int = 30, lateness: str = LATENESS)
     ).drop("w")
 
 
-def drain(stream: DataFrame, mode: str = "complete", label: str = "stream") -> DataFrame:
+#: Sessions of one flow are merged in each task before they meet, so a flow with most of the packets moves as few rows.
+MERGE_FIRST = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+
+
+def drain(
+    stream: DataFrame, mode: str = "complete", label: str = "stream", folder: str | None = None, counts: dict[str, int] | None = None
+) -> DataFrame:
     """Run a stream over what is there now and return its result table.
 
     In complete mode each batch holds the whole result and replaces the last one;
-    in append mode closed rows are added.
+    in append mode closed rows are added. With ``folder`` a later call goes on from the
+    checkpoint that an earlier one left there. ``counts`` gets the number of
+    ``batches`` with data, and of ``late`` rows that came behind the watermark.
     """
     spark = stream.sparkSession
-    out, state = work_path(spark, label), work_path(spark, f"{label}-state")
+    folder = folder or work_path(spark, label)
+    out, state = f"{folder}/out", f"{folder}/state"
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         # a batch that is run again writes the same folder again
         target = f"{out}/batch={0 if mode == 'complete' else batch_id}"
         batch.write.mode("overwrite").parquet(target)
 
-    query = (
-        stream.writeStream.outputMode(mode).foreachBatch(keep)
-        .option("checkpointLocation", state).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    before = spark.conf.get(MERGE_FIRST, None)
+    spark.conf.set(MERGE_FIRST, "true")
+    try:
+        query = (
+            stream.writeStream.outputMode(mode).foreachBatch(keep)
+            .option("checkpointLocation", state).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.unset(MERGE_FIRST) if before is None else spark.conf.set(MERGE_FIRST, before)
+    if counts is not None:
+        for progress in query.recentProgress:
+            counts["batches"] = counts.get("batches", 0) + (progress["numInputRows"] > 0)
+            dropped = sum(o["numRowsDroppedByWatermark"] for o in progress["stateOperators"])
+            counts["late"] = counts.get("late", 0) + dropped
     return spark.read.schema(stream.schema).parquet(out).drop("batch")
