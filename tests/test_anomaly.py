@@ -66,3 +66,27 @@ def test_thresholds_and_training_checks(spark):
         anomaly.check_training_rows(few)
     with pytest.raises(ValueError, match="no valid"):
         anomaly.check_training_rows(few.where("false"))
+
+
+def test_each_duration_trains_its_own_models(spark):
+    rnd = random.Random(2)
+    rows = [
+        {"filename": f"{p}{d}{i}", "profile": p, "duration": d, **{f: rnd.gauss(0 if d == "5m" else 100, 1) for f in anomaly.FEATURES}}
+        for p in ("regular", "gamer") for d in ("5m", "60m") for i in range(4)
+    ]
+    df = spark.createDataFrame(rows)
+    out = anomaly.score_baselines(df, trees=20).collect()
+    assert {r["model"] for r in out} == {f"{d}/{b}" for d in ("5m", "60m") for b in anomaly.BASELINES}
+    assert all(("5m" in r["filename"]) == r["model"].startswith("5m/") for r in out) and len(out) == 32
+    with pytest.raises(ValueError, match="not enough"):
+        anomaly.score_baselines(df.where("NOT (duration = '60m' AND profile = 'regular')"))
+
+
+def test_cuts_leave_rows_on_both_sides():
+    import numpy as np
+
+    x = np.array([[1.0, 5.0], [np.nextafter(1.0, 2.0), 5.0], [1.0, 5.0]])
+    for tree in range(40):
+        nodes = anomaly._grow(x, 1, tree)
+        assert len(nodes) == 3 and nodes[0][1] == 0 and nodes[0][2] == 1.0
+    assert anomaly._grow(x[:1], 1, 0) == [(0, -1, 0.0, -1, -1, 0.0)]

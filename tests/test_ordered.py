@@ -84,3 +84,33 @@ def test_top_n_limits_before_the_shuffle(spark):
     top = ordered.top_n(df, ["g"], [F.desc("id")], 2)
     assert sorted(r["id"] for r in top.collect()) == [994, 995, 996, 997, 998, 999]
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranks_of_a_whole_table_need_no_single_window(spark):
+    rnd = random.Random(11)
+    values = [rnd.choice([rnd.randint(-50, 50), rnd.randint(-(10**9), 10**9), rnd.random()]) for _ in range(3000)]
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    out = ordered.exact_percentiles(df, [], "v", {"a": 0.25, "b": 0.999})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not any("Window" in line and "partitionSpec=[]" in line for line in plan.splitlines()) and "Window [" in plan
+    row = out.first()
+    want = sorted(map(float, values))
+    for name, p in (("a", 0.25), ("b", 0.999)):
+        at = (len(want) - 1) * p
+        lo = int(at)
+        assert abs(row[name] - (want[lo] + (want[min(lo + 1, len(want) - 1)] - want[lo]) * (at - lo))) < 1e-6
+    assert row["n"] == 3000
+    assert ordered.exact_percentiles(df.where("false"), [], "v", {"a": 0.5}).first()["a"] is None
+
+
+def test_places_in_a_second_that_holds_everything(spark):
+    """Equal times, and few times, with cells of four rows: the order is that of (time, number)."""
+    rnd = random.Random(5)
+    for times in ([7_000_000], [7_000_000, 7_000_001, 7_999_999, 8_000_000, 3]):
+        rows = [("c", rnd.choice(times), i) for i in range(200)] + [("d", 1, 5)]
+        df = spark.createDataFrame(rows, "g string, t long, i long").repartition(5)
+        want = {(g, i): k + 1 for g in "cd" for k, (_, i) in enumerate(sorted((t, i) for h, t, i in rows if h == g))}
+        out = ordered.numbered_in_time(df, ["g"], "t", "i", most=10, bits=2)
+        assert {(r.g, r.i): r.pos for r in out.collect()} == want and sorted(out.columns) == ["g", "i", "pos", "t"]
+        head = ordered.numbered_in_time(df, ["g"], "t", "i", up_to=13, most=10, bits=2)
+        assert {(r.g, r.i): r.pos for r in head.collect()} == {k: v for k, v in want.items() if v <= 13}

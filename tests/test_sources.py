@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tracetide.operators import captures, flows
+from tracetide.operators import captures, diversity, flows
 from tracetide.sources import logs, sinks
 from tracetide.sources.packets import scan_captures, scan_packet_fields, scan_packets
 
@@ -150,3 +150,52 @@ def test_summary_normalisation(spark, tmp_path):
     (tmp_path / "f.csv").write_text(head + "\nn,admin,1h,60,1,3600.5,,,12,0.2,,x,3,,/p\n")
     r = logs.scan_summaries(spark, str(tmp_path), "flows").first()
     assert (r["duration_label"], r["capinfos_truncated"], r["error"], r["flows"], r["median_bytes_per_flow"], r["median_dur_s"]) == ("60m", 0, "", 12, None, None)
+
+
+TABLE = """
+=====================================
+| IO Statistics                     |
+| Duration: 12.5 secs               |
+| Interval | Frames |     Bytes     |
+|-----------------------------------|
+|  0 <> 10 |  1,024 |    1,234,567  |
+| 10 <> 12 |     20 |        9,000  |
+=====================================
+"""
+
+
+def test_statistics_tables(spark):
+    rows = [
+        ("ok", 0, TABLE, ""), ("cut", 2, TABLE, "x: The file appears to have been cut short in the middle of a packet.\n"), ("bad", 1, "", " broken \n"),
+        ("none", 0, "| 5 |\nno table", ""), ("null", 0, None, None), ("crlf", 0, "|1 <> 2|7|900|\r\n", None),
+    ]
+    runs = spark.createDataFrame(rows, "filename string, exit_code int, stdout string, stderr string")
+    totals = {r.filename: tuple(r)[1:] for r in logs.decode_io_totals(runs).collect()}
+    assert totals == {
+        "ok": (1024, 1234567, ""), "cut": (None, None, "tshark_truncated(io,stat,0)"), "bad": (None, None, "tshark_io_stat_0_failed(exit=1): broken"),
+        "none": (None, None, "tshark_io_stat_0_parse_failed"), "null": (None, None, "tshark_io_stat_0_parse_failed"), "crlf": (7, 900, ""),
+    }
+    peaks = {r.filename: tuple(r)[1:] for r in logs.decode_io_peaks(runs).collect()}
+    assert peaks["ok"] == (1234567 * 8 / 1e6, "") and peaks["cut"] == (None, "tshark_truncated(io,stat,1)") and peaks["none"] == (None, "")
+    one = spark.createDataFrame([("bad", 1, 5, 60), ("none", 1, 5, 40)], "filename string, packet_no long, ts_us long, frame_len long")
+    chain = {r.filename: tuple(r)[1:] for r in captures.capture_totals(one, logs.decode_io_totals(runs)).collect()}
+    assert chain["bad"] == (1, 60, "tshark_frame_len", "tshark_io_stat_0_failed(exit=1): broken") and chain["ok"][2] == "tshark_io_stat"
+    assert chain["cut"] == (0, 0, "error", "tshark_truncated(io,stat,0) | tshark_frame_len_parse_failed")
+
+
+def test_both_layers_of_a_tunnel_count(spark, tmp_path):
+    """A TCP packet inside UDP: each layer has its ports; equal hashes are duplicates."""
+    head = ["frame.time_epoch", "frame.len", "frame.cap_len", "ip.src", "ip.dst", "ip.proto", "tcp.srcport", "tcp.dstport", "udp.srcport", "udp.dstport", "frame.md5_hash"]
+    lines = [
+        quoted(*head), quoted("1.0", "900", "96", "a", "b", "17,6", "50", "80", "51", "443", "AA"), quoted("1.1", "900", "96", "a", "b", "6", "50", "443", "", "", "aa"),
+        quoted("1.2", "50", "50", "a", "b", "17", "", "", "53", "443", "bb"), quoted("1.3", "50", "50", "a", "b", "1", "", "", "", "", ""), quoted("1.4", "50", "50", "a", "b", "1", "", "", "", "", ""),
+    ]
+    (tmp_path / "c.csv").write_text("\n".join(lines) + "\n")
+    p = scan_packet_fields(spark, str(tmp_path))
+    counts = captures.proto_counts(p).first()
+    assert (counts.tcp_pkts, counts.udp_pkts, counts.icmp_pkts, counts.udp443_pkts, counts.tcp443_pkts) == (2, 2, 2, 2, 1)
+    top = captures.top_dst_port(p).first()
+    assert (top.top_udp_dport, top.top_udp_dport_pkts, top.top_tcp_dport, top.top_tcp_dport_pkts) == (443, 2, 80, 1)
+    assert captures.packet_size_stats(p).first().max_bytes == 96
+    dup = diversity.duplicate_packets(p).first()
+    assert (dup.total, dup.duplicates) == (5, 1)

@@ -42,3 +42,19 @@ def test_sessions_split_only_beyond_the_gap(spark):
     df = spark.createDataFrame(rows, "filename string, proto_num int, src string, dst string, sport int, dport int, ts_us long, frame_len long")
     got = live.flow_activity(live.with_event_time(df)).orderBy("first_us").collect()
     assert [(r["first_us"], r["last_us"], r["packets"]) for r in got] == [(0, 30 * s, 2), (61 * s, 61 * s, 1)]
+
+
+def test_a_restart_goes_on_and_late_rows_are_counted(spark, tmp_path):
+    """Four batches in three runs over one checkpoint; a row behind the watermark is dropped and told."""
+    s, path, folder = 1_000_000, str(tmp_path / "in"), str(tmp_path / "run")
+    schema = "filename string, proto_num int, src string, dst string, sport int, dport int, ts_us long, frame_len long"
+    row = lambda t: ("c", 6, "a", "b", 1, 2, t * s, 10)
+    counts, got = {}, None
+    for times in ([[0, 20], [45]], [[2000, 2010]], [[10, 2030, 4000]]):
+        for part in times:
+            spark.createDataFrame([row(t) for t in part], schema).coalesce(1).write.mode("append").parquet(path)
+        raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+        got = live.drain(live.flow_activity(live.with_event_time(raw)), mode="append", folder=folder, counts=counts)
+    assert sorted((r["first_us"] // s, r["last_us"] // s, r["packets"]) for r in got.collect()) == [(0, 45, 3), (2000, 2030, 3)]
+    assert counts == {"batches": 4, "late": 1}
+    assert spark.conf.get(live.MERGE_FIRST, None) in (None, "false")

@@ -62,3 +62,32 @@ def test_literal_cases(spark):
     ]
     got = {r["filename"]: (r["retransmissions"], r["out_of_order"]) for r in tcp.tcp_seq_quality(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {"a": (1, 1), "b": (0, 0)}
+
+
+def _passages_by_walk(seq, size, first):
+    out = {}
+    for entry in [None] if first else sorted({s for s, n in zip(seq, size, strict=True) if n > 0}):
+        at = entry
+        for i, (s, n) in enumerate(zip(seq, size, strict=True)):
+            if (first and i == 0) or (n > 0 and s == at):
+                at = (s + n) % 2**32
+        out[-1 if entry is None else entry] = at
+    return out
+
+
+def test_composed_steps_equal_a_walk():
+    import numpy as np
+
+    rnd = random.Random(3)
+    for _ in range(400):
+        n = rnd.randint(1, 30)
+        seq, size = [rnd.choice([0, 5, 10, 15, 20, 2**32 - 5]) for _ in range(n)], [rnd.choice([0, 5, 5, 10]) for _ in range(n)]
+        for first in (True, False):
+            entry, out = tcp._passages(np.array(seq), np.array(size), first)
+            assert dict(zip(entry.tolist(), out.tolist(), strict=True)) == _passages_by_walk(seq, size, first)
+
+
+def test_long_path_by_its_own_threshold(spark):
+    rows = _rows(7)
+    got = tcp.flow_quality(spark.createDataFrame(rows, SCHEMA), bits=6, long_from=3).collect()
+    assert {(r["filename"], r["src"]): [r["packets"], r["retransmissions"], r["out_of_order"]] for r in got} == _walk(rows)
