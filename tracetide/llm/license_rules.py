@@ -1,6 +1,6 @@
-"""Licence signatures: one line for each licence, from which the ordered rules are made.
+"""Licence signatures: sentences of licence texts, and one line for each licence, from which the ordered rules are made.
 
-A line names the licence's label, a word that any of its signatures contains, a pattern of its name in running text, its
+A sentence is a rule of its own: a label, a word that it contains, and a pattern. A line names the licence's label, a word that any of its signatures contains, a pattern of its name in running text, its
 short identifier, and an address under which it is published. Patterns are written for lower-case text and keep to what
 every regular-expression engine reads alike.
 """
@@ -77,6 +77,63 @@ busl-1.1|business source|business source licen[cs]e(?:,? (?:version |v)?1\.1)?|b
 openrail|rail|(?:creativeml |bigscience )?open ?rail(?:-m| licen[cs]e)|openrail|bigscience\.huggingface\.co/blog/the-bigscience-rail-license
 """
 
+#: label | keyword | pattern of a sentence of the licence's own text; a blank stands for any white space
+_TEXTS = r"""
+mit|hereby granted|permission is hereby granted,? free of charge,? to any person obtaining a copy of this software
+mit|without restriction|to deal in the software without restriction,? including without limitation the rights
+ncsa|without restriction|to deal with the software without restriction,? including without limitation the rights
+boost-1|hereby granted|permission is hereby granted,? free of charge,? to any person or organization obtaining a copy of the software and accompanying documentation
+bsd|redistribution|redistribution and use in source and binary forms,? with or without modification,? are permitted
+bsd-2-clause|redistributions|redistributions of source code must retain the above copyright notice,? this list of conditions
+bsd-3-clause|endorse|neither the name of [^.]{1,80} nor the names of its contributors may be used to endorse or promote
+bsd-4-clause|advertising materials|all advertising materials mentioning features or use of this software must display
+isc|hereby granted|permission to use,? copy,? modify,? and(?:/or)? distribute this software for any purpose with or without fee is hereby granted
+hpnd|hereby granted|permission to use,? copy,? modify,? and distribute this software and its documentation for any purpose and without fee is hereby granted
+postgresql|hereby granted|permission to use,? copy,? modify,? and distribute this software and its documentation for any purpose,? without fee,? and without a written agreement is hereby granted
+w3c|hereby granted|permission to copy,? modify,? and distribute this (?:work|software and its documentation),? with or without modification,? for any purpose and without fee or royalty is hereby granted
+x11|advertising|except as contained in this notice,? the (?:name|names) of [^.]{1,80} shall not be used in advertising or otherwise to promote the sale
+apache-2|except in compliance|you may not use this file except in compliance with the license
+apache-2|applicable law|unless required by applicable law or agreed to in writing,? software distributed under the license is distributed on an
+apache-1.1|apache software foundation|this product includes software developed by the apache software foundation
+gpl|free software|this program is free software[:;] you can redistribute it and/or modify it under the terms of the gnu general public license
+gpl-2|any later version|either version 2 of the license,? or \(at your option\) any later version
+gpl-3|any later version|either version 3 of the license,? or \(at your option\) any later version
+gpl|general public license|you should have received a copy of the gnu general public license along with
+gpl|license document|everyone is permitted to copy and distribute verbatim copies of this license document,? but changing it is not allowed
+lgpl|free software|this library is free software[:;] you can redistribute it and/or modify it under the terms of the gnu (?:lesser|library) general public license
+lgpl|general public license|you should have received a copy of the gnu (?:lesser|library) general public license along with
+agpl-3|affero|under the terms of the gnu affero general public license as published by the free software foundation
+gfdl-1.3|free documentation|permission is granted to copy,? distribute and/or modify this document under the terms of the gnu free documentation license
+mpl-1.1|mozilla|the contents of this file are subject to the mozilla public license version 1\.1
+mpl-2|mozilla|this source code form is subject to the terms of the mozilla public license,? v\. 2\.0
+epl-1|eclipse|are made available under the terms of the eclipse public license v1\.0
+epl-2|eclipse|are made available under the terms of the eclipse public license(?: v\.?)? 2\.0
+cddl-1|development and distribution|the contents of this file are subject to the terms of the common development and distribution license
+zlib|held liable|in no event will the authors be held liable for any damages arising from the use of this software
+zlib|plainly marked|altered source versions must be plainly marked as such,? and must not be misrepresented as being the original software
+unlicense|unencumbered|this is free and unencumbered software released into the public domain
+wtfpl|license document|copies of this license document,? and changing it is allowed as long as the name is changed
+cc0-1|neighboring rights|waived all copyright and related or neighboring rights
+public-domain|public domain|copyright holder of this work,? (?:hereby )?release (?:it|this work) into the public domain
+artistic-1|package may be copied|the intent of this document is to state the conditions under which a package may be copied
+perl|terms as perl|you can redistribute it and/or modify it under the same terms as perl itself
+python-2|python software foundation|this license agreement is between the python software foundation
+php-3|php software|this product includes php software,? freely available from
+openssl|openssl project|this product includes software developed by the openssl project for use in the openssl toolkit
+ofl-1.1|font software|this font software is licensed under the sil open font license
+ofl-1.1|embedded|can be bundled,? embedded,? redistributed and/or sold with any software
+ms-pl|accompanying software|this license governs use of the accompanying software\. if you use the software,? you accept this license
+eupl-1.2|eupl|licensed under the eupl(?:,| version| v|\b)
+odbl-1|open database|this [^.]{1,40} is made available under the open database license
+pddl-1|dedication|is made available under the public domain dedication and license
+sspl-1|as a service|if you make the functionality of the program or a modified version available to third parties as a service
+busl-1.1|non-production|the right to copy,? modify,? create derivative works,? redistribute,? and make non-production use of the licensed work
+elastic-2|managed service|you may not provide the software to third parties as a hosted or managed service
+cecill-2|cecill|governed by the cecill(?:-[bc])? license under french law
+vim|copies of vim|there are no restrictions on distributing unmodified copies of vim
+beerware|retain this notice|as long as you retain this notice you can do whatever you want with this stuff
+"""
+
 #: How a line's parts become rules: kind, priority, confidence, pattern.
 _FORMS = (
     ("identifier", 4, 0.99, r"spdx-license-identifier:[ \t]*{identifier}"),
@@ -85,7 +142,14 @@ _FORMS = (
     ("name", 1, 0.6, r"{name}"),
 )
 #: Where none of these occurs, no rule can match.
-GATES = ("licen", "spdx", "cc by", "cc-by", "cc0", "creative", "public domain", "terms as perl", ".org/", ".net/", ".com/", ".co/", ".eu/", ".info/", "rail", "wtfpl", "no attribution")
+GATES = (
+    "licen", "spdx", "cc by", "cc-by", "cc0", "creative", "public domain", "terms as perl", ".org/", ".net/", ".com/", ".co/", ".eu/", ".info/", "rail", "wtfpl", "no attribution",
+    "hereby granted", "without restriction", "redistribution", "endorse", "advertising", "except in compliance", "applicable law", "software foundation", "free software", "any later version",
+    "affero", "free documentation", "held liable", "plainly marked", "unencumbered", "neighboring rights", "package may be copied", "php software", "openssl project", "embedded",
+    "eupl", "as a service", "non-production", "managed service", "copies of vim", "retain this notice")
+
+
+_SPACE = r"[ \t\r\n]+"
 
 
 @dataclass(frozen=True)
@@ -111,6 +175,8 @@ def rules() -> list[Rule]:
     """All rules in order; a smaller number goes first among equals."""
     lines = [line.split("|", 2) for line in _LICENSES.strip().splitlines()]
     out: list[Rule] = []
+    for label, word, text in (line.split("|", 2) for line in _TEXTS.strip().splitlines()):
+        out.append(Rule(len(out), label, "text", 5, 0.97, word, text.replace(" ", _SPACE)))
     for kind, priority, confidence, form in _FORMS:
         for label, word, rest in lines:
             name, identifier, address = _parts(rest)

@@ -7,10 +7,12 @@ inside another is suppressed, and of two that overlap the one with the higher pr
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracetide.llm.common import NON_WORD, lower_ascii, settled, table
+from tracetide.llm.common import NON_WORD, lower_ascii, settled, shielded, table
 from tracetide.llm.license_rules import GATES, Rule, rules
 
 #: Phrases that always count, and their labels.
@@ -74,27 +76,61 @@ def _rule_table(known: list[Rule]) -> Column:
     )
 
 
+#: Elements that are folded at a time; the results of blocks are joined once.
+_BLOCK = 64
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _before(values: Column, start: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each of at least one value, what `join` makes of `start` and all values before it.
+
+    Blocks are folded for themselves, so the work grows far less than with the square of the number of values.
+    """
+
+    def blocks(v: Column) -> Column:
+        last = F.floor((F.size(v) - 1) / _BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(v, b * _BLOCK + 1, F.lit(_BLOCK)))
+
+    def places(parts: Column, sums: Column) -> Column:
+        def inside(part: Column, b: Column) -> Column:
+            begin = F.struct(F.aggregate(F.slice(sums, F.lit(1), b), start, join).alias("at"), F.array().cast("array<int>").alias("out"))
+            step = lambda acc, x: F.struct(join(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+            return F.aggregate(part, begin, step, lambda acc: acc["out"])
+
+        return F.flatten(F.transform(parts, inside))
+
+    whole = lambda parts: _let(F.transform(parts, lambda p: F.aggregate(p, start, join)), lambda sums: places(parts, sums))
+    return _let(values, lambda v: _let(blocks(v), whole))
+
+
 def _intervals(low: Column, d: Column) -> Column:
     """The matches `d.m` of one rule as intervals; the pieces between matches give their places."""
 
     def walk(pieces: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.get(pieces, i))
-            end = start + F.length(F.get(d["m"], i))
-            one = F.struct(
-                start.alias("start"),
-                (-end).alias("turned_end"),
-                (-d["priority"]).alias("turned_priority"),
-                d["number"].alias("number"),
-                d["label"].alias("label"),
-                d["confidence"].alias("confidence"),
-            )
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        gaps = lambda i: F.length(F.get(pieces, i))
+        sizes = F.transform(d["m"], lambda x, i: gaps(i) + F.length(x))
 
-        begin = F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(d["m"]) - 1), begin, step, lambda acc: acc["out"])
+        def one(ends: Column) -> Column:
+            def interval(x: Column, i: Column) -> Column:
+                start = F.get(ends, i) + gaps(i)
+                return F.struct(
+                    start.alias("start"),
+                    (-(start + F.length(x))).alias("turned_end"),
+                    (-d["priority"]).alias("turned_priority"),
+                    d["number"].alias("number"),
+                    d["label"].alias("label"),
+                    d["confidence"].alias("confidence"),
+                )
 
-    return F.flatten(F.transform(F.array(F.split(low, d["pattern"], -1)), walk))
+            return F.transform(d["m"], interval)
+
+        return _let(_before(sizes, F.lit(0), lambda a, b: a + b), one)
+
+    return _let(F.split(low, d["pattern"], -1), walk)
 
 
 def detections(df: DataFrame, known: list[Rule]) -> DataFrame:
@@ -121,15 +157,11 @@ def detections(df: DataFrame, known: list[Rule]) -> DataFrame:
     everything = F.flatten(F.transform(matched, lambda d: _intervals(low, d)))
     # by start, longest first: an interval lies inside an earlier one if it does not reach beyond all of them
     df = settled(df, __all=F.when(gate, F.array_sort(everything)).otherwise(F.array().cast(_FOUND)))
-    outer = F.aggregate(
-        "__all",
-        F.struct(F.lit(-1).alias("end"), F.array().cast(_FOUND).alias("out")),
-        lambda acc, d: F.when(-d["turned_end"] <= acc["end"], acc).otherwise(
-            F.struct((-d["turned_end"]).alias("end"), F.concat(acc["out"], F.array(d)).alias("out"))
-        ),
-        lambda acc: acc["out"],
-    )
-    df = settled(df, __outer=outer).drop("__all")
+    some = F.col("__all")
+    ends = F.transform(some, lambda d: -d["turned_end"])
+    df = settled(df, __reach=F.when(F.size(some) > 0, _before(ends, F.lit(-1), lambda a, b: F.greatest(a, b))))
+    outer = F.filter("__all", lambda d, i: -d["turned_end"] > F.get("__reach", i))
+    df = settled(df, __outer=outer).drop("__all", "__reach")
     rank = ("turned_priority", "number")
 
     def stays(d: Column, i: Column) -> Column:
@@ -147,19 +179,22 @@ def scanned(docs: DataFrame, known: list[Rule] | None = None) -> DataFrame:
     """`docs` with n_words, n_base, first_word, last_word, base_labels, labels, score and found.
 
     Null text is empty: no words, no labels, score 0, first and last word null. score is the highest confidence of what
-    was found. Columns of `docs` that are named like results give way; equal rows give equal results.
+    was found. Columns of `docs` that are named like results give way, other names may be anything; equal rows give equal
+    results, an empty table gives an empty one. The time for a text is nearly linear in its length and its matches.
     """
+    docs, named = shielded(docs)
     docs = docs.drop("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "found", "base")
     df = detections(base_columns(docs), known or rules())
     labels = F.array_sort(F.array_distinct(F.concat(F.transform("found", lambda d: d["label"]), F.col("base"))))
     best = F.array_max(F.transform("found", lambda d: d["confidence"]))
-    return df.select(
+    found = df.select(
         *docs.columns, "n_words", "n_base", "first_word", "last_word",
         F.array_join("base", ",").alias("base_labels"),
         F.array_join(labels, ",").alias("labels"),
         F.coalesce(F.greatest(best, F.when(F.size("base") > 0, F.lit(PHRASE_SCORE))), F.lit(0.0)).alias("score"),
         "found",
     )
+    return named(found)
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

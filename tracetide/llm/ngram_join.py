@@ -119,22 +119,30 @@ def shingle_sets(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): connected components of (a, b) edges; root is the smallest node of the component.
+    """(node, root): connected components of (a, b) edges; root is one of the component's nodes.
 
-    Smallest labels spread along edges, and labels of labels shorten the way. Each round is written to the shared folder;
-    nothing but the count of changes reaches the driver.
+    Each round every node takes its smallest neighbour, or itself, as label, and the edges between labels are the next
+    round's graph. A star is gone after one round, and where nodes are hashes only a share of them is left each time. Edges
+    are made distinct before they meet the labels of their other end, so a hub with very many edges is one row by then.
+    Rounds are written to the shared folder; whether edges are left is all that reaches the driver.
     """
-    both = staged(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
-    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")), "labels")
-    while True:
-        near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        step = step.join(jump, "root").select("node", "old", F.least("root", "up").alias("root"))
-        step = staged(step, "labels")
-        labels = step.select("node", "root")
-        if step.where("old <> root").isEmpty():
-            return labels
+    ordered = lambda x, y: (F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
+    edges = staged(edges.where("a <> b").select(*ordered("a", "b")).distinct(), "edges")
+    rounds = []
+    while not edges.isEmpty():
+        ends = edges.select(F.col("a").alias("node"), F.col("b").alias("next")).union(edges.select("b", "a"))
+        labels = staged(ends.groupBy("node").agg(F.least("node", F.min("next")).alias("root")), "labels")
+        rounds.append(labels)
+        half = edges.join(labels.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").select("x", "b").distinct()
+        whole = half.join(labels.select(F.col("node").alias("b"), F.col("root").alias("y")), "b").where("x <> y")
+        edges = staged(whole.select(*ordered("x", "y")).distinct(), "edges")
+    if not rounds:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    found = rounds[0]
+    for labels in rounds[1:]:
+        further = labels.select(F.col("node").alias("root"), F.col("root").alias("up"))
+        found = found.join(further, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+    return staged(found, "components")
 
 
 def _verified(
