@@ -17,8 +17,8 @@ BINS = {"bytes": 50, "dur_us": 50, "packets": 60, "pkt_gap_us": 80, "newflow_gap
 
 
 def metric_values(packets: DataFrame) -> DataFrame:
-    """Long table (capture, metric, value, n) of flow sizes and gaps."""
-    flows = unidir_flows(packets)
+    """Long table (capture, metric, value, n) of flow sizes and gaps. The flow table is made once."""
+    flows = pin(unidir_flows(packets).select(CAP, "bytes", "dur_us", "packets", "seen_us"))
     pairs = F.create_map(*[x for m in ("bytes", "dur_us", "packets") for x in (F.lit(m), F.col(m))])
     of_flows = flows.select(CAP, F.explode(pairs).alias("metric", "value"), F.lit(1).cast("bigint").alias("n"))
 
@@ -26,7 +26,7 @@ def metric_values(packets: DataFrame) -> DataFrame:
         return gaps.select(CAP, F.lit(name).alias("metric"), F.col("gap_us").alias("value"), "n")
 
     return of_flows.unionByName(of_gaps(packet_gaps(packets), "pkt_gap_us")).unionByName(
-        of_gaps(newflow_gaps(packets), "newflow_gap_us")
+        of_gaps(newflow_gaps(packets, flows), "newflow_gap_us")
     )
 
 
@@ -59,13 +59,13 @@ def histogram(values: DataFrame, bins: dict[str, int] = BINS) -> DataFrame:
     return hit.unionByName(empty).groupBy(*KEYS, "bin").agg(F.sum("n").alias("n"))
 
 
-def raw_samples(packets: DataFrame, limit: int | None = None, most: int = 1 << 20) -> DataFrame:
+def raw_samples(packets: DataFrame, limit: int | None = None, most: int = 1 << 20, unidir: DataFrame | None = None) -> DataFrame:
     """The raw lists of the report as rows with their position; with ``limit`` only the first entries of each.
 
     Flow lists are in first-seen order, gap lists in time order. A second with more than
     ``most`` rows is cut into smaller pieces.
     """
-    flows = unidir_flows(packets)
+    flows = unidir_flows(packets) if unidir is None else unidir
     pairs = F.create_map(*[x for m in ("bytes", "dur_us", "packets") for x in (F.lit(m), F.col(m))])
     by_flow = numbered(flows, [CAP], ["first_no"], packet_chunk(F.col("first_no")), limit).select(
         CAP, F.explode(pairs).alias("metric", "value"), "pos"

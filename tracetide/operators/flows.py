@@ -104,12 +104,15 @@ def unidir_flows(packets: DataFrame) -> DataFrame:
     return agg.withColumn("dur_us", F.when(ordered, F.col("end_us") - F.col("start_us")).otherwise(0))
 
 
-def unidir_summary(packets: DataFrame) -> DataFrame:
-    """Totals, rate and medians of the one-way flows of every capture; all are 0 where there is none."""
+def unidir_summary(packets: DataFrame, unidir: DataFrame | None = None) -> DataFrame:
+    """Totals, rate and medians of the one-way flows of every capture; all are 0 where there is none.
+
+    ``unidir`` is the table of one-way flows where it is known already.
+    """
     span = packets.where(F.col("ts_us") > 0).groupBy(CAP).agg(
         ((F.max("ts_us") - F.min("ts_us")) / 6e7).alias("_minutes")
     )
-    flows = unidir_flows(packets)
+    flows = unidir_flows(packets) if unidir is None else unidir
     total = flows.groupBy(CAP).agg(F.sum("bytes").alias("bytes_total"), F.sum("packets").alias("packets_total"))
     found = (
         flow_medians(flows).join(total, CAP).join(span, CAP, "left")
@@ -122,7 +125,7 @@ def unidir_summary(packets: DataFrame) -> DataFrame:
     return every_capture(packets, found, found.columns[1:])
 
 
-def top_flows(packets: DataFrame, n: int = 15) -> DataFrame:
+def top_flows(packets: DataFrame, n: int = 15, unidir: DataFrame | None = None) -> DataFrame:
     """Largest one-way flows of each capture; equal sizes keep first-seen order."""
-    best = top_n(unidir_flows(packets), [CAP], [F.desc("bytes"), F.asc("first_no")], n)
+    best = top_n(unidir_flows(packets) if unidir is None else unidir, [CAP], [F.desc("bytes"), F.asc("first_no")], n)
     return best.select(*UNIDIR, "rank", "bytes", "packets", (F.col("dur_us") / 1e6).alias("duration_s"))

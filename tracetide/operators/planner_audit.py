@@ -40,12 +40,25 @@ def one_value(text: Column) -> Column:
     """The JSON value that the text is as a whole, else null.
 
     The parser stops behind the first value. Inside brackets and as a member the text
-    must be followed by the closing sign, so anything behind the value shows.
+    must be followed by the closing sign, so anything behind the value shows. Of a key
+    that an object has several times the last value holds.
     """
     listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     member = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    single = F.try_variant_get(listed, "$[1]", "variant").isNull() & F.try_variant_get(listed, "$[0]", "variant").isNotNull()
-    return F.when(single & member.isNotNull(), F.try_parse_json(text))
+    value = F.try_variant_get(listed, "$[0]", "variant")
+    single = F.try_variant_get(listed, "$[1]", "variant").isNull() & value.isNotNull()
+    return F.coalesce(F.when(single & member.isNotNull(), value), _last_values(text))
+
+
+def _last_values(text: Column) -> Column:
+    """An object with repeated keys, which the strict parser refuses; null for any other text."""
+    strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string, variant>>", strict)
+    member = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "v map<string, variant>", strict)["v"]
+    pairs = F.map_entries(F.get(listed, F.lit(0)))
+    last = F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda x: x["key"] == e["key"]))
+    whole = (F.size(listed) == 1) & member.isNotNull() & (F.size(pairs) > 0)
+    return F.when(whole, F.to_variant_object(F.map_from_entries(last)))
 
 
 def parsed_text(cleaned: Column) -> Column:

@@ -61,14 +61,17 @@ def qc_flags(summary: DataFrame, tolerance: float = 0.05) -> DataFrame:
 
 
 def qc_duration(summary: DataFrame, tolerance: float = 0.05) -> DataFrame:
+    """Captures whose duration is out of range, with the reason; unknown labels and durations have none."""
     return qc_flags(summary, tolerance).where(F.col("duration_reason").isNotNull()).select("filename", "duration_reason")
 
 
 def qc_hard(summary: DataFrame, tolerance: float = 0.05) -> DataFrame:
+    """Captures to record again: cut short or with an error, and why."""
     return qc_flags(summary, tolerance).where(F.col("severity") == "hard").select("filename", "reasons")
 
 
 def qc_soft(summary: DataFrame, tolerance: float = 0.05) -> DataFrame:
+    """Captures to look at: totals that do not fit or a duration out of range; never one of the hard list."""
     return qc_flags(summary, tolerance).where(F.col("severity") == "soft").select("filename", "reasons")
 
 
@@ -107,6 +110,14 @@ def qc_report(flagged: DataFrame, source: str) -> DataFrame:
     return heads.unionByName(entries).unionByName(none)
 
 
+def qc_text(report: DataFrame) -> DataFrame:
+    """The lines of a report with the empty lines before its sections; sort by section, place and filename."""
+    blank = report.where(F.col("section") > 0).select("section").distinct().select(
+        "section", F.lit(-1).alias("place"), F.lit("").alias("filename"), F.lit("").alias("line")
+    )
+    return report.unionByName(blank)
+
+
 def manifest_check(manifests: DataFrame) -> DataFrame:
     """Missing component groups of each run manifest, and whether its checksums are there.
 

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import pin
 from . import captures as cap
 from . import diversity, distributions, flows, locality, series, tcp, timing
 
@@ -81,17 +82,17 @@ def counter_lists(packets: DataFrame, n: int = TOP) -> DataFrame:
     return top.groupBy(CAP).agg(*columns)
 
 
-def raw_lists(packets: DataFrame, limit: int = RAW_LIMIT) -> DataFrame:
+def raw_lists(packets: DataFrame, limit: int = RAW_LIMIT, unidir: DataFrame | None = None) -> DataFrame:
     """The first `limit` values of each raw list; the limit is the report's own."""
-    rows = distributions.raw_samples(packets, limit).where(F.col("pos") <= limit)
+    rows = distributions.raw_samples(packets, limit, unidir=unidir).where(F.col("pos") <= limit)
     return rows.groupBy(CAP).agg(*(
         _ordered("pos", F.col("value") / unit if unit else F.col("value"), F.col("metric") == metric).alias(name)
         for name, (metric, unit) in RAW_LISTS.items()
     ))
 
 
-def flow_list(packets: DataFrame, n: int = TOP) -> DataFrame:
-    top = flows.top_flows(packets, n)
+def flow_list(packets: DataFrame, n: int = TOP, unidir: DataFrame | None = None) -> DataFrame:
+    top = flows.top_flows(packets, n, unidir)
     row = F.struct("ip_version", "src", "dst", "sport", "dport", "proto", "bytes", "packets", F.col("duration_s").alias("duration"))
     return top.groupBy(CAP).agg(_ordered("rank", row).alias("top_flows_unidirectional"))
 
@@ -105,7 +106,7 @@ def _by_window(rows: DataFrame, value: Column, name: str) -> DataFrame:
 
 def throughput_lists(packets: DataFrame, bucket_s: int = 1) -> DataFrame:
     """Bucket series, their summary, window rates and the summary of these."""
-    line = series.bucket_series(packets, bucket_s)
+    line = pin(series.bucket_series(packets, bucket_s))
     lists = line.groupBy(CAP).agg(_ordered("idx", F.col("t_s")).alias("times"), _ordered("idx", F.round("mbps", 6)).alias("mbps"))
     windows = series.window_throughput(line, bucket_s)
     rates = _by_window(windows, F.round("mean_bps", 6), "windowed_throughput_bps")
@@ -123,13 +124,14 @@ def statistics_report(packets: DataFrame, bucket_s: int = 1, top: int = TOP, raw
     `bad_frames` (filename, bad_frames) are frames that the export could not give; without it there are none. Series are
     left out, with the reason in their place, where more than half of the times are missing.
     """
-    local = locality.local_ip(packets, given_ip)
+    local = pin(locality.local_ip(packets, given_ip))
+    unidir = pin(flows.unidir_flows(packets))  # five parts read it
     sizes = packets.groupBy(CAP).agg(F.coalesce(F.sum("frame_len"), F.lit(0)).alias("bytes"), F.round(F.avg("frame_len"), 6).alias("avg_size"))
-    named = flows.unidir_summary(packets).select(CAP, "flows", F.col("flows_per_min"), "median_bytes_per_flow", "median_dur_s", "median_pkts_per_flow")
-    fresh = _by_window(series.window_new_flows(packets), F.col("flows_per_min"), "windowed_newflows_per_min")
+    named = flows.unidir_summary(packets, unidir).select(CAP, "flows", F.col("flows_per_min"), "median_bytes_per_flow", "median_dur_s", "median_pkts_per_flow")
+    fresh = _by_window(series.window_new_flows(packets, unidir=unidir), F.col("flows_per_min"), "windowed_newflows_per_min")
     parts = [
         cap.ts_trust(packets), sizes, throughput_lists(packets, bucket_s), named, diversity.dst_diversity(packets), diversity.domain_diversity(packets),
-        timing.burstiness_report(packets), counter_lists(packets, top), locality.outbound_ports(packets, local), raw_lists(packets, raw_limit), fresh, flow_list(packets, top),
+        timing.burstiness_report(packets, unidir), counter_lists(packets, top), locality.outbound_ports(packets, local), raw_lists(packets, raw_limit, unidir), fresh, flow_list(packets, top, unidir),
     ]
     if bad_frames is not None:
         parts.append(bad_frames)

@@ -88,12 +88,12 @@ def window_throughput_summary(windows: DataFrame) -> DataFrame:
     )
 
 
-def window_new_flows(packets: DataFrame, windows=WINDOWS) -> DataFrame:
+def window_new_flows(packets: DataFrame, windows=WINDOWS, unidir: DataFrame | None = None) -> DataFrame:
     """New one-way flows per minute in windows from the first usable time, up to the last used one."""
     start = packets.groupBy(CAP).agg(
         F.coalesce(F.min(F.when(F.col("ts_us") > 0, F.col("ts_us"))), F.min_by("ts_us", "packet_no")).alias("t0")
     ).where(F.col("t0") > 0)
-    born = unidir_flows(packets).where(F.col("seen_us") > 0).select(CAP, "seen_us")
+    born = (unidir_flows(packets) if unidir is None else unidir).where(F.col("seen_us") > 0).select(CAP, "seen_us")
     placed = attach_small(born, start, [CAP]).withColumn("window_s", F.explode(F.array(*map(F.lit, windows))))
     k = F.floor((F.col("seen_us") - F.col("t0")) / (F.col("window_s") * F.lit(1e6)))
     used = placed.groupBy(CAP, "window_s", k.alias("k")).agg(F.count(F.lit(1)).alias("new_flows")).where(F.col("k") >= 0)

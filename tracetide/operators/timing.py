@@ -60,15 +60,18 @@ def packet_gaps(packets: DataFrame) -> DataFrame:
     return sorted_gaps(packets.where(F.col("ts_us") > 0), "ts_us")
 
 
-def newflow_gaps(packets: DataFrame) -> DataFrame:
-    return sorted_gaps(unidir_flows(packets), "seen_us")
+def newflow_gaps(packets: DataFrame, unidir: DataFrame | None = None) -> DataFrame:
+    """Gaps between flow starts; ``unidir`` is the table of one-way flows where it is known already."""
+    return sorted_gaps(unidir_flows(packets) if unidir is None else unidir, "seen_us")
 
 
 def iat_sorted(packets: DataFrame) -> DataFrame:
+    """Gaps between usable times in order; a capture with fewer than two has 0 of them and nulls."""
     return every_capture(packets, gap_summary(packet_gaps(packets), "n"), ["gaps"])
 
 
 def newflow_iat(packets: DataFrame) -> DataFrame:
+    """Gaps between the starts of one-way flows in order; every capture has a row."""
     return every_capture(packets, gap_summary(newflow_gaps(packets), "n"), ["gaps"])
 
 
@@ -83,7 +86,8 @@ def burstiness(gaps: DataFrame, captures: DataFrame, name: str) -> DataFrame:
     return captures.join(stats, CAP, "left").fillna(0.0, [name])
 
 
-def burstiness_report(packets: DataFrame) -> DataFrame:
+def burstiness_report(packets: DataFrame, unidir: DataFrame | None = None) -> DataFrame:
+    """Burstiness of packets and of new flows; every capture has a row, 0 with too little data."""
     captures = packets.select(CAP).distinct()
     first = burstiness(packet_gaps(packets), captures, "burstiness_pkt_iat")
-    return burstiness(newflow_gaps(packets), first, "burstiness_newflow_iat")
+    return burstiness(newflow_gaps(packets, unidir), first, "burstiness_newflow_iat")

@@ -69,6 +69,11 @@ def condition_cells_text(spark, sf):
     return conditions.condition_text(conditions.condition_table(m)).select("profile", "duration", "flows", "median_bytes_per_flow", "median_pkts_per_flow")
 
 
+def condition_cells_float(spark, sf):
+    """Report cells of the metrics with decimals."""
+    return conditions.condition_text(condition_table(spark, sf)).select("profile", "duration", "flows_per_min", "median_dur_s")
+
+
 def bidir_key(spark, sf):
     p = flows.flow_packets(packets(spark, sf)).select("proto", *net.bidir_key())
     return p.groupBy("proto", "ip1", "port1", "ip2", "port2").agg(F.count(F.lit(1)).alias("packets"))
@@ -89,6 +94,8 @@ def percentiles(spark, sf):
 _PCT = ", ".join(f"round(quantile_cont(l_extendedprice, {p}), 6) AS p{int(p * 100)}" for p in (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0))
 _INT_CELL = ("CASE WHEN {m}_med IS NULL THEN '--' WHEN {m}_iqr IS NULL OR {m}_iqr = 0 THEN round_even({m}_med, 0)::BIGINT::VARCHAR "
              "ELSE round_even({m}_med, 0)::BIGINT || ' [' || round_even({m}_iqr, 0)::BIGINT || ']' END AS {m}")
+_FLOAT_CELL = ("CASE WHEN {m}_med IS NULL THEN '--' WHEN {m}_iqr IS NULL OR {m}_iqr = 0 THEN printf('%.{d}f', {m}_med) "
+               "ELSE printf('%.{d}f', {m}_med) || ' [' || printf('%.{d}f', {m}_iqr) || ']' END AS {m}")
 
 QUERIES = {
     "bidir_key": (bidir_key, with_packets("," + BIDIR + " SELECT proto, ip1, port1, ip2, port2, sum(packets)::BIGINT AS packets FROM bidir GROUP BY 1, 2, 3, 4, 5")),
@@ -109,6 +116,9 @@ QUERIES = {
     "fmt_median_iqr": (condition_cells_text, with_packets(
         "," + CONDITIONS + " SELECT profile, duration, " + ", ".join(_INT_CELL.format(m=m) for m in ("flows", "median_bytes_per_flow", "median_pkts_per_flow"))
         + " FROM grid LEFT JOIN cond USING (profile, duration)")),
+    "fmt_median_iqr_float": (condition_cells_float, with_packets(
+        "," + CONDITIONS + " SELECT profile, duration, " + _FLOAT_CELL.format(m="flows_per_min", d=2) + ", " + _FLOAT_CELL.format(m="median_dur_s", d=4)
+        + " FROM grid LEFT JOIN cond USING (profile, duration)")),
     "unidir_flows": (lambda s, d: flows.unidir_flows(packets_with_lost_times(s, d)), with_packets("," + UNI_Z + " SELECT * FROM unidir")),
     "unidir_summary": (lambda s, d: flows.unidir_summary(packets_with_lost_times(s, d)), with_packets(
         "," + UNI_Z + ", m AS (SELECT filename, (max(ts_us) - min(ts_us)) / 6e7 AS m FROM packets_z WHERE ts_us > 0 GROUP BY 1) "

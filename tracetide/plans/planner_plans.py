@@ -133,6 +133,24 @@ def strict_outputs(spark, sf) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", raw.alias("raw"))
 
 
+def planner_repeated(spark, sf):
+    """Answers that give keys twice, some with text behind them: the last value holds."""
+    n = F.char_length("text")
+    kind = F.element_at(F.array(*map(F.lit, pa.RUNTIME_TYPES + ("hackear_wifi",))), (F.col("conv_id") % 7 + 1).cast("int"))
+    raw = F.concat(
+        F.lit('{"tipo": 5, "delay": 99, "termino": "a", "tipo": "'), kind, F.lit('", "url": "https://a.test", "busqueda": "b", "delay": '), (n % 41).cast("string"),
+        F.when(n % 5 == 0, '} {"tipo": 1}').when(n % 5 == 1, ', "termino": "c"').otherwise("}"))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", raw.alias("raw"))
+    rows = rows.withColumn("parsed", pa.parsed_text(F.col("raw")))
+    return pa.repaired(rows).select("conv_id", "turn", "action_type", "delay", "term", "url", F.col("parsed").isNotNull().alias("is_json"))
+
+
+REPEATED = "WITH t AS (SELECT conv_id, turn, length(text) AS n, ['" + "', '".join(pa.RUNTIME_TYPES + ("hackear_wifi",)) + """'][conv_id % 7 + 1] AS kind FROM conversations),
+u AS (SELECT *, CASE WHEN n % 5 > 1 AND kind <> 'hackear_wifi' THEN kind END AS action_type FROM t)
+SELECT conv_id, turn, action_type, CASE WHEN action_type IS NOT NULL THEN greatest(8, least(25, n % 41)) END AS delay, CASE WHEN action_type IS NOT NULL THEN 'a' END AS term,
+  CASE WHEN action_type IS NOT NULL THEN 'https://a.test' END AS url, n % 5 > 1 AS is_json FROM u"""
+
+
 def planner_strict(spark, sf):
     return pa.strict_checks(strict_outputs(spark, sf)).select("conv_id", "turn", "valid", "reason")
 
@@ -150,6 +168,7 @@ SELECT conv_id, turn, reason IS NULL AS valid, reason FROM (SELECT conv_id, turn
   WHEN k = 'watch_youtube' AND r = 2 THEN 'forbidden_url_and_term' END AS reason FROM u)"""
 
 QUERIES = {
+    "planner_repeated_keys": (planner_repeated, REPEATED),
     "planner_clean": (planner_clean, "WITH " + RAW + " SELECT conv_id, turn, cleaned FROM cleans"),
     "planner_parse": (planner_parse, "WITH " + PARSED + " SELECT conv_id, turn, parsed FROM parsed"),
     "planner_repair": (_repaired, "WITH " + REPAIRED + " SELECT * FROM repaired"),

@@ -8,9 +8,11 @@ from ..functions import naming
 from ..operators import anomaly, quality_rules
 from ..operators.captures import capture_summary
 from ..operators.flows import flow_metrics
-from ..session import pin
+from ..session import pin, work_path
 from ..sources.adapter import packets, table
 from ..sources.logs import decode_tool_log
+from ..sources.packets import numbered_lines
+from ..sources.sinks import sink_qc_report
 from .capture_plans import COUNTS, NAMED, PEAK, SUMMARY
 from .flow_plans import METRICS
 from .oracle_base import with_packets
@@ -63,6 +65,14 @@ def qc_report(spark, sf):
     return quality_rules.qc_report(quality_rules.qc_flags(summary_with_tools(spark, sf)).where(F.col("severity").isNotNull()), "captures")
 
 
+def qc_report_text(spark, sf):
+    """The report written as text and read line by line."""
+    path = work_path(spark, "qc-report")
+    sink_qc_report(quality_rules.qc_text(qc_report(spark, sf)), path)
+    lines = numbered_lines(spark.read.text(path).withColumn("filename", F.lit("report")))
+    return lines.select(F.col("packet_no").alias("line_no"), F.col("value").alias("line"))
+
+
 def manifest_check(spark, sf):
     k = F.regexp_extract("props", "[0-9]+", 0).cast("bigint")
     cols = [F.when((k + i) % 9 > 0, F.concat(F.lit("v"), k.cast("string"))).alias(g) for i, g in enumerate(quality_rules.MANIFEST_GROUPS)]
@@ -234,6 +244,10 @@ QUERIES = {
         "," + FLAGS + " SELECT CASE severity WHEN 'hard' THEN 1 ELSE 2 END AS section, 1 AS place, filename, '- ' || filename || ': ' || reasons AS line FROM flags WHERE severity IS NOT NULL "
         "UNION ALL SELECT 0, 0, '', 'QC report for: captures' UNION ALL SELECT 1, 0, '', '== Captures to re-capture (hard failures) ==' "
         "UNION ALL SELECT 2, 0, '', '== Suspicious captures (soft flags; review) =='")),
+    "qc_report_text": (qc_report_text, with_packets(
+        "," + FLAGS + ", l AS (SELECT CASE severity WHEN 'hard' THEN 1 ELSE 2 END AS section, 1 AS place, filename, '- ' || filename || ': ' || reasons AS line FROM flags WHERE severity IS NOT NULL "
+        "UNION ALL SELECT * FROM (VALUES (0, 0, '', 'QC report for: captures'), (1, -1, '', ''), (1, 0, '', '== Captures to re-capture (hard failures) =='), "
+        "(2, -1, '', ''), (2, 0, '', '== Suspicious captures (soft flags; review) =='))) SELECT row_number() OVER (ORDER BY section, place, filename) - 1 AS line_no, line FROM l")),
     "manifest_check": (manifest_check, "WITH e AS (SELECT event_id, CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT) AS k FROM events), "
         f"m AS (SELECT event_id AS run_id, k, list_filter({_GROUP_LIST}, lambda x: x IS NOT NULL) AS l FROM e) "
         "SELECT run_id, len(l)::INT AS missing_groups, array_to_string(l, ',') AS missing, k % 4 > 0 AS has_checksums, len(l) = 0 AND k % 4 > 0 AS complete FROM m"),

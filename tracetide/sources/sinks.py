@@ -34,3 +34,8 @@ def write_documents(documents: DataFrame, path: str) -> None:
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(filename, document) of written documents."""
     return spark.read.schema("value string, filename string").text(path).select("filename", F.col("value").alias("document"))
+
+
+def sink_qc_report(lines: DataFrame, path: str) -> None:
+    """Write report lines (section, place, filename, line) as text in their order: part files follow one another."""
+    lines.orderBy("section", "place", "filename").select("line").write.mode("overwrite").text(path)
