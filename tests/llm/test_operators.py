@@ -506,3 +506,56 @@ def test_components(spark, kind):
         groups.setdefault(found[x], set()).add(x)
         want.setdefault(find(x), set()).add(x)
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values())) and all(r in g for r, g in groups.items())
+
+
+@pytest.fixture(scope="session")
+def larger_dir():
+    import os
+
+    path = "/root/testdata/sf0.01"
+    if not os.path.isdir(path):
+        pytest.skip("test tables are absent")
+    return path
+
+
+def test_join_on_the_larger_tables(spark, larger_dir):
+    """Recall of links against all pairs of a thousand documents."""
+    found = {r.doc_id: (r.class_id, r.n_links) for r in QUERIES["op1_ngram_jaccard_join"][0](spark, larger_dir).collect()}
+    want = similar_by_hand(texts_of(spark, larger_dir))
+    links, known = sum(n for _, n in found.values()), sum(n for _, n in want.values())
+    assert known > 0 and 0.99 * known <= links <= known
+    assert np.mean([found[i] == w for i, w in want.items()]) >= 0.99
+
+
+def test_toxicity_of_held_out_documents(spark, larger_dir):
+    """A few hundred labels: most toxic rows are found, clean ones left alone."""
+    found = QUERIES["op9_toxicity"][0](spark, larger_dir).collect()
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{larger_dir}/labels.parquet").collect()}
+    rows = [(r.score, labels[r.doc_id], r.predicted) for r in found if r.held_out and labels.get(r.doc_id) is not None]
+    toxic, clean = [s for s, y, _ in rows if y == 1], [s for s, y, _ in rows if y == 0]
+    wins = np.mean([(a > b) + (a == b) / 2 for a in toxic for b in clean])
+    assert wins >= 0.85
+    assert np.mean([p for _, y, p in rows if y == 1]) >= 0.7 and np.mean([p for _, y, p in rows if y == 0]) <= 0.02
+
+
+def test_toxicity_scores_equal_a_plain_noisy_or():
+    rows = toxic_rows(300)
+    model = toxicity.fit([r[1] for r in rows], [r[2] for r in rows])
+    weight = {}
+
+    def of(word):
+        if word not in weight:
+            at = model.numbers(find_words([word]).hash)[0]
+            weight[word] = None if at < 0 else float(model.weights[at])
+        return weight[word]
+
+    texts = [*(r[1] for r in rows[:80]), "", None, "no sign here", "foulword! foulword foulword.\nyou are a foulword?"]
+    for text, (score, bad) in zip(texts, model.score(texts), strict=True):
+        clear, offending = 1 - model.leak, 0
+        for sentence in re.split(r"[.!?\n]", text or ""):
+            known = [w for w in map(of, words_of(sentence)) if w is not None]
+            if known:
+                p = 1 / (1 + np.exp(-(model.bias + sum(known))))
+                clear *= 1 - p
+                offending += p >= toxicity.OFFENDING
+        assert score == pytest.approx(1 - clear, abs=1e-9) and len(bad) == offending
