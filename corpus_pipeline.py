@@ -21,7 +21,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table, each written to the shared folder and read again by the next."""
+    """All stages over the documents table, each written to the shared folder and read again by the next.
+
+    Null and empty texts fail the quality rules and go there. Rows that repeat an id are rows of their own until the join,
+    which keeps the smallest id of each group; rows without an id are never near duplicates. Very long texts pass whole, an
+    empty table gives an empty result, and columns of any names are carried up to the last stage, which returns pieces.
+    """
     ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
