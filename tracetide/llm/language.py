@@ -134,7 +134,8 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     """Columns `keep` of `docs` with lang_pred, score and languages (name and share, largest first).
 
     Null text and text without a letter is `und` with score 0, as is any text if the model knows no language. score is
-    the share of the main language. Ties go to the name that comes first.
+    the share of the main language. Ties go to the name that comes first. Equal rows get equal results, an empty table an
+    empty one; very long texts are counted whole. Columns of `docs` that are not kept are not read, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.names, model.likelihood))
 

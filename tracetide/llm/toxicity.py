@@ -152,7 +152,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
 def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns `keep` of `docs` with score, predicted (score >= 0.7) and offending: (first word, last word, score).
 
-    A text without words, null or empty, has no sentence and scores the leak.
+    A text without words, null or empty, has no sentence and scores the leak. Equal rows get equal results, an empty table
+    an empty one; very long texts are scored whole. Columns of `docs` that are not kept are not read, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.words, model.weights, model.bias, model.leak))
 
