@@ -23,17 +23,22 @@ SCHEMA_DELAY = (0, 25)
 SCHEMA_LENGTH = (1, 120)
 
 
+# Marks of a code fence, and a comma before a closing sign.
+FENCE = r"(?i)^```(?:json)?\s*|\s*```$"
+TRAILING_COMMA = r",\s*([}\]])"
+
+
 def clean_output(text: Column) -> Column:
     """Drop code fences, anything outside the outer braces, and trailing commas."""
     bare = F.regexp_replace(text, r"^\s+|\s+$", "")
-    bare = F.regexp_replace(bare, r"(?i)^```(?:json)?\s*|\s*```$", "")
+    bare = F.regexp_replace(bare, FENCE, "")
     start = F.instr(bare, "{")
     end = F.char_length(bare) - F.instr(F.reverse(bare), "}") + 1
     has = (start > 0) & (F.instr(bare, "}") > 0)
     # the last closing brace may stand before the first opening one
     inner = F.when(end >= start, F.substring(bare, start, end - start + 1)).otherwise("")
     cut = F.when(has, inner).otherwise(bare)
-    return F.regexp_replace(F.regexp_replace(cut, r",\s*([}\]])", "$1"), r"^\s+|\s+$", "")
+    return F.regexp_replace(F.regexp_replace(cut, TRAILING_COMMA, "$1"), r"^\s+|\s+$", "")
 
 
 def one_value(text: Column) -> Column:
