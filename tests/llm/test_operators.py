@@ -7,6 +7,7 @@ from array import array
 import numpy as np
 import pytest
 from conftest import LINE, cases, passage
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tracetide.llm import (
@@ -559,3 +560,119 @@ def test_toxicity_scores_equal_a_plain_noisy_or():
                 clear *= 1 - p
                 offending += p >= toxicity.OFFENDING
         assert score == pytest.approx(1 - clear, abs=1e-9) and len(bad) == offending
+
+
+def mixture_by_hand(text, table, step, active):
+    """Chosen languages of {name: {gram: weight}}: plain expectation-maximisation, the smallest share goes first."""
+    grams = language.gram_buckets(text).tolist()
+    seen = {g: grams.count(g) for g in set(grams)}
+
+    def fitted(shares):
+        for _ in range(language.ROUNDS if len(shares) > 1 else 0):
+            new = dict.fromkeys(shares, 0.0)
+            for g, n in seen.items():
+                whole = sum(shares[x] * table[x][g] for x in shares)
+                for x in shares:
+                    new[x] += n * shares[x] * table[x][g] / whole / len(grams)
+            done = max(abs(new[x] - shares[x]) for x in shares) < 1e-3
+            shares = new
+            if done:
+                break
+        return shares, sum(n * np.log(sum(shares[x] * table[x][g] for x in shares)) for g, n in seen.items())
+
+    shares, fit = fitted(dict.fromkeys(active, 1 / len(active)))
+    while len(shares) > 1:
+        least = min(shares, key=shares.get)
+        rest = sum(v for x, v in shares.items() if x != least)
+        fewer, fit_fewer = fitted({x: v / rest for x, v in shares.items() if x != least})
+        if fit - fit_fewer > step * np.log(len(grams)):
+            break
+        shares, fit = fewer, fit_fewer
+    return shares
+
+
+def tongues(spark, count):
+    """A row for each of many languages that share no word, and mixed texts."""
+    rng = np.random.default_rng(3)
+    lexicon = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(12)] for _ in range(count)]
+    own = [" ".join(rng.choice(words, 40)) for words in lexicon]
+    rows = [(k, own[k], f"tongue{k:03}") for k in range(count)]
+    mixed = [(1000 + k, f"{own[k]} {own[(k + count // 2) % count]}", None) for k in range(0, count, max(1, count // 5))]
+    return spark.createDataFrame([*rows, *mixed, (2000, None, None), (2001, "a", None)], "doc_id long, text string, lang string")
+
+
+@pytest.mark.parametrize("block", [2, 256])
+def test_language_blocks_equal_a_plain_mixture(spark, monkeypatch, block):
+    monkeypatch.setattr(language, "BLOCK", block)
+    docs = tongues(spark, 5)
+    found = {r.doc_id: r for r in language.predict(docs, language.train(docs)).collect()}
+    rows = docs.collect()
+    table = {}
+    for r in rows:
+        if r.lang:
+            counts = np.bincount(language.gram_buckets(r.text), minlength=language.BUCKETS) + language.SMOOTHING
+            table[r.lang] = counts / counts.sum()
+    names = sorted(table)
+    for r in rows[:-2]:
+        chosen = []
+        for k in range(0, len(names), block):
+            shares = mixture_by_hand(r.text, table, language.PENALTY, [*chosen, *names[k : k + block]])
+            chosen = sorted(shares, key=lambda x: (-shares[x], x))
+        assert [x.lang for x in found[r.doc_id].languages] == chosen
+        assert [x.share for x in found[r.doc_id].languages] == pytest.approx([shares[x] for x in chosen])
+        assert found[r.doc_id].lang_pred == chosen[0] and found[r.doc_id].score == pytest.approx(shares[chosen[0]])
+        assert r.lang is None or found[r.doc_id].lang_pred == r.lang
+        assert r.lang or len(chosen) == 2
+    assert (found[2000].lang_pred, found[2000].score) == ("und", 0.0)
+
+
+def test_more_languages_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(language, "HELD", 3)
+    docs = tongues(spark, 300).withColumnsRenamed({"lang": "likelihoods"}).withColumn("c0", F.lit("own"))
+    model = language.train(docs.withColumnRenamed("likelihoods", "lang"))
+    assert len(model.names) == language.BLOCK and len(model.following().names) == 300 - language.BLOCK
+    found = language.predict(docs, model, ("doc_id", "likelihoods", "c0"))
+    assert found.columns == ["doc_id", "likelihoods", "c0", "lang_pred", "score", "languages"]
+    rows = found.collect()
+    assert len(rows) == docs.count() and {r.c0 for r in rows} == {"own"}
+    assert all(r.lang_pred == r.likelihoods for r in rows if r.likelihoods)
+    assert all(len(r.languages) == 2 for r in rows if 1000 <= r.doc_id < 2000)
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    rows = toxic_rows(600)
+    docs = spark.createDataFrame([(i, text) for i, text, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, toxic) for i, _, toxic in rows], "doc_id long, toxic int")
+    whole = toxicity.train(docs, labels)
+    same_id = spark.range(3000).select(F.lit(1).alias("doc_id").cast("long"), F.concat(F.lit("again "), "id").alias("text"))
+    sizes = []
+
+    def noted(df, *args):
+        sizes.append(df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first())
+        return repartition(df, *args)
+
+    repartition = type(docs).repartition
+    again = toxicity.train(docs.union(docs), labels)
+    assert (again.words == whole.words).all() and np.allclose(again.weights, whole.weights)
+    monkeypatch.setattr(type(docs), "repartition", noted)
+    assert toxicity.train(docs.union(same_id), labels, 400).bias <= 0
+    assert toxicity.train(docs, labels, 400, 5000).bias <= 0
+    assert sizes[0][0] <= 400 and 0 < sizes[1][1] <= 5000
+
+
+def test_token_files_of_an_id_with_many_rows(spark):
+    docs = spark.range(4000).select(
+        F.when(F.col("id") < 3000, F.lit(7)).otherwise(F.col("id")).cast("long").alias("doc_id"),
+        F.when(F.col("id") % 2 == 0, F.lit("the same text")).otherwise(F.concat(F.lit("text "), "id")).alias("text"),
+    )
+    path = work_path(spark, "hot-id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        token_files.write_tokens(docs, path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = spark.read.parquet(f"{path}/index").collect()
+    assert len(parts) > 1 and max(p.n_docs for p in parts) < 0.6 * 4000
+    back = sorted((r.start, r.n_tokens, r.doc_id) for r in token_files.read_tokens(spark, path).collect())
+    assert [r[2] for r in back] == sorted(r[2] for r in back) and len(back) == 4000
+    assert all(b[0] == a[0] + a[1] for a, b in zip(back, back[1:], strict=False)) and back[0][0] == 0

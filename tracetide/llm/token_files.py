@@ -39,8 +39,9 @@ def id_lists(encoded: list[bytes]) -> pa.ListArray:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, encoding: str = "dictionary") -> None:
     """Tokenize whole texts (null: empty), append the end id, and write the folder.
 
-    Rows are dealt by ranges of doc_id (null ids first) and sorted inside; rows of one id go by their text. An empty
-    table makes a folder without rows.
+    Rows are dealt by ranges of doc_id (null ids first) and sorted inside. Rows of one id go by a hash of their text and
+    then by it, equal rows by their place in the input, so an id of very many rows is cut into ranges like any others. An
+    empty table makes a folder without rows.
     """
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"unknown encoding {encoding!r}")
@@ -65,8 +66,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, encod
             )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows = rows.mapInArrow(encode, "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>")
+    rows = rows.withColumns({"tie": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange("doc_id", "tie", "place").sortWithinPartitions("doc_id", "tie", "text", "place")
+    rows = rows.drop("tie", "place").mapInArrow(encode, "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>")
     options = {
         "compression": "zstd",
         "parquet.block.size": str(ROW_GROUP_BYTES),

@@ -14,13 +14,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tracetide.llm.common import chunks, id_hash, table
 from tracetide.llm.words import Words, find_words
 
-#: Labelled rows that a fit reads, and the longest text among them; rows are picked by a hash of their id.
+#: Labelled rows that a fit reads, the longest text among them, and all their characters; rows go by a hash of their id.
 SAMPLE_DOCS = 8000
 SAMPLE_CHARS = 50_000
+SAMPLE_TOTAL = 32_000_000
 #: A word of the model occurs in so many toxic documents of the sample, and so many standard deviations above chance.
 MIN_DOCS = 8
 MIN_DEVIATIONS = 6.0
@@ -127,15 +129,24 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
     return Model(known, theta[:-2], float(theta[-2]), float(_logistic(theta[-1])))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """A model from at most `sample_docs` labelled rows; (doc_id, toxic) with toxic 0 or 1, others are left out."""
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_TOTAL) -> Model:
+    """A model from at most `sample_docs` labelled rows; (doc_id, toxic) with toxic 0 or 1, others are left out.
+
+    Ids are picked by a hash, and then their rows as long as they stay within the bounds: rows that share an id, or long
+    texts, make no fit larger. Equal rows count once.
+    """
     picked = (
         labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL")
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     )
     rows = docs.where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(picked), "doc_id")  # the bound is the limit above
-    rows = rows.select("doc_id", F.col("text").cast("string"), F.col("toxic").cast("int"))
+    rows = rows.select("doc_id", F.col("text").cast("string"), F.col("toxic").cast("int")).distinct()
+    order = F.xxhash64("doc_id"), F.col("doc_id"), F.col("text")
+    rows = rows.orderBy(*order).limit(sample_docs)
+    # the one window over all rows is over those of the limit
+    so_far = F.sum(F.length("text")).over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
+    rows = rows.withColumn("__chars", so_far).where(F.col("__chars") <= sample_chars).drop("__chars")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = sorted({r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)})
