@@ -27,3 +27,15 @@ def test_a_local_session_has_one_folder_of_its_own():
 def test_a_cluster_needs_the_setting():
     with pytest.raises(RuntimeError, match=r"spark\.checkpoint\.dir"):
         session.shared_root(fake("spark://x"))
+
+
+def test_folders_are_removed_below_the_shared_one_only(spark, tmp_path):
+    path = session.work_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    session.remove(spark, [path, session.work_path(spark, "never-written")])
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+    spark.range(3).write.parquet(f"{tmp_path}/own")
+    with pytest.raises(ValueError, match="shared folder"):
+        session.remove(spark, [f"{tmp_path}/own"])
+    assert spark.read.parquet(f"{tmp_path}/own").count() == 3

@@ -50,6 +50,16 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders below the shared folder, in whatever file system they lie; absent ones are passed over."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        if not path.startswith(shared_root(spark).rstrip("/") + "/"):
+            raise ValueError(f"{path} is not below the shared folder")
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Write a small intermediate table to the shared folder and go on from there.
 
