@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracetide.session import work_path
+from tracetide.session import remove, work_path
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Characters that part words in the lower-cased word rule; everything else is a word character.
@@ -36,12 +37,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+#: Folders written inside each open `scratch`, the innermost last.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders that `staged` writes inside are deleted at the end; what is to last is written elsewhere by then."""
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(paths)
+        remove(spark, paths)
+
+
+def staged(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Write an intermediate table to the shared folder and go on from the files.
 
-    The table is then computed once, whatever reads it, and outlives its executors.
+    The table is then computed once, whatever reads it, and outlives its executors. A folder with a `path` of its own
+    belongs to the caller, and no `scratch` deletes it.
     """
-    path = work_path(df.sparkSession, label)
+    if path is None:
+        path = work_path(df.sparkSession, label)
+        if _SCOPES:
+            _SCOPES[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
