@@ -22,6 +22,7 @@ from tracetide.llm import (
     token_files,
     toxicity,
 )
+from tracetide.llm.common import scratch, staged
 from tracetide.llm.plans import QUERIES
 from tracetide.llm.tokens import Encoder, tokenizer_path
 from tracetide.llm.words import find_words
@@ -676,3 +677,42 @@ def test_token_files_of_an_id_with_many_rows(spark):
     back = sorted((r.start, r.n_tokens, r.doc_id) for r in token_files.read_tokens(spark, path).collect())
     assert [r[2] for r in back] == sorted(r[2] for r in back) and len(back) == 4000
     assert all(b[0] == a[0] + a[1] for a, b in zip(back, back[1:], strict=False)) and back[0][0] == 0
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_only_a_vocabulary_with_the_known_rule_takes_the_short_way(name):
+    encoder, plain = Encoder(tokenizer_path(name)), Tokenizer.from_file(tokenizer_path(name))
+    assert encoder.plain == (name == "word_bpe_49k.json")
+    for text in [*TEXTS, "Don't  STOP at 12 cafés, we'll"]:
+        assert encoder.encode(text) == array("I", [*plain.encode(text or "", add_special_tokens=False).ids, 1]).tobytes()
+
+
+def test_pieces_beyond_the_cache(monkeypatch, spark, sf_dir):
+    monkeypatch.setattr("tracetide.llm.tokens._LIMIT", 50)
+    encoder, plain = Encoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    for text in [*list(texts_of(spark, sf_dir).values())[:40], "x''s '''s -'s 'S'T _a_ ŉ't"]:
+        assert encoder.encode(text) == array("I", [*plain.encode(text or "", add_special_tokens=False).ids, 1]).tobytes()
+    assert len(encoder.pieces) == 50
+
+
+def test_scratch_deletes_what_was_staged_inside(spark):
+    path = work_path(spark, "lasting")
+    with scratch(spark):
+        inner = staged(spark.range(5).toDF("n"), "passing")
+        with scratch(spark):
+            staged(inner, "deeper")
+        own = staged(inner.where("n > 1"), "own", path)
+    assert own.count() == 3
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+        inner.count()
+
+
+def test_pipeline_keeps_only_its_last_tables(spark, sf_dir, monkeypatch, tmp_path):
+    import corpus_pipeline
+    from tracetide import session
+
+    monkeypatch.setattr(session, "shared_root", lambda _: str(tmp_path))
+    out = corpus_pipeline.run(spark, sf_dir)
+    left = sorted(p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir())
+    assert left == ["decontamination", "pieces"]
+    assert out.count() > 0

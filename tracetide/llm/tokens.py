@@ -3,11 +3,13 @@
 The vocabulary's rule never joins characters across white space and merges each word alone, so a text's ids are those of
 its pieces in a row. Frequent pieces repeat, and their ids are kept as little-endian bytes: a text becomes a split, lookups
 and one join; the library merges words that are not known yet. Texts with anything for which that could differ (marks of
-special tokens, characters outside the plain Latin range) go to the library whole.
+special tokens, characters outside the plain Latin range) go to the library whole, and so do all texts where a vocabulary
+file states other rules than these.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 
@@ -20,6 +22,28 @@ _PLAIN = re.compile(r"[\t\n\r !-~\u00a1-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 #: Entries of each cache of a worker; about 60 MB together.
 _LIMIT = 200_000
+# The steps of the vocabulary file that the rule above stands for.
+_STEPS = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -36,6 +60,14 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in own} | {b: 256 + k for k, b in enumerate(rest)}
 
 
+def follows_rule(path: str) -> bool:
+    """Whether a vocabulary file states the rule of this module, and marks special tokens by <| only."""
+    with open(path, encoding="utf-8") as file:
+        stated = json.load(file)
+    marks = all("<|" in t["content"] for t in stated.get("added_tokens", []))
+    return marks and not stated["model"].get("dropout") and all(stated.get(k) == v for k, v in _STEPS.items())
+
+
 class _Words(dict):
     """Lower-case word -> ids by the library's merges."""
 
@@ -73,13 +105,14 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = array("I", [end_id]).tobytes()
+        self.plain = follows_rule(path)
         self.pieces = _Pieces(_Words(self.tokenizer.model.tokenize))
 
     def encode(self, text: str | None) -> bytes:
         """Ids of one text; null counts as empty."""
         if not text:
             return self.end
-        if "<|" in text or not _PLAIN.fullmatch(text):
+        if not self.plain or "<|" in text or not _PLAIN.fullmatch(text):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes() + self.end
         return b"".join(map(self.pieces.__getitem__, text.split())) + self.end
 
