@@ -20,8 +20,8 @@ TOKENIZER = "word_bpe_49k.json"
 _PLAIN = re.compile(r"[\t\n\r !-~\u00a1-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u012f\u0131-\u017e]*")
 #: The vocabulary's own rule for words, as it reads on those characters.
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-#: Entries of each cache of a worker; about 60 MB together.
-_LIMIT = 200_000
+#: Entries of a worker's cache; about 60 MB.
+_LIMIT = 400_000
 # The steps of the vocabulary file that the rule above stands for.
 _STEPS = {
     "normalizer": {
@@ -68,32 +68,27 @@ def follows_rule(path: str) -> bool:
     return marks and not stated["model"].get("dropout") and all(stated.get(k) == v for k, v in _STEPS.items())
 
 
-class _Words(dict):
-    """Lower-case word -> ids by the library's merges."""
+class _Pieces(dict):
+    """Piece between white space -> ids of its words. A lower-case word is a piece as well, so one table holds both."""
 
     def __init__(self, merge):
         super().__init__()
         self.merge, self.letters = merge, _byte_letters()
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.merge(word.encode().decode("latin-1").translate(self.letters))
-        found = array("I", [t.id for t in ids]).tobytes()
+    def __missing__(self, piece: str) -> bytes:
+        lower = piece.lower()
+        words = [lower] if lower.isalpha() else _WORDS.findall(lower)
+        found = b"".join([self.get(w) or self.word(w) for w in words])
         if len(self) < _LIMIT:
-            self[word] = found
+            self[piece] = found
         return found
 
-
-class _Pieces(dict):
-    """Piece between white space -> ids of its words."""
-
-    def __init__(self, words: _Words):
-        super().__init__()
-        self.words = words
-
-    def __missing__(self, piece: str) -> bytes:
-        found = b"".join(map(self.words.__getitem__, _WORDS.findall(piece.lower())))
+    def word(self, word: str) -> bytes:
+        """Ids of a new word by the library's merges."""
+        ids = self.merge(word.encode().decode("latin-1").translate(self.letters))
+        found = array("I", [t.id for t in ids]).tobytes()
         if len(self) < _LIMIT:
-            self[piece] = found
+            self[word] = found
         return found
 
 
@@ -106,7 +101,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.end = array("I", [end_id]).tobytes()
         self.plain = follows_rule(path)
-        self.pieces = _Pieces(_Words(self.tokenizer.model.tokenize))
+        self.pieces = _Pieces(self.tokenizer.model.tokenize)
 
     def encode(self, text: str | None) -> bytes:
         """Ids of one text; null counts as empty."""
