@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracetide.operators import tcp
 
@@ -91,3 +92,31 @@ def test_long_path_by_its_own_threshold(spark):
     rows = _rows(7)
     got = tcp.flow_quality(spark.createDataFrame(rows, SCHEMA), bits=6, long_from=3).collect()
     assert {(r["filename"], r["src"]): [r["packets"], r["retransmissions"], r["out_of_order"]] for r in got} == _walk(rows)
+
+
+def test_chunks_of_one_call_stay_apart():
+    import numpy as np
+
+    rnd = random.Random(4)
+    for _ in range(300):
+        sizes = [rnd.randint(1, 8) for _ in range(rnd.randint(1, 12))]
+        first = [rnd.random() < 0.4 for _ in sizes]
+        rows = [(part, rnd.choice([0, 5, 10, 15, 2**32 - 5]), rnd.choice([0, 5, 5, 10])) for part, n in enumerate(sizes) for _ in range(n)]
+        part, seq, size = (np.array(c) for c in zip(*rows, strict=True))
+        got = list(zip(*(c.tolist() for c in tcp._passages_of_chunks(seq, size, part, np.array(first))), strict=True))
+        want = [
+            (p, entry, out) for p, head in enumerate(first)
+            for entry, out in _passages_by_walk([r[1] for r in rows if r[0] == p], [r[2] for r in rows if r[0] == p], head).items()
+        ]
+        assert sorted(got) == sorted(want)
+
+
+def test_small_chunks_share_a_call(spark):
+    """20,000 packets in chunks of two packet numbers: calls go by ranges of packet numbers, not by chunk."""
+    rows = [(f"c{i % 2}", i, True, f"10.0.0.{i % 5}", "b", 1, None if i % 5 == 4 else 2, i % 7 * 10, i % 3 * 10, 0) for i in range(20000)]
+    seg = tcp.segments(spark.createDataFrame(rows, SCHEMA), 1).withColumn("first_chunk", F.lit(0).cast("bigint"))
+    steps = tcp._transitions(seg, 1)
+    calls = steps.select("filename", F.spark_partition_id().alias("p")).distinct().count()
+    assert calls == 2 and "range" in steps._jdf.queryExecution().analyzed().toString()
+    got = tcp.flow_quality(spark.createDataFrame(rows, SCHEMA), bits=1, long_from=1).collect()
+    assert {(r["filename"], r["src"]): [r["packets"], r["retransmissions"], r["out_of_order"]] for r in got} == _walk(rows)

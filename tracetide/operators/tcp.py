@@ -74,56 +74,86 @@ def _chunk_counts(seg: DataFrame, entry: str | None) -> DataFrame:
 
 
 def _passages(seq: np.ndarray, size: np.ndarray, first: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers a chunk can be entered with, and the expected number on exit for each.
+    """The numbers one chunk can be entered with, and the expected number on exit for each."""
+    _, entry, out = _passages_of_chunks(seq, size, np.zeros(len(seq), dtype=np.int64), np.array([first]))
+    return entry, out
 
-    Every packet passes the walk on to the next one that holds the number it asks for. These
+
+def _passages_of_chunks(seq: np.ndarray, size: np.ndarray, part: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(chunk, entry, exit) of many chunks at once.
+
+    ``part`` is the chunk of each packet, ascending from 0 without a gap, and ``first`` tells of each chunk whether
+    its flow begins there.
+
+    Every packet passes the walk on to the next one of its chunk that holds the number it asks for. These
     steps are composed with themselves until none leads further, in a logarithmic number of rounds. The first chunk
     of a flow is entered in one way, and its first packet counts whatever it holds.
     """
     after = (seq + size) % WRAP
-    place = np.flatnonzero(size > 0)
-    if first:
-        place = place[place > 0]
     m = len(seq) + 1
-    # the first later packet with a given number: packets sorted by number and place
-    keys = np.sort(seq[place] * m + place)
-
-    def holder(number: np.ndarray, behind: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(keys, number * m + behind + 1)
-        found = keys[np.minimum(at, len(keys) - 1)] if len(keys) else np.zeros_like(number)
-        return np.where((at < len(keys)) & (found // m == number), found % m, -1)
+    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    heads = starts[first]
+    counted = size > 0
+    counted[heads] = False
+    place = np.flatnonzero(counted)
+    # numbers and (chunk, number) pairs by rank, so that no key outgrows 64 bits
+    numbers = np.unique(np.r_[seq, after])
+    pair = part * len(numbers) + np.searchsorted(numbers, seq)
+    asked = part * len(numbers) + np.searchsorted(numbers, after)
+    held = np.unique(pair[place])
+    # the first later packet of a chunk with a given number: packets sorted by pair and place
+    keys = np.sort(np.searchsorted(held, pair[place]) * m + place)
+
+    def holder(rows: np.ndarray) -> np.ndarray:
+        if not len(held):
+            return np.full(len(rows), -1, dtype=np.int64)
+        rank = np.minimum(np.searchsorted(held, asked[rows]), len(held) - 1)
+        at = np.searchsorted(keys, rank * m + rows + 1)
+        found = keys[np.minimum(at, len(keys) - 1)]
+        return np.where((held[rank] == asked[rows]) & (at < len(keys)) & (found // m == rank), found % m, -1)
 
     step = np.arange(len(seq))
-    if len(place):
-        to = holder(after[place], place)
-        step[place] = np.where(to >= 0, to, place)
+    to = holder(place)
+    step[place] = np.where(to >= 0, to, place)
     while True:
         further = step[step]
         if (further == step).all():
             break
         step = further
-    if first:
-        to = holder(after[:1], np.zeros(1, dtype=np.int64))
-        last = after[step[to]] if to[0] >= 0 else after[:1]
-        return np.array([_START], dtype=np.int64), last
-    entry, at = np.unique(keys // m, return_index=True)
-    return entry, after[step[keys[at] % m]]
+    to = holder(heads)
+    begun = after[np.where(to >= 0, step[to], heads)]
+    _, at = np.unique(keys // m, return_index=True)
+    rows = keys[at] % m
+    rows = rows[~first[part[rows]]]
+    return (
+        np.r_[part[heads], part[rows]],
+        np.r_[np.full(len(heads), _START, dtype=np.int64), seq[rows]],
+        np.r_[begun, after[step[rows]]],
+    )
+
 
+def _transitions(seg: DataFrame, bits: int) -> DataFrame:
+    """(flow, chunk, entry, exit) for every number a chunk can be entered with.
 
-def _transitions(seg: DataFrame) -> DataFrame:
-    """(flow, chunk, entry, exit) for every number a chunk can be entered with."""
+    One call works out all chunks of a range of packet numbers of a capture, at most ``2**PACKET_CHUNK_BITS`` packets:
+    small chunks, of which there may be as many as packets, do not cost a call each.
+    """
+    keys = [*FLOW, "chunk"]
 
     def table(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("packet_no")
-        first = pdf["chunk"].iloc[0] == pdf["first_chunk"].iloc[0]
-        entry, out = _passages(pdf["seq"].to_numpy(), pdf["len"].to_numpy(), first)
-        out = pd.DataFrame({"entry": entry, "exit": out}, dtype="int64")
-        for c in [*FLOW, "chunk"]:
-            out[c] = pdf[c].iloc[0]
-        return out
+        part = pdf.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+        order = np.lexsort((pdf["packet_no"].to_numpy(), part))
+        pdf, part = pdf.iloc[order], part[order]
+        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        heads = pdf.iloc[starts]
+        first = (heads["chunk"] == heads["first_chunk"]).to_numpy()
+        chunk, entry, out = _passages_of_chunks(pdf["seq"].to_numpy(), pdf["len"].to_numpy(), part, first)
+        found = heads[keys].iloc[chunk].reset_index(drop=True)
+        return found.assign(entry=entry, exit=out)
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in seg.schema if f.name in (*FLOW, "chunk"))
-    return seg.groupBy(*FLOW, "chunk").applyInPandas(table, f"entry bigint, exit bigint, {fields}")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in seg.schema if f.name in keys)
+    together = F.shiftright("chunk", max(PACKET_CHUNK_BITS - bits, 0))
+    return seg.groupBy(CAP, together.alias("range")).applyInPandas(table, f"entry bigint, exit bigint, {fields}")
 
 
 def _visited(steps: DataFrame) -> DataFrame:
@@ -135,9 +165,10 @@ def _visited(steps: DataFrame) -> DataFrame:
     haves = steps.where(F.col("entry") != _START).select(
         *FLOW, F.col("entry").alias("num"), "chunk", F.col("chunk").alias("have"), F.col("exit").alias("out")
     )
-    # the next chunk that holds the number; one group has at most two rows per chunk
-    later = W.partitionBy(*FLOW, "num").orderBy("chunk").rangeBetween(1, W.unboundedFollowing)
-    found = F.first(F.when(F.col("have").isNotNull(), F.struct("have", "out")), ignorenulls=True).over(later)
+    # the next chunk that holds the number; one group has at most two rows per chunk. Chunks run backwards: a frame
+    # that only gains rows is carried on, one that loses them is worked out anew for every row
+    later = W.partitionBy(*FLOW, "num").orderBy(F.desc("chunk")).rangeBetween(W.unboundedPreceding, -1)
+    found = F.last(F.when(F.col("have").isNotNull(), F.struct("have", "out")), ignorenulls=True).over(later)
     jump = (
         seeks.unionByName(haves).withColumn("to", found)
         .where(F.col("have").isNull() & F.col("to").isNotNull())
@@ -169,7 +200,7 @@ def flow_quality(packets: DataFrame, bits: int = PACKET_CHUNK_BITS, long_from: i
             "chunk", F.when(F.col("first_chunk").isNotNull(), F.col("chunk")).otherwise(_WHOLE)
         )
         long = seg.where(F.col("first_chunk").isNotNull())
-        steps = pin(_transitions(long))
+        steps = pin(_transitions(long, bits))
         chunks = long.select(*FLOW, "chunk").distinct()
         known = _visited(steps).groupBy(*FLOW, "chunk").agg(F.max("exit").alias("exit"))
         before = W.partitionBy(*FLOW).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
