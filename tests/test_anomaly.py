@@ -90,3 +90,19 @@ def test_cuts_leave_rows_on_both_sides():
         nodes = anomaly._grow(x, 1, tree)
         assert len(nodes) == 3 and nodes[0][1] == 0 and nodes[0][2] == 1.0
     assert anomaly._grow(x[:1], 1, 0) == [(0, -1, 0.0, -1, -1, 0.0)]
+
+
+def test_filters_on_parsed_names_stay_above_the_packets(spark, sf_dir):
+    """A run is valid by its parsed name: the name is parsed for each capture, the packets are read once for each part."""
+    from tracetide.operators.captures import capture_summary
+    from tracetide.operators.flows import bidir_flows
+    from tracetide.plans.quality_plans import joined_runs
+    from tracetide.sources.adapter import packets
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+
+    filters = [line for line in plan(joined_runs(spark, sf_dir)) if "Filter" in line]
+    assert filters and not any("RLIKE" in line or "regexp_extract" in line for line in filters)
+    assert sum("Relation" in line for line in plan(capture_summary(packets(spark, sf_dir)))) == 3
+    assert sum(line.count("regexp_extract") for line in plan(bidir_flows(packets(spark, sf_dir)))) == 1

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settled
+
 # The naming scheme of the recordings and its two vocabularies.
 CAPTURE_NAME = r"^capturaAgente([A-Za-z]+)(\d+m|1h)(\d+)\.pcapng$"
 CAPTURE_NAME_ANY = r"^capturaAgente([A-Za-z]+)(\d+m|1h)(\d+)\.pcap(?:ng)?$"
@@ -39,7 +41,10 @@ def duration_group(label: Column) -> Column:
 
 
 def with_capture_name(df: DataFrame, allow_pcap: bool = False) -> DataFrame:
-    """Add profile, duration_label, duration_requested_min and run_idx."""
+    """Add profile, duration_label, duration_requested_min and run_idx.
+
+    They are settled: a filter on them stays at the rows given, often one for each capture.
+    """
     rx = CAPTURE_NAME_ANY if allow_pcap else CAPTURE_NAME
     hit = F.col("filename").rlike(rx)
 
@@ -47,14 +52,13 @@ def with_capture_name(df: DataFrame, allow_pcap: bool = False) -> DataFrame:
         return F.when(hit, F.regexp_extract("filename", rx, i))
 
     label = part(2)
-    return df.withColumns(
-        {
-            "profile": map_profile(part(1)),
-            "duration_label": label,
-            "duration_requested_min": duration_minutes(label),
-            "run_idx": part(3).try_cast("int"),
-        }
-    )
+    parsed = {
+        "profile": map_profile(part(1)),
+        "duration_label": label,
+        "duration_requested_min": duration_minutes(label),
+        "run_idx": part(3).try_cast("int"),
+    }
+    return settled(df.drop(*parsed), **parsed)
 
 
 def profile_rank(col: Column) -> Column:

@@ -246,14 +246,12 @@ def capture_summary(
         *proto_count_columns(packets.columns),
     )
     if tool_log is None:
-        tools = base.select(
-            CAP,
-            F.col("_span_s").alias("capture_duration_s"),
-            F.lit(0).alias("capinfos_truncated"),
-            F.lit("").alias("capinfos_stderr"),
-            F.lit("").alias("error"),
-        )
-        base = base.join(tools, CAP)
+        base = base.withColumns({
+            "capture_duration_s": F.col("_span_s"),
+            "capinfos_truncated": F.lit(0),
+            "capinfos_stderr": F.lit(""),
+            "error": F.lit(""),
+        })
     else:
         base = base.join(tool_log, CAP, "full_outer")
     if totals is None:

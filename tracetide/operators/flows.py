@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.naming import with_capture_name
 from ..functions.net import TCP, UDP, bidir_key
+from ..session import settled
 from .ordered import every_capture, exact_percentiles, top_n
 
 CAP = "filename"
@@ -27,7 +28,9 @@ def flow_packets(packets: DataFrame) -> DataFrame:
 
 def bidir_flows(packets: DataFrame) -> DataFrame:
     """One row per unordered endpoint pair of a capture."""
-    keyed = flow_packets(packets).select(CAP, "proto", *bidir_key(), "ts_us", "frame_len")
+    ends = ["ip1", "port1", "ip2", "port2"]
+    pair = settled(flow_packets(packets), _pair=F.struct(*bidir_key()))
+    keyed = pair.select(CAP, "proto", *(F.col(f"_pair.{c}") for c in ends), "ts_us", "frame_len")
     return keyed.groupBy(*BIDIR).agg(
         F.sum("frame_len").alias("bytes"),
         F.count(F.lit(1)).alias("packets"),

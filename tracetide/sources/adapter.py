@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import settled
+
 START_US = 1_704_067_200_000_000
 
 
@@ -31,12 +33,13 @@ def _event_micros(df: DataFrame) -> Column:
 
 def packets_from_events(events: DataFrame) -> DataFrame:
     """One packet per event; works on a batch and on a streaming table."""
-    ev = events.select(
+    # addresses are made of k: a filter on them would repeat the pattern
+    ev = settled(events, k=F.regexp_extract("props", "[0-9]+", 0).cast("bigint")).select(
         "event_id",
         "user_id",
         "event_type",
         "value",
-        F.regexp_extract("props", "[0-9]+", 0).cast("bigint").alias("k"),
+        "k",
         (F.col("event_id") % 45).alias("cell"),
         (_event_micros(events) - START_US).alias("off_us"),
     )
