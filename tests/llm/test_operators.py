@@ -510,6 +510,34 @@ def test_components(spark, kind):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values())) and all(r in g for r, g in groups.items())
 
 
+def test_rounds_of_components_are_written_by_as_few_tasks_as_their_edges_need(spark, monkeypatch):
+    """A path of 300 nodes takes some rounds; tables of a few rows were cut into one file for each shuffle partition."""
+    order = np.random.default_rng(4).permutation(300).tolist()
+    edges = spark.createDataFrame(list(zip(order, order[1:], strict=False)), "a long, b long")
+    written = []
+
+    def counted(df, label):
+        out = staged(df, label)
+        written.append((label, df.rdd.getNumPartitions(), out.count()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "staged", counted)
+    parts, adaptive = (spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"))
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert {r.root for r in ngram_join.components(edges).collect()} == {0}
+        assert len(written) > 4 and {tasks for _, tasks, _ in written[1:]} == {1}
+        # more edges, more tasks
+        written.clear()
+        monkeypatch.setattr(ngram_join, "TASK_EDGES", 100)
+        assert {r.root for r in ngram_join.components(edges).collect()} == {0}
+        assert written[1][:2] == ("labels", 6) and written[-1][:2] == ("components", 6) and {rows for *_, rows in (written[1], written[-1])} == {300}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+
+
 @pytest.fixture(scope="session")
 def larger_dir():
     import os

@@ -28,6 +28,8 @@ ROWS = 5
 #: Classes and shingles of a block, as the mean over the blocks of a component.
 BLOCK_CLASSES = 256
 BLOCK_SHINGLES = 1 << 20
+#: Rows of a graph table that a task writes. A task writes a file, and opening a file starts a process beside the executor.
+TASK_EDGES = 1 << 16
 
 
 def bands_for(recall: float = RECALL, similarity: float = SIMILARITY, rows: int = ROWS) -> int:
@@ -124,25 +126,29 @@ def components(edges: DataFrame) -> DataFrame:
     Each round every node takes its smallest neighbour, or itself, as label, and the edges between labels are the next
     round's graph. A star is gone after one round, and where nodes are hashes only a share of them is left each time. Edges
     are made distinct before they meet the labels of their other end, so a hub with very many edges is one row by then.
-    Rounds are written to the shared folder; whether edges are left is all that reaches the driver.
+    Rounds are written to the shared folder; the number of edges that are left is all that reaches the driver. No later
+    table has more rows than edges have ends, so a round with few edges is written by few tasks.
     """
     ordered = lambda x, y: (F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
+    written = lambda df, label, most: staged(df.coalesce(max(1, -(-most // TASK_EDGES))), label)
     edges = staged(edges.where("a <> b").select(*ordered("a", "b")).distinct(), "edges")
     rounds = []
-    while not edges.isEmpty():
+    first = left = edges.count()
+    while left:
         ends = edges.select(F.col("a").alias("node"), F.col("b").alias("next")).union(edges.select("b", "a"))
-        labels = staged(ends.groupBy("node").agg(F.least("node", F.min("next")).alias("root")), "labels")
+        labels = written(ends.groupBy("node").agg(F.least("node", F.min("next")).alias("root")), "labels", 2 * left)
         rounds.append(labels)
         half = edges.join(labels.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").select("x", "b").distinct()
         whole = half.join(labels.select(F.col("node").alias("b"), F.col("root").alias("y")), "b").where("x <> y")
-        edges = staged(whole.select(*ordered("x", "y")).distinct(), "edges")
+        edges = written(whole.select(*ordered("x", "y")).distinct(), "edges", left)
+        left = edges.count()
     if not rounds:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     found = rounds[0]
     for labels in rounds[1:]:
         further = labels.select(F.col("node").alias("root"), F.col("root").alias("up"))
         found = found.join(further, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
-    return staged(found, "components")
+    return written(found, "components", 2 * first)
 
 
 def _verified(
