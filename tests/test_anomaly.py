@@ -106,3 +106,18 @@ def test_filters_on_parsed_names_stay_above_the_packets(spark, sf_dir):
     assert filters and not any("RLIKE" in line or "regexp_extract" in line for line in filters)
     assert sum("Relation" in line for line in plan(capture_summary(packets(spark, sf_dir)))) == 3
     assert sum(line.count("regexp_extract") for line in plan(bidir_flows(packets(spark, sf_dir)))) == 1
+
+
+def test_features_read_the_packets_once_behind_the_summary(spark, sf_dir):
+    """Counts, spans and ports come from one pinned pass, and the spans of flows from the summary: only the flows still read
+    packets. They stand twice in the plan, for totals and for ranks, and share one exchange."""
+    from tracetide.operators.captures import capture_summary, summary_pairs
+    from tracetide.plans.quality_plans import joined_runs
+    from tracetide.session import pin
+    from tracetide.sources.adapter import packets
+
+    plan = joined_runs(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert sum("Relation" in line for line in plan) == 2
+    p = packets(spark, sf_dir)
+    alone, shared = capture_summary(p), capture_summary(p, pairs=pin(summary_pairs(p)))
+    assert alone.schema == shared.schema and sorted(map(str, alone.collect())) == sorted(map(str, shared.collect()))

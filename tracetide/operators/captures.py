@@ -107,9 +107,13 @@ def capture_bounds(packets: DataFrame) -> DataFrame:
     return packets.groupBy(CAP).agg(F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
 
 
-def peak_mbps_1s(packets: DataFrame) -> DataFrame:
-    """Largest one-second byte sum; the bins start at the first frame of the capture."""
-    anchored = attach_small(packets.select(CAP, "ts_us", "frame_len"), capture_bounds(packets), [CAP])
+def peak_mbps_1s(packets: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
+    """Largest one-second byte sum; the bins start at the first frame of the capture.
+
+    ``bounds`` are those of `capture_bounds` where they are known already.
+    """
+    bounds = capture_bounds(packets) if bounds is None else bounds
+    anchored = attach_small(packets.select(CAP, "ts_us", "frame_len"), bounds, [CAP])
     bins = anchored.groupBy(CAP, F.floor((F.col("ts_us") - F.col("first_us")) / 1_000_000).alias("bin")).agg(
         F.sum("frame_len").alias("bytes")
     )
@@ -136,20 +140,22 @@ def per_second_peaks(packets: DataFrame) -> DataFrame:
     )
 
 
-def dst_port_counts(packets: DataFrame) -> DataFrame:
-    """Destination ports by layer with their count and first packet."""
+def port_pairs(packets: DataFrame, *more: Column) -> DataFrame:
+    """Packets by the destination ports of both layers: count, first packet, and the aggregates ``more``."""
     named = {f"_{layer}": layer_port(packets.columns, layer, "d") for layer in ("tcp", "udp")}
-    pairs = packets.select(CAP, "packet_no", *(c.alias(n) for n, c in named.items())).groupBy(CAP, *named).agg(
-        F.count(F.lit(1)).alias("n"), F.min("packet_no").alias("first_no")
-    )
-    ports = F.array(*(F.struct(F.lit(n[1:]).alias("l4"), F.col(n).alias("dport")) for n in named))
+    return packets.withColumns(named).groupBy(CAP, *named).agg(F.count(F.lit(1)).alias("n"), F.min("packet_no").alias("first_no"), *more)
+
+
+def dst_port_counts(pairs: DataFrame) -> DataFrame:
+    """Destination ports by layer with their count and first packet, from `port_pairs`."""
+    ports = F.array(*(F.struct(F.lit(layer).alias("l4"), F.col(f"_{layer}").alias("dport")) for layer in ("tcp", "udp")))
     long = pairs.select(CAP, "n", "first_no", F.inline(ports)).where(F.col("dport").isNotNull())
     return long.groupBy(CAP, "l4", "dport").agg(F.sum("n").alias("n"), F.min("first_no").alias("first_no"))
 
 
-def _best_ports(packets: DataFrame) -> DataFrame:
+def _best_ports(pairs: DataFrame) -> DataFrame:
     best = F.struct("n", -F.col("first_no"))
-    return dst_port_counts(packets).groupBy(CAP).agg(
+    return dst_port_counts(pairs).groupBy(CAP).agg(
         *[
             agg
             for l4 in ("udp", "tcp")
@@ -164,7 +170,7 @@ def _best_ports(packets: DataFrame) -> DataFrame:
 def top_dst_port(packets: DataFrame) -> DataFrame:
     """Most frequent destination port per capture, TCP and UDP apart; ties go to the first seen."""
     captures = packets.select(CAP).distinct()
-    return captures.join(_best_ports(packets), CAP, "left").fillna(0, ["top_udp_dport_pkts", "top_tcp_dport_pkts"])
+    return captures.join(_best_ports(port_pairs(packets)), CAP, "left").fillna(0, ["top_udp_dport_pkts", "top_tcp_dport_pkts"])
 
 
 def top_ports_both_sides(packets: DataFrame, n: int = 10) -> DataFrame:
@@ -227,8 +233,24 @@ def ts_trust(packets: DataFrame) -> DataFrame:
     )
 
 
+_COUNTS = ["tcp_pkts", "udp_pkts", "icmp_pkts", "other_pkts", "udp443_pkts", "tcp443_pkts"]
+
+
+def summary_pairs(packets: DataFrame) -> DataFrame:
+    """`port_pairs` with all that `capture_summary` counts: one pass serves its counts, bounds and ports if this is pinned."""
+    return port_pairs(
+        packets,
+        F.count("frame_len").alias("_frames"),
+        F.sum("frame_len").alias("_bytes"),
+        F.min("ts_us").alias("first_us"),
+        F.max("ts_us").alias("last_us"),
+        *proto_count_columns(packets.columns),
+    )
+
+
 def capture_summary(
-    packets: DataFrame, tool_log: DataFrame | None = None, folder: str = "", totals: DataFrame | None = None, peaks: DataFrame | None = None
+    packets: DataFrame, tool_log: DataFrame | None = None, folder: str = "", totals: DataFrame | None = None, peaks: DataFrame | None = None,
+    pairs: DataFrame | None = None,
 ) -> DataFrame:
     """The whole summary row of each capture.
 
@@ -238,12 +260,17 @@ def capture_summary(
     ``peaks`` (filename, peak_mbps_1s, error) are read from the tool's statistics
     tables; totals that it could not give are counted, and errors of all tools are
     joined. A capture that only a tool knows keeps its row.
+
+    ``pairs`` are the `summary_pairs` of the packets where they are known already.
     """
-    base = packets.groupBy(CAP).agg(
-        F.count("frame_len").alias("_frames"),
-        F.sum("frame_len").alias("_bytes"),
-        ((F.max("ts_us") - F.min("ts_us")) / 1e6).alias("_span_s"),
-        *proto_count_columns(packets.columns),
+    counts = _COUNTS
+    pairs = summary_pairs(packets) if pairs is None else pairs
+    bounds = pairs.groupBy(CAP).agg(F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
+    base = pairs.groupBy(CAP).agg(
+        F.sum("_frames").alias("_frames"),
+        F.sum("_bytes").alias("_bytes"),
+        ((F.max("last_us") - F.min("first_us")) / 1e6).alias("_span_s"),
+        *(F.sum(c).alias(c) for c in counts),
     )
     if tool_log is None:
         base = base.withColumns({
@@ -260,11 +287,10 @@ def capture_summary(
         base = base.join(totals.withColumnRenamed("error", "_told_error"), CAP, "full_outer")
     base = base.withColumns(_totals_chain(base))
     if peaks is None:
-        peaks = peak_mbps_1s(packets).withColumn("_peak_error", F.lit(""))
+        peaks = peak_mbps_1s(packets, bounds).withColumn("_peak_error", F.lit(""))
     else:
         peaks = peaks.withColumnRenamed("error", "_peak_error")
-    full = base.join(peaks, CAP, "left").join(_best_ports(packets), CAP, "left")
-    counts = ["tcp_pkts", "udp_pkts", "icmp_pkts", "other_pkts", "udp443_pkts", "tcp443_pkts"]
+    full = base.join(peaks, CAP, "left").join(_best_ports(pairs), CAP, "left")
     full = full.fillna(0, [*counts, "top_udp_dport_pkts", "top_tcp_dport_pkts", "capinfos_truncated"]).fillna("", ["capinfos_stderr"])
     # without a statistics table nothing failed that could be told
     failed = F.col("_totals_error") if totals is not None else F.lit("")

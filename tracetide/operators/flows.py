@@ -27,16 +27,25 @@ def flow_packets(packets: DataFrame) -> DataFrame:
 
 
 def bidir_flows(packets: DataFrame) -> DataFrame:
-    """One row per unordered endpoint pair of a capture."""
+    """One row per unordered endpoint pair of a capture.
+
+    Packets are summed up by direction first, so a pair is put in order once for each direction, not for each packet.
+    """
     ends = ["ip1", "port1", "ip2", "port2"]
-    pair = settled(flow_packets(packets), _pair=F.struct(*bidir_key()))
-    keyed = pair.select(CAP, "proto", *(F.col(f"_pair.{c}") for c in ends), "ts_us", "frame_len")
-    return keyed.groupBy(*BIDIR).agg(
+    oneway = flow_packets(packets).groupBy(CAP, "proto", "src", "sport", "dst", "dport").agg(
         F.sum("frame_len").alias("bytes"),
         F.count(F.lit(1)).alias("packets"),
         F.min("ts_us").alias("first_us"),
         F.max("ts_us").alias("last_us"),
-        (F.max("ts_us") - F.min("ts_us")).alias("dur_us"),
+    )
+    pair = settled(oneway, _pair=F.struct(*bidir_key()))
+    keyed = pair.select(CAP, "proto", *(F.col(f"_pair.{c}") for c in ends), "bytes", "packets", "first_us", "last_us")
+    return keyed.groupBy(*BIDIR).agg(
+        F.sum("bytes").alias("bytes"),
+        F.sum("packets").alias("packets"),
+        F.min("first_us").alias("first_us"),
+        F.max("last_us").alias("last_us"),
+        (F.max("last_us") - F.min("first_us")).alias("dur_us"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import naming
 from ..operators import anomaly, quality_rules
-from ..operators.captures import capture_summary
+from ..operators.captures import capture_summary, summary_pairs
 from ..operators.flows import flow_metrics
 from ..session import pin, work_path
 from ..sources.adapter import packets, table
@@ -86,7 +86,10 @@ _GROUP_LIST = "[" + ", ".join(f"CASE WHEN (k + {i}) % 9 = 0 THEN '{g}' END" for
 def joined_runs(spark, sf):
     """All captures, each with its duration."""
     p = packets(spark, sf)
-    return anomaly.join_capture_flows(capture_summary(p), flow_metrics(p), None)
+    captures = pin(capture_summary(p, pairs=pin(summary_pairs(p))))
+    # the summary knows the spans of the captures: flows need no further pass for them
+    spans = captures.select("filename", "capture_duration_s", "capinfos_truncated", "capinfos_stderr", "error")
+    return anomaly.join_capture_flows(captures, flow_metrics(p, spans), None)
 
 
 def run_features(spark, sf):
