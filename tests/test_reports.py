@@ -53,6 +53,53 @@ def test_statistics_of_a_plain_capture(docs):
     }
 
 
+@pytest.fixture(scope="module")
+def long_packets(spark):
+    """A capture with more values in every raw list than the report once held: each packet is a flow of its own."""
+    rows = spark.range(50_004).select(
+        F.lit("long").alias("filename"), F.col("id").alias("packet_no"), (S + F.col("id") * 1000).alias("ts_us"), (60 + F.col("id") % 7).alias("frame_len"),
+        F.lit(17).alias("proto_num"), F.lit("IPv4").alias("ip_version"), F.lit(2048).alias("eth_type"), F.lit(False).alias("is_tcp"), F.lit(True).alias("is_udp"), F.lit(False).alias("is_icmp"),
+        F.concat(F.lit("10.0.0."), (F.col("id") % 2).cast("string")).alias("src"), F.lit("1.1.1.1").alias("dst"), (F.col("id") / 2).cast("int").alias("sport"), F.lit(443).alias("dport"),
+        *(F.lit(None).cast(t).alias(n) for n, t in (c.split() for c in "tcp_seq long,payload_len long,tcp_flags int,icmp_type int,dns_qname string,payload binary".split(","))),
+    )
+    return rows.localCheckpoint()
+
+
+@pytest.fixture(scope="module")
+def long_documents(long_packets):
+    return reports.statistics_report(long_packets).localCheckpoint()
+
+
+def test_raw_lists_are_whole(long_documents):
+    found = long_documents.collect()
+    assert len(found) == 1
+    d = json.loads(found[0].document)
+    assert d["packet_iat_seconds_list"] == d["newflow_iat_seconds_list"] == [0.001] * 50_003
+    assert d["flows_bytes_list"] == [60 + k % 7 for k in range(50_004)] and d["flows_packets_list"] == [1] * 50_004
+    assert d["flows_duration_seconds_list"] == [0.0] * 50_004
+
+
+def test_later_pages_are_rows_of_their_own(spark, long_packets, long_documents, tmp_path):
+    found = reports.statistics_report(long_packets, page=20_000)
+    sinks.write_documents(found, str(tmp_path / "docs"))
+    back = sinks.read_documents(spark, str(tmp_path / "docs"))
+    parts = [json.loads(r.document) for r in back.collect()]
+    assert sorted(d.get("continues_at", 0) for d in parts) == [0] + [20_000] * 5 + [40_000] * 5
+    for name in reports.RAW_LISTS:
+        assert sorted((d.get("continues_at", 0), len(d[name])) for d in parts if name in d)[:2] == [(0, 20_000), (20_000, 20_000)]
+    paths = reports.document_paths(back).collect()
+    sizes = {r.path: r.number for r in paths if r.path.startswith("flows_bytes_list")}
+    assert sizes == {f"flows_bytes_list[{k}]": 60 + k % 7 for k in range(50_004)}
+    whole = reports.document_paths(long_documents).collect()
+    assert sorted(map(str, paths)) == sorted(map(str, whole))
+
+
+def test_pages_of_nulls_keep_their_places(spark):
+    df = spark.createDataFrame([("one", '{"continues_at": 4, "a": [null, null]}'), ("two", '{"continues_at": 4, "a": [null, 0.5]}')], "filename string, document string")
+    found = {(r.filename, r.path): (r.number, r.text) for r in reports.document_paths(df).collect()}
+    assert found == {("one", "a[4]"): (None, None), ("one", "a[5]"): (None, None), ("two", "a[4]"): (None, None), ("two", "a[5]"): (0.5, None)}
+
+
 def test_a_capture_without_times_says_so(docs):
     lost = docs["statistics"]["lost"]
     assert lost["throughput_series"] == reports.UNRELIABLE and lost["duration_reason"] == "fallback_invalid_ts"

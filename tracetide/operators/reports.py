@@ -1,9 +1,9 @@
 """Whole per-capture reports as nested documents.
 
 Each part of a document is a table with a row for each capture; the parts meet in joins on the capture. Lists are the
-report's own, bounded by top-n, by the number of raw samples or by the time steps of a capture; packets are never
-gathered. A document maps names to values of different kinds, so values are variants, and a name whose condition does
-not hold is left out.
+report's own, bounded by top-n or by the time steps of a capture. Raw lists are whole: they are cut into pages, the first
+stands in the document, each later one in a row of its own; packets are never gathered. A document maps names to values of
+different kinds, so values are variants, and a name whose condition does not hold is left out.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from . import diversity, distributions, flows, locality, series, tcp, timing
 
 CAP = "filename"
 TOP = 15
-RAW_LIMIT = 50_000
+PAGE = 1 << 17  # values of a raw list in one row
+CONTINUES = "continues_at"  # fixed value: in a row that continues a document, the place of the first value of its lists
 # Names of the report's counters and the dimensions behind them; those counted by number.
 COUNTERS = {
     "eth_types": "eth_type", "ip_versions": "ip_version", "ip_protocols": "ip_protocol", "app_protocols_heuristic": "app_protocol",
@@ -82,13 +83,32 @@ def counter_lists(packets: DataFrame, n: int = TOP) -> DataFrame:
     return top.groupBy(CAP).agg(*columns)
 
 
-def raw_lists(packets: DataFrame, limit: int = RAW_LIMIT, unidir: DataFrame | None = None) -> DataFrame:
-    """The first `limit` values of each raw list; the limit is the report's own."""
-    rows = distributions.raw_samples(packets, limit, unidir=unidir).where(F.col("pos") <= limit)
-    return rows.groupBy(CAP).agg(*(
-        _ordered("pos", F.col("value") / unit if unit else F.col("value"), F.col("metric") == metric).alias(name)
-        for name, (metric, unit) in RAW_LISTS.items()
+def raw_pages(packets: DataFrame, limit: int | None = None, unidir: DataFrame | None = None, page: int = PAGE) -> DataFrame:
+    """(filename, metric, page, values): the raw lists in pages of at most `page` values; with `limit` only the first values of each list."""
+    rows = distributions.raw_samples(packets, limit, unidir=unidir)
+    if limit is not None:
+        rows = rows.where(F.col("pos") <= limit)
+    place = F.floor((F.col("pos") - 1) / page).alias("page")
+    return rows.groupBy(CAP, "metric", place).agg(_ordered("pos", F.col("value")).alias("values"))
+
+
+def _raw_entry(values: Column, unit: float | None) -> Column:
+    return F.transform(values, lambda v: v / unit) if unit else values
+
+
+def raw_lists(pages: DataFrame) -> DataFrame:
+    """A column for each raw list: its first page."""
+    found = pages.where(F.col("page") == 0).groupBy(CAP).agg(*(
+        F.any_value(F.when(F.col("metric") == metric, F.col("values")), ignoreNulls=True).alias(name) for name, (metric, _) in RAW_LISTS.items()
     ))
+    return found.select(CAP, *(_raw_entry(F.col(name), unit).alias(name) for name, (_, unit) in RAW_LISTS.items()))
+
+
+def raw_rest(pages: DataFrame, page: int = PAGE) -> DataFrame:
+    """(filename, document): a row for each later page of a raw list, its values and the place of the first of them."""
+    later = pages.where(F.col("page") > 0)
+    entries = {CONTINUES: F.col("page") * page, **{name: _raw_entry(F.col("values"), unit) for name, (_, unit) in RAW_LISTS.items()}}
+    return document(later, entries, {name: F.col("metric") == metric for name, (metric, _) in RAW_LISTS.items()})
 
 
 def flow_list(packets: DataFrame, n: int = TOP, unidir: DataFrame | None = None) -> DataFrame:
@@ -118,20 +138,23 @@ def throughput_lists(packets: DataFrame, bucket_s: int = 1) -> DataFrame:
     return _together([lists, series.bucket_summary(line, bucket_s), rates, short, series.autocorr_lag1(line)])
 
 
-def statistics_report(packets: DataFrame, bucket_s: int = 1, top: int = TOP, raw_limit: int = RAW_LIMIT, given_ip: str | None = None, bad_frames: DataFrame | None = None) -> DataFrame:
+def statistics_report(packets: DataFrame, bucket_s: int = 1, top: int = TOP, raw_limit: int | None = None, given_ip: str | None = None, bad_frames: DataFrame | None = None, page: int = PAGE) -> DataFrame:
     """(filename, document): the statistics report of every capture.
 
+    Raw lists are whole unless `raw_limit` is given. A list of more than `page` values goes on in further rows of its capture,
+    objects with the values of one page under the list's name and the place of the first of them under `continues_at`.
     `bad_frames` (filename, bad_frames) are frames that the export could not give; without it there are none. Series are
     left out, with the reason in their place, where more than half of the times are missing.
     """
     local = pin(locality.local_ip(packets, given_ip))
     unidir = pin(flows.unidir_flows(packets))  # five parts read it
+    pages = pin(raw_pages(packets, raw_limit, unidir, page))  # the documents and their further rows
     sizes = packets.groupBy(CAP).agg(F.coalesce(F.sum("frame_len"), F.lit(0)).alias("bytes"), F.round(F.avg("frame_len"), 6).alias("avg_size"))
     named = flows.unidir_summary(packets, unidir).select(CAP, "flows", F.col("flows_per_min"), "median_bytes_per_flow", "median_dur_s", "median_pkts_per_flow")
     fresh = _by_window(series.window_new_flows(packets, unidir=unidir), F.col("flows_per_min"), "windowed_newflows_per_min")
     parts = [
         cap.ts_trust(packets), sizes, throughput_lists(packets, bucket_s), named, diversity.dst_diversity(packets), diversity.domain_diversity(packets),
-        timing.burstiness_report(packets, unidir), counter_lists(packets, top), locality.outbound_ports(packets, local), raw_lists(packets, raw_limit, unidir), fresh, flow_list(packets, top, unidir),
+        timing.burstiness_report(packets, unidir), counter_lists(packets, top), locality.outbound_ports(packets, local), raw_lists(pages), fresh, flow_list(packets, top, unidir),
     ]
     if bad_frames is not None:
         parts.append(bad_frames)
@@ -166,7 +189,7 @@ def statistics_report(packets: DataFrame, bucket_s: int = 1, top: int = TOP, raw
             F.array().cast("array<struct<ip_version: string, src: string, dst: string, sport: int, dport: int, proto: string, bytes: bigint, packets: bigint, duration: double>>")),
     }
     only = {c: F.col(c).isNotNull() for c in ("windowed_throughput_bps", "windowed_newflows_per_min")}
-    return document(rows, entries, only)
+    return document(rows, entries, only).unionByName(raw_rest(pages, page))
 
 
 def quality_report(packets: DataFrame, gap_ms: float = 100.0, conns: DataFrame | None = None, top: int = 10) -> DataFrame:
@@ -219,22 +242,26 @@ def quality_report(packets: DataFrame, gap_ms: float = 100.0, conns: DataFrame |
 def document_paths(documents: DataFrame, depth: int = 8) -> DataFrame:
     """(filename, path, number, text): a row for each leaf of the documents, an empty list or object included.
 
-    Paths read like `a.b[3].c`. Numbers stand in `number`, other values as text, null in neither.
+    Paths read like `a.b[3].c`. Numbers stand in `number`, other values as text, null in neither. Lists of a row that
+    continues a document are numbered from their place in it.
     """
     level = documents.select(CAP, F.lit("").alias("path"), F.parse_json("document").alias("v"))
+    level = level.withColumn("start", F.coalesce(F.try_variant_get("v", f"$.{CONTINUES}", "bigint"), F.lit(0)))
     out = None
-    for _ in range(depth):
+    for at in range(depth):
         kind = F.schema_of_variant("v")
-        told = level.select(CAP, "path", "v", kind.alias("kind"))
-        inner = F.col("kind").startswith("OBJECT<") & (F.col("kind") != "OBJECT<>") | F.col("kind").startswith("ARRAY<") & (F.col("kind") != "ARRAY<VOID>")
-        # a list of nulls has the type of an empty one, and so do empty lists: these are leaves
+        told = level.select(CAP, "path", "start", "v", kind.alias("kind"))
+        inner = F.col("kind").startswith("OBJECT<") & (F.col("kind") != "OBJECT<>") | F.col("kind").startswith("ARRAY<") & ((F.col("kind") != "ARRAY<VOID>") | (F.col("start") > 0))
+        # a list of nulls has the type of an empty one, and so do empty lists: these are leaves; a later page is never empty
         number = F.when(F.col("kind").isin("BIGINT", "DOUBLE", "FLOAT") | F.col("kind").startswith("DECIMAL"), F.try_variant_get("v", "$", "double"))
         text = F.when(F.col("kind").isin("STRING", "BOOLEAN"), F.try_variant_get("v", "$", "string")).when(F.col("kind").isin("OBJECT<>", "ARRAY<VOID>"), F.to_json("v"))
         leaves = told.where(~inner).select(CAP, "path", number.alias("number"), text.alias("text"))
         out = leaves if out is None else out.unionByName(leaves)
         each = documents.sparkSession.tvf.variant_explode(F.col("v").outer())
-        grown = told.where(inner).select(CAP, F.col("path").alias("parent"), "v").lateralJoin(each)
-        step = F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
+        grown = told.where(inner).select(CAP, F.col("path").alias("parent"), "start", "v").lateralJoin(each)
+        if at == 0:
+            grown = grown.where((F.col("start") == 0) | ~F.col("key").eqNullSafe(CONTINUES))
+        step = F.when(F.col("key").isNull(), F.concat(F.lit("["), (F.col("pos") + F.col("start")).cast("string"), F.lit("]")))
         step = step.when(F.col("parent") == "", F.col("key")).otherwise(F.concat(F.lit("."), F.col("key")))
-        level = grown.select(CAP, F.concat("parent", step).alias("path"), F.col("value").alias("v"))
+        level = grown.select(CAP, F.concat("parent", step).alias("path"), "start", F.col("value").alias("v"))
     return out

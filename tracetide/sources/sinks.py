@@ -27,7 +27,7 @@ def sink_report_json(metrics: DataFrame, path: str) -> None:
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
-    """One line for each capture, its document, in a folder for each capture name."""
+    """A line for each row, in a folder for each capture name: its document, and rows that continue it in any order."""
     documents.select("filename", "document").write.mode("overwrite").partitionBy("filename").text(path)
 
 
